@@ -3,14 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import mixing
 from .ngram_join import ngram_components
 from .shared import table
+from .url_rules import judge_urls, labelled_urls
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    return mixed.select("doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_rate", 6).alias("rate"), F.col("mix_keep").alias("kept"))
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), k=3, similarity=(90, 100))
 
 
-QUERIES = {"op8_ngram_jaccard_join": op8_ngram_jaccard_join}
-ORACLE_SQL: dict[str, str] = {}
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge_urls(pages, labelled_urls(pages, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op8_ngram_jaccard_join, op10_url_filter)}
+ORACLE_SQL = {"op1_source_mixing": mixing.oracle_sql()}
