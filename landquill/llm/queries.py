@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, quality
+from .language_id import identify
 from .ngram_join import ngram_components
 from .shared import table
 from .url_rules import judge_urls, labelled_urls
@@ -16,6 +17,16 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_rate", 6).alias("rate"), F.col("mix_keep").alias("kept"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    out = quality.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), good)
+    return out.select("doc_id", "n_ngrams", "log_weight", "gumbel_key", "kept")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), k=3, similarity=(90, 100))
 
@@ -25,5 +36,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, labelled_urls(pages, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op8_ngram_jaccard_join, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_language_id, op5_quality_classifier, op8_ngram_jaccard_join, op10_url_filter)}
 ORACLE_SQL = {"op1_source_mixing": mixing.oracle_sql()}
