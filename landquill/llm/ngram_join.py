@@ -3,13 +3,14 @@
 How it runs
 -----------
 1. One pass over the texts gives each document's set size, a 128-bit hash of its set and a sketch (how many n-grams fall
-   into each of 64 ranges of hash values), and counts of n-grams that are frequent within a task. Equal sets become one
+   into each of 256 ranges of hash values, modulo 16), and counts of n-grams that are frequent within a task. Equal sets become one
    node, the smallest doc_id; the rest of the work is on nodes.
 2. Global order of n-grams: rare ones first (by hash), then a bounded list of the most frequent ones by count. Any total
    order gives the same links; this one keeps passages that many documents share out of the prefixes.
 3. A set of n n-grams only links with sets that share one of its first ``n - ceil(t n) + 1`` n-grams. Those are dealt out
-   by n-gram; n-grams with one document vanish, the rest meet their document's sketch and size. The sum of differences of
-   two sketches is never above the true symmetric difference, so that pairs above the allowed one are dropped safely.
+   by n-gram; n-grams with one document vanish, the rest meet their document's sketch and size. The sum of
+   circular differences of two sketches is never above the true symmetric difference, so that pairs above the allowed one
+   are dropped safely.
    What is left is a forest of candidate links, hence candidate groups.
 4. Each candidate group's sets travel once. In a task they are stored in a path-compressed trie (an edge holds the
    n-grams of one range), and each set walks down it with the overlap so far; subtrees whose overlap plus what can remain
@@ -33,9 +34,9 @@ from pyspark.sql import functions as F
 from . import textblocks as tb
 from .shared import components, materialise
 
-RANGES = 64  # of hash values, in a sketch
+RANGES = 256  # of hash values, in a sketch of 4 bits each
 LEVELS = 8  # of the trie: ranges of hash values, one edge each
-BLOCK_GRAMS = 1_500_000  # n-grams of a block of a candidate group
+BLOCK_GRAMS = 4_000_000  # n-grams of a block of a candidate group
 FREQUENT = 100_000  # n-grams in the list of frequent ones, at most
 LOCAL_LEAST = 8  # documents of a task in which an n-gram counts as frequent there
 _FLUSH = 4_000_000
@@ -62,9 +63,9 @@ def _profile(k: int):
             for rows, grams, at in _sets(batch, k):
                 size = np.diff(at)
                 mixed = tb.mix(grams)
-                cell = np.repeat(np.arange(len(size)), size) * RANGES + (grams >> np.uint64(58)).astype(np.int64)
-                sketch = np.bincount(cell, minlength=len(size) * RANGES).reshape(-1, RANGES)
-                sketch = np.minimum(sketch, 65535).astype("<u2")
+                cell = np.repeat(np.arange(len(size)), size) * RANGES + (grams >> np.uint64(56)).astype(np.int64)
+                sketch = (np.bincount(cell, minlength=len(size) * RANGES) & 15).astype(np.uint8).reshape(-1, RANGES)
+                sketch = sketch[:, ::2] | sketch[:, 1::2] << 4
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), ids.take(pa.array(rows)), pa.array(size), pa.array(tb.signed(tb.row_sums(mixed, at))), pa.array(tb.signed(tb.row_sums(tb.mix(mixed + np.uint64(1)), at))), pa.array([x.tobytes() for x in sketch], pa.binary())], schema=schema)
                 waiting.append(grams)
                 held += len(grams)
@@ -180,17 +181,19 @@ def _candidates(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _runs(batches):
             token, ids, size = (part.column(c).to_numpy() for c in ("token", "doc_id", "n"))
-            sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), "<u2").reshape(-1, RANGES).astype(np.int32)
+            packed = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, RANGES // 2)
             cuts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
             out = []
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 if e - s > 1:
                     forest = Forest(e - s)
+                    sketch = np.concatenate((packed[s:e] & 15, packed[s:e] >> 4), 1).view(np.int8)
                     for a in range(e - s - 1):
                         b = forest.apart(a)
                         b = b[(np.minimum(size[s + b], size[s + a]) * den >= num * np.maximum(size[s + b], size[s + a]))]
                         if len(b):
-                            apart = np.abs(sketch[s + b] - sketch[s + a]).sum(1)
+                            apart = np.abs(sketch[b] - sketch[a])
+                            apart = np.minimum(apart, 16 - apart).sum(1, dtype=np.int64)
                             forest.union(a, b[apart <= _differences(num, den, size[s + a], size[s + b])])
                     out += [(ids[s + a], ids[s + b]) for a, b in forest.links]
             if out:
