@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from . import mixing, quality
 from .language_id import identify
+from .line_dedup import dedup_lines
 from .ngram_join import ngram_components
+from .sentence_pieces import encode_pieces
 from .shared import table
 from .url_rules import judge_urls, labelled_urls
 
@@ -27,6 +29,14 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_ngrams", "log_weight", "gumbel_key", "kept")
 
 
+def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), k=3, similarity=(90, 100))
 
@@ -36,5 +46,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, labelled_urls(pages, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_language_id, op5_quality_classifier, op8_ngram_jaccard_join, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_language_id, op5_quality_classifier, op6_sentence_pieces, op7_line_dedup, op8_ngram_jaccard_join, op10_url_filter)}
 ORACLE_SQL = {"op1_source_mixing": mixing.oracle_sql()}
