@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from . import mixing, quality
 from .language_id import identify
+from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .ngram_join import ngram_components
 from .sentence_pieces import encode_pieces
 from .shared import table
 from .url_rules import judge_urls, labelled_urls
+from .vectors import linked_vectors, nearest
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +25,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op3_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1")
     out = quality.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), good)
@@ -41,10 +51,14 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), k=3, similarity=(90, 100))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, labelled_urls(pages, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_language_id, op5_quality_classifier, op6_sentence_pieces, op7_line_dedup, op8_ngram_jaccard_join, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_language_id, op3_approximate_neighbours, op4_embedding_near_dedup, op5_quality_classifier, op6_sentence_pieces, op7_line_dedup, op8_ngram_jaccard_join, op9_license_scan, op10_url_filter)}
 ORACLE_SQL = {"op1_source_mixing": mixing.oracle_sql()}
