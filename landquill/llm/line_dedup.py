@@ -9,12 +9,14 @@ Shorter lines (headings, braces, blank lines) always stay.
    the same or a little greater length can match them with (by length, segment and shift). Substring hashes come from prefix
    sums over a block of text. Only hashes travel.
 2. The candidates' texts are fetched by a second pass behind a bit filter of fixed size (``FILTER_BITS``; a full filter lets
-   more through, the join after it is exact), and pairs are verified by a banded bit-parallel edit distance over many pairs
-   at once.
+   more through, the join after it is exact) and meet their segment's other lines in one task, earliest first. A line found
+   to be late is not compared again, so that a group of near copies costs about one comparison each and no pairs are
+   written. Character counts rule out most of the rest, a banded bit-parallel edit distance over many pairs at once decides.
+   Segments with more than ``RUN_LINES`` lines are cut into blocks, and pairs of blocks meet.
 3. Repeats are counted with native hashes of 96 bits; the dropped line numbers of a document join its text once.
 
 Rows with a null doc_id or text pass unchanged and are compared with nothing; rows that share a doc_id count as one document.
-An empty text stays. Further columns pass through.
+An empty text stays. Further columns pass through, but for those with the name of a result.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ from .shared import materialise
 MIN_CHARS, EDITS = 24, 2
 FILTER_BITS = 26
 _SALT = np.uint64(0xD6E8FEB86659FD93)
-_PAIR_CELLS = 4_000_000
+RUN_LINES = 4096
+_CLASSES = 64
 
 
 def _lines(column: pa.Array, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -105,21 +108,18 @@ def _segment_rows(edits: int, least: int):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b), a < b, of lines that meet as segment and substring under one token."""
+    """Rows (token, line, blocks) of tokens under which a segment and another line's substring meet."""
     for part in _runs(batches):
         token, line = part.column("token").to_numpy(), part.column("line").to_numpy()
         cuts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
         out = []
         for k in np.flatnonzero(np.diff(cuts) > 1):
             run = line[cuts[k] : cuts[k + 1]]
-            own = np.unique(run[(run & 1) == 1] & ~3)
-            probe = np.unique(run[(run & 2) == 2] & ~3)
-            for s in range(0, len(own), 1024):
-                a, b = np.repeat(own[s : s + 1024], len(probe)), np.tile(probe, len(own[s : s + 1024]))
-                out.append(np.stack((np.minimum(a, b), np.maximum(a, b)))[:, a != b])
+            distinct = np.unique(run & ~3)
+            if len(distinct) > 1 and (run & 1).any():
+                out.append((np.full(len(distinct), token[cuts[k]]), distinct, np.full(len(distinct), -(-len(distinct) // RUN_LINES))))
         if out:
-            a, b = np.unique(np.concatenate(out, 1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["token", "line", "blocks"])
 
 
 def _fetch(bits: np.ndarray, least: int):
@@ -146,6 +146,8 @@ def banded_distance(a: list[str], b: list[str], limit: int) -> np.ndarray:
     A 64-bit word holds the vertical differences of a column near the diagonal; characters outside the band count as
     different, which leaves distances up to the limit as they are.
     """
+    # an equal beginning leaves distances as they are and gives the band room
+    a, b = ["\0" * limit + x for x in a], ["\0" * limit + x for x in b]
     n = len(a)
     la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
     width = int(max(la.max(), lb.max())) + 2 * limit + 2
@@ -179,42 +181,73 @@ def banded_distance(a: list[str], b: list[str], limit: int) -> np.ndarray:
     return np.minimum(dist, limit + 1)
 
 
-def _verified(edits: int):
+def _late_of_run(texts: list[str], edits: int) -> np.ndarray:
+    """Which texts have an earlier one within so many edits."""
+    n, size = len(texts), np.array([len(x) for x in texts])
+    cp = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    at = np.concatenate(([0], np.cumsum(size)))
+    counts = np.bincount(np.repeat(np.arange(n), size) * _CLASSES + cp % _CLASSES, minlength=n * _CLASSES).reshape(-1, _CLASSES).astype(np.int32)
+    late = np.zeros(n, bool)
+    for i in range(n - 1):
+        j = np.flatnonzero(~late[i + 1 :] & (np.abs(size[i + 1 :] - size[i]) <= edits)) + i + 1
+        # an edit changes the counts of at most two characters by one each
+        j = j[np.abs(counts[j] - counts[i]).sum(1) <= 2 * edits]
+        if not len(j):
+            continue
+        # what two texts begin and end with alike needs no edits
+        a, middles = cp[at[i] : at[i + 1]], []
+        for k in j.tolist():
+            b = cp[at[k] : at[k + 1]]
+            short = min(len(a), len(b))
+            head = a[:short] != b[:short]
+            p = int(head.argmax()) if head.any() else short
+            tail = a[len(a) - short + p :][::-1] != b[len(b) - short + p :][::-1]
+            q = int(tail.argmax()) if tail.any() else short - p
+            middles.append((texts[i][p : len(a) - q], texts[k][p : len(b) - q]))
+        late[j] |= banded_distance([x for x, _ in middles], [y for _, y in middles], edits) <= edits
+    return late
+
+
+def _late(edits: int):
+    """Lines (h, g) of runs that have an earlier line within so many edits; rows come earliest first within a token."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column("va").to_pylist(), batch.column("vb").to_pylist()
-            order = sorted(range(len(a)), key=lambda i: len(a[i]))
-            s = 0
-            while s < len(order):
-                e, longest = s, 1
-                while e < len(order) and (e - s) * longest < _PAIR_CELLS // 8:
-                    longest = max(longest, len(a[order[e]]), len(b[order[e]]))
-                    e += 1
-                rows = order[s:e]
-                close = banded_distance([a[i] for i in rows], [b[i] for i in rows], edits) <= edits
-                kept = [i for i, c in zip(rows, close, strict=True) if c]
-                if kept:
-                    yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in kept]), pa.array([b[i] for i in kept])], ["va", "vb"])
-                s = e
+        for part in _runs(batches):
+            token, value = part.column("token").to_numpy(), part.column("value").to_pylist()
+            cuts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
+            found: list[np.ndarray] = []
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if e - s < 2:
+                    continue
+                found.append(np.flatnonzero(_late_of_run(value[s:e], edits)) + s)
+            rows = np.concatenate(found) if found else np.empty(0, np.int64)
+            if len(rows):
+                yield from part.take(pa.array(rows)).select(["h", "g"]).to_batches()
 
     return run
 
 
-def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Pairs (va, vb) of different lines within so many edits, each pair once; docs: text."""
+def late_lines(docs: DataFrame, first: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(h, g) of the distinct lines that have an earlier line within so many edits.
+
+    docs: text. first: (h, g, first), the hashes and the first place of every distinct line.
+    """
     if min_chars <= edits:
         raise ValueError("lines must be longer than the edits between them")
     texts = docs.select("text").where("text is not null")
     rows = texts.mapInArrow(_segment_rows(edits, min_chars), "token long, line long")
-    pairs = materialise(rows.repartition("token").sortWithinPartitions("token").mapInArrow(_meet, "a long, b long").distinct())
+    met = materialise(rows.repartition("token").sortWithinPartitions("token").mapInArrow(_meet, "token long, line long, blocks long"))
     # one byte of the filter holds eight neighbouring hash prefixes
     spot = F.shiftrightunsigned("line", 64 - FILTER_BITS)
-    used = pairs.select(F.explode(F.array("a", "b")).alias("line")).select(spot.alias("s")).groupBy((F.col("s") / 8).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1, cast(s % 8 as int)))").alias("bits")).toArrow()
+    used = met.select(spot.alias("s")).groupBy((F.col("s") / 8).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1, cast(s % 8 as int)))").alias("bits")).toArrow()
     bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     bits[used.column("at").to_numpy()] = used.column("bits").to_numpy()
-    value = materialise(texts.mapInArrow(_fetch(bits, min_chars), "line long, value string").groupBy("line").agg(F.first("value").alias("value")))
-    both = pairs.join(value.select(F.col("line").alias("a"), F.col("value").alias("va")), "a").join(value.select(F.col("line").alias("b"), F.col("value").alias("vb")), "b")
-    return both.select("va", "vb").mapInArrow(_verified(edits), "va string, vb string")
+    value = texts.mapInArrow(_fetch(bits, min_chars), "line long, value string").groupBy("line").agg(F.first("value").alias("value"))
+    named = value.select("line", "value", F.xxhash64("value").alias("h"), F.hash("value").alias("g")).join(first, ["h", "g"])
+    own = F.pmod(F.xxhash64("line"), F.col("blocks"))
+    dealt = met.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("token"), "line")
+    runs = dealt.join(named, "line").select("token", "h", "g", "first", "value").repartition("token").sortWithinPartitions("token", "first")
+    return runs.select("token", "h", "g", "value").mapInArrow(_late(edits), "h long, g int").distinct()
 
 
 def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -225,23 +258,18 @@ def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
 def dropped_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, line_no) of the lines that occur, or nearly occur, earlier."""
     seen = _occurrences(docs, min_chars)
-    first = seen.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
-    near = materialise(near_lines(docs.where("doc_id is not null"), edits, min_chars).select(F.xxhash64("va").alias("ha"), F.hash("va").alias("ga"), F.xxhash64("vb").alias("hb"), F.hash("vb").alias("gb")))
-    ends = near.select(F.col("ha").alias("h"), F.col("ga").alias("g")).union(near.select("hb", "gb")).distinct().withColumn("near", F.lit(True))
-    known = materialise(first.join(ends, ["h", "g"], "left").where("n > 1 or near"))
-    a = known.select(F.col("h").alias("ha"), F.col("g").alias("ga"), F.col("first").alias("fa"))
-    b = known.select(F.col("h").alias("hb"), F.col("g").alias("gb"), F.col("first").alias("fb"))
-    late = near.join(a, ["ha", "ga"]).join(b, ["hb", "gb"])
-    late = late.select(F.when(F.col("fa") < F.col("fb"), F.struct(F.col("hb").alias("h"), F.col("gb").alias("g"))).otherwise(F.struct(F.col("ha").alias("h"), F.col("ga").alias("g"))).alias("x")).select("x.*").distinct().withColumn("late", F.lit(True))
-    rule = known.join(late, ["h", "g"], "left").select("h", "g", "first", "late")
+    first = materialise(seen.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")))
+    late = late_lines(docs.where("doc_id is not null"), first.select("h", "g", "first"), edits, min_chars).withColumn("late", F.lit(True))
+    rule = materialise(first.join(late, ["h", "g"], "left").where("n > 1 or late").select("h", "g", "first", "late"))
     return seen.join(rule, ["h", "g"]).where(F.col("late") | (F.struct("doc_id", "line_no") != F.col("first"))).select("doc_id", "line_no")
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with text without its dropped lines, n_lines (before) and n_dropped; both are 0 for a null text."""
-    gone = dropped_lines(docs, edits, min_chars).distinct().groupBy("doc_id").agg(F.collect_list("line_no").alias("gone"))
-    out = docs.join(gone, "doc_id", "left").withColumn("lines", F.split("text", "\n"))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")), lambda i: F.get(F.col("lines"), i))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    counts = {"n_lines": F.greatest(F.coalesce(F.size("lines"), F.lit(0)), F.lit(0)), "n_dropped": F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0))}
+    docs = docs.drop("n_lines", "n_dropped")
+    gone = dropped_lines(docs, edits, min_chars).distinct().groupBy("doc_id").agg(F.collect_list("line_no").alias("_gone"))
+    out = docs.join(gone, "doc_id", "left").withColumn("_lines", F.split("text", "\n"))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")), lambda i: F.get(F.col("_lines"), i))
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    counts = {"n_lines": F.greatest(F.coalesce(F.size("_lines"), F.lit(0)), F.lit(0)), "n_dropped": F.greatest(F.coalesce(F.size("_gone"), F.lit(0)), F.lit(0))}
     return out.withColumns({**counts, "text": text}).select(*docs.columns, *counts)
