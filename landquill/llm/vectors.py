@@ -13,8 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textblocks as tb
+from .ngram_join import _runs
 from .shared import components, materialise
 
 # nearest neighbours: hash functions a table, cell width (for vectors of length 1 at most), tables, buckets probed a table
@@ -211,18 +213,32 @@ class CrossPolytope:
         return out
 
 
+_CODES = (LINK_TABLES, 1 << POLYTOPES)
+
+
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, id, home): one for each table's home bucket and each of its probes."""
+    """Adds codes, the cross-polytope codes of each vector by table and choice."""
+    known: dict[int, CrossPolytope] = {}
+    for batch in batches:
+        if batch.num_rows:
+            for rows, x in _matrices(batch.column("embedding")):
+                hashing = known.setdefault(x.shape[1], CrossPolytope(x.shape[1]))
+                values = pa.array([c.tobytes() for c in hashing.codes(x)], pa.binary())
+                part = batch.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*part.columns, values], [*part.schema.names, "codes"])
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (token, id, home, t): one for each table's home bucket and each of its probes."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids, label = batch.column("id").to_numpy(), batch.column("h").to_numpy()
-        for rows, x in _matrices(batch.column("embedding")):
-            code = CrossPolytope(x.shape[1]).codes(x)
-            for t in range(LINK_TABLES):
-                token = tb.mix(_keys(code[:, t, :, None], t, x.shape[1]) ^ label[rows].view(np.uint64)[:, None])
-                n = token.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(tb.signed(token.ravel())), pa.array(np.repeat(ids[rows], n)), pa.array(np.tile(np.arange(n) == 0, len(rows))), pa.array(np.full(n * len(rows), t, np.int8))], ["token", "id", "home", "t"])
+        ids, label, d = (batch.column(c).to_numpy() for c in ("id", "h", "d"))
+        code = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.int64).reshape(-1, *_CODES)
+        for t in range(LINK_TABLES):
+            token = tb.mix(_keys(code[:, t, :, None], t, 0) ^ tb.mix(label.view(np.uint64) + d.astype(np.uint64))[:, None])
+            n = token.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(tb.signed(token.ravel())), pa.array(np.repeat(ids, n)), pa.array(np.tile(np.arange(n) == 0, len(ids))), pa.array(np.full(n * len(ids), t, np.int8))], ["token", "id", "home", "t"])
 
 
 def _links(least: float):
@@ -231,16 +247,27 @@ def _links(least: float):
     A pair is counted only at the first place where it meets: the smallest table, and in a table the smaller code.
     """
 
-    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        group = group.sort_by("id")
-        ids, own, home, many = (group.column(c).to_numpy() for c in ("id", "own", "home", "many"))
-        t = group.column("t")[0].as_py()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _runs(batches):
+            token = part.column("token").to_numpy()
+            cuts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
+            columns = {c: part.column(c).to_numpy() for c in ("id", "own", "i", "j", "home", "many", "t", "label")}
+            code = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.int64).reshape(-1, *_CODES)
+            vectors = list(_matrices(part.column("embedding").combine_chunks()))
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                rows = [(w[(w >= s) & (w < e)] - s, x[(w >= s) & (w < e)]) for w, x in vectors] if len(vectors) > 1 else [(np.arange(e - s), vectors[0][1][s:e])]
+                out = one({c: v[s:e] for c, v in columns.items()}, code[s:e], rows)
+                if out is not None:
+                    yield out
+
+    def one(columns: dict[str, np.ndarray], code: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch | None:
+        ids, own, home, many, labels = (columns[c] for c in ("id", "own", "home", "many", "label"))
+        i, j, t = int(columns["i"][0]), int(columns["j"][0]), int(columns["t"][0])
         counts, edges = np.zeros(len(ids), np.int64), []
         root = np.arange(len(ids))
-        labels = group.column("label").to_numpy()
-        for rows, x in _matrices(group.column("embedding").combine_chunks()):
-            code = CrossPolytope(x.shape[1]).codes(x)
+        for rows, x in parts:
+            if len(rows) < 2:
+                continue
             unit = x / np.sqrt((x * x).sum(1))[:, None]
             for s in range(0, len(rows), _CHUNK):
                 a = rows[s : s + _CHUNK]
@@ -256,7 +283,7 @@ def _links(least: float):
                 for k in range(0, len(p), 100_000):
                     pp, qq = p[k : k + 100_000], q[k : k + 100_000]
                     here = home[pp] | home[qq]
-                    cp, cq = code[np.searchsorted(rows, pp)], code[np.searchsorted(rows, qq)]
+                    cp, cq = code[pp], code[qq]
                     for e in range(t):
                         here &= ~((cq[:, e] == cp[:, e, :1]).any(1) | (cp[:, e] == cq[:, e, :1]).any(1))
                     # within the table: at p's home if q comes there, and at q's if p does; the smaller code counts
@@ -288,8 +315,11 @@ def _links(least: float):
                         root = to[root]
         hit = np.flatnonzero(counts)
         edge = np.concatenate(edges, 1) if edges else np.empty((2, 0), np.int64)
-        none = pa.nulls(len(hit), pa.int64())
-        return pa.table({"src": pa.chunked_array([pa.array(ids[hit]), pa.array(edge[0])]), "dst": pa.chunked_array([none, pa.array(edge[1])]), "n": pa.chunked_array([pa.array(counts[hit]), pa.nulls(edge.shape[1], pa.int64())])})
+        if not len(hit) and not edge.shape[1]:
+            return None
+        known = np.arange(len(hit) + edge.shape[1]) < len(hit)
+        src, dst, n = np.concatenate((ids[hit], edge[0])), np.concatenate((ids[hit], edge[1])), np.concatenate((counts[hit], np.zeros(edge.shape[1], np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst, mask=known), pa.array(n, mask=~known)], ["src", "dst", "n"])
 
     return run
 
@@ -301,16 +331,17 @@ def linked_vectors(table: DataFrame, least: float = 0.98) -> DataFrame:
     nothing and is kept with a null component. Rows that share a vec_id count as one vector of that id each.
     """
     rows = usable(table.where("label is not null"), "label")
-    classes = materialise(rows.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("many")))
-    coded = classes.select("id", "embedding", F.xxhash64("label").alias("h")).mapInArrow(_coded, "token long, id long, home boolean, t byte")
+    classes = rows.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("many")).withColumns({"h": F.xxhash64("label"), "d": F.size("embedding").cast("long")})
+    classes = materialise(classes.mapInArrow(_coded, T.StructType([*classes.schema.fields, T.StructField("codes", T.BinaryType())])))
+    coded = classes.select("id", "h", "d", "codes").mapInArrow(_tokens, "token long, id long, home boolean, t byte")
     # only buckets that somebody is at home in and somebody else visits
     counted = materialise(coded)
     size = counted.groupBy("token").agg(F.count("*").alias("n"), F.bool_or("home").alias("lived")).where("n > 1 and lived").select("token", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
     met = counted.join(size, "token").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = met.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "home", "t")
-    # a bucket of one block meets itself once
-    full = dealt.join(classes.select("id", "embedding", F.xxhash64("label").alias("label"), "many"), "id")
-    out = materialise(full.groupBy("token", "i", "j").applyInArrow(_links(least), "src long, dst long, n long"))
+    i, j = F.least("own", "other"), F.greatest("own", "other")
+    dealt = met.select(F.xxhash64("token", i, j).alias("token"), i.alias("i"), j.alias("j"), "own", "id", "home", "t")
+    full = dealt.join(classes.select("id", "embedding", "codes", F.col("h").alias("label"), "many"), "id")
+    out = materialise(full.repartition("token").sortWithinPartitions("token", "id").mapInArrow(_links(least), "src long, dst long, n long"))
     links = out.where("n is not null").groupBy(F.col("src").alias("id")).agg(F.sum("n").alias("n"))
     groups = components(out.where("dst is not null").select("src", "dst"))
     member = rows.distinct().join(classes, ["label", "embedding"]).join(links, "id", "left").join(groups, "id", "left")
