@@ -11,7 +11,7 @@ are valid is worked out for arrays of pairs at once, from the merge trees of the
 
 A null text has null ids; an empty text has none. Characters without a piece become their UTF-8 bytes' pieces, or the
 unknown piece if the model has no bytes. Only models without a character map are taken. The model file is read by the
-driver; its arrays travel to the tasks. Further columns pass through.
+driver; its arrays travel to the tasks. Further columns pass through, but for those with the name of a result.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 META = 0x2581
 NORMAL, UNKNOWN, USER, UNUSED, BYTE = 1, 2, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-KEPT_WORDS = 400_000  # a task forgets its words beyond so many
-PAIR_SLOTS = 1 << 20
+KEPT_WORDS = 1_000_000  # a task forgets its words beyond so many
+PAIR_SLOTS = 1 << 22
 NEVER = np.int64(1) << 40
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -347,6 +347,7 @@ class Decoder:
 def encode_pieces(docs: DataFrame, path: str = MODEL_PATH, check: bool = True) -> DataFrame:
     """docs (text and any others) with ids, n_pieces and, if check, round_trip: whether decoding gives the text again."""
     pieces = load_pieces(path)
+    docs = docs.drop("ids", "n_pieces", "round_trip")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = Encoder(pieces), Decoder(pieces)
@@ -369,6 +370,7 @@ def encode_pieces(docs: DataFrame, path: str = MODEL_PATH, check: bool = True) -
 def decode_pieces(rows: DataFrame, path: str = MODEL_PATH) -> DataFrame:
     """rows (ids and any others) with decoded; null ids give null, ids outside the model raise an error."""
     pieces = load_pieces(path)
+    rows = rows.drop("decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(pieces)
