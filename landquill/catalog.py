@@ -2,5 +2,754 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as tx
+from .operators import boxes, diff, entities, faces, layout, raster, reconcile, sequence, spatial, traverse
+from .plans.views import view, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str = "", *views: str):
+    """Register a query under its function's name, with SQL over the named views if SQL can express it."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = with_views(sql, *views)
+        return f
+
+    return add
+
+
+def c(name: str):
+    return F.col(name)
+
+
+# snapshots
+
+_DIFF = """
+d as (select coalesce(a.o_orderkey, b.o_orderkey)::varchar as o_orderkey, coalesce(a.o_custkey, b.o_custkey)::varchar as o_custkey, a.o_orderkey is not null as in_a, b.o_orderkey is not null as in_b,
+  a.o_orderstatus as s1, b.o_orderstatus as s2, a.o_totalprice::varchar as p1, b.o_totalprice::varchar as p2
+  from v_snap_a a full join v_snap_b b on a.o_orderkey = b.o_orderkey and a.o_custkey = b.o_custkey),
+diff as (
+  select o_orderkey, o_custkey, 'only_a' as kind, '' as "column", s1 || '|' || p1 as value from d where not in_b
+  union all select o_orderkey, o_custkey, 'only_b', '', s2 || '|' || p2 from d where not in_a
+  union all select o_orderkey, o_custkey, 'changed', 'o_orderstatus', s1 || ' → ' || s2 from d where in_a and in_b and s1 <> s2
+  union all select o_orderkey, o_custkey, 'changed', 'o_totalprice', p1 || ' → ' || p2 from d where in_a and in_b and p1 <> p2)
+"""
+
+
+@query(_DIFF + "select * from diff", "v_snap_a", "v_snap_b")
+def diff_keyed(spark, sf_dir):
+    return diff.keyed_diff(view(spark, sf_dir, "v_snap_a"), view(spark, sf_dir, "v_snap_b"))
+
+
+@query(
+    """select *, 'A' as side from (select o_orderkey::varchar as o_orderkey, o_orderstatus from v_snap_a except select o_orderkey::varchar, o_orderstatus from v_snap_b)
+    union all select *, 'B' from (select o_orderkey::varchar, o_orderstatus from v_snap_b except select o_orderkey::varchar, o_orderstatus from v_snap_a)""",
+    "v_snap_a",
+    "v_snap_b",
+)
+def diff_setwise(spark, sf_dir):
+    a, b = (view(spark, sf_dir, v).select("o_orderkey", "o_orderstatus") for v in ("v_snap_a", "v_snap_b"))
+    return diff.set_diff(a, b)
+
+
+@query(_DIFF + 'select kind, "column", count(*) as n from diff group by all', "v_snap_a", "v_snap_b")
+def diff_summary(spark, sf_dir):
+    return diff.diff_summary(diff_keyed(spark, sf_dir))
+
+
+# registry exports
+
+_ROLLUP = """
+{p}_all as (select property_id, line_idx, record_type, c0, {c1} as c1, {c2} as c2 from v_records where {where}),
+{p} as (select any_value(c0) filter (record_type = '物件情報') as number, any_value(c1) filter (record_type = '物件情報') as location, (min({{'l': line_idx, 'v': c0}}) filter (record_type = '表示履歴')).v as parcel_no,
+  coalesce((max({{'l': line_idx, 'v': c1}}) filter (record_type = '表示履歴' and c1 not like '【%')).v, '') as land_use, coalesce((max({{'l': line_idx, 'v': c2}}) filter (record_type = '表示履歴')).v, '') as area,
+  list(c0 || ',' || c1 || ',' || c2 order by line_idx, c0 || ',' || c1 || ',' || c2) filter (record_type = '表示履歴') as history,
+  list([c0, c1, c2] order by line_idx) filter (record_type = '所有権') as owners
+  from {p}_all group by property_id having count(*) filter (record_type = '表示履歴') > 0),
+{p}_k as (select location || '|' || parcel_no as key, * from {p})
+"""
+_NEW = {"c1": "case when record_type = '所有権' and property_id % 5 = 0 then c1 || 'X' when record_type = '表示履歴' and property_id % 3 = 0 and c1 = 'O' then 'F' else c1 end", "c2": "case when record_type = '表示履歴' and property_id % 7 = 0 then c2 || '.50' else c2 end", "where": "property_id % 11 <> 0"}
+_OLD = {"c1": "c1", "c2": "c2", "where": "property_id % 13 <> 1"}
+
+
+def _records(spark, sf_dir, version):
+    v = {"old": _OLD, "new": _NEW, "base": {"c1": "c1", "c2": "c2", "where": "true"}}[version]
+    return view(spark, sf_dir, "v_records").where(v["where"]).select(F.lit(version).alias("file"), "line_idx", "record_type", "c0", F.expr(v["c1"]).alias("c1"), F.expr(v["c2"]).alias("c2"))
+
+
+def _properties(spark, sf_dir, version):
+    # one order is one property: files of a thousand orders are read on their own
+    lines = _records(spark, sf_dir, version).withColumn("file", F.concat("file", F.lit("-"), F.floor(c("line_idx") / 100_000).cast("string")))
+    return diff.rollup_records(lines)
+
+
+@query(_ROLLUP.format(p="r", c1="c1", c2="c2", where="true") + "select number, location, parcel_no, land_use, area, len(history) as n_history, array_to_string(list_transform(owners, lambda o: o[2] || ' / ' || o[1] || ' / ' || o[3]), '; ') as owners from r", "v_records")
+def registry_rollup(spark, sf_dir):
+    shown = F.array_join(F.transform("owners", lambda o: tx.join_nonempty(o["name"], o["address"], o["note"])), "; ")
+    return _properties(spark, sf_dir, "base").select("number", "location", "parcel_no", "land_use", "area", F.size("history").cast("long").alias("n_history"), shown.alias("owners"))
+
+
+def _keyed(spark, sf_dir, version):
+    return diff.tracked(_properties(spark, sf_dir, version))
+
+
+_REGISTRY_DIFF = (
+    _ROLLUP.format(p="o", **_OLD)
+    + ","
+    + _ROLLUP.format(p="n", **_NEW)
+    + """,
+j as (select coalesce(o_k.key, n_k.key) as key, o_k.key is not null as in_o, n_k.key is not null as in_n, o_k.land_use as u1, n_k.land_use as u2, o_k.area as a1, n_k.area as a2, o_k.history as h1, n_k.history as h2, o_k.owners as w1, n_k.owners as w2,
+  concat_ws(' / ', o_k.location, o_k.parcel_no, nullif(o_k.land_use, ''), nullif(o_k.area, '')) as t1, concat_ws(' / ', n_k.location, n_k.parcel_no, nullif(n_k.land_use, ''), nullif(n_k.area, '')) as t2 from o_k full join n_k on o_k.key = n_k.key),
+rd as (
+  select key, '追加' as kind, '物件' as item, '' as old_value, t2 as new_value from j where not in_o
+  union all select key, '削除', '物件', t1, '' from j where not in_n
+  union all select key, '変更', '地目', u1, u2 from j where in_o and in_n and u1 <> u2
+  union all select key, '変更', '地積', a1, a2 from j where in_o and in_n and case when a1 like '%.%' then rtrim(rtrim(a1, '0'), '.') else a1 end <> case when a2 like '%.%' then rtrim(rtrim(a2, '0'), '.') else a2 end
+  union all select key, '変更', '表示履歴', array_to_string(h1, chr(10)), array_to_string(h2, chr(10)) from j where in_o and in_n and list_sort(h1) <> list_sort(h2)
+  union all select key, '削除', '所有者', w1[1][2] || ' / ' || w1[1][1] || ' / ' || w1[1][3], '' from j where in_o and in_n and w1[1][2] <> w2[1][2]
+  union all select key, '追加', '所有者', '', w2[1][2] || ' / ' || w2[1][1] || ' / ' || w2[1][3] from j where in_o and in_n and w1[1][2] <> w2[1][2])
+"""
+)
+
+
+@query(_REGISTRY_DIFF + "select * from rd", "v_records")
+def registry_diff(spark, sf_dir):
+    return diff.registry_diff(_keyed(spark, sf_dir, "old"), _keyed(spark, sf_dir, "new"))
+
+
+@query(
+    _REGISTRY_DIFF + "select 'new' as old_file, 'old' as new_file, (select count(*) from n_k) as n_old, (select count(*) from o_k) as n_new, count(*) as n_diffs, count(*) filter (kind = '削除') as added, count(*) filter (kind = '追加') as deleted, count(*) filter (kind = '変更') as changed from rd",
+    "v_records",
+)
+def registry_diff_pairs(spark, sf_dir):
+    both = _properties(spark, sf_dir, "old").unionByName(_properties(spark, sf_dir, "new"))
+    return diff.registry_diff_all_pairs(both.withColumn("file", F.substring_index("file", "-", 1)))
+
+
+# texts
+
+_WIDE = f"'{tx.WIDE.replace(chr(39), chr(39) * 2)}', '{tx.NARROW.replace(chr(39), chr(39) * 2)}'"
+
+
+def _fold(x: str) -> str:
+    return f"translate({x}, {_WIDE})"
+
+
+@query(f"select id, {_fold('parcel_raw')} as parcel, {_fold('area_raw')} as area, {_fold('name_raw')} as name from v_text", "v_text")
+def text_width_fold(spark, sf_dir):
+    return view(spark, sf_dir, "v_text").select("id", tx.width_fold(c("parcel_raw")).alias("parcel"), tx.width_fold(c("area_raw")).alias("area"), tx.width_fold(c("name_raw")).alias("name"))
+
+
+_PARCEL = f"regexp_replace(replace(regexp_replace(translate({_fold('parcel_raw')}, '－ー—', '---'), '([0-9]+)-([0-9]+)', '\\1番\\2', 'g'), '番の', '番'), '番$', '')"
+
+
+@query(f"select id, {_PARCEL} as key from v_text", "v_text")
+def parcel_key(spark, sf_dir):
+    return view(spark, sf_dir, "v_text").select("id", tx.parcel_key(c("parcel_raw")).alias("key"))
+
+
+@query(f"select id, rtrim(rtrim(replace({_fold('area_raw')}, '・', '.'), '0'), '.') as area from v_text", "v_text")
+def area_norm(spark, sf_dir):
+    return view(spark, sf_dir, "v_text").select("id", tx.area(c("area_raw")).alias("area"))
+
+
+_FORM = f"replace(translate(replace(name_raw, ' ', ''), '{tx.OLD_FORMS}', '{tx.NEW_FORMS}'), 'シヨ', 'ショ')"
+
+
+@query(f"select id, {_FORM} as folded, replace(name_raw, ' ', '') <> replace(replace(replace(name_raw, ' ', ''), '髙', '高'), '澤', '沢') as variant from v_text", "v_text")
+def variant_fold(spark, sf_dir):
+    plain = F.replace(F.replace(c("name_raw"), F.lit("髙"), F.lit("高")), F.lit("澤"), F.lit("沢"))
+    return view(spark, sf_dir, "v_text").select("id", tx.old_form_fold(tx.name_key(c("name_raw"))).alias("folded"), tx.same_but_for_form(c("name_raw"), plain).alias("variant"))
+
+
+@query("select line_idx, case when trim(land_use) in ('(空)', '（空）', '(空欄)', '（空欄）', '-', '―') then '' else trim(land_use) end as land_use from v_ocr", "v_ocr")
+def empty_marker(spark, sf_dir):
+    return view(spark, sf_dir, "v_ocr").select("line_idx", tx.without_marker(c("land_use")).alias("land_use"))
+
+
+@query("select stake_id, nullif(regexp_extract(coalesce(number, ''), '^[-交既復計]?([0-9]+)\\.', 1), '') as block, coalesce(number, '') like '-%' or coalesce(number, '') like '交%' as is_intersection from v_stakes", "v_stakes")
+def block_number(spark, sf_dir):
+    return view(spark, sf_dir, "v_stakes").select("stake_id", tx.block_number(c("number")).alias("block"), tx.is_intersection(c("number")).alias("is_intersection"))
+
+
+@query(f"select id, case when regexp_full_match({_fold('parcel_raw')}, '[0-9]+([-番の]+[0-9]+)*') then array_to_string(list_transform(regexp_extract_all({_fold('parcel_raw')}, '[0-9]+'), lambda x: x::bigint), ',') end as key from v_text", "v_text")
+def natural_sort(spark, sf_dir):
+    out = view(spark, sf_dir, "v_text").select("id", tx.natural_key(c("parcel_raw")).alias("k"), "parcel_raw").orderBy(*layout.parcel_order(c("parcel_raw")), "id")
+    return out.select("id", F.array_join(F.transform("k", lambda x: x.cast("string")), ",").alias("key"))
+
+
+@query("select id, case id % 4 when 0 then '髙橋' when 1 then chr((12353 + id % 80)::int) || 'x' when 2 then '〓' else name_raw end as decoded from v_text", "v_text")
+def gaiji(spark, sf_dir):
+    coded = F.expr("case id % 4 when 0 then '<00009AD9>橋' when 1 then concat('<', lpad(hex(12353 + id % 80), 8, '0'), '>x') when 2 then '<00000000>' else name_raw end")
+    return view(spark, sf_dir, "v_text").select("id", tx.decode_codes(coded).alias("decoded"))
+
+
+_CLASS = "case when regexp_full_match({0}, '(-|交)[0-9]+\\.[0-9]+') then 'intersection_stake' when regexp_full_match({0}, '[0-9]+\\.[0-9]+') then 'stake' when regexp_full_match({0}, '[0-9]+(-[0-9]+)?') then 'parcel_number' when regexp_matches({0}, '^(県道|河川|市道|国道|水|道)-') then 'public_land' when {0} in ('宅地', '山林') then 'land_use' else 'other' end"
+
+
+@query(f"select id, {_CLASS.format('trim(cad_text)')} as category from v_text", "v_text")
+def classify_text(spark, sf_dir):
+    return view(spark, sf_dir, "v_text").select("id", tx.classify(c("cad_text"), plain=True).alias("category"))
+
+
+@query("select id, case id % 3 when 0 then name_raw when 1 then cad_text || chr(10) || 'x' else area_raw end as cleaned from v_text", "v_text")
+def mtext_clean(spark, sf_dir):
+    coded = F.when(c("id") % 3 == 0, F.concat(F.lit("{\\fMS Gothic|b0;\\H2.5;"), "name_raw", F.lit("}"))).when(c("id") % 3 == 1, F.concat("cad_text", F.lit("\\Px"))).otherwise(F.concat(F.lit("\\C3;"), "area_raw"))
+    return view(spark, sf_dir, "v_text").select("id", tx.clean_mtext(coded).alias("cleaned"))
+
+
+@query("select line_idx, c1 like '%【%' as is_old, trim(replace(replace(c1, '【', ''), '】', '')) as bare from v_records where record_type = '表示履歴'", "v_records")
+def old_marks(spark, sf_dir):
+    return view(spark, sf_dir, "v_records").where("record_type = '表示履歴'").select("line_idx", tx.is_old_value(c("c1")).alias("is_old"), tx.strip_old_marks(c("c1")).alias("bare"))
+
+
+_ADDR = f"(length({{0}}) >= 4 and regexp_matches({{0}}, '{tx.ADDRESS}'))"
+
+
+@query(f"select line_idx, {_ADDR.format('addr')} as is_address, addr <> '' and not {_ADDR.format('addr')} and length(addr) <= 30 as is_name from v_ocr", "v_ocr")
+def address_name(spark, sf_dir):
+    return view(spark, sf_dir, "v_ocr").select("line_idx", tx.looks_like_address(c("addr")).alias("is_address"), tx.looks_like_name(c("addr")).alias("is_name"))
+
+
+# scanned lines
+
+_RAW = "concat_ws(',', entry, '', parcel_no, land_use, area, addr, share, name, receipt)"
+
+
+@query(
+    f"""x as (select line_idx, string_split(case line_idx % 3 when 0 then {_RAW} when 1 then {_RAW} || ',extra' else entry || ',,' || parcel_no end, ',') as p from v_ocr),
+    y as (select line_idx, case when len(p) > 9 then list_concat(p[1:8], [array_to_string(p[9:], ',')]) else list_concat(p, list_transform(range(9 - len(p)), lambda i: '')) end as p from x)
+    select line_idx, array_to_string(list_transform(p, lambda v: case when trim(v) in ('(空)', '-', '―') then '' else trim(v) end), '|') as fields from y""",
+    "v_ocr",
+)
+def arity_repair(spark, sf_dir):
+    raw = F.concat_ws(",", "entry", F.lit(""), "parcel_no", "land_use", "area", "addr", "share", "name", "receipt")
+    line = F.when(c("line_idx") % 3 == 0, raw).when(c("line_idx") % 3 == 1, F.concat(raw, F.lit(",extra"))).otherwise(F.concat_ws(",", "entry", F.lit(""), "parcel_no"))
+    return view(spark, sf_dir, "v_ocr").select("line_idx", F.array_join(reconcile.repair_arity(line), "|").alias("fields"))
+
+
+_DATED = "(regexp_matches({0}, '(明治|大正|昭和|平成|令和)[0-9]+年') or regexp_matches({0}, '第[0-9]+号'))"
+_NAME = f"({{0}} <> '' and not {_ADDR} and length({{0}}) <= 30)"
+
+
+@query(
+    f"""r1 as (select line_idx, parcel_no, case when z then '' else addr end as addr, share, case when z then addr else name end as name from (select *, addr <> '' and share = '' and name = '' and {_NAME.format('addr')} as z from v_ocr)),
+    r2 as (select line_idx, parcel_no, addr, case when z and name = '' then '' else share end as share, case when z and name = '' then share else name end as name from (select *, {_NAME.format('share')} and share not like '持分%' and not {_DATED.format('share')} as z from r1)),
+    r3 as (select *, {_NAME.format('share')} and share not like '持分%' and not {_DATED.format('share')} as z, {_DATED.format('name')} as w, {_NAME.format('addr')} as q from r2)
+    select line_idx, case when w and not z and q then '' else addr end as addr, case when w and z then '' else share end as share, case when w and z then share when w and q then addr when w then '' else name end as name, regexp_matches(parcel_no, '^[0-9]') and parcel_no not like '%番地%' as valid from r3""",
+    "v_ocr",
+)
+def owner_drift(spark, sf_dir):
+    return reconcile.repair_owner(view(spark, sf_dir, "v_ocr")).select("line_idx", "addr", "share", "name", reconcile.valid_parcel(c("parcel_no")).alias("valid"))
+
+
+def _entries(spark, sf_dir, *markers):
+    return view(spark, sf_dir, "v_seq").where(sequence.is_numbered(c("entry")) | c("entry").isin(*markers))
+
+
+def _group(where: str) -> str:
+    return f"""s as (select * from v_seq where entry not in ('続', '続更新', '続表題') or {where}),
+    g as (select *, sum(case when entry not in ('続', '続更新', '続表題') then 1 else 0 end) over (partition by file_no order by line_idx) as g from s),
+    b as (select file_no, g, entry as number, parcel_no as bp, area as ba from g where entry not in ('続', '続更新', '続表題'))
+    """
+
+
+@query(
+    _group("entry = '続'")
+    + """, n as (select *, row_number() over (partition by file_no order by line_idx) as k from g),
+    dup as (select distinct x.line_idx from n x join n y on y.file_no = x.file_no and y.k between x.k + 1 and x.k + 9 and y.entry = '続' and y.g > x.g and y.owner_name = x.owner_name where x.entry = '続')
+    select line_idx, g.file_no, page, coalesce(number, entry) as entry, case when entry = '続' and number is not null then bp else parcel_no end as parcel_no, case when entry = '続' and number is not null then ba else area end as area, owner_name
+    from g left join b on b.file_no = g.file_no and b.g = g.g where line_idx not in (select line_idx from dup)""",
+    "v_seq",
+)
+def carry_forward(spark, sf_dir):
+    return sequence.merge_lines(_entries(spark, sf_dir, "続"))
+
+
+@query("select line_idx, row_number() over (partition by file_no, page order by line_idx) - 1 as page_row from v_seq", "v_seq")
+def page_index(spark, sf_dir):
+    return sequence.page_index(view(spark, sf_dir, "v_seq"), "file_no").select("line_idx", c("page_row").cast("long").alias("page_row"))
+
+
+@query(
+    """n as (select *, row_number() over (partition by file_no order by line_idx) as k, sum(case when regexp_full_match(entry, '[0-9]+') then 1 else 0 end) over (partition by file_no order by line_idx) as g from v_seq)
+    select line_idx, entry = '続' and exists (select 1 from n y where y.file_no = n.file_no and y.k between n.k + 1 and n.k + 9 and y.entry = '続' and y.g > n.g and y.owner_name = n.owner_name) as duplicate from n""",
+    "v_seq",
+)
+def dup_suppress(spark, sf_dir):
+    return sequence.mark_duplicates(view(spark, sf_dir, "v_seq"), "file_no").select("line_idx", "duplicate")
+
+
+@query(
+    _group("entry = '続表題'")
+    + """, t as (select g.*, number, bp, ba from g left join b on b.file_no = g.file_no and b.g = g.g where g.g > 0),
+    f as (select *, coalesce(nullif(bp, ''), first_value(nullif(case when entry = '続表題' then parcel_no end, '') ignore nulls) over w, '') as np, coalesce(nullif(ba, ''), first_value(nullif(case when entry = '続表題' then area end, '') ignore nulls) over w, '') as na,
+      case when entry = '続表題' then sum(case when entry = '続表題' then 1 else 0 end) over w end as k from t window w as (partition by file_no, g order by line_idx rows between unbounded preceding and current row)),
+    o as (select *, case when entry = '続表題' then np else parcel_no end as op, case when entry = '続表題' then na else area end as oa from f),
+    z as (select *, case when op = '' then row_number() over (partition by file_no, g, op = '' order by line_idx desc) end as r from o)
+    select z.line_idx, z.file_no, z.page, z.number as entry, coalesce(q.np, z.op) as parcel_no, coalesce(q.na, z.oa) as area, z.owner_name from z left join f q on q.file_no = z.file_no and q.g = z.g and q.k = z.r""",
+    "v_seq",
+)
+def header_fill(spark, sf_dir):
+    return sequence.merge_lines(_entries(spark, sf_dir, "続表題"))
+
+
+@query(
+    _group("entry = '続更新'")
+    + """, i as (select *, row_number() over (partition by file_no, page order by line_idx) - 1 as page_row, lead(entry, 1) over w as e1, lead(area, 1) over w as a1, lead(entry, 2) over w as e2, lead(area, 2) over w as a2 from g window w as (partition by file_no order by line_idx)),
+    v as (select * from i where entry <> '続更新' or (page_row = 0 and g > 0 and not coalesce(case when e1 not in ('続', '続更新', '') then a1 when e2 not in ('続', '続更新', '') then a2 end = area, false))),
+    u as (select file_no, g, arg_max(area, line_idx) as area from v where entry = '続更新' and area <> '' group by all)
+    select v.line_idx, v.file_no, v.page, v.entry, v.parcel_no, coalesce(u.area, v.area) as area, v.owner_name from v left join u on u.file_no = v.file_no and u.g = v.g where v.entry <> '続更新'""",
+    "v_seq",
+)
+def backpatch(spark, sf_dir):
+    return sequence.merge_lines(_entries(spark, sf_dir, "続更新"))
+
+
+@query(
+    """p as (select file_no, n, lag(n) over (partition by file_no order by n) as prev_n from v_numseq)
+    select file_no, prev_n, n as next_n, n - prev_n - 1 as n_missing, case when n - prev_n - 1 <= 5 then 'small' else 'large' end as kind, array_to_string(range(prev_n + 1, n), ',') as missing from p where prev_n > 0 and n > prev_n + 1""",
+    "v_numseq",
+)
+def number_gaps(spark, sf_dir):
+    lines = view(spark, sf_dir, "v_numseq").select("file_no", c("n").cast("string").alias("entry"), c("n").alias("line_idx"))
+    return sequence.number_gaps(lines).withColumn("missing", F.array_join(F.transform("missing", lambda x: x.cast("string")), ","))
+
+
+def _source(spark, sf_dir):
+    old = view(spark, sf_dir, "v_records").where("record_type = '表示履歴' and c1 like '【%'").groupBy("property_id").agg(F.collect_list(tx.strip_old_marks(c("c1"))).alias("old_land_uses"))
+    mine = _properties(spark, sf_dir, "base").select(c("number").alias("key"), "land_use", F.concat("area", F.lit(".5")).alias("area"), "owners")
+    return mine.join(old.select(c("property_id").cast("string").alias("key"), "old_land_uses"), "key", "left")
+
+
+def _read(spark, sf_dir):
+    rows = view(spark, sf_dir, "v_ocr")
+    return rows.select(tx.parcel_key(c("parcel_no")).alias("key"), tx.without_marker(c("land_use")).alias("land_use"), F.concat(F.expr("cast(cast(line_idx % 50 + 1 as int) as string)"), F.when(c("line_idx") % 4 == 0, "").otherwise(".5")).alias("area"), "line_idx")
+
+
+_RECONCILE = (
+    _ROLLUP.format(p="r", c1="c1", c2="c2", where="true")
+    + """,
+old as (select property_id::varchar as key, list(replace(replace(c1, '【', ''), '】', '')) as olds from v_records where record_type = '表示履歴' and c1 like '【%' group by 1),
+src as (select number as key, land_use, area || '.5' as area, olds from r left join old on old.key = r.number),
+rd as (select regexp_replace(parcel_no, '番$', '') as key, case when land_use = '(空)' then '' else land_use end as land_use, (line_idx % 50 + 1)::int::varchar || case when line_idx % 4 = 0 then '' else '.5' end as area from v_ocr),
+m as (select coalesce(src.key, rd.key) as key, src.key is not null as in_s, rd.key is not null as in_r, coalesce(src.land_use, '') as su, coalesce(rd.land_use, '') as ru, coalesce(src.area, '') as sa, coalesce(rd.area, '') as ra, olds from src full join rd on src.key = rd.key),
+rec as (select key, case when not in_s then 'read_only' when not in_r then 'source_only' else 'both' end as status,
+  case when su <> '' and ru <> '' and su <> ru then case when coalesce(list_contains(olds, ru), false) then 'corrected' else 'changed' end else '' end as land_use_change,
+  case when sa <> '' and ra <> '' and sa <> ra then case when ra not like '%.%' and (ra = split_part(sa, '.', 1) or ra = replace(sa, '.', '')) then 'corrected' else 'changed' end else '' end as area_change, su, ru, sa, ra from m)
+"""
+)
+_PICK = "case when {0} = 'changed' then {2} when {1} <> '' then {1} else {2} end"
+
+
+@query(_RECONCILE + f"select key, status, land_use_change, area_change, {_PICK.format('land_use_change', 'su', 'ru')} as land_use, {_PICK.format('area_change', 'sa', 'ra')} as area from rec", "v_records", "v_ocr")
+def reconcile_full(spark, sf_dir):
+    return reconcile.reconcile(_source(spark, sf_dir), _read(spark, sf_dir))
+
+
+@query(_RECONCILE + f"select key, land_use_change, area_change, {_PICK.format('land_use_change', 'su', 'ru')} as land_use, {_PICK.format('area_change', 'sa', 'ra')} as area from rec where status = 'both' and (land_use_change <> '' or area_change <> '')", "v_records", "v_ocr")
+def reconcile_changes(spark, sf_dir):
+    return reconcile_full(spark, sf_dir).where("status = 'both' and (land_use_change <> '' or area_change <> '')").drop("status")
+
+
+@query(_RECONCILE + "select key, status from rec where status <> 'both'", "v_records", "v_ocr")
+def reconcile_unmatched(spark, sf_dir):
+    return reconcile_full(spark, sf_dir).where("status <> 'both'").select("key", "status")
+
+
+@query(
+    """s as (select distinct id % 400 as key, replace(name_raw, ' ', '') as n from v_text), r as (select distinct id % 400 as key, replace(replace(name_raw, ' ', ''), case when id % 3 = 0 then '髙' else '澤' end, case when id % 3 = 0 then '高' else '沢' end) as n from v_text where id % 10 <> 7),
+    a as (select *, replace(replace(n, '髙', '高'), '澤', '沢') as f, row_number() over (partition by key, replace(replace(n, '髙', '高'), '澤', '沢') order by n) as k from s where not exists (select 1 from r where r.key = s.key and r.n = s.n)),
+    b as (select *, replace(replace(n, '髙', '高'), '澤', '沢') as f, row_number() over (partition by key, replace(replace(n, '髙', '高'), '澤', '沢') order by n) as k from r where not exists (select 1 from s where r.key = s.key and r.n = s.n))
+    select coalesce(a.key, b.key) as key, case when b.n is null then '消失' when a.n is null then '追加' else '異体字差異' end as kind, coalesce(a.n, '') as source_name, coalesce(b.n, '') as read_name from a full join b on a.key = b.key and a.f = b.f and a.k = b.k""",
+    "v_text",
+)
+def owner_match(spark, sf_dir):
+    bare = F.replace(c("name_raw"), F.lit(" "), F.lit(""))
+    names = view(spark, sf_dir, "v_text").select((c("id") % 400).alias("key"), bare.alias("name"), "id")
+    read = names.where("id % 10 <> 7").withColumn("name", F.when(c("id") % 3 == 0, F.replace("name", F.lit("髙"), F.lit("高"))).otherwise(F.replace("name", F.lit("澤"), F.lit("沢"))))
+    return reconcile.match_owners(names, read)
+
+
+# drawings
+
+
+def _entities(spark, sf_dir):
+    return view(spark, sf_dir, "v_entities")
+
+
+@query("select drawing_id, etype, count(*) as n from v_entities group by all", "v_entities")
+def entity_counts(spark, sf_dir):
+    return entities.entity_counts(_entities(spark, sf_dir))
+
+
+@query("select drawing_id, case when bool_or(etype in ('MTEXT', 'LWPOLYLINE')) then 'mtext' else 'text' end as format from v_entities group by 1", "v_entities")
+def format_detect(spark, sf_dir):
+    return entities.detect_format(_entities(spark, sf_dir))
+
+
+@query("r as (select drawing_id, round(radius, 2) as radius, count(*) as n, min(ord) as first from v_entities where etype = 'CIRCLE' group by 1, 2) select drawing_id, radius from (select *, row_number() over (partition by drawing_id order by n desc, first) as k from r) where k = 1", "v_entities")
+def modal_radius(spark, sf_dir):
+    return entities.modal_radius(_entities(spark, sf_dir))
+
+
+@query("select drawing_id, min(ord) as stake_id, arg_min(x1, ord) as x, arg_min(y1, ord) as y, arg_min(layer, ord) as layer from v_entities where etype = 'CIRCLE' and abs(radius - 0.25) < 0.01 group by drawing_id, round(x1, 3), round(y1, 3)", "v_entities")
+def round_dedupe(spark, sf_dir):
+    return entities.stakes(_entities(spark, sf_dir))
+
+
+@query(f"select ord, {_CLASS.format('trim(text)')} as category, text as number from v_entities where etype = 'MTEXT' and {_CLASS.format('trim(text)')} in ('stake', 'intersection_stake')", "v_entities")
+def stake_texts(spark, sf_dir):
+    return entities.stake_texts(_entities(spark, sf_dir)).select("ord", "category", "number")
+
+
+@query("select ord, case when ord % 3 = 0 then '氏名' || text else text end as owner from v_entities where etype = 'MTEXT' and layer = '53' and ord % 3 = 0", "v_entities")
+def owner_texts(spark, sf_dir):
+    named = F.when((c("layer") == "53") & (c("ord") % 3 == 0), F.concat(F.lit("氏名"), "text")).otherwise(c("text"))
+    return entities.owner_texts(_entities(spark, sf_dir).withColumn("text", named)).select("ord", "owner")
+
+
+@query(
+    "select count(*) as n_stakes, count(number) as n_named, count(*) filter (number like '-%' or number like '交%') as n_intersections, count(distinct nullif(regexp_extract(number, '^[-交]?([0-9]+)\\.', 1), '')) as n_blocks, (select count(*) from v_lines) as n_lines, (select count(*) from v_labels) as n_labels from v_stakes",
+    "v_stakes",
+    "v_lines",
+    "v_labels",
+)
+def diagnostics(spark, sf_dir):
+    return entities.diagnostics(*[view(spark, sf_dir, v) for v in ("v_stakes", "v_lines", "v_labels")])
+
+
+# joins by distance
+
+
+def _distance(a: str, ax: str, ay: str, b: str) -> str:
+    return f"sqrt(({a}.{ax} - {b}.x) * ({a}.{ax} - {b}.x) + ({a}.{ay} - {b}.y) * ({a}.{ay} - {b}.y))"
+
+
+@query(f"n as (select s.stake_id, l.number, {_distance('s', 'x', 'y', 'l')} as d, row_number() over (partition by s.stake_id order by {_distance('s', 'x', 'y', 'l')}, l.label_id) as k from v_stakes s join v_labels l on {_distance('s', 'x', 'y', 'l')} < 5) select s.stake_id, n.number as label, round(n.d, 6) as d from v_stakes s left join n on n.stake_id = s.stake_id and k = 1", "v_stakes", "v_labels")
+def nearest_label(spark, sf_dir):
+    labels = view(spark, sf_dir, "v_labels").select(c("number").alias("label"), c("x").alias("rx"), c("y").alias("ry"), "label_id")
+    return spatial.nearest_within(view(spark, sf_dir, "v_stakes"), labels, 5.0, "stake_id", "label_id", ("label",)).select("stake_id", "label", F.round("d", 6).alias("d"))
+
+
+def _edges_sql(name: str, where: str) -> str:
+    rank = lambda k, x, y: f"(select line_id, n{k} from (select line_id, {name} as n{k}, row_number() over (partition by line_id order by {_distance('l', x, y, 's')}, stake_id) as r from v_lines l join v_stakes s on {where} and {_distance('l', x, y, 's')} < 0.5) where r = 1)"
+    return f"e as (select distinct least(n1, n2) as u, greatest(n1, n2) as v from {rank(1, 'x1', 'y1')} a join {rank(2, 'x2', 'y2')} b using (line_id) where n1 <> n2)"
+
+
+_EDGES = _edges_sql("number", "s.number is not null")
+_AUX_NAME = "coalesce(number, '__' || stake_id)"
+
+
+@query(_EDGES + " select * from e", "v_stakes", "v_lines")
+def snap_edges(spark, sf_dir):
+    return spatial.edges(view(spark, sf_dir, "v_lines"), view(spark, sf_dir, "v_stakes"), "number")
+
+
+def _aux_stakes(spark, sf_dir):
+    return view(spark, sf_dir, "v_stakes").withColumn("name", F.coalesce("number", F.concat(F.lit("__"), c("stake_id").cast("string"))))
+
+
+@query(_edges_sql(_AUX_NAME, "true") + " select * from e", "v_stakes", "v_lines")
+def aux_edges(spark, sf_dir):
+    return spatial.edges(view(spark, sf_dir, "v_lines"), _aux_stakes(spark, sf_dir), "name")
+
+
+@query()
+def assign_unique(spark, sf_dir):
+    left = view(spark, sf_dir, "v_labels").select(c("label_id").alias("left_id"), "x", "y", (c("label_id") % 3).cast("string").alias("layer"))
+    right = view(spark, sf_dir, "v_stakes").select(c("stake_id").alias("right_id"), c("x").alias("rx"), c("y").alias("ry"), c("layer").alias("r_layer"))
+    return spatial.assign(left, right)
+
+
+# faces
+
+
+def _graph(spark, sf_dir):
+    stakes = view(spark, sf_dir, "v_stakes")
+    return spatial.edges(view(spark, sf_dir, "v_lines"), stakes, "number"), spatial.last_places(stakes, "number")
+
+
+_HALF = (
+    _EDGES
+    + """, p as (select number as node, arg_max(x, stake_id) as x, arg_max(y, stake_id) as y from v_stakes where number is not null group by 1),
+h as (select e.u, e.v, atan2(q.y - p.y, q.x - p.x) as a from (select u, v from e union select v, u from e) e join p on p.node = e.u join p q on q.node = e.v),
+hn as (select v as u, u as v, coalesce(lead(v) over (partition by u order by a, v), first_value(v) over (partition by u order by a, v)) as after from h),
+he as (select u || '>' || v as id, u, v, v || '>' || after as next from hn)
+"""
+)
+
+
+@query(_HALF + "select id, u, v, next from he", "v_stakes", "v_lines")
+def half_edges(spark, sf_dir):
+    return faces.half_edges(*_graph(spark, sf_dir))
+
+
+_FACES = (
+    _HALF
+    + """, w as (select id as face, id, next, u, 0 as place from he union all select w.face, he.id, he.next, he.u, w.place + 1 from w join he on he.id = w.next where he.id > w.face),
+good as (select face, max(place) + 1 as n from w group by 1 having bool_or(next = face)),
+f as (select face, n, list(u order by place) as ring, sum(x * y2 - x2 * y) / 2 as area from (select w.face, good.n, w.place, w.u, p.x, p.y, q.x as x2, q.y as y2 from w join good using (face) join p on p.node = w.u join he on he.id = w.id join p q on q.node = he.v) group by face, n having n >= 3)
+"""
+)
+
+
+@query(_FACES + "select face, n, array_to_string(ring, ',') as ring from f", "v_stakes", "v_lines")
+def faces_(spark, sf_dir):
+    return faces.faces(*_graph(spark, sf_dir)).select("face", c("n").cast("long").alias("n"), F.array_join("ring", ",").alias("ring"))
+
+
+QUERIES["faces"], ORACLE_SQL["faces"] = QUERIES.pop("faces_"), ORACLE_SQL.pop("faces_")
+
+
+@query(_FACES + "select face, round(area, 4) as area from f", "v_stakes", "v_lines")
+def face_area(spark, sf_dir):
+    return faces.faces(*_graph(spark, sf_dir)).select("face", F.round("area", 4).alias("area"))
+
+
+def _shown(rings: DataFrame) -> DataFrame:
+    return rings.select("parcel_number", F.array_join("ring", ",").alias("ring"))
+
+
+@query()
+def rings(spark, sf_dir):
+    return _shown(faces.parcel_rings(view(spark, sf_dir, "v_labels"), *_graph(spark, sf_dir)))
+
+
+@query()
+def rings_aux(spark, sf_dir):
+    labels = view(spark, sf_dir, "v_labels")
+    found = faces.parcel_rings(labels, *_graph(spark, sf_dir))
+    stakes = _aux_stakes(spark, sf_dir)
+    edges = spatial.edges(view(spark, sf_dir, "v_lines"), stakes, "name")
+    return _shown(faces.auxiliary_rings(found, labels, edges, spatial.last_places(stakes, "name")))
+
+
+@query()
+def rings_unknown(spark, sf_dir):
+    labels = view(spark, sf_dir, "v_labels").where("label_id % 2 = 0")
+    edges, nodes = _graph(spark, sf_dir)
+    found = faces.parcel_rings(labels, edges, nodes)
+    public = view(spark, sf_dir, "v_labels").where("label_id % 2 = 1").select("label_id", F.concat(F.lit("道-"), "number").alias("label"), "x", "y")
+    return _shown(faces.unknown_rings(found, edges, nodes, public))
+
+
+# intersections
+
+_FOLDED = "case when abs({0} - {1}) > pi() then 2 * pi() - abs({0} - {1}) else abs({0} - {1}) end"
+
+
+@query(_HALF + f"select x.u as node, x.v as a, y.v as b from h x join h y on x.u = y.u and x.v < y.v where abs({_FOLDED.format('x.a', 'y.a')} - pi()) < radians(20)", "v_stakes", "v_lines")
+def collinear_pairs(spark, sf_dir):
+    return traverse.collinear_pairs(*_graph(spark, sf_dir))
+
+
+_WALK = (
+    _HALF
+    + f""", wk as (select u as node, v as first, v as cur, a, [u, v] as seen, not (v like '-%' or v like '交%') as done, 0 as step from h where u like '-%' or u like '交%'
+  union all select node, first, cur, a, seen, done, step from (select wk.node, wk.first, h.v as cur, h.a, list_append(wk.seen, h.v) as seen, not (h.v like '-%' or h.v like '交%') as done, wk.step + 1 as step,
+    row_number() over (partition by wk.node, wk.first order by {_FOLDED.format('wk.a', 'h.a')}, h.v) as k from wk join h on h.u = wk.cur where not wk.done and not list_contains(wk.seen, h.v) and {_FOLDED.format('wk.a', 'h.a')} <= radians(45)) where k = 1),
+ends as (select node, first, arg_max(cur, step) as "end" from wk group by 1, 2)
+"""
+)
+
+
+@query(_WALK + "select * from ends", "v_stakes", "v_lines")
+def graph_walk(spark, sf_dir):
+    edges, nodes = _graph(spark, sf_dir)
+    starts = traverse.headings(edges, nodes).where(tx.is_intersection(c("u"))).select(c("u").alias("node"), c("v").alias("first"))
+    return traverse.walk_on(starts, edges, nodes)
+
+
+_POINTS = (
+    _WALK
+    + f""", cp as (select x.u as node, x.v as a, y.v as b from h x join h y on x.u = y.u and x.v < y.v where abs({_FOLDED.format('x.a', 'y.a')} - pi()) < radians(20) and (x.u like '-%' or x.u like '交%')),
+c1 as (select node, any_value(a) as a, any_value(b) as b from cp group by 1 having count(*) = 1),
+c2 as (select c1.node, any_value(c1.a) as a, any_value(c1.b) as b, any_value(h.v) as c from c1 join h on h.u = c1.node and h.v <> c1.a and h.v <> c1.b group by 1 having count(*) = 1),
+c3 as (select c2.node, ea."end" as a, eb."end" as b, ec."end" as c from c2 join ends ea on ea.node = c2.node and ea.first = c2.a join ends eb on eb.node = c2.node and eb.first = c2.b join ends ec on ec.node = c2.node and ec.first = c2.c),
+c4 as (select c3.*, (o.x - d.x) * (q.y - o.y) - (o.y - d.y) * (q.x - o.x) < 0 as keep from c3 join p o on o.node = c3.node join p d on d.node = c3.c join p q on q.node = c3.a),
+pts as (select node as intersection_stake, case when keep then a else b end as baseline_point1, case when a = b then '' when keep then b else a end as baseline_point2, c as extension_point1, '' as extension_point2 from c4)
+"""
+)
+
+
+@query(_POINTS + "select * from pts", "v_stakes", "v_lines")
+def intersections(spark, sf_dir):
+    return traverse.intersections(*_graph(spark, sf_dir))
+
+
+# layouts
+
+
+@query(
+    _POINTS
+    + """, b as (select *, regexp_extract(intersection_stake, '^[-交]?([0-9]+)\\.', 1) as block from pts), n as (select *, row_number() over (partition by block order by intersection_stake) - 1 as k from b),
+    s as (select block || case when k // 15 > 0 then '_' || (k // 15 + 1) else '' end as sheet, [10, 21, 32, 43, 54][((k % 15) // 3 + 1)::int] as r, (k % 15 % 3) * 18 as c, * from n)
+    select * from (select sheet, r - 5 as "row", (c + 11)::int as "col", extension_point1 as value from s union all select sheet, r + 2, (c + 2)::int, baseline_point1 from s union all select sheet, r + 2, (c + 8)::int, intersection_stake from s union all select sheet, r + 2, (c + 14)::int, baseline_point2 from s) where value <> ''""",
+    "v_stakes",
+    "v_lines",
+)
+def intersection_layout(spark, sf_dir):
+    return layout.intersection_layout(intersections(spark, sf_dir), "intersection_stake")
+
+
+@query(
+    """r as (select (label_id // 150) as ring_id, list(number order by label_id) as ring from (select label_id, label_id || '.' || number as number from v_labels) group by 1),
+    pg as (select ring_id, 'P' || ring_id % 5 as parcel_number, ring, unnest(range(0, (len(ring) + 99) // 100)) as page from r),
+    w as (select *, parcel_number || case when page > 0 then '_' || (page + 1) else '' end as wanted from pg),
+    s as (select *, case when row_number() over (partition by wanted order by ring_id, page) = 1 then wanted else wanted || '(' || row_number() over (partition by wanted order by ring_id, page) || ')' end as sheet from w),
+    cells as (select ring_id, page, sheet, unnest(range(0, len(ring[page * 100 + 1:page * 100 + 100]))) as i, ring from s)
+    select ring_id, page, sheet, (5 + i % 25)::int as "row", ([1, 4, 7, 10][(i // 25 + 1)::int])::int as "col", ring[page * 100 + i + 1] as value from cells
+    union all select ring_id, page, sheet, 3, 6, parcel_number from s
+    union all select ring_id, page, sheet, 3, 0, regexp_extract(ring[1], '^([0-9]+)\\.', 1) from s""",
+    "v_labels",
+)
+def ring_layout(spark, sf_dir):
+    # long runs of labels stand for rings, so that pages fill
+    named = view(spark, sf_dir, "v_labels").select("label_id", F.expr("label_id div 150").alias("ring_id"), F.concat(c("label_id").cast("string"), F.lit("."), "number").alias("number"))
+    long = named.groupBy("ring_id").agg(F.array_sort(F.collect_list(F.struct("label_id", "number"))).alias("p")).select("ring_id", F.concat(F.lit("P"), (c("ring_id") % 5).cast("string")).alias("parcel_number"), F.transform("p", lambda x: x["number"]).alias("ring"))
+    return layout.ring_layout(long).withColumn("page", c("page").cast("long"))
+
+
+@query("select label_id, case when k = 1 then number else number || '(' || k || ')' end as sheet from (select label_id, number, row_number() over (partition by number order by label_id) as k from (select label_id, number[1:4] as number from v_labels))", "v_labels")
+def sheet_names(spark, sf_dir):
+    names = view(spark, sf_dir, "v_labels").select("label_id", F.substring("number", 1, 4).alias("number"))
+    return layout.sheet_names(names, "number", "label_id").select("label_id", "sheet")
+
+
+# rasters
+
+_TX = "trunc((lon + 180) / 360 * pow(2, zoom))::int"
+_TY = "trunc((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * pow(2, zoom))::int"
+
+
+@query(
+    f"t as (select *, {_TX} as tx, {_TY} as ty from v_geo) select id, tx, ty, round(tx / pow(2, zoom) * 360 - 180, 6) as west, round(degrees(atan((exp(pi() * (1 - 2 * ty / pow(2, zoom))) - exp(-pi() * (1 - 2 * ty / pow(2, zoom)))) / 2)), 6) as north, round(2 * pi() * 6378137 * cos(radians(lat)) / (256 * pow(2, zoom)), 6) as width, round(2 * pi() * 6378137 / (256 * pow(2, zoom)), 6) as height from t",
+    "v_geo",
+)
+def tile_math(spark, sf_dir):
+    t = view(spark, sf_dir, "v_geo").withColumn("tx", raster.tile_x(c("lon"), c("zoom"))).withColumn("ty", raster.tile_y(c("lat"), c("zoom")))
+    return t.select("id", "tx", "ty", F.round(raster.tile_lon(c("tx"), c("zoom")), 6).alias("west"), F.round(raster.tile_lat(c("ty"), c("zoom")), 6).alias("north"), F.round(raster.pixel_width(c("lat"), c("zoom")), 6).alias("width"), F.round(raster.pixel_height(c("zoom")), 6).alias("height"))
+
+
+@query(
+    f"b as (select id, zoom, lat, lon, {_TX} as x1, {_TY} as y2, trunc((lon + 0.05 + 180) / 360 * pow(2, zoom))::int as x2, {_TY.replace('lat', '(lat + 0.04)')} as y1 from v_geo), x as (select id, y1, y2, unnest(range(x1, x2 + 1)) as tx from b) select id, tx::int as tx, unnest(range(y1, y2 + 1))::int as ty from x",
+    "v_geo",
+)
+def tile_cover(spark, sf_dir):
+    around = view(spark, sf_dir, "v_geo").select("id", "zoom", c("lat").alias("lat_min"), (c("lat") + 0.04).alias("lat_max"), c("lon").alias("lon_min"), (c("lon") + 0.05).alias("lon_max"))
+    return raster.tile_cover(around.where(~raster.too_large(c("lat_min"), c("lat_max"), c("lon_min"), c("lon_max")))).select("id", "tx", "ty")
+
+
+_RGB = "case when red = 128 and green = 0 and blue = 0 then null when red * 65536 + green * 256 + blue >= 8388608 then (red * 65536 + green * 256 + blue - 16777216) / 100.0 else (red * 65536 + green * 256 + blue) / 100.0 end"
+
+
+@query(f"select tx, ty, prio, round({_RGB}, 2) as elev from v_tiles", "v_tiles")
+def rgb_elevation(spark, sf_dir):
+    return view(spark, sf_dir, "v_tiles").select("tx", "ty", "prio", F.round(raster.rgb_elevation(c("red"), c("green"), c("blue")), 2).alias("elev"))
+
+
+@query("select r, c, coalesce(greatest(-32767, least(32767, round_even(elev * 10, 0)::bigint)), -32768)::smallint as q from v_dem", "v_dem")
+def dem_quantise(spark, sf_dir):
+    return view(spark, sf_dir, "v_dem").select("r", "c", raster.quantise(c("elev")).alias("q"))
+
+
+@query("select tx, ty, arg_min(prio, prio) as prio, arg_min(body, prio) as body from v_tiles where trim(body) <> '' group by tx, ty", "v_tiles")
+def tile_fallback(spark, sf_dir):
+    return raster.preferred_tiles(view(spark, sf_dir, "v_tiles")).select("tx", "ty", "prio", "body")
+
+
+@query(
+    """t as (select tx, ty, arg_min(body, prio) as body from v_tiles where trim(body) <> '' group by tx, ty), corner as (select min(tx) as x0, min(ty) as y0 from t),
+    g as (select tx, ty, string_split(body, ',') as v, a.i as row_, b.i as col_ from t, (select unnest(range(4)) as i) a, (select unnest(range(4)) as i) b)
+    select ((ty - y0) * 4 + row_)::int as "row", ((tx - x0) * 4 + col_)::int as "col", case when row_ = 0 then try_cast(v[(col_ + 1)::int] as double) end as elev from g, corner""",
+    "v_tiles",
+)
+def tile_mosaic(spark, sf_dir):
+    return raster.mosaic(raster.tile_pixels(raster.preferred_tiles(view(spark, sf_dir, "v_tiles")), 4), 4)
+
+
+_WIDTH, _HEIGHT = 5.0, 4.0
+_SLOPE = """
+z as (select r, c, elev, coalesce(elev, (select avg(elev) from v_dem)) as z from v_dem),
+n as (select *, lag(z) over (partition by r order by c) as cb, lead(z) over (partition by r order by c) as ca, lag(z) over (partition by c order by r) as rb, lead(z) over (partition by c order by r) as ra from z),
+gr as (select *, case when ca is not null and cb is not null then (ca - cb) / 10.0 when ca is not null then (ca - z) / 5.0 when cb is not null then (z - cb) / 5.0 else 0 end as gx, case when ra is not null and rb is not null then (ra - rb) / 8.0 when ra is not null then (ra - z) / 4.0 when rb is not null then (z - rb) / 4.0 else 0 end as gy from n),
+sl as (select r, c, case when elev is not null then degrees(atan(sqrt(gx * gx + gy * gy))) end as s from gr),
+cl as (select *, case when s >= 0 and s < 5 then 0 when s >= 5 and s < 15 then 1 when s >= 15 and s < 25 then 2 when s >= 25 and s < 35 then 3 when s >= 35 and s < 45 then 4 when s >= 45 and s < 90 then 5 else -1 end as class from sl)
+"""
+
+
+def _slope(spark, sf_dir):
+    return raster.slope(view(spark, sf_dir, "v_dem").select(c("r").alias("row"), c("c").alias("col"), "elev"), _WIDTH, _HEIGHT)
+
+
+@query(_SLOPE + 'select r as "row", c as "col", round(s, 6) as slope from sl', "v_dem")
+def slope(spark, sf_dir):
+    return _slope(spark, sf_dir).select("row", "col", F.round("slope", 6).alias("slope"))
+
+
+@query(_SLOPE + 'select r as "row", c as "col", class from cl', "v_dem")
+def slope_class(spark, sf_dir):
+    return _slope(spark, sf_dir).select("row", "col", raster.slope_class(c("slope")).alias("class"))
+
+
+_BOUNDS = (36.0, 35.9, 139.0, 139.1)
+_POLYGON = [(139.01, 35.91), (139.09, 35.92), (139.08, 35.99), (139.05, 35.95), (139.02, 35.985)]
+
+
+def _inside(x: str, y: str) -> str:
+    sides = [f"case when ({y1} > {y}) <> ({y2} > {y}) and {x} < {x2 - x1!r} * ({y} - {y1}) / {y2 - y1!r} + {x1} then 1 else 0 end" for (x1, y1), (x2, y2) in zip(_POLYGON, [*_POLYGON[1:], _POLYGON[0]], strict=True)]
+    return f"({' + '.join(sides)}) % 2 = 1"
+
+
+_ZONAL = (
+    _SLOPE
+    + f""", px as (select *, 36.0::double + r * (({_BOUNDS[1]}::double - {_BOUNDS[0]}::double) / (select max(r) from v_dem)) as lat, 139.0::double + c * (({_BOUNDS[3]}::double - {_BOUNDS[2]}::double) / (select max(c) from v_dem)) as lon from cl),
+cnt as (select class, count(*) as n from px where class >= 0 and {_inside('lon', 'lat')} group by 1),
+names as (select * from (values {", ".join(f"({i}, '{n}', '{k}')" for i, (_, _, n, k) in enumerate(raster.SLOPE_CLASSES))}) t(class, name, color)),
+zs as (select class, name, color, coalesce(n, 0) as n, round(coalesce(n, 0) * 20.0, 6) as area_m2, round(case when (select sum(n) from cnt) > 0 then coalesce(n, 0) * 100.0 / (select sum(n) from cnt) else 0 end, 6) as percent from names left join cnt using (class))
+"""
+)
+
+
+@query(_ZONAL + "select * from zs", "v_dem")
+def zonal_stats(spark, sf_dir):
+    stats = raster.zonal_stats(spark, _slope(spark, sf_dir), _POLYGON, _BOUNDS, _WIDTH * _HEIGHT)
+    return stats.withColumns({"area_m2": F.round("area_m2", 6), "percent": F.round("percent", 6)})
+
+
+@query(_ZONAL + "select round(sum(percent / 100 * (1 + class * 0.25)), 5) as coefficient from zs", "v_dem")
+def weighted_coef(spark, sf_dir):
+    return zonal_stats(spark, sf_dir).agg(F.round(F.sum(c("percent") / 100 * (1 + c("class") * 0.25)), 5).alias("coefficient"))
+
+
+# scanned pages
+
+
+@query(
+    """o as (select *, row_number() over (partition by page order by y_top, x_left, box_id) as k from v_boxes),
+    f as (select page, k, box_id, text, conf, x_left, y_top, y_top as top, 0 as row_no from o where k = 1
+      union all select o.page, o.k, o.box_id, o.text, o.conf, o.x_left, o.y_top, case when o.y_top - f.top > 15 then o.y_top else f.top end, f.row_no + case when o.y_top - f.top > 15 then 1 else 0 end from f join o on o.page = f.page and o.k = f.k + 1)
+    select page, row_no, string_agg(text, ' ' order by x_left, y_top, box_id) as text, round(avg(conf), 3) as confidence, count(*) as n_boxes from f group by page, row_no""",
+    "v_boxes",
+)
+def text_rows(spark, sf_dir):
+    return boxes.group_text_rows(view(spark, sf_dir, "v_boxes")).select("page", "row_no", "text", F.round("confidence", 3).alias("confidence"), "n_boxes")
+
+
+@query(
+    "select model, count(*) as n_runs, count(*) filter (failed) as n_errors, round(coalesce(sum(elapsed) filter (not failed), 0), 4) as total_s, round(avg(elapsed) filter (not failed), 6) as avg_s, coalesce(sum(input_tokens) filter (not failed), 0)::bigint as input_tokens, coalesce(sum(output_tokens) filter (not failed), 0)::bigint as output_tokens, round((coalesce(sum(input_tokens) filter (not failed), 0) * 2.5 + coalesce(sum(output_tokens) filter (not failed), 0) * 10.0) / 1e6, 6) as cost from v_runs group by 1",
+    "v_runs",
+)
+def engine_summary(spark, sf_dir):
+    out = boxes.engine_summary(view(spark, sf_dir, "v_runs"), 2.5, 10.0)
+    return out.withColumns({"total_s": F.round("total_s", 4), "avg_s": F.round("avg_s", 6), "cost": F.round("cost", 6)})
