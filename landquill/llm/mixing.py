@@ -7,7 +7,8 @@ are the wanted part of all tokens. The draw is a hash of doc_id, so that a run r
 
 Everything is joins and aggregates over the cells, of which there are as many as distinct (source, language, topic); the
 documents are read twice and joined with the cells once. Null source, language or topic count as a value of their own
-('unknown'). Documents without words weigh nothing and are kept with their cell's probability; a null doc_id draws as 'null'.
+('unknown'). Documents without words weigh nothing and are kept with their cell's probability; a null doc_id draws as 'null'. Columns
+of docs whose names start with mix_ are replaced.
 """
 
 from __future__ import annotations
@@ -88,6 +89,7 @@ def mix_sources(docs: DataFrame, targets: dict[str, DataFrame] | None = None, to
     docs: doc_id, text, source, lang and any others. targets: shares (value, share) by dimension, else tempered ones.
     """
     topic = topic if topic is not None else topic_of(F.col("text"))
+    docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
     known = docs.withColumns({"mix_source": F.coalesce("source", F.lit("unknown")), "mix_lang": F.coalesce("lang", F.lit("unknown")), "mix_topic": F.coalesce(topic, F.lit("unknown")), "mix_tokens": token_count(F.col("text"))})
     cells = materialise(known.groupBy(F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic")).agg(F.sum("mix_tokens").alias("tokens")))
     rates = calibrated(rake(cells, targets or tempered(cells)), keep)

@@ -7,7 +7,8 @@ to the smaller doc_id. k is the number of documents whose log weight is at least
 
 Tasks send one row per bucket, the driver gets the two models (``BUCKETS`` numbers each) and counts, never documents. Texts
 that are null or have no words have no log weight and are rejected; copies and repeated rows are weighed alike. Without any
-target document nothing can be compared and every document with words is kept. Further columns pass through.
+target document nothing can be compared and every document with words is kept. Further columns pass through, but for
+those with the name of a result, which are replaced.
 """
 
 from __future__ import annotations
@@ -124,6 +125,7 @@ def resample(docs: DataFrame, target: DataFrame, loss: float = LOSS, scale: floa
 
     docs: doc_id, text and any others. target: doc_id of documents known to be good; ``sample`` of them are used.
     """
+    docs = docs.drop("n_ngrams", "log_weight", "gumbel_key", "kept")
     ids = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
     ids = materialise(ids)
     model = fit(docs, ids)

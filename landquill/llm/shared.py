@@ -2,49 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+from landquill.operators.graph import components, materialise, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, which all executors share; one of our own only where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "landquill-checkpoints")
+__all__ = ["components", "materialise", "shared_folder", "table"]
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, component): smallest id reachable over the undirected edges (src, dst).
-
-    Each round hooks every root onto the smallest root next to it and then shortens the paths, so long chains need few
-    rounds; only the count of labels that changed reaches the driver. Ids without an edge have no row. Edges with a null
-    end and loops are ignored.
-    """
-    edges = materialise(edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
-    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    label = materialise(both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.col("src")).alias("component")))
-    for _ in range(rounds):
-        ends = edges.join(label.select(F.col("id").alias("src"), F.col("component").alias("a")), "src").join(label.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst").where("a <> b")
-        hook = ends.select(F.greatest("a", "b").alias("root"), F.least("a", "b").alias("to")).groupBy("root").agg(F.min("to").alias("to"))
-        # a label is a root's id or an id on the way to it: follow hooks and labels one step each
-        step = label.join(hook.withColumnRenamed("root", "component"), "component", "left").select("id", F.coalesce("to", "component").alias("via"), F.col("component").alias("old"))
-        up = label.select(F.col("id").alias("via"), F.col("component").alias("next"))
-        moved = materialise(step.join(up, "via", "left").select("id", F.coalesce("next", "via").alias("component"), "old"))
-        changed = moved.where("component <> old").limit(1).count()
-        label = moved.select("id", "component")
-        if not changed:
-            return label
-    raise RuntimeError(f"no fixed point after {rounds} rounds")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
