@@ -80,29 +80,36 @@ def snapshot_diff(a: dict[str, DataFrame], b: dict[str, DataFrame]) -> tuple[Dat
 def rollup_records(lines: DataFrame, file: str = "file") -> DataFrame:
     """One row per property from record-typed lines: (file, line_idx, record_type, c0..c2).
 
-    A line of type 物件情報 opens a property (c0 its number, c1 its location); lines whose type starts with 表示履歴 give parcel
-    number (the first not blank), land use and area (the last not blank that are no old values), history; lines whose type
+    A line of type 物件情報 opens a property (c0 its number, c1 its location); 所在 lines give the full location (c1); lines whose type starts with 表示履歴 give parcel
+    number (the first not blank), land use and area (the last not blank that are no old values), history, and the land uses that are; lines whose type
     starts with 所有権 or 所有者 append owners (address, name, note). Lines before the first property are dropped, as are
     properties without a parcel number.
     """
     by_line = Window.partitionBy(file).orderBy("line_idx")
     grouped = lines.withColumn("g", F.sum(F.when(F.col("record_type") == "物件情報", 1).otherwise(0)).over(by_line)).where("g > 0")
-    opens, shown, owned = F.col("record_type") == "物件情報", F.col("record_type").startswith("表示履歴"), F.col("record_type").rlike("^所有[権者]")
+    opens, shown, owned = F.col("record_type") == "物件情報", F.col("record_type").startswith("表示履歴"), F.col("record_type").rlike("^所有[権者]") & (F.concat_ws("", "c0", "c1") != "")
     filled = lambda c, test: F.when(test & (F.trim(F.col(c)) != ""), F.struct("line_idx", F.trim(F.col(c)).alias("v")))
     fresh = lambda c: filled(c, shown & ~tx.is_old_value(F.col(c)))
     out = grouped.groupBy(file, "g").agg(
         F.max(F.when(opens, F.col("c0"))).alias("number"),
-        F.coalesce(F.max(F.when(opens, tx.normalize(F.col("c1")))), F.lit("")).alias("location"),
+        F.coalesce(F.nullif(tx.normalize(F.max(filled("c1", F.col("record_type").startswith("所在")))["v"]), F.lit("")), F.max(F.when(opens, tx.normalize(F.col("c1")))), F.lit("")).alias("location"),
         F.min(filled("c0", shown))["v"].alias("parcel_no"),
         F.coalesce(F.max(fresh("c1"))["v"], F.lit("")).alias("land_use"),
         F.coalesce(F.max(fresh("c2"))["v"], F.lit("")).alias("area"),
         F.transform(F.array_sort(F.collect_list(F.when(shown, F.struct("line_idx", F.concat_ws(",", "c0", "c1", "c2").alias("v"))))), lambda x: x["v"]).alias("history"),
         F.transform(F.array_sort(F.collect_list(F.when(owned, F.struct("line_idx", F.col("c0").alias("address"), F.col("c1").alias("name"), F.col("c2").alias("note"))))), lambda x: F.struct(x["address"].alias("address"), x["name"].alias("name"), x["note"].alias("note"))).alias("owners"),
+        F.collect_list(F.when(shown & tx.is_old_value(F.col("c1")), tx.strip_old_marks(F.col("c1")))).alias("old_land_uses"),
         F.min("line_idx").alias("line_idx"),
     )
     return out.where("parcel_no is not null").drop("g")
 
 
+def by_parcel(properties: DataFrame) -> DataFrame:
+    """properties with key, the parcel number alone; of repeated keys the last file's last one stays."""
+    last = Window.partitionBy("key").orderBy(F.desc("file"), F.desc("line_idx"))
+    return properties.withColumn("key", tx.parcel_key(F.col("parcel_no"))).withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
+
+
 def tracked(properties: DataFrame, file: str = "file") -> DataFrame:
     """properties with key: location | parcel number; a repeated key gets '|#number', and of repeated keys the last one stays."""
     base = F.concat_ws("|", tx.key_text(F.col("location")), tx.parcel_key(F.col("parcel_no")))

@@ -65,7 +65,7 @@ def valid_updates(lines: DataFrame, file: str, fields: tuple[str, ...]) -> DataF
     return indexed.withColumn("valid_update", (F.col("entry") == UPDATE) & (F.col("page_row") == 0) & ~F.coalesce(repeats, F.lit(False)))
 
 
-def merge_lines(lines: DataFrame, file: str = "file_no", parcel: str = "parcel_no", updated: tuple[str, ...] = ("area",), same: tuple[str, ...] = ("owner_name",)) -> DataFrame:
+def merge_lines(lines: DataFrame, file: str = "file_no", parcel: str = "parcel_no", updated: tuple[str, ...] = ("area",), same: tuple[str, ...] = ("owner_name",), checked: bool = True) -> DataFrame:
     """The lines after merging: (all columns), with entry, parcel and updated fields filled from their entry.
 
     A group is a numbered line and the marker lines below it. A field at some line is the last update's value, else the
@@ -74,10 +74,12 @@ def merge_lines(lines: DataFrame, file: str = "file_no", parcel: str = "parcel_n
     fields of the line written just before it. Update lines go, as do completions and updates without an entry; 続 lines
     without an entry stay as they are. Groups do not pass the end of a file.
 
+    checked=False is the earlier form: no line is taken as a duplicate, and every update counts.
+
     Completions are expected to carry a parcel number, and numbers to be unique within a file.
     """
     fields = (parcel, *updated)
-    marked = valid_updates(mark_duplicates(lines, file, same), file, updated).where("not duplicate and (entry <> '続更新' or valid_update)")
+    marked = valid_updates(mark_duplicates(lines, file, same), file, updated).where("not duplicate and (entry <> '続更新' or valid_update)") if checked else lines
     numbered = is_numbered(F.col("entry"))
     g = marked.withColumn("_g", F.sum(F.when(numbered, 1).otherwise(0)).over(_lines(file))).where(f"_g > 0 or entry = '{MORE}'")
     group = Window.partitionBy(file, "_g").orderBy("line_idx")
