@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import boxes, diff, entities, faces, layout, raster, reconcile, sequence, spatial, traverse
+from .operators import boxes, diff, drawing, entities, faces, layout, raster, reconcile, sequence, spatial, traverse
 from .plans.views import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -471,6 +471,12 @@ def assign_unique(spark, sf_dir):
     return spatial.assign(left, right)
 
 
+@query()
+def drawing_stakes(spark, sf_dir):
+    """Stakes with the numbers that the whole drawing's assignment gives them."""
+    return drawing.parse_entities(_entities(spark, sf_dir)).stakes.select("stake_id", "number", "layer")
+
+
 # faces
 
 
