@@ -156,7 +156,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             readable = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False)
             name, score = np.full(n, "und", object), np.zeros(n)
             if model is not None:
-                for first, last, data, where in tb.blocks(pc.utf8_lower(text)):
+                for first, last, data, where in tb.blocks(pc.utf8_lower(text), min(tb.BLOCK_BYTES, (8 << 20) // len(model.languages))):
                     total, count = np.zeros((last - first, len(model.languages))), np.zeros(last - first, np.int64)
                     for size, bucket, valid in subwords(data):
                         at = np.concatenate(([0], np.cumsum(valid)))

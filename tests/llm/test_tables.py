@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from landquill.llm import queries, url_rules, vectors
-from landquill.llm.shared import components
+from landquill.llm.shared import components, materialise
 
 from .test_text_operators import SF, brute_components, brute_lines
 
@@ -143,26 +143,26 @@ def test_fast_hadamard():
 
 def test_pipeline_stages_against_brute_force(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(80).localCheckpoint()
+    docs = materialise(spark.read.parquet(f"{SF}/documents.parquet").limit(80))
     columns = docs.columns
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality", "line_dedup", "ngram_join", "mixing", "sentence_pieces"]
     stage = dict(corpus_pipeline.STAGES)
-    kept = stage["quality"](spark, docs, SF).localCheckpoint()
+    kept = materialise(stage["quality"](spark, docs, SF))
     assert kept.columns == columns and 0 < kept.count() <= 80
     bad = {r.doc_id for r in labels.where("quality = 0").collect()}
     good = {r.doc_id for r in labels.where("quality = 1").collect()} & {r.doc_id for r in docs.collect()}
     left = {r.doc_id for r in kept.collect()}
     assert len(good & left) >= 0.95 * len(good) and len(bad & left) <= 0.5 * len(bad & {r.doc_id for r in docs.collect()}) + 1
-    lines = stage["line_dedup"](spark, kept, SF).localCheckpoint()
+    lines = materialise(stage["line_dedup"](spark, kept, SF))
     want = brute_lines([(r.doc_id, r.text) for r in kept.collect()], 2, 24)
     before = {r.doc_id: r.text for r in kept.collect()}
     want = {i: t for i, t in want.items() if t == before[i] or any(len(x) >= 24 for x in t.split("\n"))}
     assert {r.doc_id: r.text for r in lines.collect()} == want and lines.columns == columns
-    single = stage["ngram_join"](spark, lines, SF).localCheckpoint()
+    single = materialise(stage["ngram_join"](spark, lines, SF))
     comps = brute_components([(r.doc_id, r.text) for r in lines.collect()], 5, 80)
     assert {r.doc_id for r in single.collect()} == {i for i, (_, c) in comps.items() if c == i} and single.columns == columns
-    mixed = stage["mixing"](spark, single, SF).localCheckpoint()
+    mixed = materialise(stage["mixing"](spark, single, SF))
     assert mixed.columns == columns and 0 < mixed.count() < single.count()
     coded = stage["sentence_pieces"](spark, mixed, SF).collect()
     assert len(coded) == mixed.count() and all(r.round_trip for r in coded)
