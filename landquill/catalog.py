@@ -759,3 +759,49 @@ def text_rows(spark, sf_dir):
 def engine_summary(spark, sf_dir):
     out = boxes.engine_summary(view(spark, sf_dir, "v_runs"), 2.5, 10.0)
     return out.withColumns({"total_s": F.round("total_s", 4), "avg_s": F.round("avg_s", 6), "cost": F.round("cost", 6)})
+
+
+# further compositions
+
+
+@query(
+    "select o_orderkey, 'only_a' as side from v_snap_a where o_orderkey not in (select o_orderkey from v_snap_b) union all select o_orderkey, 'only_b' from v_snap_b where o_orderkey not in (select o_orderkey from v_snap_a) union all select o_orderkey, 'both' from v_snap_a where o_orderkey in (select o_orderkey from v_snap_b)",
+    "v_snap_a",
+    "v_snap_b",
+)
+def diff_key_sets(spark, sf_dir):
+    return diff.key_sets(view(spark, sf_dir, "v_snap_a"), view(spark, sf_dir, "v_snap_b"), ["o_orderkey"])
+
+
+@query(
+    _DIFF
+    + """, x as (select c_custkey::varchar as key, c_name || '|' || c_mktsegment as v, c_name as n from customer where c_custkey % 5 <> 0), y as (select c_custkey::varchar as key, case when c_custkey % 3 = 0 then 'new' else c_name end || '|' || c_mktsegment as v, case when c_custkey % 3 = 0 then 'new' else c_name end as n from customer where c_custkey % 5 <> 1)
+    select 'orders' as "table", o_orderkey || '|' || o_custkey as key, kind, "column", value from diff
+    union all select 'customer', key, 'only_a', '', v from x where key not in (select key from y)
+    union all select 'customer', key, 'only_b', '', v from y where key not in (select key from x)
+    union all select 'customer', x.key, 'changed', 'c_name', x.n || ' → ' || y.n from x join y using (key) where x.n <> y.n""",
+    "v_snap_a",
+    "v_snap_b",
+)
+def snapshot_diff(spark, sf_dir):
+    a, b = view(spark, sf_dir, "v_snap_a"), view(spark, sf_dir, "v_snap_b")
+    people = spark.table("customer").select("c_custkey", "c_name", "c_mktsegment")
+    older = people.where("c_custkey % 5 <> 0")
+    newer = people.where("c_custkey % 5 <> 1").withColumn("c_name", F.when(c("c_custkey") % 3 == 0, "new").otherwise(c("c_name")))
+    return diff.snapshot_diff({"orders": a, "customer": older}, {"orders": b, "customer": newer})[0]
+
+
+@query()
+def merge_ocr_lines(spark, sf_dir):
+    return sequence.merge_lines(view(spark, sf_dir, "v_seq"))
+
+
+@query(
+    _RECONCILE
+    + f"""select status as item, count(*) as n from rec group by 1 union all select 'land_use_' || land_use_change, count(*) from rec where land_use_change <> '' group by 1
+    union all select 'area_' || area_change, count(*) from rec where area_change <> '' group by 1 union all select kind, count(*) from ({ORACLE_SQL["owner_match"]}) group by 1""",
+    "v_records",
+    "v_ocr",
+)
+def reconcile_breakdown(spark, sf_dir):
+    return reconcile.breakdown(reconcile_full(spark, sf_dir), owner_match(spark, sf_dir))

@@ -27,6 +27,13 @@ def diff_schema(a: DataFrame, b: DataFrame) -> dict[str, list[str]]:
     return {"common": [c for c in a.columns if c in b.columns], "only_a": [c for c in a.columns if c not in b.columns], "only_b": [c for c in b.columns if c not in a.columns]}
 
 
+def key_sets(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys with side: 'only_a', 'only_b' or 'both', by semi and anti joins."""
+    a, b = a.select(*keys).distinct(), b.select(*keys).distinct()
+    parts = ((a, b, "left_anti", "only_a"), (b, a, "left_anti", "only_b"), (a, b, "left_semi", "both"))
+    return reduce(DataFrame.unionByName, [x.join(y, keys, how).withColumn("side", F.lit(side)) for x, y, how, side in parts])
+
+
 def set_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """Distinct rows of one side only, with ``side`` 'A' or 'B'."""
     columns = diff_schema(a, b)["common"]
