@@ -3,12 +3,14 @@
 How it runs
 -----------
 1. One pass over the texts gives each document's set size, a 128-bit hash of its set and a sketch (how many n-grams fall
-   into each of 256 ranges of hash values, modulo 16), and counts of n-grams that are frequent within a task. Equal sets become one
+   into each of 256 ranges of hash values, modulo 16; for long texts more ranges), and counts of n-grams that are frequent within a task. Equal sets become one
    node, the smallest doc_id; the rest of the work is on nodes.
 2. Global order of n-grams: rare ones first (by hash), then a bounded list of the most frequent ones by count. Any total
    order gives the same links; this one keeps passages that many documents share out of the prefixes.
-3. A set of n n-grams only links with sets that share one of its first ``n - ceil(t n) + 1`` n-grams. Those are dealt out
-   by n-gram; n-grams with one document vanish, the rest meet their document's sketch and size. The sum of
+3. A set of n n-grams only links with sets that share one of its first ``n - ceil(t n) + 1`` n-grams. Since the order is
+   random but for the frequent ones, far fewer do: among the first m n-grams of either set a linked pair has none in common
+   with a probability of at most ``x ** m``, x being the largest part of the rare n-grams that may differ. The prefix is the
+   shorter of the two, m being such that this is below ``MISS`` (no more than what 64-bit hashes risk). Those n-grams are dealt out; n-grams with one document vanish, the rest meet their document's sketch and size. The sum of
    circular differences of two sketches is never above the true symmetric difference, so that pairs above the allowed one
    are dropped safely.
    What is left is a forest of candidate links, hence candidate groups.
@@ -34,12 +36,15 @@ from pyspark.sql import functions as F
 from . import textblocks as tb
 from .shared import components, materialise
 
-RANGES = 256  # of hash values, in a sketch of 4 bits each
+RANGES = 256  # of hash values, in a sketch of 4 bits each, at least
+PER_RANGE = 8  # n-grams of a range, about, in longer sketches
+MISS = 1e-12
 LEVELS = 8  # of the trie: ranges of hash values, one edge each
-BLOCK_GRAMS = 4_000_000  # n-grams of a block of a candidate group
+BLOCK_GRAMS = 2_000_000  # n-grams of a block of a candidate group
 FREQUENT = 100_000  # n-grams in the list of frequent ones, at most
 LOCAL_LEAST = 8  # documents of a task in which an n-gram counts as frequent there
 _FLUSH = 4_000_000
+_PART = 200_000
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -48,6 +53,32 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndarra
         yield (np.arange(first, last), *tb.sorted_sets(*tb.shingles(*tb.words(data, where), k)))
 
 
+def _ranges(n: int) -> int:
+    """Ranges of the sketch of n n-grams: a power of two."""
+    return max(RANGES, 1 << (n // PER_RANGE).bit_length())
+
+
+def _sketch(grams: np.ndarray) -> bytes:
+    """Counts by range, modulo 16, two to a byte: those of even ranges in the low bits."""
+    ranges = _ranges(len(grams))
+    counts = np.bincount((grams >> np.uint64(65 - ranges.bit_length())).astype(np.int64), minlength=ranges).astype(np.uint8) & 15
+    return (counts[::2] | counts[1::2] << 4).tobytes()
+
+
+def _coarse(packed: bytes, ranges: int) -> np.ndarray:
+    """Counts modulo 16 of a sketch over fewer ranges."""
+    raw = np.frombuffer(packed, np.uint8)
+    counts = np.stack((raw & 15, raw >> 4), 1).ravel()
+    return (counts.reshape(ranges, -1).sum(1, dtype=np.uint32) & 15).astype(np.int8)
+
+
+def prefix_length(n: int, rare: int, num: int, den: int) -> int:
+    """N-grams of a set of n, rare of them not frequent, by which its partners are found."""
+    exact = n - -(-num * n // den) + 1
+    part = (den - num) / num * n / rare if rare else 1.0
+    return min(exact, int(np.ceil(np.log(MISS) / np.log(part)))) if part < 1 else exact
+
+
 def _profile(k: int):
     schema = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sketch", pa.binary())])
 
@@ -63,10 +94,7 @@ def _profile(k: int):
             for rows, grams, at in _sets(batch, k):
                 size = np.diff(at)
                 mixed = tb.mix(grams)
-                cell = np.repeat(np.arange(len(size)), size) * RANGES + (grams >> np.uint64(56)).astype(np.int64)
-                sketch = (np.bincount(cell, minlength=len(size) * RANGES) & 15).astype(np.uint8).reshape(-1, RANGES)
-                sketch = sketch[:, ::2] | sketch[:, 1::2] << 4
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), ids.take(pa.array(rows)), pa.array(size), pa.array(tb.signed(tb.row_sums(mixed, at))), pa.array(tb.signed(tb.row_sums(tb.mix(mixed + np.uint64(1)), at))), pa.array([x.tobytes() for x in sketch], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), ids.take(pa.array(rows)), pa.array(size), pa.array(tb.signed(tb.row_sums(mixed, at))), pa.array(tb.signed(tb.row_sums(tb.mix(mixed + np.uint64(1)), at))), pa.array([_sketch(grams[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())], schema=schema)
                 waiting.append(grams)
                 held += len(grams)
                 if held > _FLUSH:
@@ -103,8 +131,9 @@ def _prefixes(k: int, num: int, den: int, common: np.ndarray, place: np.ndarray)
                     if n and ids[row] == ids[row] and (key not in least or ids[row] < least[key]):
                         least[key] = ids[row]
                         s, e = at[i], at[i + 1]
-                        p = n - -(-num * n // den) + 1
-                        rare = grams[s:e][~known[s:e]][:p]
+                        rare = grams[s:e][~known[s:e]]
+                        p = prefix_length(n, len(rare), num, den)
+                        rare = rare[:p]
                         if len(rare) < p:
                             late = np.flatnonzero(known[s:e]) + s
                             late = late[np.argsort(place[spot[late]], kind="stable")][: p - len(rare)]
@@ -181,18 +210,25 @@ def _candidates(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _runs(batches):
             token, ids, size = (part.column(c).to_numpy() for c in ("token", "doc_id", "n"))
-            packed = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, RANGES // 2)
+            packed = part.column("sketch").to_pylist()
             cuts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
             out = []
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 if e - s > 1:
                     forest = Forest(e - s)
-                    sketch = np.concatenate((packed[s:e] & 15, packed[s:e] >> 4), 1).view(np.int8)
+                    cached: dict[int, np.ndarray] = {}
                     for a in range(e - s - 1):
                         b = forest.apart(a)
                         b = b[(np.minimum(size[s + b], size[s + a]) * den >= num * np.maximum(size[s + b], size[s + a]))]
                         if len(b):
-                            apart = np.abs(sketch[b] - sketch[a])
+                            ranges = _ranges(int(min(size[s + a], size[s + b].min())))
+                            if ranges not in cached:
+                                fine = np.flatnonzero([2 * len(packed[s + i]) >= ranges for i in range(e - s)])
+                                table = np.zeros((e - s, ranges), np.int8)
+                                for i in fine:
+                                    table[i] = _coarse(packed[s + i], ranges)
+                                cached[ranges] = table
+                            apart = np.abs(cached[ranges][b] - cached[ranges][a])
                             apart = np.minimum(apart, 16 - apart).sum(1, dtype=np.int64)
                             forest.union(a, b[apart <= _differences(num, den, size[s + a], size[s + b])])
                     out += [(ids[s + a], ids[s + b]) for a, b in forest.links]
@@ -209,11 +245,16 @@ class Trie:
     def __init__(self, grams: np.ndarray, at: np.ndarray):
         self.size = np.diff(at)
         n = len(self.size)
-        owner = np.repeat(np.arange(n), self.size)
-        level = (grams >> np.uint64(61)).astype(np.int64)
-        self.bounds = np.concatenate(([0], np.cumsum(np.bincount(owner * LEVELS + level, minlength=n * LEVELS)))).reshape(-1)
-        label = tb.row_sums(tb.mix(grams), self.bounds).reshape(n, LEVELS)
-        count = np.diff(self.bounds).reshape(n, LEVELS)
+        count, label = np.zeros((n, LEVELS), np.int64), np.zeros((n, LEVELS), np.uint64)
+        s = 0
+        while s < n:  # a few sets at a time: blocks are large
+            e = max(s + 1, int(np.searchsorted(at, at[s] + _PART, "right")) - 1)
+            part = grams[at[s] : at[e]]
+            cell = np.repeat(np.arange(e - s) * LEVELS, self.size[s:e]) + (part >> np.uint64(61)).astype(np.int64)
+            cuts = np.concatenate(([0], np.cumsum(np.bincount(cell, minlength=(e - s) * LEVELS))))
+            count[s:e], label[s:e] = np.diff(cuts).reshape(-1, LEVELS), tb.row_sums(tb.mix(part), cuts).reshape(-1, LEVELS)
+            s = e
+        self.bounds = np.concatenate(([0], np.cumsum(count.ravel())))
         self.grams, self.parent, self.edge, self.left = grams, [], [], []
         above = np.zeros(n, np.int64)
         done = np.zeros(n, np.int64)
@@ -278,19 +319,17 @@ def _linked(num: int, den: int):
     """Links of one candidate block (or pair of blocks), as a forest."""
 
     def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("doc_id")
         ids = group.column("doc_id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        parts = group.column("grams").to_pylist()
-        sets = [np.frombuffer(parts[i], np.uint64) for i in order]
-        at = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
-        trie, forest = Trie(np.concatenate(sets), at), Forest(len(sets))
-        for a in range(len(sets) - 1):
-            wanted = np.zeros(len(sets), bool)
+        data, where = tb.string_bytes(group.column("grams").combine_chunks().cast(pa.large_binary()))
+        grams, at = data[where[0] : where[-1]].view(np.uint64), (where - where[0]) // 8
+        trie, forest = Trie(grams, at), Forest(len(ids))
+        for a in range(len(ids) - 1):
+            wanted = np.zeros(len(ids), bool)
             wanted[forest.apart(a)] = True
             if wanted.any():
-                forest.union(a, trie.walk(sets[a], wanted, num, den))
+                forest.union(a, trie.walk(grams[at[a] : at[a + 1]], wanted, num, den))
         links = np.array(forest.links, np.int64).reshape(-1, 2)
-        ids = ids[order]
         return pa.table({"src": ids[links[:, 0]], "dst": ids[links[:, 1]]})
 
     return run

@@ -54,10 +54,11 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
 
 
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a string column and the n+1 offsets of its values; nulls are empty."""
-    column = column.cast(pa.large_string())
+    """Bytes of a string (or large binary) column and the n+1 offsets of its values; nulls are empty."""
+    if not pa.types.is_large_binary(column.type):
+        column = column.cast(pa.large_string())
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null("" if pa.types.is_large_string(column.type) else b"")
     if not len(column):
         return np.empty(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()
@@ -65,12 +66,12 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)), where
 
 
-def blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, bytes, offsets into them) of runs of whole texts of about BLOCK_BYTES."""
+def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, bytes, offsets into them) of runs of whole texts of about limit bytes."""
     data, where = string_bytes(column)
     row, n = 0, len(where) - 1
     while row < n:
-        end = max(row + 1, int(np.searchsorted(where, where[row] + BLOCK_BYTES, "right")) - 1)
+        end = max(row + 1, int(np.searchsorted(where, where[row] + limit, "right")) - 1)
         yield row, end, data[where[row] : where[end]], where[row : end + 1] - where[row]
         row = end
 
