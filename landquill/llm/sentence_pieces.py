@@ -31,8 +31,9 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 META = 0x2581
 NORMAL, UNKNOWN, USER, UNUSED, BYTE = 1, 2, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-KEPT_WORDS = 1_000_000  # a task forgets its words beyond so many
-PAIR_SLOTS = 1 << 22
+KEPT_WORDS = 500_000  # a task forgets its words beyond so many
+PAIR_SLOTS = 1 << 21
+BLOCK_BYTES = 2 << 20  # larger blocks make larger groups of words
 NEVER = np.int64(1) << 40
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -67,9 +68,17 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | float | bytes]]:
         yield key >> 3, value
 
 
-def _hash(text: str) -> np.uint64:
-    cp = np.array([ord(c) for c in text], np.uint64)
-    return tb.range_hashes(tb.mix(cp + _SALT), np.array([0]), np.array([len(cp)]))[0]
+def _hash(text: str) -> int:
+    """Polynomial hash of the characters, the first with the lowest power."""
+    out = 0
+    for v in tb.mix(np.array([ord(c) for c in text], np.uint64) + _SALT).tolist()[::-1]:
+        out = (v + tb._BASE * out) & ((1 << 64) - 1)
+    return out
+
+
+def _first_bits(key: np.ndarray) -> np.ndarray:
+    """20 bits of a hash, to tell quickly that a substring is no piece."""
+    return (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
 
 
 @dataclass
@@ -90,12 +99,15 @@ class Pieces:
 
     def __post_init__(self) -> None:
         usable = np.flatnonzero(np.isin(self.types, (NORMAL, USER)))
+        self.longest = max(len(self.text[i]) for i in usable)
+        if self.kind == BPE:
+            self._trees(usable)
+            usable = usable[self.left_n[usable] > 0]
         keys = np.array([_hash(self.text[i]) for i in usable], np.uint64)
         order = np.argsort(keys)
         self.keys, self.key_ids = keys[order], usable[order]
-        self.seen = np.zeros(1 << 20, bool)  # by the first 20 bits of a key: most substrings are no piece
-        self.seen[(self.keys >> np.uint64(44)).astype(np.int64)] = True
-        self.longest = max(len(self.text[i]) for i in usable)
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[_first_bits(self.keys)] = True
         of_byte = np.flatnonzero(self.types == BYTE)
         self.byte_ids = None
         if len(of_byte) == 256:
@@ -103,8 +115,6 @@ class Pieces:
             self.byte_ids[[int(self.text[i][3:5], 16) for i in of_byte]] = of_byte
         self.unknown = int(np.flatnonzero(self.types == UNKNOWN)[0])
         self.out = [bytes([int(t[3:5], 16)]) if k == BYTE else b"" if k not in (NORMAL, USER, UNUSED) else t.replace(chr(META), " ").encode() for t, k in zip(self.text, self.types, strict=True)]
-        if self.kind == BPE:
-            self._trees(usable)
 
     def _trees(self, usable: np.ndarray) -> None:
         """Merge ranks, mergeable pairs, and each piece's symbols along its left and right border, innermost last."""
@@ -196,7 +206,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.word: dict[int, int] = {}  # number of a word, by hash
-        self.at, self.flat, self.n_words, self.n_ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.int64), 0, 0
+        self.at, self.flat, self.n_words, self.n_ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.int32), 0, 0
 
     def _learn(self, flat: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Numbers of new words with these ids."""
@@ -234,36 +244,40 @@ class Encoder:
         start = np.zeros((length + 1, n), np.int64)
         for end in range(1, length + 1):
             hashed = np.zeros(n, np.uint64)
-            found = []
+            found = []  # (words, pieces) by size
             for size in range(1, min(p.longest, end) + 1):
                 hashed = value[end - size] + base * hashed
-                key = tb.mix(hashed + np.uint64(size))
-                piece = np.full(n, -1, np.int64)
-                maybe = np.flatnonzero(p.seen[(key >> np.uint64(44)).astype(np.int64)])
-                if len(maybe):
-                    at = np.minimum(np.searchsorted(p.keys, key[maybe]), len(p.keys) - 1)
-                    piece[maybe] = np.where(p.keys[at] == key[maybe], p.key_ids[at], -1)
-                found.append(piece)
-            # a symbol without a piece is -1 - code point
-            found[0] = np.where(found[0] < 0, -1 - chars[:, end - 1].astype(np.int64), found[0])
+                maybe = np.flatnonzero(p.seen[_first_bits(hashed)])
+                key = hashed[maybe]
+                at = np.minimum(np.searchsorted(p.keys, key), len(p.keys) - 1)
+                real = p.keys[at] == key
+                found.append((maybe[real], p.key_ids[at[real]]))
+            words, piece = found[0]
+            if len(words) < n:
+                # a symbol without a piece is -1 - code point
+                every = -1 - chars[:, end - 1].astype(np.int64)
+                every[words] = piece
+                found[0] = (np.arange(n), every)
             open_ = np.ones(n, bool)
             for size in range(len(found), 0, -1):
-                s, piece = end - size, found[size - 1]
-                here = np.flatnonzero(open_ & ((piece >= 0) | (size == 1)) & (best[s] > -np.inf))
-                if not len(here):
+                s = end - size
+                words, piece = found[size - 1]
+                fine = open_[words] & (best[s][words] > -np.inf)
+                words, piece = words[fine], piece[fine]
+                if not len(words):
                     continue
                 if p.kind == BPE:
-                    here = here[(piece[here] < 0) | (p.left_n[np.maximum(piece[here], 0)] > 0)]
-                    if s and len(here):
-                        here = here[self._valid(last[s][here], piece[here])]
-                    best[end][here] = 0
-                    open_[here] = False
+                    if s:
+                        fine = self._valid(last[s][words], piece)
+                        words, piece = words[fine], piece[fine]
+                    best[end][words] = 0
+                    open_[words] = False
                 else:
-                    total = best[s][here] + np.where(piece[here] >= 0, p.score[np.maximum(piece[here], 0)], p.score.min() - 10)
-                    better = total > best[end][here]
-                    here = here[better]
-                    best[end][here] = total[better]
-                last[end][here], start[end][here] = piece[here], s
+                    total = best[s][words] + np.where(piece >= 0, p.score[np.maximum(piece, 0)], p.score.min() - 10)
+                    better = total > best[end][words]
+                    words, piece = words[better], piece[better]
+                    best[end][words] = total[better]
+                last[end][words], start[end][words] = piece, s
         steps, end = [], np.full(n, length)
         every = np.arange(n)
         while (end > 0).any():
@@ -283,6 +297,10 @@ class Encoder:
             keep[1:] = (flat[1:] != p.unknown) | (flat[:-1] != p.unknown)
             keep[at[:-1]] = True
             return flat[keep], tb.row_sums(keep.astype(np.int64), at)
+        plain = (flat < 0) & (flat >= -128)
+        flat[plain] = p.byte_ids[-1 - flat[plain]]
+        if (flat >= 0).all():
+            return flat, count
         parts = [[t] if t >= 0 else p.byte_ids[list(chr(-1 - t).encode())].tolist() for t in flat.tolist()]
         return np.array([t for x in parts for t in x], np.int64), tb.row_sums(np.array([len(x) for x in parts]), at)
 
@@ -353,7 +371,7 @@ def encode_pieces(docs: DataFrame, path: str = MODEL_PATH, check: bool = True) -
         encoder, decoder = Encoder(pieces), Decoder(pieces)
         for batch in batches:
             text = batch.column("text").cast(pa.large_string())
-            for first, last, data, where in tb.blocks(text):
+            for first, last, data, where in tb.blocks(text, BLOCK_BYTES):
                 ids, at = encoder.encode(data, where)
                 part, null = batch.slice(first, last - first), text.slice(first, last - first).is_null()
                 values = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)), mask=null)
