@@ -13,10 +13,12 @@ of docs whose names start with mix_ are replaced.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, shared_folder
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Exponents that temper the present shares into targets: 1 keeps them, 0 makes them equal.
@@ -44,6 +46,13 @@ def tempered(cells: DataFrame, temper: dict[str, float] | None = None) -> dict[s
     return out
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, read again."""
+    path = f"{shared_folder(df.sparkSession)}/mixing-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """cells (source, lang, topic, tokens) with weight: raked in turn to each dimension's target shares.
 
@@ -56,7 +65,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
             now = out.groupBy(d).agg(F.sum("weight").alias("now")).join(goal[d].withColumnRenamed("value", d), d, "left")
             scale = now.select(d, F.when(F.col("now") > 0, F.coalesce("share", F.lit(0.0)) / F.col("now")).otherwise(0.0).alias("scale"))
             out = out.join(scale, d).withColumn("weight", F.col("weight") * F.col("scale")).drop("scale")
-        out = materialise(out)  # each step reads its input twice: cut here, or plans double
+        # each step reads its input twice, so plans double: a written table also drops what the optimizer has inferred so far
+        out = _stored(out)
     return out
 
 
