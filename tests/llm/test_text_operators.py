@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from landquill.llm import language_id, license_scan, line_dedup, mixing, ngram_join, quality, sentence_pieces
+from landquill.llm import language_id, license_scan, license_texts, line_dedup, mixing, ngram_join, quality, sentence_pieces
 from landquill.llm import textblocks as tb
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -340,6 +340,37 @@ def test_license_scan(spark, edges):
     assert license_scan.scan_licenses(edges.limit(0)).collect() == []
 
 
+def test_license_scan_finds_whole_texts_and_tells_licenses_apart(spark):
+    whole = {p.stem: p.read_text().replace("{", "").replace("}", "") for p in license_texts.FOLDER.glob("*.txt")}
+    rng = random.Random(3)
+    said = {f"{prose(rng, 40)} {text} {prose(rng, 40)}": {name} for name, text in whole.items()}
+    said |= {
+        "Released under the BSD License": {"BSD"},
+        "Licensed under CC BY 4.0": {"CC-BY-4.0"},
+        "Licensed under CC BY-SA 4.0": {"CC-BY-SA-4.0"},
+        "Licensed under CC BY-NC-SA 4.0.": {"CC-BY-NC-SA-4.0"},
+        "This work is licensed under the Mozilla Public License, version 2.0.": {"MPL-2.0"},
+        "This work is licensed under the GNU Lesser General Public License, version 3.": {"LGPL-3.0"},
+        "This work is licensed under the GNU General Public License, version 2.": {"GPL-2.0"},
+        "SPDX-License-Identifier: MIT OR Apache-2.0": {"MIT", "Apache-2.0"},
+        "Released under the MIT License. Licensed under the Apache License, Version 2.0.": {"MIT", "Apache-2.0"},
+        "Released under the house License": set(),
+    }
+    texts = list(said)
+    rows = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = defaultdict(set)
+    for r in rows:
+        got[r.doc_id].add(r.license)
+    assert {t[:60]: got[i] for i, t in enumerate(texts)} == {t[:60]: said[t] for t in texts}
+    # nothing is lost where texts are long and words repeat
+    common = license_scan._common([i % 7 for i in range(300)], [i % 5 for i in range(200)], 0, 0)
+    best = [[0] * 201 for _ in range(301)]
+    for i in range(300):
+        for j in range(200):
+            best[i + 1][j + 1] = best[i][j] + 1 if i % 7 == j % 5 else max(best[i][j + 1], best[i + 1][j])
+    assert len(common) == best[300][200]
+
+
 def test_patience_alignment_is_a_common_subsequence():
     rng = random.Random(8)
     for _ in range(200):
