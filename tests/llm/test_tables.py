@@ -171,6 +171,13 @@ def test_pipeline_stages_against_brute_force(spark):
         assert f(spark, empty, SF).collect() == [], name
 
 
+def test_line_dedup_stage_keeps_documents_with_short_lines_left(spark):
+    shared = ["A header that many documents have.", "A footer that many documents have."]
+    rows = [(1, "\n".join(shared)), (2, "\n".join([shared[0], "roses are red", "violets", shared[1]])), (3, "\n".join([shared[0], " ", "", shared[1]])), (4, None), (5, ""), (6, "short")]
+    out = corpus_pipeline.line_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert {r.doc_id: r.text for r in out} == {1: rows[0][1], 2: "roses are red\nviolets", 4: None, 5: "", 6: "short"}
+
+
 def test_mixing_query_equals_its_sql(spark):
     got = sorted(tuple(r) for r in queries.op1_source_mixing(spark, SF).collect())
     con = duckdb.connect()
