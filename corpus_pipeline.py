@@ -1,7 +1,8 @@
 """From raw documents to token ids: the stages of a training corpus, each written as Parquet and read again by the next.
 
 1. quality: documents that importance resampling rejects go.
-2. line_dedup: lines that occur earlier, or nearly do, go; a document that lost lines and has only blank ones left goes
+2. line_dedup: lines that occur earlier, or nearly do, go, those of fewer than 24 characters if they are in ``SHORT_LINE_DOCS``
+   documents or more; a document that lost lines and has only blank ones left goes
    with them.
 3. ngram_join: of documents linked by five-word shingles with a similarity of 0.8 or more, the one with the smallest id stays.
 4. mixing: documents are sampled by calibrated probabilities, so that the rest meets target shares of tokens.
@@ -27,8 +28,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.resample(docs, good).where("kept").select(*docs.columns)
 
 
+#: Short lines that few documents share (headings, one-word lines) stay.
+SHORT_LINE_DOCS = 5
+
+
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(docs).where((F.col("n_dropped") == 0) | F.col("text").rlike("\\S"))
+    out = line_dedup.dedup_lines(docs, exact_chars=line_dedup.EXACT_CHARS, exact_docs=SHORT_LINE_DOCS).where((F.col("n_dropped") == 0) | F.col("text").rlike("\\S"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

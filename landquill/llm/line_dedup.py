@@ -2,7 +2,9 @@
 
 A line of at least ``min_chars`` characters goes when it occurs earlier, word for word, or when a line within ``edits`` edits
 (insert, delete, substitute a character) occurs earlier; "earlier" compares (doc_id, line number) of first occurrences.
-Shorter lines (headings, braces, blank lines) always stay.
+A shorter line has too few characters for near matches: it goes only when it occurs earlier, word for word, holds at least
+``exact_chars`` characters between blanks (as many as ``min_chars`` unless given) and occurs in ``exact_docs`` documents or
+more. Still shorter ones (braces, blank lines) always stay.
 
 1. Candidate lines: each distinct line is split into ``edits + 1`` segments. Two lines within that many edits share a segment
    at nearly the same place, so that the hashes of a line's segments meet the hashes of the few substrings that a line of
@@ -32,7 +34,7 @@ from . import textblocks as tb
 from .ngram_join import _runs
 from .shared import materialise
 
-MIN_CHARS, EDITS = 24, 2
+MIN_CHARS, EDITS, EXACT_CHARS = 24, 2, 4
 FILTER_BITS = 26
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 RUN_LINES = 4096
@@ -250,24 +252,37 @@ def late_lines(docs: DataFrame, first: DataFrame, edits: int = EDITS, min_chars:
     return runs.select("token", "h", "g", "value").mapInArrow(_late(edits), "h long, g int").distinct()
 
 
-def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
+def _occurrences(docs: DataFrame, min_chars: int, exact_chars: int) -> DataFrame:
+    """(doc_id, line_no, h, g, short) of the lines that are compared."""
     lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.where(F.length("line") >= min_chars).select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
+    short = F.length("line") < min_chars
+    kept = lines.where(~short | (F.length(F.trim("line", F.lit(" \t\r"))) >= exact_chars)) if exact_chars < min_chars else lines.where(~short)
+    return kept.select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), short.alias("short"))
 
 
-def dropped_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def _first_places(seen: DataFrame, exact_docs: int) -> DataFrame:
+    """(h, g, first, n) of the distinct lines; of short ones, those in at least so many documents."""
+    place, n = F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")
+    if exact_docs <= 1:
+        return seen.groupBy("h", "g").agg(place, n)
+    by_doc = seen.where("short").groupBy("h", "g", "doc_id").agg(F.min("line_no").alias("line_no"), n)
+    many = by_doc.groupBy("h", "g").agg(place, F.sum("n").alias("n"), F.count("*").alias("n_docs")).where(F.col("n_docs") >= exact_docs)
+    return seen.where("not short").groupBy("h", "g").agg(place, n).union(many.drop("n_docs"))
+
+
+def dropped_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None, exact_docs: int = 1) -> DataFrame:
     """(doc_id, line_no) of the lines that occur, or nearly occur, earlier."""
-    seen = _occurrences(docs, min_chars)
-    first = materialise(seen.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")))
+    seen = _occurrences(docs, min_chars, min_chars if exact_chars is None else exact_chars)
+    first = materialise(_first_places(seen, exact_docs))
     late = late_lines(docs.where("doc_id is not null"), first.select("h", "g", "first"), edits, min_chars).withColumn("late", F.lit(True))
     rule = materialise(first.join(late, ["h", "g"], "left").where("n > 1 or late").select("h", "g", "first", "late"))
     return seen.join(rule, ["h", "g"]).where(F.col("late") | (F.struct("doc_id", "line_no") != F.col("first"))).select("doc_id", "line_no")
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None, exact_docs: int = 1) -> DataFrame:
     """docs with text without its dropped lines, n_lines (before) and n_dropped; both are 0 for a null text."""
     docs = docs.drop("n_lines", "n_dropped")
-    gone = dropped_lines(docs, edits, min_chars).distinct().groupBy("doc_id").agg(F.collect_list("line_no").alias("_gone"))
+    gone = dropped_lines(docs, edits, min_chars, exact_chars, exact_docs).distinct().groupBy("doc_id").agg(F.collect_list("line_no").alias("_gone"))
     out = docs.join(gone, "doc_id", "left").withColumn("_lines", F.split("text", "\n"))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")), lambda i: F.get(F.col("_lines"), i))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import mixing, quality
 from .language_id import identify
 from .license_scan import scan_licenses
-from .line_dedup import dedup_lines
+from .line_dedup import EXACT_CHARS, dedup_lines
 from .ngram_join import ngram_components
 from .sentence_pieces import encode_pieces
 from .shared import table
@@ -44,7 +44,7 @@ def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), exact_chars=EXACT_CHARS)
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

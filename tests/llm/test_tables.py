@@ -178,6 +178,18 @@ def test_line_dedup_stage_keeps_documents_with_short_lines_left(spark):
     assert {r.doc_id: r.text for r in out} == {1: rows[0][1], 2: "roses are red\nviolets", 4: None, 5: "", 6: "short"}
 
 
+def test_short_repeated_lines_go(spark, tmp_path):
+    own = [f"A line of its own, number {i} of these, {'abcdefgh'[i] * 9}." for i in range(8)]
+    rows = [(i, "\n".join([own[i], "All rights reserved.", "}", "", "  \t  ", "end", "in two" if i < 2 else "x"])) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    left = lambda i, short: "\n".join([own[i], *short, "}", "", "  \t  ", "end"])
+    got = {r.doc_id: r.text for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: left(i, ["All rights reserved."] if i == 0 else []) + ("\nin two" if i == 0 else "" if i == 1 else "\nx") for i in range(8)}
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, docs, SF).collect()}
+    assert got == {i: left(i, ["All rights reserved."] if i == 0 else []) + ("\nin two" if i < 2 else "\nx") for i in range(8)}
+
+
 def test_mixing_query_equals_its_sql(spark):
     got = sorted(tuple(r) for r in queries.op1_source_mixing(spark, SF).collect())
     con = duckdb.connect()
