@@ -2,9 +2,9 @@
 
 A URL becomes a set of tokens (host parts, path parts with digits folded, names of query parameters). FP-growth counts the
 token combinations of labelled URLs; a combination becomes a rule when enough URLs to be blocked hold it (support, and a least
-count), they are enough of all that hold it (confidence) and no smaller combination inside it does as well. The rules that are left are few (``max_rules``
-bounds them, best first), and are matched by an inverted index from tokens to rules that travels as a literal, so that
-judging a page is a projection: no shuffle, no Python.
+count), they are enough of all that hold it (confidence) and no smaller combination inside it does as well. All such rules
+count. Up to ``max_rules`` of them are matched by an inverted index from tokens to rules that travels as a literal, so that
+judging a page is a projection: no shuffle, no Python; more are joined with the pages' tokens by their rarest token.
 
 Null URLs and URLs without ``://`` have an empty host and path, fit no rule and are allowed. Repeated rows are judged alike;
 further columns are ignored. Without labels, or with labels of one kind, no rule is mined.
@@ -13,11 +13,14 @@ further columns are ignored. Without labels, or with labels of one kind, no rule
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialise
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCKED = "=blocked"
 
@@ -52,23 +55,42 @@ def listed_rule(host: Column, path: Column, rules: tuple = LISTED) -> tuple[Colu
     return text, verdict
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.5, min_count: int = 20, max_rules: int = 500) -> list[tuple[list[str], float, float]]:
-    """(tokens, confidence, support) of the rules for blocking, best first; labelled: url, blocked (boolean)."""
+def minimal_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.5, min_count: int = 20) -> DataFrame:
+    """(tokens, confidence, support, rarest) of the rules for blocking; labelled: url, blocked (boolean).
+
+    No smaller combination inside a rule is as sure. rarest is the rule's token that the fewest labelled URLs hold.
+    """
     baskets = labelled.where("blocked is not null").select(F.when(F.col("blocked"), F.array_append(url_tokens(F.col("url")), F.lit(BLOCKED))).otherwise(url_tokens(F.col("url"))).alias("items")).where("size(items) > 0")
     total = baskets.count()
     if not total:
-        return []
+        return labelled.sparkSession.createDataFrame([], "tokens array<string>, confidence double, support double, rarest string")
     sets = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).freqItemsets
     keyed = sets.select(F.array_sort(F.array_remove("items", BLOCKED)).alias("tokens"), F.array_contains("items", BLOCKED).alias("with"), "freq")
     rated = keyed.groupBy("tokens").agg(F.max(F.when(F.col("with"), F.col("freq"))).alias("hits"), F.max(F.when(~F.col("with"), F.col("freq"))).alias("all"))
-    rules = rated.where((F.size("tokens") > 0) & (F.col("hits") >= min_count)).select("tokens", (F.col("hits") / F.col("all")).alias("confidence"), (F.col("hits") / F.lit(total)).alias("support")).where(F.col("confidence") >= min_confidence)
-    best = rules.orderBy(F.desc("confidence"), F.desc("support"), F.size("tokens"), "tokens").limit(max_rules).collect()
-    kept: list[tuple[list[str], float, float]] = []
-    for r in best:
-        # a smaller combination that is as sure says it already
-        if not any(set(t) <= set(r["tokens"]) and c >= r["confidence"] for t, c, _ in kept):
-            kept.append((list(r["tokens"]), float(r["confidence"]), float(r["support"])))
-    return kept
+    rated = rated.where((F.size("tokens") > 0) & (F.col("hits") >= min_count)).withColumn("n", F.size("tokens"))
+    rated = materialise(rated.select("tokens", "n", "all", (F.col("hits") / F.col("all")).alias("confidence"), (F.col("hits") / F.lit(total)).alias("support")))
+    # every part of a set is a set of the table too: the surest part of each, size by size
+    level = rated.where("n = 1").select("tokens", "confidence", F.lit(None).cast("double").alias("below"))
+    levels = [level]
+    for n in range(2, (rated.agg(F.max("n")).first()[0] or 0) + 1):
+        parts = rated.where(F.col("n") == n).select("tokens", "confidence", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.filter("tokens", lambda _, j: j != i))).alias("part"))
+        surest = level.select(F.col("tokens").alias("part"), F.greatest("confidence", "below").alias("sure"))
+        level = materialise(parts.join(surest, "part").groupBy("tokens", "confidence").agg(F.max("sure").alias("below")))
+        levels.append(level)
+    kept = reduce(DataFrame.union, levels).where((F.col("confidence") >= min_confidence) & (F.col("below").isNull() | (F.col("below") < F.col("confidence")))).select("tokens")
+    single = rated.where("n = 1").select(F.col("tokens")[0].alias("token"), "all")
+    rules = kept.join(rated.select("tokens", "confidence", "support"), "tokens")
+    rarest = rules.select("tokens", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens").agg(F.min_by("token", F.struct("all", "token")).alias("rarest"))
+    return materialise(rules.join(rarest, "tokens"))
+
+
+def _best_first(rules: DataFrame) -> DataFrame:
+    return rules.orderBy(F.desc("confidence"), F.desc("support"), F.size("tokens"), "tokens")
+
+
+def mine_rules(labelled: DataFrame, **mining) -> list[tuple[list[str], float, float]]:
+    """(tokens, confidence, support) of all minimal rules, best first."""
+    return [(list(r["tokens"]), float(r["confidence"]), float(r["support"])) for r in _best_first(minimal_rules(labelled, **mining)).collect()]
 
 
 def matched_rule(tokens: Column, rules: list[tuple[list[str], float, float]]) -> Column:
@@ -86,15 +108,33 @@ def matched_rule(tokens: Column, rules: list[tuple[list[str], float, float]]) ->
     return F.array_min(whole)
 
 
-def judge_urls(pages: DataFrame, labelled: DataFrame, listed: tuple = LISTED, **mining) -> DataFrame:
+def _joined_rule(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """pages (with _tokens) and mined_rule, confidence: as by matched_rule, by joins with the table of rules."""
+    placed = materialise(_best_first(rules).select("tokens", "confidence", "rarest").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
+    before, offset = 0, F.lit(0)
+    for r in placed.groupBy("part").agg(F.min("at").alias("least"), F.count("*").alias("n")).orderBy("part").collect():
+        offset = F.when(F.col("part") == r["part"], F.lit(before - r["least"])).otherwise(offset)
+        before += r["n"]
+    numbered = placed.select("tokens", "confidence", "rarest", (F.col("at") + offset).cast("int").alias("mined_rule"))
+    asked = pages.select("_tokens").distinct().withColumn("rarest", F.explode("_tokens"))
+    held = asked.join(numbered, "rarest").where(F.size(F.array_except("tokens", "_tokens")) == 0)
+    first = held.groupBy("_tokens").agg(F.min(F.struct("mined_rule", "confidence")).alias("r")).select("_tokens", "r.*")
+    return pages.join(first, "_tokens", "left")
+
+
+def judge_urls(pages: DataFrame, labelled: DataFrame, listed: tuple = LISTED, max_rules: int = 500, **mining) -> DataFrame:
     """page_id, host, path, rule, verdict, and the mined rule's number and confidence, for every row of pages (page_id, url)."""
-    rules = mine_rules(labelled, **mining)
+    table = minimal_rules(labelled, **mining)
     url = F.col("url")
     rule, verdict = listed_rule(F.col("host"), F.col("path"), listed)
-    number = matched_rule(url_tokens(url), rules)
-    sure = F.get(F.array(*[F.lit(c) for _, c, _ in rules]), F.col("mined_rule")) if rules else F.lit(None).cast("double")
-    out = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), number.alias("mined_rule"))
-    return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow")).alias("verdict"), "mined_rule", sure.alias("confidence"))
+    if table.limit(max_rules + 1).count() > max_rules:
+        out = _joined_rule(pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), url_tokens(url).alias("_tokens")), table)
+    else:
+        rules = [(list(r["tokens"]), float(r["confidence"]), float(r["support"])) for r in _best_first(table).collect()]
+        number = matched_rule(url_tokens(url), rules)
+        sure = F.get(F.array(*[F.lit(c) for _, c, _ in rules]), F.col("mined_rule")) if rules else F.lit(None).cast("double")
+        out = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), number.alias("mined_rule")).withColumn("confidence", sure)
+    return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow")).alias("verdict"), "mined_rule", "confidence")
 
 
 def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:

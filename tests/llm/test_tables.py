@@ -59,6 +59,22 @@ def test_url_rules_and_mined_rules(spark):
     assert url_rules.judge_urls(asked.limit(0), none).collect() == []
 
 
+def test_all_minimal_rules_count(spark):
+    rows = []
+    for host in "abcdefghijkl":
+        rows += [(f"http://{host}site.{host}tld/{host}x/{host}y/{host}z?{host}q={i}", True) for i in range(30)]
+    rows += [(f"http://n{i}.org/promo/{i}", i % 10 < 7) for i in range(60)]
+    rows += [(f"http://n{i}.org/news/{i}", False) for i in range(100)]
+    labelled = spark.createDataFrame(rows, "url string, blocked boolean")
+    rules = url_rules.mine_rules(labelled)
+    singles = {f"{tag}{host}{end}" for host in "abcdefghijkl" for tag, end in ((".", "site"), (".", "tld"), ("/", "x"), ("/", "y"), ("/", "z"), ("?", "q"))}
+    assert sorted(t for t, c, _ in rules) == sorted([[x] for x in singles] + [["/promo"]]) and rules[-1][:2] == (["/promo"], 0.7)
+    pages = spark.createDataFrame([(1, "http://z.org/promo/5"), (2, "http://z.org/news/5"), (3, "http://lsite.com/"), (3, "http://lsite.com/"), (4, None), (None, "http://z.org/bx/ay")], "page_id long, url string")
+    got = sorted(map(str, url_rules.judge_urls(pages, labelled).collect()))
+    assert [r.verdict for r in url_rules.judge_urls(pages.where("page_id = 1"), labelled).collect()] == ["block"]
+    assert sorted(map(str, url_rules.judge_urls(pages, labelled, max_rules=10).collect())) == got and len(got) == 6
+
+
 VECTORS = "vec_id long, embedding array<float>, label int"
 
 
