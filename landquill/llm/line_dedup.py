@@ -1,7 +1,8 @@
 """Line dedup across documents: a segment-partition edit join finds repeated and nearly repeated lines.
 
 A line of at least ``min_chars`` characters goes when it occurs earlier, word for word, or when a line within ``edits`` edits
-(insert, delete, substitute a character) occurs earlier; "earlier" compares (doc_id, line number) of first occurrences.
+(insert, delete, substitute a character) occurs earlier; "earlier" compares (doc_id, hash of the text, line number) of first
+occurrences.
 A shorter line has too few characters for near matches: it goes only when it occurs earlier, word for word, holds at least
 ``exact_chars`` characters between blanks (as many as ``min_chars`` unless given) and occurs in ``exact_docs`` documents or
 more. Still shorter ones (braces, blank lines) always stay.
@@ -17,8 +18,9 @@ more. Still shorter ones (braces, blank lines) always stay.
    Segments with more than ``RUN_LINES`` lines are cut into blocks, and pairs of blocks meet.
 3. Repeats are counted with native hashes of 96 bits; the dropped line numbers of a document join its text once.
 
-Rows with a null doc_id or text pass unchanged and are compared with nothing; rows that share a doc_id count as one document.
-An empty text stays. Further columns pass through, but for those with the name of a result.
+Rows with a null doc_id or text pass unchanged and are compared with nothing. Rows that share doc_id and text are one document (all of
+them keep or lose the same lines); different texts under one doc_id are documents of their own. An empty text stays. Further
+columns pass through, but for those with the name of a result or beginning with _ld_.
 """
 
 from __future__ import annotations
@@ -37,7 +39,8 @@ from .shared import materialise
 MIN_CHARS, EDITS, EXACT_CHARS = 24, 2, 4
 FILTER_BITS = 26
 _SALT = np.uint64(0xD6E8FEB86659FD93)
-RUN_LINES = 4096
+RUN_LINES = 4096  # lines of a segment that meet in one task
+RUN_ROWS = 1_000_000  # rows of a segment that a task holds at once
 _CLASSES = 64
 
 
@@ -110,18 +113,51 @@ def _segment_rows(edits: int, least: int):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, line, blocks) of tokens under which a segment and another line's substring meet."""
-    for part in _runs(batches):
+    """Rows (token, line, block, blocks) of tokens under which a segment and another line's substring meet; rows come by token, line.
+
+    A run too long for memory comes in parts: its rows have no blocks yet, and a row without a line tells them at its end.
+    """
+    open_: tuple[int, int, int] | None = None  # token of such a run, lines so far, last line
+
+    def rows(token: np.ndarray, line: np.ndarray, block: np.ndarray, blocks: np.ndarray | None) -> pa.RecordBatch:
+        held = pa.nulls(len(token), pa.int64()) if blocks is None else pa.array(blocks)
+        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(line), pa.array(block), held], ["token", "line", "block", "blocks"])
+
+    def closed(run: tuple[int, int, int]) -> pa.RecordBatch:
+        none = pa.nulls(1, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([run[0]], pa.int64()), none, none, pa.array([-(-run[1] // RUN_LINES)], pa.int64())], ["token", "line", "block", "blocks"])
+
+    for part in _runs(batches, RUN_ROWS):
         token, line = part.column("token").to_numpy(), part.column("line").to_numpy()
+        if open_ is not None and open_[0] != token[0]:
+            yield closed(open_)
+            open_ = None
+        if open_ is not None or (len(token) > RUN_ROWS and token[0] == token[-1]):
+            before, last = (open_[1], open_[2]) if open_ is not None else (0, None)
+            distinct = np.unique(line[token == token[0]] & ~3)
+            if last is not None and len(distinct) and distinct[0] == last:
+                distinct = distinct[1:]
+            if len(distinct):
+                open_ = (int(token[0]), before + len(distinct), int(distinct[-1]))
+                yield rows(np.full(len(distinct), token[0]), distinct, (before + np.arange(len(distinct))) // RUN_LINES, None)
+            rest = token != token[0]
+            if not rest.any():
+                continue
+            if open_ is not None:
+                yield closed(open_)
+                open_ = None
+            token, line = token[rest], line[rest]
         cuts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
         out = []
         for k in np.flatnonzero(np.diff(cuts) > 1):
             run = line[cuts[k] : cuts[k + 1]]
             distinct = np.unique(run & ~3)
             if len(distinct) > 1 and (run & 1).any():
-                out.append((np.full(len(distinct), token[cuts[k]]), distinct, np.full(len(distinct), -(-len(distinct) // RUN_LINES))))
+                out.append((np.full(len(distinct), token[cuts[k]]), distinct, np.arange(len(distinct)) // RUN_LINES, np.full(len(distinct), -(-len(distinct) // RUN_LINES))))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["token", "line", "blocks"])
+            yield rows(*(np.concatenate(x) for x in zip(*out, strict=True)))
+    if open_ is not None:
+        yield closed(open_)
 
 
 def _fetch(bits: np.ndarray, least: int):
@@ -238,53 +274,57 @@ def late_lines(docs: DataFrame, first: DataFrame, edits: int = EDITS, min_chars:
         raise ValueError("lines must be longer than the edits between them")
     texts = docs.select("text").where("text is not null")
     rows = texts.mapInArrow(_segment_rows(edits, min_chars), "token long, line long")
-    met = materialise(rows.repartition("token").sortWithinPartitions("token").mapInArrow(_meet, "token long, line long, blocks long"))
+    runs = materialise(rows.repartition("token").sortWithinPartitions("token", "line").mapInArrow(_meet, "token long, line long, block long, blocks long"))
+    long = runs.where("line is null").select("token", "blocks")
+    met = runs.where("line is not null and blocks is not null").unionByName(runs.where("line is not null and blocks is null").drop("blocks").join(long, "token"))
     # one byte of the filter holds eight neighbouring hash prefixes
     spot = F.shiftrightunsigned("line", 64 - FILTER_BITS)
-    used = met.select(spot.alias("s")).groupBy((F.col("s") / 8).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1, cast(s % 8 as int)))").alias("bits")).toArrow()
+    used = runs.where("line is not null").select(spot.alias("s")).groupBy((F.col("s") / 8).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1, cast(s % 8 as int)))").alias("bits")).toArrow()
     bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     bits[used.column("at").to_numpy()] = used.column("bits").to_numpy()
     value = texts.mapInArrow(_fetch(bits, min_chars), "line long, value string").groupBy("line").agg(F.first("value").alias("value"))
     named = value.select("line", "value", F.xxhash64("value").alias("h"), F.hash("value").alias("g")).join(first, ["h", "g"])
-    own = F.pmod(F.xxhash64("line"), F.col("blocks"))
-    dealt = met.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("token"), "line")
-    runs = dealt.join(named, "line").select("token", "h", "g", "first", "value").repartition("token").sortWithinPartitions("token", "first")
-    return runs.select("token", "h", "g", "value").mapInArrow(_late(edits), "h long, g int").distinct()
+    dealt = met.withColumnRenamed("block", "own").withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("token"), "line")
+    texts_of = dealt.join(named, "line").select("token", "h", "g", "first", "value").repartition("token").sortWithinPartitions("token", "first")
+    return texts_of.select("token", "h", "g", "value").mapInArrow(_late(edits), "h long, g int").distinct()
 
 
 def _occurrences(docs: DataFrame, min_chars: int, exact_chars: int) -> DataFrame:
-    """(doc_id, line_no, h, g, short) of the lines that are compared."""
-    lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """(doc_id, key, line_no, h, g, short) of the lines that are compared; key tells texts of the same doc_id apart."""
+    lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     short = F.length("line") < min_chars
     kept = lines.where(~short | (F.length(F.trim("line", F.lit(" \t\r"))) >= exact_chars)) if exact_chars < min_chars else lines.where(~short)
-    return kept.select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), short.alias("short"))
+    return kept.select("doc_id", "key", "line_no", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), short.alias("short"))
+
+
+_PLACE = ("doc_id", "key", "line_no")
 
 
 def _first_places(seen: DataFrame, exact_docs: int) -> DataFrame:
     """(h, g, first, n) of the distinct lines; of short ones, those in at least so many documents."""
-    place, n = F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")
+    place, n = F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("n")
     if exact_docs <= 1:
         return seen.groupBy("h", "g").agg(place, n)
-    by_doc = seen.where("short").groupBy("h", "g", "doc_id").agg(F.min("line_no").alias("line_no"), n)
+    by_doc = seen.where("short").groupBy("h", "g", "doc_id", "key").agg(F.min("line_no").alias("line_no"), n)
     many = by_doc.groupBy("h", "g").agg(place, F.sum("n").alias("n"), F.count("*").alias("n_docs")).where(F.col("n_docs") >= exact_docs)
     return seen.where("not short").groupBy("h", "g").agg(place, n).union(many.drop("n_docs"))
 
 
 def dropped_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None, exact_docs: int = 1) -> DataFrame:
-    """(doc_id, line_no) of the lines that occur, or nearly occur, earlier."""
+    """(doc_id, key, line_no) of the lines that occur, or nearly occur, earlier; key is xxhash64 of the document's text."""
     seen = _occurrences(docs, min_chars, min_chars if exact_chars is None else exact_chars)
     first = materialise(_first_places(seen, exact_docs))
     late = late_lines(docs.where("doc_id is not null"), first.select("h", "g", "first"), edits, min_chars).withColumn("late", F.lit(True))
     rule = materialise(first.join(late, ["h", "g"], "left").where("n > 1 or late").select("h", "g", "first", "late"))
-    return seen.join(rule, ["h", "g"]).where(F.col("late") | (F.struct("doc_id", "line_no") != F.col("first"))).select("doc_id", "line_no")
+    return seen.join(rule, ["h", "g"]).where(F.col("late") | (F.struct(*_PLACE) != F.col("first"))).select(*_PLACE)
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None, exact_docs: int = 1) -> DataFrame:
     """docs with text without its dropped lines, n_lines (before) and n_dropped; both are 0 for a null text."""
-    docs = docs.drop("n_lines", "n_dropped")
-    gone = dropped_lines(docs, edits, min_chars, exact_chars, exact_docs).distinct().groupBy("doc_id").agg(F.collect_list("line_no").alias("_gone"))
-    out = docs.join(gone, "doc_id", "left").withColumn("_lines", F.split("text", "\n"))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")), lambda i: F.get(F.col("_lines"), i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    counts = {"n_lines": F.greatest(F.coalesce(F.size("_lines"), F.lit(0)), F.lit(0)), "n_dropped": F.greatest(F.coalesce(F.size("_gone"), F.lit(0)), F.lit(0))}
+    docs = docs.drop("n_lines", "n_dropped", "_ld_key", "_ld_gone", "_ld_lines")
+    gone = dropped_lines(docs, edits, min_chars, exact_chars, exact_docs).distinct().groupBy("doc_id", F.col("key").alias("_ld_key")).agg(F.collect_list("line_no").alias("_ld_gone"))
+    out = docs.withColumn("_ld_key", F.xxhash64("text")).join(gone, ["doc_id", "_ld_key"], "left").withColumn("_ld_lines", F.split("text", "\n"))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_ld_lines") - 1), F.col("_ld_gone")), lambda i: F.get(F.col("_ld_lines"), i))
+    text = F.when(F.col("_ld_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    counts = {"n_lines": F.greatest(F.coalesce(F.size("_ld_lines"), F.lit(0)), F.lit(0)), "n_dropped": F.greatest(F.coalesce(F.size("_ld_gone"), F.lit(0)), F.lit(0))}
     return out.withColumns({**counts, "text": text}).select(*docs.columns, *counts)

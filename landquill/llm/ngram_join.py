@@ -2,26 +2,26 @@
 
 How it runs
 -----------
-1. One pass over the texts gives each document's set size, a 128-bit hash of its set and a sketch (how many n-grams fall
-   into each of 256 ranges of hash values, modulo 16; for long texts more ranges), and counts of n-grams that are frequent within a task. Equal sets become one
-   node, the smallest doc_id; the rest of the work is on nodes.
-2. Global order of n-grams: rare ones first (by hash), then a bounded list of the most frequent ones by count. Any total
-   order gives the same links; this one keeps passages that many documents share out of the prefixes.
-3. A set of n n-grams only links with sets that share one of its first ``n - ceil(t n) + 1`` n-grams. Since the order is
-   random but for the frequent ones, far fewer do: among the first m n-grams of either set a linked pair has none in common
-   with a probability of at most ``x ** m``, x being the largest part of the rare n-grams that may differ. The prefix is the
-   shorter of the two, m being such that this is below ``MISS`` (no more than what 64-bit hashes risk). Those n-grams are dealt out; n-grams with one document vanish, the rest meet their document's sketch and size. The sum of
-   circular differences of two sketches is never above the true symmetric difference, so that pairs above the allowed one
-   are dropped safely.
-   What is left is a forest of candidate links, hence candidate groups.
-4. Each candidate group's sets travel once. In a task they are stored in a path-compressed trie (an edge holds the
-   n-grams of one range), and each set walks down it with the overlap so far; subtrees whose overlap plus what can remain
-   is too small are pruned. Groups with many n-grams are cut into blocks, and pairs of blocks are joined, so that no task
-   holds an unbounded group. Members that are already connected are not compared again.
+1. One pass over the texts gives each row's set size, a 128-bit hash of its set and a sketch (how many n-grams fall into each
+   of 256 ranges of hash values, modulo 16; for long texts more ranges), and counts of n-grams that are frequent within a task.
+   Equal sets become one node with an id of its own; the rest of the work is on nodes.
+2. Global order of n-grams: rare ones by hash, then a bounded list of the most frequent ones, rarer first. An order key of 64
+   bits holds it. Any total order gives the same links; this one keeps passages that many documents share at the end.
+3. Two linked sets of n and n' n-grams have their first common n-gram (in the global order) within the first
+   ``n - ceil(t n) + 1`` of either. All of these are dealt out with their place and size; what meets nobody whose size fits,
+   or whose n-grams from that place on are too few, goes. The rest meet their sketches: the sum of the circular
+   differences of two sketches is never above the true symmetric difference, so that pairs above the allowed one are dropped
+   safely. This is done twice: with the first few n-grams (``first_part``), which join nearly all of what belongs together, and
+   then with all of them, where only n-grams that different groups share are left. N-grams with more than ``RUN_ROWS`` nodes
+   are cut into blocks, and pairs of blocks meet. The result is a set of candidate groups that hold every link.
+4. Each candidate group's sets travel once. In a task they are stored in a path-compressed trie in the global order (an edge
+   holds the n-grams of one range of order keys), and each set walks down it with the overlap so far; subtrees whose overlap plus
+   what can remain is too small are pruned. Groups with many n-grams are cut into blocks, and pairs of blocks are joined, so that
+   no task holds an unbounded group. Members that are already connected are not compared again.
 
 Inputs: any documents table with doc_id and text; other columns are ignored. Null or empty texts, and texts of white
-space only, have an empty set and link with nothing. Rows that share a doc_id count as one document. A null doc_id never
-becomes a component's name.
+space only, have an empty set and link with nothing. Each row is judged by its own text, also where rows share a doc_id. A null
+doc_id never becomes a component's name.
 """
 
 from __future__ import annotations
@@ -38,13 +38,16 @@ from .shared import components, materialise
 
 RANGES = 256  # of hash values, in a sketch of 4 bits each, at least
 PER_RANGE = 8  # n-grams of a range, about, in longer sketches
-MISS = 1e-12
-LEVELS = 8  # of the trie: ranges of hash values, one edge each
+LEVEL_BITS = 4
+LEVELS = 1 << LEVEL_BITS  # of the trie: ranges of order keys, one edge each
 BLOCK_GRAMS = 2_000_000  # n-grams of a block of a candidate group
+RUN_ROWS = 4096  # nodes of an n-gram that meet in one task
+NEAR_ROWS = 32  # so many neighbours of a run are tested for sizes and places; in longer runs every row stays
 FREQUENT = 100_000  # n-grams in the list of frequent ones, at most
 LOCAL_LEAST = 8  # documents of a task in which an n-gram counts as frequent there
 _FLUSH = 4_000_000
 _PART = 200_000
+_HALF = np.uint64(1 << 63)
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -72,29 +75,34 @@ def _coarse(packed: bytes, ranges: int) -> np.ndarray:
     return (counts.reshape(ranges, -1).sum(1, dtype=np.uint32) & 15).astype(np.int8)
 
 
-def prefix_length(n: int, rare: int, num: int, den: int) -> int:
-    """N-grams of a set of n, rare of them not frequent, by which its partners are found."""
-    exact = n - -(-num * n // den) + 1
-    part = (den - num) / num * n / rare if rare else 1.0
-    return min(exact, int(np.ceil(np.log(MISS) / np.log(part)))) if part < 1 else exact
+def prefix_length(n: int, num: int, den: int) -> int:
+    """N-grams of a set of n among which its first common one with any linked set is."""
+    return n - -(-num * n // den) + 1
 
 
-def _profile(k: int):
-    schema = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sketch", pa.binary())])
+def first_part(num: int, den: int) -> int:
+    """N-grams of a set that are tried first: hardly any linked pair has none of them in common. What they miss, the rest finds."""
+    return int(np.ceil(-9 / np.log10((den - num) / den))) if num < den else 1
+
+
+def _hashes(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set."""
+    mixed = tb.mix(grams)
+    return tb.signed(tb.row_sums(mixed, at)), tb.signed(tb.row_sums(tb.mix(mixed + np.uint64(1)), at))
 
-    def counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        values, counts = np.unique(np.concatenate(parts), return_counts=True)
-        return values[counts >= LOCAL_LEAST], counts[counts >= LOCAL_LEAST]
+
+def _profile(k: int):
+    names = ["token", "doc_id", "text_key", "n", "h1", "h2", "sketch"]
+    schema = pa.schema([*((c, pa.int64()) for c in names[:-1]), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[np.ndarray] = []
         held = 0
         for batch in batches:
-            ids = batch.column("doc_id")
             for rows, grams, at in _sets(batch, k):
-                size = np.diff(at)
-                mixed = tb.mix(grams)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), ids.take(pa.array(rows)), pa.array(size), pa.array(tb.signed(tb.row_sums(mixed, at))), pa.array(tb.signed(tb.row_sums(tb.mix(mixed + np.uint64(1)), at))), pa.array([_sketch(grams[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())], schema=schema)
+                own = batch.take(pa.array(rows)).select(["doc_id", "text_key"])
+                sketches = pa.array([_sketch(grams[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), *own.columns, pa.array(np.diff(at)), *map(pa.array, _hashes(grams, at)), sketches], schema=schema)
                 waiting.append(grams)
                 held += len(grams)
                 if held > _FLUSH:
@@ -104,51 +112,70 @@ def _profile(k: int):
             yield from frequent(waiting)
 
     def frequent(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        values, counts = counted(parts)
+        values, counts = np.unique(np.concatenate(parts), return_counts=True)
+        values, counts = values[counts >= LOCAL_LEAST], counts[counts >= LOCAL_LEAST]
         if len(values):
             none = pa.nulls(len(values), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(tb.signed(values)), none, pa.array(counts), none, none, pa.nulls(len(values), pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(tb.signed(values)), none, none, pa.array(counts), none, none, pa.nulls(len(values), pa.binary())], schema=schema)
 
-    return run, "token long, doc_id long, n long, h1 long, h2 long, sketch binary"
+    return run, "token long, doc_id long, text_key long, n long, h1 long, h2 long, sketch binary"
 
 
-def _prefixes(k: int, num: int, den: int, common: np.ndarray, place: np.ndarray):
-    """Rows (token, doc_id) of the sets' first n-grams; common: sorted frequent n-grams, place: their rank by count."""
+class Order:
+    """The global order of n-grams as keys of 64 bits: rare ones by hash in the lower half, frequent ones by rank in the upper."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[tuple[int, int], int] = {}
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for rows, grams, at in _sets(batch, k):
-                size = np.diff(at)
-                sums = tb.row_sums(tb.mix(grams), at)
-                tokens, owners = [], []
-                spot = np.searchsorted(common, grams) if len(common) else np.zeros(len(grams), np.int64)
-                known = (common[np.minimum(spot, len(common) - 1)] == grams) if len(common) else np.zeros(len(grams), bool)
-                for i, row in enumerate(rows):
-                    n, key = int(size[i]), (int(sums[i]), int(size[i]))
-                    # of equal sets, those that may be the smallest id go on
-                    if n and ids[row] == ids[row] and (key not in least or ids[row] < least[key]):
-                        least[key] = ids[row]
-                        s, e = at[i], at[i + 1]
-                        rare = grams[s:e][~known[s:e]]
-                        p = prefix_length(n, len(rare), num, den)
-                        rare = rare[:p]
-                        if len(rare) < p:
-                            late = np.flatnonzero(known[s:e]) + s
-                            late = late[np.argsort(place[spot[late]], kind="stable")][: p - len(rare)]
-                            rare = np.concatenate((rare, grams[late]))
-                        tokens.append(rare)
-                        owners.append(np.full(len(rare), ids[row], np.int64))
-                if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(tb.signed(np.concatenate(tokens))), pa.array(np.concatenate(owners))], ["token", "doc_id"])
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
+        place = np.empty(len(tokens), np.uint64)
+        place[np.lexsort((tokens, counts))] = np.arange(len(tokens))
+        by_token = np.argsort(tokens)
+        self.tokens = tokens[by_token]
+        self.keys = _HALF + place[by_token] * np.uint64((1 << 63) // max(1, len(tokens)))
+
+    def sorted_keys(self, grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Order keys of sets of ascending hashes, ascending in each set."""
+        keys = grams >> np.uint64(1)
+        if not len(self.tokens) or not len(grams):
+            return keys
+        spot = np.minimum(np.searchsorted(self.tokens, grams), len(self.tokens) - 1)
+        known = self.tokens[spot] == grams
+        keys[known] = self.keys[spot[known]]
+        for i in np.unique(np.searchsorted(at, np.flatnonzero(known), "right") - 1).tolist():
+            keys[at[i] : at[i + 1]].sort()
+        return keys
 
-    return run
 
+def _prefixes(k: int, num: int, den: int, order: Order):
+    """Rows (token, node, n, place) of the sets' first n-grams; node: a hash of the set."""
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of whole runs of equal tokens, from batches in token order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for _, grams, at in _sets(batch, k):
+                size, node, keys = np.diff(at), _hashes(grams, at)[0], order.sorted_keys(grams, at)
+                fresh = []
+                for i in np.flatnonzero(size).tolist():
+                    key = int(node[i])
+                    if key not in seen:
+                        seen.add(key)
+                        fresh.append(i)
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                if not fresh:
+                    continue
+                rows = np.array(fresh)
+                held = np.array([prefix_length(int(n), num, den) for n in size[rows]])
+                total = np.concatenate(([0], np.cumsum(held)))
+                place = np.arange(total[-1]) - np.repeat(total[:-1], held)
+                token = keys[np.repeat(at[rows], held) + place]
+                yield pa.RecordBatch.from_arrays([pa.array(tb.signed(token)), pa.array(np.repeat(node[rows], held)), pa.array(np.repeat(size[rows], held).astype(np.int32)), pa.array(place.astype(np.int32))], ["token", "node", "n", "place"])
+
+    return run, "token long, node long, n int, place int"
+
+
+def _runs(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.Table]:
+    """Tables of whole runs of equal tokens, from batches in token order; a run of over most rows comes in parts."""
     rest: list[pa.RecordBatch] = []
+    held = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -156,31 +183,64 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         last = int(np.searchsorted(token, token[-1]))
         if last:
             yield pa.Table.from_batches([*rest, batch.slice(0, last)])
-            rest = []
-        elif rest and rest[-1].column("token")[0].as_py() != token[-1]:
+            rest, held = [], 0
+        elif rest and (rest[-1].column("token")[0].as_py() != token[-1] or (most and held > most)):
             yield pa.Table.from_batches(rest)
-            rest = []
+            rest, held = [], 0
         rest.append(batch.slice(last))
+        held += batch.num_rows - last
     if rest:
         yield pa.Table.from_batches(rest)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose token has more than one row."""
-    for part in _runs(batches):
-        token = part.column("token").to_numpy()
-        same = token[1:] == token[:-1]
-        keep = np.zeros(len(token), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        yield from part.filter(pa.array(keep)).select(["token", "doc_id"]).to_batches()
+def _met(num: int, den: int):
+    """Rows (token, node, place) of n-grams that several nodes hold, without those whose neighbours in the run all are too small, too large
+    or too far on; rows come by token, then node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = None
+        for part in _runs(batches, _PART):
+            token, node, size, place = (part.column(c).to_numpy() for c in ("token", "node", "n", "place"))
+            fresh = np.ones(len(token), bool)
+            fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+            # the next part of a run that is too long for one: all of it stays
+            begin = token[0]
+            late = end is not None and end[0] == begin
+            if late and end[1] == node[0]:
+                fresh[0] = False
+            end = (int(token[-1]), int(node[-1]))
+            kept = np.flatnonzero(fresh)
+            token, size, place = token[kept], size[kept].astype(np.int64), place[kept]
+            stays = np.zeros(len(token), bool)
+            for d in range(1, min(NEAR_ROWS, len(token) - 1) + 1):
+                a = np.flatnonzero(token[d:] == token[:-d])
+                if not len(a):
+                    break
+                b = a + d
+                need = -(-num * (size[a] + size[b]) // (num + den))
+                fits = (np.minimum(size[a], size[b]) * den >= num * np.maximum(size[a], size[b])) & (np.minimum(size[a] - place[a], size[b] - place[b]) >= need)
+                stays[a[fits]] = stays[b[fits]] = True
+                if d == NEAR_ROWS:
+                    long = np.isin(token, token[a])
+                    stays |= long
+            if late:
+                stays |= token == begin
+            elif len(token) > _PART and token[0] == token[-1]:
+                stays[:] = True
+            if stays.any():
+                yield from part.take(pa.array(kept[stays])).select(["token", "node", "place"]).to_batches()
+
+    return run
 
 
 class Forest:
-    """Union-find over 0..n-1; unions come as arrays."""
+    """Union-find over 0..n-1; unions come as arrays. root: the tree that each member is in from the start."""
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, root: np.ndarray | None = None):
         self.root = np.arange(n)
+        if root is not None and n:
+            _, first, which = np.unique(root, return_index=True, return_inverse=True)
+            self.root = first[which]
         self.links: list[tuple[int, int]] = []
 
     def union(self, a: int, others: np.ndarray) -> None:
@@ -205,17 +265,17 @@ def _differences(num: int, den: int, a: np.ndarray | int, b: np.ndarray) -> np.n
 
 
 def _candidates(num: int, den: int):
-    """Forest of the pairs that share a token, have fitting sizes and close sketches."""
+    """Forest of the pairs that share a token, have fitting sizes and close sketches, and are in no group together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _runs(batches):
-            token, ids, size = (part.column(c).to_numpy() for c in ("token", "doc_id", "n"))
+            token, ids, size, group = (part.column(c).to_numpy() for c in ("token", "id", "n", "component"))
             packed = part.column("sketch").to_pylist()
             cuts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
             out = []
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 if e - s > 1:
-                    forest = Forest(e - s)
+                    forest = Forest(e - s, group[s:e])
                     cached: dict[int, np.ndarray] = {}
                     for a in range(e - s - 1):
                         b = forest.apart(a)
@@ -240,7 +300,7 @@ def _candidates(num: int, den: int):
 
 
 class Trie:
-    """Sets of hashes in ascending order as paths of LEVELS edges; equal beginnings share their nodes."""
+    """Sets of ascending order keys as paths of LEVELS edges; equal beginnings share their nodes."""
 
     def __init__(self, grams: np.ndarray, at: np.ndarray):
         self.size = np.diff(at)
@@ -250,7 +310,7 @@ class Trie:
         while s < n:  # a few sets at a time: blocks are large
             e = max(s + 1, int(np.searchsorted(at, at[s] + _PART, "right")) - 1)
             part = grams[at[s] : at[e]]
-            cell = np.repeat(np.arange(e - s) * LEVELS, self.size[s:e]) + (part >> np.uint64(61)).astype(np.int64)
+            cell = np.repeat(np.arange(e - s) * LEVELS, self.size[s:e]) + (part >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)
             cuts = np.concatenate(([0], np.cumsum(np.bincount(cell, minlength=(e - s) * LEVELS))))
             count[s:e], label[s:e] = np.diff(cuts).reshape(-1, LEVELS), tb.row_sums(tb.mix(part), cuts).reshape(-1, LEVELS)
             s = e
@@ -258,7 +318,6 @@ class Trie:
         self.grams, self.parent, self.edge, self.left = grams, [], [], []
         above = np.zeros(n, np.int64)
         done = np.zeros(n, np.int64)
-        self.leaf_of = above
         for d in range(LEVELS):
             done = done + count[:, d]
             key = tb.mix(label[:, d] + np.uint64(1) + tb.mix(above.astype(np.uint64) * np.uint64(3) + count[:, d].astype(np.uint64)))
@@ -276,7 +335,7 @@ class Trie:
     def walk(self, probe: np.ndarray, wanted: np.ndarray, num: int, den: int) -> np.ndarray:
         """Of the members marked in wanted, those that link with the sorted probe."""
         n = len(probe)
-        cuts = np.concatenate(([0], np.cumsum(np.bincount((probe >> np.uint64(61)).astype(np.int64), minlength=LEVELS))))
+        cuts = np.concatenate(([0], np.cumsum(np.bincount((probe >> np.uint64(64 - LEVEL_BITS)).astype(np.int64), minlength=LEVELS))))
         alive, overlap = np.ones(1, bool), np.zeros(1, np.int64)
         needed = self._needed(wanted)
         for d in range(LEVELS):
@@ -319,8 +378,8 @@ def _linked(num: int, den: int):
     """Links of one candidate block (or pair of blocks), as a forest."""
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("doc_id")
-        ids = group.column("doc_id").to_numpy()
+        group = group.sort_by("id")
+        ids = group.column("id").to_numpy()
         data, where = tb.string_bytes(group.column("grams").combine_chunks().cast(pa.large_binary()))
         grams, at = data[where[0] : where[-1]].view(np.uint64), (where - where[0]) // 8
         trie, forest = Trie(grams, at), Forest(len(ids))
@@ -335,52 +394,84 @@ def _linked(num: int, den: int):
     return run
 
 
-def _grams(k: int):
+def _grams(k: int, order: Order):
+    """(id, candidate, blocks, grams) of the rows whose set is the node's, grams in the global order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, grams, at in _sets(batch, k):
-                kept = batch.take(pa.array(rows)).select(["doc_id", "candidate", "blocks"])
-                values = pa.array([grams[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*kept.columns, values], ["doc_id", "candidate", "blocks", "grams"])
+                part = batch.take(pa.array(rows)).select(["id", "candidate", "blocks", "n", "h1", "h2"])
+                h1, h2 = _hashes(grams, at)
+                same = (part.column("h1").to_numpy() == h1) & (part.column("h2").to_numpy() == h2) & (part.column("n").to_numpy() == np.diff(at))
+                keys = order.sorted_keys(grams, at)
+                kept = np.flatnonzero(same)
+                values = pa.array([keys[at[i] : at[i + 1]].tobytes() for i in kept], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.take(pa.array(kept)).select(["id", "candidate", "blocks"]).columns, values], ["id", "candidate", "blocks", "grams"])
 
     return run
 
 
+def _dealt(rows: DataFrame, by: str, node: str, most: int, size: str | None = None) -> DataFrame:
+    """rows with i and j: groups of over most rows (or whose sum of size is above it) are cut into blocks, and each row goes to every pair of blocks that holds its own."""
+    weight = F.count("*") if size is None else F.sum(size)
+    large = rows.groupBy(by).agg(F.ceil(weight / most).cast("int").alias("blocks")).where("blocks > 1")
+    cut = rows.join(large, by, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64(node), F.col("blocks")).cast("int")
+    paired = cut.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return paired.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("own", "other", "blocks")
+
+
+def _near(rows: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """(src, dst) of a forest of candidate pairs; rows: token, id, component."""
+    dealt = _dealt(rows, "token", "id", RUN_ROWS).select(F.when((F.col("i") == 0) & (F.col("j") == 0), F.col("token")).otherwise(F.xxhash64("token", "i", "j")).alias("token"), "id", "component")
+    known = dealt.join(nodes.select("id", "n", "sketch"), "id")
+    return known.repartition("token").sortWithinPartitions("token", "id").mapInArrow(_candidates(num, den), "src long, dst long")
+
+
 def ngram_components(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
+    """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included), text_key.
 
     Two documents link when ``den * |A and B| >= num * |A or B|`` for their sets of k-word shingles, with
-    similarity = (num, den). A text of 1 to k-1 words has its whole sequence as its only shingle.
+    similarity = (num, den). A text of 1 to k-1 words has its whole sequence as its only shingle. text_key is xxhash64 of the text,
+    which tells rows with the same doc_id apart.
     """
     num, den = similarity
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     run, schema = _profile(k)
     profile = materialise(docs.mapInArrow(run, schema))
-    each = profile.where("token is null")
-    nodes = each.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"))
-
-    top = profile.where("token is not null").groupBy("token").agg(F.sum("n").alias("count")).orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
-    token, count = np.array([r["token"] for r in top], np.int64).view(np.uint64), np.array([r["count"] for r in top], np.int64)
-    rank = np.lexsort((token, count))
-    place = np.empty(len(top), np.int64)
-    place[rank] = np.arange(len(top))
-    by_token = np.argsort(token)
-
-    prefix = docs.where("doc_id is not null").mapInArrow(_prefixes(k, num, den, token[by_token], place[by_token]), "token long, doc_id long")
-    shared = prefix.repartition("token").sortWithinPartitions("token").mapInArrow(_shared, "token long, doc_id long")
-    known = shared.join(nodes.select(F.col("node").alias("doc_id"), "n", "sketch"), "doc_id")
-    near = known.repartition("token").sortWithinPartitions("token", "doc_id").mapInArrow(_candidates(num, den), "src long, dst long")
+    each = profile.where("token is null").drop("token", "sketch")
+    classes = profile.where("token is null and n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
+    nodes = materialise(classes.withColumn("id", F.monotonically_increasing_id()))
+
+    top = profile.where("token is not null").groupBy("token").agg(F.sum("n").alias("count")).orderBy(F.desc("count"), "token").limit(FREQUENT).toArrow()
+    order = Order(top.column("token").to_numpy().view(np.uint64), top.column("count").to_numpy())
+
+    run, schema = _prefixes(k, num, den, order)
+    prefix = docs.where("doc_id is not null").select("text").mapInArrow(run, schema)
+    met = prefix.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_met(num, den), "token long, node long, place int")
+    # nodes whose 64-bit hashes are equal by chance both come along
+    shared = materialise(met.join(nodes.select(F.col("h1").alias("node"), "id"), "node").select("token", "id", "place"))
+    near = materialise(_near(shared.where(F.col("place") < first_part(num, den)).select("token", "id", F.col("id").alias("component")), nodes, num, den))
     groups = components(near)
-
-    sized = groups.join(nodes.select(F.col("node").alias("id"), "n"), "id")
-    blocks = sized.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).cast("int").alias("blocks"))
-    member = groups.join(blocks, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("candidate"), "blocks")
-    sets = docs.join(member, "doc_id").mapInArrow(_grams(k), "doc_id long, candidate long, blocks int, grams binary")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    pairs = sets.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("candidate", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "grams")
+    grouped = shared.select("token", "id").join(groups, "id", "left").select("token", "id", F.coalesce("component", "id").alias("component"))
+    between = grouped.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
+    more = materialise(_near(grouped.join(between, "token", "left_semi"), nodes, num, den))
+    if more.limit(1).count():
+        groups = components(near.union(more))
+
+    sized = groups.join(nodes.select("id", "n", "h1", "h2", "doc_id"), "id").withColumnRenamed("component", "candidate")
+    blocks = sized.groupBy("candidate").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).cast("int").alias("blocks"))
+    member = sized.join(blocks, "candidate")
+    # one row of each node is enough
+    sets = docs.select("doc_id", "text").join(member, "doc_id").mapInArrow(_grams(k, order), "id long, candidate long, blocks int, grams binary")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    pairs = sets.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("candidate", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "grams")
     # a group of one block is done in one task; of more, each pair of blocks
     linked = pairs.groupBy("candidate", "i", "j").applyInArrow(_linked(num, den), "src long, dst long")
     final = components(linked)
 
-    classes = nodes.join(final, nodes["node"] == final["id"], "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("component"))
-    return each.select("doc_id", F.col("n").alias("size"), F.col("h1").alias("a"), F.col("h2").alias("b")).join(classes, (F.col("a") == F.col("h1")) & (F.col("b") == F.col("h2")) & (F.col("size") == F.col("n")), "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    named = nodes.select("id", "doc_id", "h1", "h2", "n").join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    known = named.join(least, "component").select("h1", "h2", "n", "component_id")
+    out = each.join(known, ["h1", "h2", "n"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_key")

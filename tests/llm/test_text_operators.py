@@ -268,7 +268,7 @@ def test_mixing_meets_targets(small, spark):
     cells = spark.createDataFrame([(s, g, t, 40 + 37 * i % 90) for i, (s, g, t) in enumerate((s, g, t) for s in "ab" for g in ("en", "fr") for t in "xy")], "source string, lang string, topic string, tokens long")
     share = lambda d: spark.createDataFrame(list(d.items()), "value string, share double")
     goal = {"source": {"a": 0.6, "b": 0.4}, "lang": {"en": 0.7, "fr": 0.3}, "topic": {"x": 0.65, "y": 0.35}}
-    rows = mixing.rake(cells, {k: share(v) for k, v in goal.items()}, rounds=8).collect()
+    rows = mixing.rake(cells, {k: share(v) for k, v in goal.items()}, most=40).collect()
     for d, shares in goal.items():
         for value, s in shares.items():
             assert abs(sum(r.weight for r in rows if r[d] == value) - s) < 1e-6
