@@ -230,24 +230,48 @@ def test_quality_against_brute_force(small, spark):
     raw = np.bincount(np.concatenate(list(buckets.values())), minlength=size)
     want = np.bincount(np.concatenate([b for i, b in buckets.items() if i in good]), minlength=size)
     ratio = np.log((want + 1) / (want.sum() + size)) - np.log((raw + 1) / (raw.sum() + size))
-    mean = {i: ratio[b].mean() for i, b in buckets.items() if len(b)}
-    assert all(abs(got[i].log_weight - m) < 1e-9 for i, m in mean.items())
-    edge = np.quantile([mean[i] for i in good if i in mean], quality.LOSS)
-    k = sum(m >= edge for m in mean.values())
-    best = sorted(mean, key=lambda i: (-got[i].gumbel_key, i))[:k]
+    weight = {i: ratio[b].sum() for i, b in buckets.items() if len(b)}
+    assert all(abs(got[i].log_weight - m) < 1e-6 for i, m in weight.items())
+    edge = np.quantile([got[i].log_weight for i in good if i in weight], quality.LOSS)
+    k = sum(got[i].log_weight >= edge for i in weight)
+    best = sorted(weight, key=lambda i: (-got[i].gumbel_key, i))[:k]
     assert {i for i, r in got.items() if r.kept} == set(best)
     bad = {r.doc_id for r in labels.where("quality = 0").collect()} & set(got)
     assert np.mean([got[i].kept for i in good & set(got)]) > 0.97
     assert np.mean([got[i].kept for i in bad]) < 0.5
 
 
-def test_kth_largest_with_ties(spark):
+def test_gumbel_noise_draws_by_weight(spark):
+    # ten texts of the target and many that share a part of its words: kept more often the more they share
+    words = [f"w{i}" for i in range(40)]
+    target = [(i, " ".join(words)) for i in range(10)]
+    rest = [(100 + i, " ".join(words[: i % 4] + [f"x{i % 7}"] * (3 - i % 4))) for i in range(400)]
+    docs = spark.createDataFrame(target + rest, "doc_id long, text string")
+    good = spark.createDataFrame([(i,) for i in range(10)], "doc_id long")
+    kept, weight = [], {}
+    for seed in range(3):
+        rows = quality.resample(docs, good, seed=seed, loss=0.5).collect()
+        noise = {r.doc_id: r.gumbel_key - r.log_weight for r in rows}
+        assert np.std(list(noise.values())) > 1
+        weight = {r.doc_id: r.log_weight for r in rows}
+        small = spark.createDataFrame([(i, weight[i] + noise[i]) for i in noise if i >= 100], "doc_id long, key double")
+        key, last = quality.kth_largest(small, 100)
+        kept.append({i for i in noise if i >= 100 and (weight[i] + noise[i] > key or (weight[i] + noise[i] == key and i <= last))})
+        assert len(kept[-1]) == 100
+    assert kept[0] != kept[1] != kept[2]
+    often = {m: np.mean([100 + i in k for k in kept for i in range(400) if i % 4 == m]) for m in range(4)}
+    assert often[0] < often[1] < often[2] < often[3]
+
+
+def test_kth_largest_with_ties(spark, monkeypatch):
     rng = random.Random(1)
     rows = [(i, float(rng.choice([1.0, 2.0, 2.0, 3.5, rng.random()]))) for i in range(500)]
     df = spark.createDataFrame(rows, "doc_id long, key double")
     order = sorted(rows, key=lambda r: (-r[1], r[0]))
-    for k in (1, 7, 250, 500):
-        assert quality.kth_largest(df, k) == (order[k - 1][1], order[k - 1][0])
+    for few in (1000, 3):
+        monkeypatch.setattr(quality, "FEW", few)
+        for k in (1, 7, 250, 500):
+            assert quality.kth_largest(df, k) == (order[k - 1][1], order[k - 1][0])
 
 
 def test_quality_edges(edges, spark):
