@@ -4,7 +4,8 @@
 2. line_dedup: lines that occur earlier, or nearly do, go, those of fewer than 24 characters if they are in ``SHORT_LINE_DOCS``
    documents or more; a document that lost lines and has only blank ones left goes
    with them.
-3. ngram_join: of documents linked by five-word shingles with a similarity of 0.8 or more, the one with the smallest id stays.
+3. ngram_join: of documents linked by five-word shingles with a similarity of 0.8 or more, the one with the smallest id stays. Where rows
+   share a doc_id, each is judged by its own text.
 4. mixing: documents are sampled by calibrated probabilities, so that the rest meets target shares of tokens.
 5. sentence_pieces: texts become ids of a public SentencePiece model.
 
@@ -40,8 +41,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = ngram_components(docs, k=5, similarity=(80, 100)).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    copies = ngram_components(docs, k=5, similarity=(80, 100)).where("doc_id <> component_id").select(F.col("doc_id").alias("_nj_id"), F.col("text_key").alias("_nj_key")).distinct()
+    return docs.join(copies, (F.col("doc_id") == F.col("_nj_id")) & (F.xxhash64("text") == F.col("_nj_key")), "left_anti").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +61,7 @@ STAGES = [
     ("sentence_pieces", sentence_pieces_stage),
 ]
 
-#: SQL cannot express the stages; tests/llm holds run() against a brute-force version.
+#: SQL cannot express the stages; tests/llm holds them against brute-force versions.
 ORACLE_SQL = None
 
 
