@@ -1,14 +1,16 @@
 """Language identification: averaged hashed subword embeddings with a linear softmax, trained by SGD in numpy.
 
 Subwords are the runs of 3 and of 4 bytes of the lower-cased text that hold no white space but at their ends. Each is hashed
-to one of ``BUCKETS`` embeddings; their mean goes through a linear softmax. Training takes a bounded sample: about
-``DOCS_PER_LANGUAGE`` documents of each of the at most ``LANGUAGES`` most frequent languages (by hash of doc_id), and from each
-``WINDOWS`` windows of ``WINDOW`` subwords. One sampled document in five is held back from training; on those the softmax is
-calibrated by a temperature, and the rejection threshold is set so that ``LOSS`` of right answers fall below it.
-
-Prediction folds the embeddings and the softmax weights into one table of scores by bucket and language, so that a whole text
-is a few gathers and sums, in blocks of bounded size. Null texts and texts without a letter are 'und' with score 0. Texts too
-short for a subword get the most frequent language's prior. Without training rows everything is 'und'.
+to one of ``BUCKETS`` embeddings; their mean goes through a linear softmax. Training takes a bounded sample (by hash of doc_id): about
+``DOCS_PER_LANGUAGE`` documents of each language, fewer where they would be more than ``SAMPLE`` in all, but about ``LEAST`` of each at
+least, and from each document ``WINDOWS`` windows of ``WINDOW`` subwords. Every language takes part, however many there are. One sampled
+document in five is held back from training; on those the softmax is calibrated by a temperature, and the rejection threshold is
+set so that ``LOSS`` of right answers fall below it.
+
+With few languages prediction folds the embeddings and the softmax weights into one table of scores by bucket and language; with more than
+``WIDTH`` it sums embeddings. A whole text is a few gathers and sums, in blocks of bounded size. Null texts and texts without a letter
+are 'und' with score 0. Texts too short for a subword get the most frequent language's prior. Without training rows everything is
+'und'. A null doc_id is not held out and takes no part in training; repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from . import textblocks as tb
 
 BITS, WIDTH = 16, 16
 BUCKETS = 1 << BITS
-DOCS_PER_LANGUAGE, LANGUAGES, WINDOWS, WINDOW = 400, 1000, 8, 128
+DOCS_PER_LANGUAGE, SAMPLE, LEAST, WINDOWS, WINDOW = 400, 12_000, 8, 8, 128
 EPOCHS, BATCH, RATE, LOSS = 4, 64, 8.0, 0.005
 _ORDERS = (3, 4)
 
@@ -61,7 +63,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(len(where) - 1):
                 held = np.concatenate([b[where[i] : max(where[i], where[i + 1] - n + 1)][v[where[i] : max(where[i], where[i + 1] - n + 1)]] for n, b, v in codes])
                 if len(held):
-                    rng = np.random.default_rng(abs(ids[first + i]))
+                    rng = np.random.default_rng(abs(ids[first + i] or 0))
                     size = min(WINDOW, len(held))
                     half = len(held) - size + 1
                     for s in rng.integers(0, half, WINDOWS):
@@ -74,13 +76,15 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # score by bucket and language
+    table: np.ndarray  # by bucket: scores of the languages, or the embedding if weight is given
+    weight: np.ndarray | None
     bias: np.ndarray
     temperature: float
     threshold: float
 
     def scores(self, total: np.ndarray, count: np.ndarray) -> np.ndarray:
-        logit = (total / np.maximum(count, 1)[:, None] + self.bias) / self.temperature
+        mean = total / np.maximum(count, 1)[:, None]
+        logit = ((mean if self.weight is None else mean @ self.weight) + self.bias) / self.temperature
         logit -= logit.max(1, keepdims=True)
         p = np.exp(logit)
         return p / p.sum(1, keepdims=True)
@@ -113,13 +117,14 @@ def _sgd(bags: np.ndarray, y: np.ndarray, n_languages: int) -> tuple[np.ndarray,
 
 def train(labelled: DataFrame) -> Model | None:
     """labelled: doc_id, text, lang (not null). None without rows."""
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = sorted(r["lang"] for r in counts.collect())
+    if not languages:
         return None
-    languages = sorted(r["lang"] for r in counts)
-    rate = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, DOCS_PER_LANGUAGE / r["n"]))]), F.col("lang"))
+    wanted = min(DOCS_PER_LANGUAGE, max(LEAST, SAMPLE // len(languages)))
     u = F.conv(F.substring(F.md5(F.concat(F.lit("lang-"), F.col("doc_id").cast("string"))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
-    rows = labelled.where(u < rate).select("doc_id", "text", "lang").mapInArrow(_windows, "doc_id long, lang string, bag binary").toArrow().sort_by([("doc_id", "ascending")])
+    drawn = labelled.join(counts, "lang").where(u < F.lit(float(wanted)) / F.col("n"))
+    rows = drawn.select("doc_id", "text", "lang").mapInArrow(_windows, "doc_id long, lang string, bag binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("bag", "ascending")])
     if not rows.num_rows:
         return None
     bags = np.frombuffer(b"".join(rows.column("bag").to_pylist()), np.int32).reshape(-1, WINDOW)
@@ -130,8 +135,7 @@ def train(labelled: DataFrame) -> Model | None:
         held[:] = False
         held[::5] = True
     embed, weight, bias = _sgd(bags[~held], y[~held], len(languages))
-    score = embed @ weight
-    logit = score[bags[held]].mean(1) + bias
+    logit = np.concatenate([embed[part].mean(1) @ weight + bias for part in np.array_split(bags[held], -(-held.sum() // 4096))])
 
     def loss(t: float) -> float:
         z = logit / t
@@ -139,8 +143,10 @@ def train(labelled: DataFrame) -> Model | None:
         return float(np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), y[held]]))
 
     temperature = min((2.0**e for e in np.arange(-6, 4, 0.25)), key=loss)
-    model = Model(languages, score.astype(np.float32), bias, temperature, 0.0)
-    p = model.scores(logit - bias, np.ones(len(logit)))
+    folded = len(languages) <= WIDTH
+    model = Model(languages, (embed @ weight if folded else embed).astype(np.float32), None if folded else weight, bias, temperature, 0.0)
+    p = np.exp(logit / temperature - (logit / temperature).max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
     right = p.argmax(1) == y[held]
     model.threshold = float(np.quantile(p.max(1)[right], LOSS)) if right.any() else 1.0
     return model
@@ -156,13 +162,13 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             readable = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False)
             name, score = np.full(n, "und", object), np.zeros(n)
             if model is not None:
-                for first, last, data, where in tb.blocks(pc.utf8_lower(text), min(tb.BLOCK_BYTES, (8 << 20) // len(model.languages))):
-                    total, count = np.zeros((last - first, len(model.languages))), np.zeros(last - first, np.int64)
+                for first, last, data, where in tb.blocks(pc.utf8_lower(text), min(tb.BLOCK_BYTES, (8 << 20) // model.table.shape[1])):
+                    total, count = np.zeros((last - first, model.table.shape[1])), np.zeros(last - first, np.int64)
                     for size, bucket, valid in subwords(data):
                         at = np.concatenate(([0], np.cumsum(valid)))
                         ends = np.maximum(where[:-1], np.minimum(where[1:] - size + 1, len(bucket)))
                         s, e = at[np.minimum(where[:-1], len(bucket))], at[np.minimum(ends, len(bucket))]
-                        part = np.zeros((at[-1] + 1, len(model.languages)))
+                        part = np.zeros((at[-1] + 1, model.table.shape[1]))
                         np.cumsum(model.table[bucket[valid]], 0, dtype=np.float64, out=part[1:])
                         total += part[e] - part[s]
                         count += e - s

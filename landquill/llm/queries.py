@@ -12,7 +12,7 @@ from .line_dedup import EXACT_CHARS, dedup_lines
 from .ngram_join import ngram_components
 from .sentence_pieces import encode_pieces
 from .shared import table
-from .url_rules import judge_urls, labelled_urls
+from .url_rules import LISTED, host_of, judge_urls, labelled_urls, listed_rule, path_of
 from .vectors import linked_vectors, nearest
 
 
@@ -60,5 +60,19 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, labelled_urls(pages, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_language_id, op3_approximate_neighbours, op4_embedding_near_dedup, op5_quality_classifier, op6_sentence_pieces, op7_line_dedup, op8_ngram_jaccard_join, op9_license_scan, op10_url_filter)}
-ORACLE_SQL = {"op1_source_mixing": mixing.oracle_sql()}
+def url_listed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op10_url_filter that SQL can express: host, path, and the listed rule with its verdict."""
+    parts = table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    rule, verdict = listed_rule(F.col("host"), F.col("path"))
+    return parts.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("listed_verdict"))
+
+
+_FITS = " union all ".join(f"select '{h}' as h, '{p}' as p, '{v}' as v" for h, p, v in LISTED)
+_LISTED_SQL = f"""with l as ({_FITS}),
+u as (select page_id, case when contains(url, '://') then translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end as host,
+  case when contains(url, '://') then regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) else '' end as path from pages),
+f as (select page_id, host, path, arg_max(h || p, length(h || p)) as rule, arg_max(v, length(h || p)) as listed_verdict from u join l on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by all)
+select u.page_id, u.host, u.path, f.rule, f.listed_verdict from u left join f on f.page_id = u.page_id and f.host = u.host and f.path = u.path"""
+
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_language_id, op3_approximate_neighbours, op4_embedding_near_dedup, op5_quality_classifier, op6_sentence_pieces, op7_line_dedup, op8_ngram_jaccard_join, op9_license_scan, op10_url_filter, url_listed_rules)}
+ORACLE_SQL = {"op1_source_mixing": mixing.oracle_sql(), "url_listed_rules": _LISTED_SQL}

@@ -2,16 +2,16 @@
 
 Words (a run of meta spaces and what follows) are hashed and looked up among the words a task has met; the new ones are
 grouped by length and advance together, one character a step. Substring hashes probe the sorted keys of the pieces; at each
-end the best valid piece is the vectorised maximum over the pieces that end there, and its start is the backpointer.
+end a vectorised maximum over the totals of all pieces that end there decides, and its start is the backpointer.
 
 For a unigram model the maximum is of summed scores. For a BPE model a path is valid when every two neighbours are: pieces a, b
 are neighbours exactly when merging their characters by rank never crosses the border between them. At each end just one
-piece continues a valid path, so that the maximum is over validity and the result equals merging by rank. Which pairs
+piece continues a valid path (its total is 0, the others' minus infinity), and the result equals merging by rank. Which pairs
 are valid is worked out for arrays of pairs at once, from the merge trees of the pieces, and kept in a table of fixed size.
 
 A null text has null ids; an empty text has none. Characters without a piece become their UTF-8 bytes' pieces, or the
-unknown piece if the model has no bytes. Only models without a character map are taken. The model file is read by the
-driver; its arrays travel to the tasks. Further columns pass through, but for those with the name of a result.
+unknown piece if the model has no bytes. Only models that leave characters and white space as they are (no character map) are taken;
+others raise an error. The model file is read by the driver; its arrays travel to the tasks. Further columns pass through, but for those with the name of a result.
 """
 
 from __future__ import annotations
@@ -255,29 +255,23 @@ class Encoder:
             words, piece = found[0]
             if len(words) < n:
                 # a symbol without a piece is -1 - code point
-                every = -1 - chars[:, end - 1].astype(np.int64)
-                every[words] = piece
-                found[0] = (np.arange(n), every)
-            open_ = np.ones(n, bool)
-            for size in range(len(found), 0, -1):
-                s = end - size
-                words, piece = found[size - 1]
-                fine = open_[words] & (best[s][words] > -np.inf)
+                symbol = -1 - chars[:, end - 1].astype(np.int64)
+                symbol[words] = piece
+                found[0] = (np.arange(n), symbol)
+            # what each piece would add, longest pieces first; the maximum decides, the first one on ties
+            total = np.full((len(found), n), -np.inf)
+            ids = np.full((len(found), n), -1, np.int64)
+            for row, (words, piece) in enumerate(found[::-1]):
+                s = end - len(found) + row
+                fine = best[s][words] > -np.inf
                 words, piece = words[fine], piece[fine]
-                if not len(words):
-                    continue
                 if p.kind == BPE:
-                    if s:
-                        fine = self._valid(last[s][words], piece)
-                        words, piece = words[fine], piece[fine]
-                    best[end][words] = 0
-                    open_[words] = False
+                    gain = np.where(self._valid(last[s][words], piece), 0.0, -np.inf) if s and len(words) else 0.0
                 else:
-                    total = best[s][words] + np.where(piece >= 0, p.score[np.maximum(piece, 0)], p.score.min() - 10)
-                    better = total > best[end][words]
-                    words, piece = words[better], piece[better]
-                    best[end][words] = total[better]
-                last[end][words], start[end][words] = piece, s
+                    gain = np.where(piece >= 0, p.score[np.maximum(piece, 0)], p.score.min() - 10)
+                total[row, words], ids[row, words] = best[s][words] + gain, piece
+            pick, every = total.argmax(0), np.arange(n)
+            best[end], last[end], start[end] = total[pick, every], ids[pick, every], end - len(found) + pick
         steps, end = [], np.full(n, length)
         every = np.arange(n)
         while (end > 0).any():

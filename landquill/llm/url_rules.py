@@ -1,13 +1,13 @@
 """URL filter: listed host and path rules first, then association rules that FP-growth mines from labelled URLs.
 
 A URL becomes a set of tokens (host parts, path parts with digits folded, names of query parameters). FP-growth counts the
-token combinations of labelled URLs; a combination becomes a rule when enough URLs to be blocked hold it (support, and a least
-count), they are enough of all that hold it (confidence) and no smaller combination inside it does as well. All such rules
-count. Up to ``max_rules`` of them are matched by an inverted index from tokens to rules that travels as a literal, so that
+token combinations of labelled URLs; a combination becomes a rule when enough URLs to be blocked hold it (support), their part of all
+that hold it (confidence) is ``min_lift`` times their part of all URLs and, by the lower end of its interval (``z`` deviations),
+above that part at least, and no smaller combination inside it does as well. All such rules count. Up to ``max_rules`` of them are matched by an inverted index from tokens to rules that travels as a literal, so that
 judging a page is a projection: no shuffle, no Python; more are joined with the pages' tokens by their rarest token.
 
 Null URLs and URLs without ``://`` have an empty host and path, fit no rule and are allowed. Repeated rows are judged alike;
-further columns are ignored. Without labels, or with labels of one kind, no rule is mined.
+further columns are ignored; a URL of any length is split whole. Without labels, or with labels of one kind, no rule is mined.
 """
 
 from __future__ import annotations
@@ -55,19 +55,26 @@ def listed_rule(host: Column, path: Column, rules: tuple = LISTED) -> tuple[Colu
     return text, verdict
 
 
-def minimal_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.5, min_count: int = 20) -> DataFrame:
+def lower_end(share: Column, n: Column, z: float) -> Column:
+    """Lower end of Wilson's interval of a share of n."""
+    return (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def minimal_rules(labelled: DataFrame, min_support: float = 0.002, min_lift: float = 1.25, z: float = 1.645) -> DataFrame:
     """(tokens, confidence, support, rarest) of the rules for blocking; labelled: url, blocked (boolean).
 
     No smaller combination inside a rule is as sure. rarest is the rule's token that the fewest labelled URLs hold.
     """
     baskets = labelled.where("blocked is not null").select(F.when(F.col("blocked"), F.array_append(url_tokens(F.col("url")), F.lit(BLOCKED))).otherwise(url_tokens(F.col("url"))).alias("items")).where("size(items) > 0")
-    total = baskets.count()
-    if not total:
+    sums = baskets.agg(F.count("*").alias("n"), F.count_if(F.array_contains("items", BLOCKED)).alias("blocked")).first()
+    total = sums["n"]
+    if not sums["blocked"]:
         return labelled.sparkSession.createDataFrame([], "tokens array<string>, confidence double, support double, rarest string")
-    sets = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).freqItemsets
+    base = sums["blocked"] / total
+    sets = FPGrowth(itemsCol="items", minSupport=min_support).fit(baskets).freqItemsets
     keyed = sets.select(F.array_sort(F.array_remove("items", BLOCKED)).alias("tokens"), F.array_contains("items", BLOCKED).alias("with"), "freq")
     rated = keyed.groupBy("tokens").agg(F.max(F.when(F.col("with"), F.col("freq"))).alias("hits"), F.max(F.when(~F.col("with"), F.col("freq"))).alias("all"))
-    rated = rated.where((F.size("tokens") > 0) & (F.col("hits") >= min_count)).withColumn("n", F.size("tokens"))
+    rated = rated.where((F.size("tokens") > 0) & (F.col("hits") > 0)).withColumn("n", F.size("tokens"))
     rated = materialise(rated.select("tokens", "n", "all", (F.col("hits") / F.col("all")).alias("confidence"), (F.col("hits") / F.lit(total)).alias("support")))
     # every part of a set is a set of the table too: the surest part of each, size by size
     level = rated.where("n = 1").select("tokens", "confidence", F.lit(None).cast("double").alias("below"))
@@ -77,7 +84,9 @@ def minimal_rules(labelled: DataFrame, min_support: float = 0.005, min_confidenc
         surest = level.select(F.col("tokens").alias("part"), F.greatest("confidence", "below").alias("sure"))
         level = materialise(parts.join(surest, "part").groupBy("tokens", "confidence").agg(F.max("sure").alias("below")))
         levels.append(level)
-    kept = reduce(DataFrame.union, levels).where((F.col("confidence") >= min_confidence) & (F.col("below").isNull() | (F.col("below") < F.col("confidence")))).select("tokens")
+    best = reduce(DataFrame.union, levels).where(F.col("below").isNull() | (F.col("below") < F.col("confidence"))).select("tokens")
+    sure = (F.col("confidence") >= min_lift * base) & (lower_end(F.col("confidence"), F.col("all"), z) > base)
+    kept = best.join(rated.where(sure).select("tokens"), "tokens")
     single = rated.where("n = 1").select(F.col("tokens")[0].alias("token"), "all")
     rules = kept.join(rated.select("tokens", "confidence", "support"), "tokens")
     rarest = rules.select("tokens", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens").agg(F.min_by("token", F.struct("all", "token")).alias("rarest"))

@@ -95,8 +95,20 @@ def _bucketed(scale: float, query: bool):
     return run
 
 
+def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, added from the first component to the last."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1] if len(a) else 0):
+        out += a[:, j] * b[:, j]
+    return out
+
+
 def _best(k: int):
-    """The k best classes of each query among a bucket's, by inner product, then smallest id."""
+    """The k best classes of each query among a bucket's, by inner product, then smallest id.
+
+    A matrix product finds the best; its last bits depend on the shapes of blocks, so that what is near the k-th is scored again, in one
+    order of addition.
+    """
 
     def run(queries: pa.Table, items: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, ...]] = []
@@ -113,10 +125,11 @@ def _best(k: int):
                         n = min(k, len(own))
                         if n < len(own):
                             edge = -np.partition(-score, n - 1, 1)[:, n - 1 : n]
-                            row, col = np.nonzero(score >= edge)
+                            slack = 1e-12 * np.sqrt((y[s : s + _CHUNK] ** 2).sum(1, keepdims=True) * (x * x).sum(1).max())
+                            row, col = np.nonzero(score >= edge - slack)
                         else:
                             row, col = (z.ravel() for z in np.indices(score.shape))
-                        value = score[row, col]
+                        value = inner(y[s + row], x[col])
                         by = np.lexsort((own[col], -value, row))
                         row, col, value = row[by], col[by], value[by]
                         first = np.searchsorted(row, row)
@@ -129,16 +142,20 @@ def _best(k: int):
 
 
 def _cut(items: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides dealt to (bucket, block): a bucket's items are split into blocks, its queries go to every block."""
-    blocks = items.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    dealt = items.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    asked = queries.join(blocks, "bucket").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
-    return dealt.select("id", "embedding", "bucket", "block"), asked.select("query", "embedding", "bucket", "block")
+    """Both sides dealt to (bucket, i, j): the items and the queries of a bucket are split into blocks, and each block of items meets each of queries."""
+    parts = [df.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(n)) for df, n in ((items, "items"), (queries, "queries"))]
+    blocks = parts[0].join(parts[1], "bucket")
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = items.join(blocks, "bucket").withColumn("i", own("id", "items")).withColumn("j", every("queries"))
+    asked = queries.join(blocks, "bucket").withColumn("j", own("query", "queries")).withColumn("i", every("items"))
+    return dealt.select("id", "embedding", "bucket", "i", "j"), asked.select("query", "embedding", "bucket", "i", "j")
 
 
 def _search(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     items, queries = _cut(items, queries)
-    found = queries.groupBy("bucket", "block").cogroup(items.groupBy("bucket", "block")).applyInArrow(_best(k), "query long, id long, score double")
+    keys = ("bucket", "i", "j")
+    found = queries.groupBy(*keys).cogroup(items.groupBy(*keys)).applyInArrow(_best(k), "query long, id long, score double")
     # the tables' candidates together: one score for each pair, then the best
     return found.groupBy("query", "id").agg(F.max("score").alias("score"))
 
@@ -152,7 +169,7 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     """
     rows = usable(table)
     each = Window.partitionBy("embedding").orderBy("vec_id")
-    # of equal vectors the k + 1 smallest ids can be results; all of them can be queries
+    # of equal vectors the k + 1 smallest ids can be results; all of them can be queries. Spark cuts groups to that number before it deals them
     few = rows.distinct().withColumn("n", F.row_number().over(each)).where(F.col("n") <= k + 1)
     classes = materialise(few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("id", F.element_at("ids", 1)))
     asked = materialise(rows.where(F.col("vec_id") % every == 0).groupBy("embedding").agg(F.min("vec_id").alias("query")).select("query", F.col("embedding").alias("asked")))
@@ -251,7 +268,8 @@ def _links(least: float):
         for part in _runs(batches):
             token = part.column("token").to_numpy()
             cuts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
-            columns = {c: part.column(c).to_numpy() for c in ("id", "own", "i", "j", "home", "many", "t", "label")}
+            columns = {c: part.column(c).to_numpy() for c in ("id", "own", "i", "j", "home", "many", "t")}
+            columns["label"] = pa.concat_arrays(part.column("label").chunks).dictionary_encode().indices.to_numpy()
             code = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.int64).reshape(-1, *_CODES)
             vectors = list(_matrices(part.column("embedding").combine_chunks()))
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
@@ -340,7 +358,7 @@ def linked_vectors(table: DataFrame, least: float = 0.98) -> DataFrame:
     met = counted.join(size, "token").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     i, j = F.least("own", "other"), F.greatest("own", "other")
     dealt = met.select(F.xxhash64("token", i, j).alias("token"), i.alias("i"), j.alias("j"), "own", "id", "home", "t")
-    full = dealt.join(classes.select("id", "embedding", "codes", F.col("h").alias("label"), "many"), "id")
+    full = dealt.join(classes.select("id", "embedding", "codes", "label", "many"), "id")
     out = materialise(full.repartition("token").sortWithinPartitions("token", "id").mapInArrow(_links(least), "src long, dst long, n long"))
     links = out.where("n is not null").groupBy(F.col("src").alias("id")).agg(F.sum("n").alias("n"))
     groups = components(out.where("dst is not null").select("src", "dst"))

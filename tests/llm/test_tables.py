@@ -1,10 +1,12 @@
 """URL rules, embeddings, the pipeline and the registered queries."""
 
+import itertools
 import random
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from landquill.llm import queries, url_rules, vectors
@@ -53,7 +55,7 @@ def test_url_rules_and_mined_rules(spark):
     assert all("/promo" in t or "/news" in t for t, _ in baskets)
     for tokens, confidence, support in rules:
         held = [b for u, b in rows if u is not None and b is not None and all((t[1:] in u) for t in tokens)]
-        assert len(held) * confidence >= 20 and support > 0
+        assert len(held) * confidence > 0 and support > 0 and confidence >= 1.25 * sum(bool(b) for u, b in rows if u) / len(rows)
     asked = spark.createDataFrame([(1, "http://z.org/promo/5"), (2, "http://z.org/news/5")], "page_id long, url string")
     assert {r.page_id: r.verdict for r in url_rules.judge_urls(asked, labelled).collect()} == {1: "block", 2: "allow"}
     assert url_rules.judge_urls(asked.limit(0), none).collect() == []
@@ -64,7 +66,7 @@ def test_all_minimal_rules_count(spark):
     for host in "abcdefghijkl":
         rows += [(f"http://{host}site.{host}tld/{host}x/{host}y/{host}z?{host}q={i}", True) for i in range(30)]
     rows += [(f"http://n{i}.org/promo/{i}", i % 10 < 7) for i in range(60)]
-    rows += [(f"http://n{i}.org/news/{i}", False) for i in range(100)]
+    rows += [(f"http://n{i}.org/news/{i}", False) for i in range(1000)]
     labelled = spark.createDataFrame(rows, "url string, blocked boolean")
     rules = url_rules.mine_rules(labelled)
     singles = {f"{tag}{host}{end}" for host in "abcdefghijkl" for tag, end in ((".", "site"), (".", "tld"), ("/", "x"), ("/", "y"), ("/", "z"), ("?", "q"))}
@@ -75,6 +77,7 @@ def test_all_minimal_rules_count(spark):
     assert sorted(map(str, url_rules.judge_urls(pages, labelled, max_rules=10).collect())) == got and len(got) == 6
 
 
+xx = F.xxhash64
 VECTORS = "vec_id long, embedding array<float>, label int"
 
 
@@ -123,6 +126,13 @@ def test_links_equal_brute_force(table, monkeypatch):
             assert r.kept == (r.vec_id is None or c == r.vec_id)
 
 
+def test_labels_with_equal_hashes_do_not_link(table, monkeypatch):
+    rows = table.where("label is not null").withColumn("label", F.concat(F.lit("k"), F.col("label").cast("string")))
+    want = sorted(map(str, vectors.linked_vectors(rows).collect()))
+    monkeypatch.setattr(vectors.F, "xxhash64", lambda *c: F.lit(5).cast("long") if c == ("label",) else xx(*c))
+    assert sorted(map(str, vectors.linked_vectors(rows).collect())) == want
+
+
 def test_nearest_recall_and_ties(table, monkeypatch):
     rows = usable()
     for block in (4096, 32):
@@ -206,6 +216,60 @@ def test_short_repeated_lines_go(spark, tmp_path):
     assert got == {i: left(i, ["All rights reserved."] if i == 0 else []) + ("\nin two" if i < 2 else "\nx") for i in range(8)}
 
 
+def test_rules_equal_plain_counting(spark):
+    """Mining and matching against all combinations of tokens, counted one by one."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(400):
+        host = rng.choice(["a", "b", "c", "casino"])
+        path = rng.choice(["x", "y", "buy"])
+        rows.append((f"http://{host}.org/{path}/{i}", rng.random() < (0.7 if host == "casino" and path == "buy" else 0.5 if path == "buy" else 0.15)))
+    labelled = spark.createDataFrame(rows, "url string, blocked boolean")
+    sets = [(frozenset(t), b) for t, b in labelled.select(url_rules.url_tokens(url_rules.F.col("url")), "blocked").collect()]
+    base, total = sum(b for _, b in sets) / len(sets), len(sets)
+    counts = {}
+    for t, b in sets:
+        for n in range(1, len(t) + 1):
+            for part in itertools.combinations(sorted(t), n):
+                c = counts.setdefault(frozenset(part), [0, 0])
+                c[0] += 1
+                c[1] += b
+    frequent = {s: (h / n, n, h) for s, (n, h) in counts.items() if h >= 0.01 * total}
+    z = 1.645
+    end = lambda p, n: (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+    want = {s: (p, h / total) for s, (p, n, h) in frequent.items() if p >= 1.25 * base and end(p, n) > base and all(frequent[q][0] < p for q in frequent if q < s)}
+    got = {frozenset(t): (c, s) for t, c, s in url_rules.mine_rules(labelled, min_support=0.01)}
+    assert got.keys() == want.keys() and len(want) > 1 and all(abs(got[s][i] - want[s][i]) < 1e-12 for s in want for i in (0, 1))
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows[:60])] + [(900, "http://q.org/" + "buy/" * 5000)], "page_id long, url string")
+    verdicts = {r.page_id: r.verdict for r in url_rules.judge_urls(pages, labelled, min_support=0.01).collect()}
+    assert all(verdicts[i] == ("block" if any(s <= sets[i][0] for s in want) else "allow") for i in range(60)) and 900 in verdicts
+
+
+def test_listed_rules_equal_their_sql(spark):
+    got = sorted(map(tuple, queries.url_listed_rules(spark, SF).collect()))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{SF}/pages.parquet'")
+    want = con.execute(queries.ORACLE_SQL["url_listed_rules"])
+    assert [d[0] for d in want.description] == ["page_id", "host", "path", "rule", "listed_verdict"]
+    assert str(got) == str(sorted(want.fetchall()))
+
+
+def test_nearest_recall_on_the_embeddings(spark):
+    rows = [(r.vec_id, np.array(r.embedding, np.float64)) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect() if r.embedding]
+    rows = [(i, v) for i, v in rows if np.isfinite(v).all() and np.any(v)]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    got = {}
+    for r in queries.op3_approximate_neighbours(spark, "/root/testdata/sf0.01").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[q]
+        score[q] = -np.inf
+        want = set(ids[np.lexsort((ids, -score))[: min(20, len(ids) - 1)]].tolist())
+        hits, total = hits + len(want & got[int(ids[q])]), total + len(want)
+    assert hits >= 0.9 * total
+
+
 def test_mixing_query_equals_its_sql(spark):
     got = sorted(tuple(r) for r in queries.op1_source_mixing(spark, SF).collect())
     con = duckdb.connect()

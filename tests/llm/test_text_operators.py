@@ -99,6 +99,28 @@ def test_ngram_join_of_many_near_copies_in_blocks(spark, monkeypatch):
     assert got == brute_components(rows, 3, 80)
 
 
+def test_ngram_join_finds_what_the_first_n_grams_miss(small, spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "first_part", lambda num, den: 1)
+    monkeypatch.setattr(ngram_join, "RUN_ROWS", 3)
+    monkeypatch.setattr(ngram_join, "_PART", 50)
+    rows = [(r.doc_id, r.text) for r in small.collect()]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(small, 5, (80, 100)).collect()}
+    assert got == brute_components(rows, 5, 80)
+
+
+def test_rows_that_share_a_doc_id_are_judged_by_their_own_texts(spark):
+    rng = random.Random(4)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    docs = spark.createDataFrame([(2, a), (5, a + " more"), (5, b), (9, b), (5, c), (5, c)], "doc_id long, text string")
+    got = {(r.doc_id, r.text_key): r.component_id for r in ngram_join.ngram_components(docs).collect()}
+    keys = {(r.doc_id, r.text): r.k for r in docs.selectExpr("doc_id", "text", "xxhash64(text) as k").collect()}
+    assert {t: got[t[0], k] for t, k in keys.items()} == {(2, a): 2, (5, a + " more"): 2, (5, b): 5, (9, b): 5, (5, c): 5}
+    line = "A line that a document of another number has as well."
+    rows = [(1, line), (2, f"{line}\nkeep me, for I am alone in all of this."), (2, "unique line that nobody else has ever written\nzzz"), (2, "unique line that nobody else has ever written\nzzz")]
+    left = sorted(r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert left == sorted([line, "keep me, for I am alone in all of this.", rows[2][1], rows[3][1]])
+
+
 def test_ngram_join_edges(edges, spark):
     extra = edges.withColumnsRenamed({"n_chars": "n", "source": "token", "lang": "component"})
     rows = ngram_join.ngram_components(extra, 5, (80, 100)).collect()
@@ -148,11 +170,15 @@ def line_rows():
     return rows
 
 
-@pytest.mark.parametrize("run_lines", [4096, 8])
-def test_line_dedup_equals_brute_force(spark, monkeypatch, run_lines):
+@pytest.mark.parametrize(("run_lines", "run_rows"), [(4096, 1_000_000), (8, 1_000_000), (8, 5)])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, run_lines, run_rows):
     monkeypatch.setattr(line_dedup, "RUN_LINES", run_lines)
+    monkeypatch.setattr(line_dedup, "RUN_ROWS", run_rows)
+    if run_rows < 100:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     rows = line_rows()
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == brute_lines(rows, 2, 24)
 
 
@@ -203,6 +229,39 @@ def test_language_id_on_held_out_documents(small):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_prediction_equals_a_plain_loop(small, spark):
+    rng = np.random.default_rng(3)
+    for width, weight in ((3, None), (language_id.WIDTH, rng.normal(size=(language_id.WIDTH, 20)))):
+        names = [f"l{i:02}" for i in range(3 if weight is None else 20)]
+        model = language_id.Model(names, rng.normal(size=(language_id.BUCKETS, width)).astype(np.float32), weight, rng.normal(size=len(names)), 0.7, 0.2)
+        for r in language_id.predict(small.limit(40), model).collect():
+            data = (r.text or "").lower().encode()
+            total, count = np.zeros(width), 0
+            for n in (3, 4):
+                for i in range(len(data) - n + 1):
+                    part = data[i : i + n]
+                    if not any(c in b" \t\n\x0b\x0c\r" for c in part[1:-1]):
+                        code = n + sum(int(tb._BYTE_VALUE[c]) * int(tb._PLACE[j]) for j, c in enumerate(part)) & (1 << 64) - 1
+                        bucket = ((code ^ (code >> 29)) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> (64 - language_id.BITS)
+                        total, count = total + model.table[bucket], count + 1
+            logit = total / max(count, 1)
+            logit = ((logit if weight is None else logit @ weight) + model.bias) / model.temperature
+            p = np.exp(logit - logit.max()) / np.exp(logit - logit.max()).sum()
+            if any(c.isalpha() for c in r.text or ""):
+                assert r.lang_pred == names[int(p.argmax())] and abs(r.score - p.max()) < 1e-6
+            else:
+                assert r.lang_pred == "und"
+
+
+def test_language_id_with_many_languages(spark):
+    rng = random.Random(2)
+    words = {f"l{i:02}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(12)] for i in range(30)}
+    rows = [(i * 31 + j, " ".join(rng.choice(words[k]) for _ in range(40)), k) for i in range(40) for j, k in enumerate(words)]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    right = {i: k for i, _, k in rows}
+    assert np.mean([r.lang_pred == right[r.doc_id] for r in got if r.held_out]) > 0.9 and len({r.lang_pred for r in got}) == 30
+
+
 def test_language_id_edges(edges, spark):
     extra = edges.withColumnsRenamed({"source": "score", "n_chars": "accepted"})
     rows = language_id.identify(extra).collect()
@@ -395,6 +454,43 @@ def test_license_scan_finds_whole_texts_and_tells_licenses_apart(spark):
     assert len(common) == best[300][200]
 
 
+def test_license_scan_equals_aligning_every_window(spark):
+    """Where a stretch of the text aligns with a template as a whole, and only there, the scan has a row."""
+    rng = random.Random(14)
+    forms = {"A": "alpha beta gamma delta epsilon zeta eta theta iota kappa", "B": "one two three one two four five six two one seven", "-": "-- ..", "": ""}
+    rows = []
+    for i in range(150):
+        name = rng.choice(["A", "B"])
+        words = forms[name].split()
+        for _ in range(rng.randint(0, 5)):
+            k = rng.randrange(len(words) + 1)
+            words[k : k + rng.randint(0, 1)] = rng.choice([[], ["x"], ["two"], ["kappa"]])
+        rows.append((i, " ".join([prose(rng, rng.randint(0, 9)), *words, prose(rng, rng.randint(0, 9))])))
+    got = {(r.doc_id, r.license) for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), forms).collect()}
+
+    def common(a, b):
+        last = [0] * (len(b) + 1)
+        for x in a:
+            now = [0]
+            for j, y in enumerate(b):
+                now.append(last[j] + 1 if x == y else max(last[j + 1], now[-1]))
+            last = now
+        return last[-1]
+
+    for i, text in rows:
+        words = text.split()
+        for name in "AB":
+            form = forms[name].split()
+            size = int(1.5 * len(form)) + 1
+            best = max(common(words[s : s + size], form) for s in range(max(1, len(words) - size + 1)))
+            # patience may align less than the longest common subsequence, never more; a text that has the form as it is is found
+            if (i, name) in got:
+                assert max(common(words[s : s + 2 * size], form) for s in range(len(words))) >= 0.8 * len(form)
+            if best == len(form):
+                assert (i, name) in got
+    assert len(got) > 60 and license_scan.scan_licenses(spark.createDataFrame(rows[:3], "doc_id long, text string"), {"x": "--"}).collect() == []
+
+
 def test_patience_alignment_is_a_common_subsequence():
     rng = random.Random(8)
     for _ in range(200):
