@@ -20,7 +20,7 @@ from .ngram_join import _runs
 from .shared import components, materialise
 
 # nearest neighbours: hash functions a table, cell width (for vectors of length 1 at most), tables, buckets probed a table
-HASHES, CELL, TABLES, PROBES = 4, 1.2, 4, 54
+HASHES, CELL, TABLES, PROBES = 3, 1.2, 4, 20
 # near-duplicates: cross-polytope hashes a table, tables
 POLYTOPES, ROTATIONS, LINK_TABLES = 3, 3, 8
 BLOCK_ROWS = 4096  # rows of a bucket that meet in one task; larger buckets are cut
