@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .operators import boxes, diff, drawing, entities, faces, layout, raster, reconcile, sequence, spatial, traverse
+from .operators.graph import materialise
 from .plans.views import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,8 +39,8 @@ d as (select coalesce(a.o_orderkey, b.o_orderkey)::varchar as o_orderkey, coales
   a.o_orderstatus as s1, b.o_orderstatus as s2, a.o_totalprice::varchar as p1, b.o_totalprice::varchar as p2
   from v_snap_a a full join v_snap_b b on a.o_orderkey = b.o_orderkey and a.o_custkey = b.o_custkey),
 diff as (
-  select o_orderkey, o_custkey, 'only_a' as kind, '' as "column", s1 || '|' || p1 as value from d where not in_b
-  union all select o_orderkey, o_custkey, 'only_b', '', s2 || '|' || p2 from d where not in_a
+  select o_orderkey, o_custkey, 'only_a' as kind, '' as "column", to_json({'o_orderstatus': s1, 'o_totalprice': p1})::varchar as value from d where not in_b
+  union all select o_orderkey, o_custkey, 'only_b', '', to_json({'o_orderstatus': s2, 'o_totalprice': p2})::varchar from d where not in_a
   union all select o_orderkey, o_custkey, 'changed', 'o_orderstatus', s1 || ' → ' || s2 from d where in_a and in_b and s1 <> s2
   union all select o_orderkey, o_custkey, 'changed', 'o_totalprice', p1 || ' → ' || p2 from d where in_a and in_b and p1 <> p2)
 """
@@ -66,57 +67,127 @@ def diff_summary(spark, sf_dir):
     return diff.diff_summary(diff_keyed(spark, sf_dir))
 
 
+@query(
+    """a as (select distinct name_raw, area_raw from v_text where id % 5 <> 0), b as (select distinct name_raw, case when id % 7 = 0 then '0' else area_raw end as area_raw from v_text where id % 5 <> 1)
+    select name_raw, area_raw, 'only_a' as kind, '' as "column", '' as value from (select * from a except select * from b) union all select name_raw, area_raw, 'only_b', '', '' from (select * from b except select * from a)""",
+    "v_text",
+)
+def diff_no_key(spark, sf_dir):
+    """Tables without a column that reads as a key: all columns are."""
+    rows = view(spark, sf_dir, "v_text")
+    older, newer = rows.where("id % 5 <> 0").select("name_raw", "area_raw"), rows.where("id % 5 <> 1").select("name_raw", F.when(c("id") % 7 == 0, "0").otherwise(c("area_raw")).alias("area_raw"))
+    return diff.keyed_diff(older, newer)
+
+
 # registry exports
 
-_ROLLUP = """
-{p}_all as (select property_id, line_idx, record_type, c0, {c1} as c1, {c2} as c2 from v_records where {where}),
-{p} as (select any_value(c0) filter (record_type = '物件情報') as number, any_value(c1) filter (record_type = '物件情報') as location, (min({{'l': line_idx, 'v': c0}}) filter (record_type = '表示履歴')).v as parcel_no,
-  coalesce((max({{'l': line_idx, 'v': c1}}) filter (record_type = '表示履歴' and c1 not like '【%')).v, '') as land_use, coalesce((max({{'l': line_idx, 'v': c2}}) filter (record_type = '表示履歴')).v, '') as area,
-  list(c0 || ',' || c1 || ',' || c2 order by line_idx, c0 || ',' || c1 || ',' || c2) filter (record_type = '表示履歴') as history,
-  list([c0, c1, c2] order by line_idx) filter (record_type = '所有権') as owners
-  from {p}_all group by property_id having count(*) filter (record_type = '表示履歴') > 0),
-{p}_k as (select location || '|' || parcel_no as key, * from {p})
+_STRIP = "trim(regexp_replace({0}, '[【】\\[\\]]', '', 'g'))"
+_IS_OLD = "regexp_matches({0}, '[【】\\[\\]]')"
+_KEY = "regexp_replace(replace({0}, '番の', '番'), '番$', '')"
+
+
+def _rollup(p: str, cells: dict[str, str], where: str, source: bool = False) -> str:
+    """SQL of the roll-up as table p, and as table p_k with its key; cells: expressions that replace cells."""
+    f = ", ".join(f"{cells.get(f'f{i}', f'f{i}')} as f{i}" for i in range(11))
+    is_old = (lambda x: f"regexp_matches({x}, '[【】]')") if source else _IS_OLD.format
+    now = lambda x: f"coalesce(arg_max({_STRIP.format(x)}, line_idx) filter (f1 like '表示履歴%' and {_STRIP.format(x)} <> '' and not {is_old(x)}), '')"
+    full = "f1 like '所在%' and f2 <> ''" if source else "f1 like '所在%'"
+    place = "o4" if source else "o4 || o9"
+    parcel = "coalesce(shown, o5)" if source else "regexp_replace(coalesce(shown, o5), '([0-9]+)-([0-9]+)', '\\1番\\2', 'g')"
+    one = ", ".join(f"any_value(f{i}) filter (f1 = '物件情報') as o{i}" for i in (0, 2, 3, 4, 5, 6, 9, 10))
+    owner = "{'address': case when f1 like '所有者%' then '' else f2 end, 'share': case when f1 like '所有者%' then '' else f3 end, 'name': case when f1 like '所有者%' then f2 else f4 end, 'registration': case when f1 like '所有者%' then '' else f6 end, 'reference': case when f1 like '所有者%' then '' else f7 end}"
+    return f"""
+{p}_all as (select property_id, line_idx, {f} from v_records where {where}),
+{p}_g as (select {one}, coalesce(arg_max(f2, line_idx) filter ({full}), '') as full_place, arg_min(f2, line_idx) filter (f1 like '表示履歴%' and f2 <> '') as shown, {now('f4')} as land_use, {now('f5')} as area,
+  list(f2 || '|' || f4 || '|' || f5 || '|' || f6 || '|' || f7 order by line_idx) filter (f1 like '表示履歴%') as history, list({owner} order by line_idx) filter (f1 like '所有%') as owners,
+  list({_STRIP.format('f4')} order by line_idx) filter (f1 like '表示履歴%' and {is_old('f4')}) as olds from {p}_all group by property_id),
+{p} as (select o0 as number, o2 as kind, o3 as status, case when full_place <> '' then full_place else {place} end as location, {parcel} as parcel_no, o6 as real_estate_no, o10 as city_code, land_use, area, coalesce(history, []) as history, coalesce(owners, []) as owners, coalesce(olds, []) as olds from {p}_g),
+{p}_k as (select location || '|' || {_KEY.format('parcel_no')} as key, * from {p})
 """
-_NEW = {"c1": "case when record_type = '所有権' and property_id % 5 = 0 then c1 || 'X' when record_type = '表示履歴' and property_id % 3 = 0 and c1 = 'O' then 'F' else c1 end", "c2": "case when record_type = '表示履歴' and property_id % 7 = 0 then c2 || '.50' else c2 end", "where": "property_id % 11 <> 0"}
-_OLD = {"c1": "c1", "c2": "c2", "where": "property_id % 13 <> 1"}
+
+
+_OWNER = "concat_ws(' / ', nullif(o['name'], ''), nullif(o['share'], ''), nullif(o['address'], ''), nullif(o['registration'], ''), nullif(o['reference'], ''))"
+_OLD = ({}, "property_id % 13 <> 1")
+_NEW = (
+    {
+        "f2": "case when f1 = '物件情報' and property_id % 17 = 0 then 'K' when f1 = '所有権' and property_id % 31 = 0 then concat(f2, '-1') else f2 end",
+        "f3": "case when f1 = '物件情報' and property_id % 19 = 0 then '閉鎖' when f1 = '所有権' and property_id % 37 = 0 then '持分3分の1' else f3 end",
+        "f4": "case when f1 = '所有権' and property_id % 5 = 0 then concat(f4, 'X') when f1 = '表示履歴' and property_id % 3 = 0 and f4 = 'O' then 'F' else f4 end",
+        "f5": "case when f1 = '表示履歴' and property_id % 7 = 0 then concat(f5, '.50') when f1 = '表示履歴' and property_id % 7 = 1 then concat(f5, '.0') else f5 end",
+        "f6": "case when f1 = '物件情報' and property_id % 23 = 0 then concat(f6, '9') else f6 end",
+        "f10": "case when f1 = '物件情報' and property_id % 29 = 0 then concat(f10, '1') else f10 end",
+    },
+    "property_id % 11 <> 0",
+)
 
 
 def _records(spark, sf_dir, version):
-    v = {"old": _OLD, "new": _NEW, "base": {"c1": "c1", "c2": "c2", "where": "true"}}[version]
-    return view(spark, sf_dir, "v_records").where(v["where"]).select(F.lit(version).alias("file"), "line_idx", "record_type", "c0", F.expr(v["c1"]).alias("c1"), F.expr(v["c2"]).alias("c2"))
+    cells, where = {"old": _OLD, "new": _NEW, "base": ({}, "true")}[version]
+    fields = F.array(*[F.expr(cells.get(f"f{i}", f"f{i}")) for i in range(11)])
+    return view(spark, sf_dir, "v_records").where(where).select(F.lit(version).alias("file"), "line_idx", fields.alias("fields"))
 
 
-def _properties(spark, sf_dir, version):
-    # one order is one property: files of a thousand orders are read on their own
-    lines = _records(spark, sf_dir, version).withColumn("file", F.concat("file", F.lit("-"), F.floor(c("line_idx") / 100_000).cast("string")))
-    return diff.rollup_records(lines)
+def _properties(spark, sf_dir, version, dialect="registry"):
+    return diff.rollup_records(_records(spark, sf_dir, version), dialect=dialect)
 
 
-@query(_ROLLUP.format(p="r", c1="c1", c2="c2", where="true") + "select number, location, parcel_no, land_use, area, len(history) as n_history, array_to_string(list_transform(owners, lambda o: o[2] || ' / ' || o[1] || ' / ' || o[3]), '; ') as owners from r", "v_records")
+_SHOWN = f"number, location, parcel_no, land_use, area, len(history) as n_history, array_to_string(list_transform(owners, lambda o: {_OWNER}), '; ') as owners, len(owners) as n_owners, array_to_string(olds, ',') as old_land_uses"
+
+
+def _shown_columns():
+    owners = F.array_join(F.transform("owners", diff.owner_text), "; ")
+    return ["number", "location", "parcel_no", "land_use", "area", F.size("history").cast("long").alias("n_history"), owners.alias("owners"), F.size("owners").cast("long").alias("n_owners"), F.array_join("old_land_uses", ",").alias("old_land_uses")]
+
+
+@query(_rollup("r", {}, "true") + f"select kind, status, real_estate_no, city_code, {_SHOWN} from r", "v_records")
 def registry_rollup(spark, sf_dir):
-    shown = F.array_join(F.transform("owners", lambda o: tx.join_nonempty(o["name"], o["address"], o["note"])), "; ")
-    return _properties(spark, sf_dir, "base").select("number", "location", "parcel_no", "land_use", "area", F.size("history").cast("long").alias("n_history"), shown.alias("owners"))
+    return _properties(spark, sf_dir, "base").select("kind", "status", "real_estate_no", "city_code", *_shown_columns())
+
+
+_BRANCH = "regexp_replace({0}, '([0-9]+)-([0-9]+)', '\\1番\\2', 'g')"
+_SOURCE_KEY = _KEY.format(_BRANCH.format("parcel_no"))
+
+
+@query(_rollup("r", {}, "true", source=True) + f"select {_SOURCE_KEY} as key, {_SHOWN} from r", "v_records")
+def source_rollup(spark, sf_dir):
+    rows = diff.by_parcel(_properties(spark, sf_dir, "base", "source"))
+    return rows.select("key", *_shown_columns())
 
 
 def _keyed(spark, sf_dir, version):
     return diff.tracked(_properties(spark, sf_dir, version))
 
 
+_FIELDS = (("種別", "kind"), ("状態", "status"), ("不動産番号", "real_estate_no"), ("市区町村コード等", "city_code"), ("地目", "land_use"))
+_AREA = "case when {0} like '%.%' then rtrim(rtrim({0}, '0'), '.') else {0} end"
 _REGISTRY_DIFF = (
-    _ROLLUP.format(p="o", **_OLD)
+    _rollup("o", *_OLD)
     + ","
-    + _ROLLUP.format(p="n", **_NEW)
+    + _rollup("n", *_NEW)
+    + """,
+j as (select coalesce(o_k.key, n_k.key) as key, o_k.key is not null as in_o, n_k.key is not null as in_n, coalesce(n_k.location, o_k.location) as location, coalesce(n_k.parcel_no, o_k.parcel_no) as parcel_no,
+  concat_ws(' / ', o_k.location, o_k.parcel_no, nullif(o_k.land_use, ''), nullif(o_k.area, '')) as t1, concat_ws(' / ', n_k.location, n_k.parcel_no, nullif(n_k.land_use, ''), nullif(n_k.area, '')) as t2,
+  o_k.history as h1, n_k.history as h2, o_k.owners as w1, n_k.owners as w2, o_k.area as area_1, n_k.area as area_2, """
+    + ", ".join(f"o_k.{x} as {x}_1, n_k.{x} as {x}_2" for _, x in _FIELDS)
+    + """ from o_k full join n_k on o_k.key = n_k.key),
+"""
+    + ",\n".join(
+        f"w{i} as (select key, case when o['name'] <> '' then o['name'] else '__blank_' || i end as who, list(o['address'] || '|' || o['share'] || '|' || o['name'] || '|' || o['registration'] || '|' || o['reference']) as sigs, list({_OWNER} order by i) as shown from (select key, unnest(w{i}) as o, generate_subscripts(w{i}, 1) - 1 as i from j where in_o and in_n) group by 1, 2)"
+        for i in (1, 2)
+    )
     + """,
-j as (select coalesce(o_k.key, n_k.key) as key, o_k.key is not null as in_o, n_k.key is not null as in_n, o_k.land_use as u1, n_k.land_use as u2, o_k.area as a1, n_k.area as a2, o_k.history as h1, n_k.history as h2, o_k.owners as w1, n_k.owners as w2,
-  concat_ws(' / ', o_k.location, o_k.parcel_no, nullif(o_k.land_use, ''), nullif(o_k.area, '')) as t1, concat_ws(' / ', n_k.location, n_k.parcel_no, nullif(n_k.land_use, ''), nullif(n_k.area, '')) as t2 from o_k full join n_k on o_k.key = n_k.key),
-rd as (
-  select key, '追加' as kind, '物件' as item, '' as old_value, t2 as new_value from j where not in_o
-  union all select key, '削除', '物件', t1, '' from j where not in_n
-  union all select key, '変更', '地目', u1, u2 from j where in_o and in_n and u1 <> u2
-  union all select key, '変更', '地積', a1, a2 from j where in_o and in_n and case when a1 like '%.%' then rtrim(rtrim(a1, '0'), '.') else a1 end <> case when a2 like '%.%' then rtrim(rtrim(a2, '0'), '.') else a2 end
-  union all select key, '変更', '表示履歴', array_to_string(h1, chr(10)), array_to_string(h2, chr(10)) from j where in_o and in_n and list_sort(h1) <> list_sort(h2)
-  union all select key, '削除', '所有者', w1[1][2] || ' / ' || w1[1][1] || ' / ' || w1[1][3], '' from j where in_o and in_n and w1[1][2] <> w2[1][2]
-  union all select key, '追加', '所有者', '', w2[1][2] || ' / ' || w2[1][1] || ' / ' || w2[1][3] from j where in_o and in_n and w1[1][2] <> w2[1][2])
+w as (select coalesce(w1.key, w2.key) as key, coalesce(w1.who, w2.who) as who, w1.shown as s1, w2.shown as s2 from w1 full join w2 on w1.key = w2.key and w1.who = w2.who where w1.who is null or w2.who is null or list_sort(w1.sigs) <> list_sort(w2.sigs)),
+rows_ as (
+  select key, 0 as ord, '' as who, 0 as i, '追加' as kind, '物件' as item, '' as old_value, t2 as new_value, '' as note from j where not in_o
+  union all select key, 0, '', 0, '削除', '物件', t1, '', '' from j where not in_n
+"""
+    + "".join(f"  union all select key, {n}, '', 0, '変更', '{item}', {x}_1, {x}_2, '' from j where in_o and in_n and {x}_1 <> {x}_2\n" for n, (item, x) in zip((1, 2, 5, 6, 7), _FIELDS, strict=True))
+    + f"""  union all select key, 8, '', 0, '変更', '地積', area_1, area_2, '' from j where in_o and in_n and {_AREA.format('area_1')} <> {_AREA.format('area_2')}
+  union all select key, 9, '', 0, '変更', '表示履歴', array_to_string(h1, chr(10)), array_to_string(h2, chr(10)), '履歴行の追加・削除・内容変更があります' from j where in_o and in_n and list_sort(h1) <> list_sort(h2)
+  union all select key, 10, who, 0, '変更', '所有者', array_to_string(s1, chr(10)), array_to_string(s2, chr(10)), '' from w where s1 is not null and s2 is not null
+  union all select key, 10, who, generate_subscripts(s2, 1), '追加', '所有者', '', unnest(s2), '' from w where s1 is null
+  union all select key, 10, who, generate_subscripts(s1, 1), '削除', '所有者', unnest(s1), '', '' from w where s2 is null),
+rd as (select key, row_number() over (partition by key order by ord, who, i) - 1 as item_ord, kind, location, parcel_no, item, old_value, new_value, note from rows_ join j using (key))
 """
 )
 
@@ -131,8 +202,7 @@ def registry_diff(spark, sf_dir):
     "v_records",
 )
 def registry_diff_pairs(spark, sf_dir):
-    both = _properties(spark, sf_dir, "old").unionByName(_properties(spark, sf_dir, "new"))
-    return diff.registry_diff_all_pairs(both.withColumn("file", F.substring_index("file", "-", 1)))
+    return diff.registry_diff_all_pairs(_properties(spark, sf_dir, "old").unionByName(_properties(spark, sf_dir, "new")))
 
 
 # texts
@@ -146,7 +216,7 @@ def _fold(x: str) -> str:
 
 @query(f"select id, {_fold('parcel_raw')} as parcel, {_fold('area_raw')} as area, {_fold('name_raw')} as name from v_text", "v_text")
 def text_width_fold(spark, sf_dir):
-    return view(spark, sf_dir, "v_text").select("id", tx.width_fold(c("parcel_raw")).alias("parcel"), tx.width_fold(c("area_raw")).alias("area"), tx.width_fold(c("name_raw")).alias("name"))
+    return view(spark, sf_dir, "v_text").select("id", tx.width_fold(c("parcel_raw")).alias("parcel"), tx.width_fold(c("area_raw")).alias("area"), tx.nfkc(c("name_raw")).alias("name"))
 
 
 _PARCEL = f"regexp_replace(replace(regexp_replace(translate({_fold('parcel_raw')}, '－ー—', '---'), '([0-9]+)-([0-9]+)', '\\1番\\2', 'g'), '番の', '番'), '番$', '')"
@@ -207,9 +277,9 @@ def mtext_clean(spark, sf_dir):
     return view(spark, sf_dir, "v_text").select("id", tx.clean_mtext(coded).alias("cleaned"))
 
 
-@query("select line_idx, c1 like '%【%' as is_old, trim(replace(replace(c1, '【', ''), '】', '')) as bare from v_records where record_type = '表示履歴'", "v_records")
+@query(f"select line_idx, {_IS_OLD.format('f4')} as is_old, {_STRIP.format('f4')} as bare from v_records where f1 = '表示履歴'", "v_records")
 def old_marks(spark, sf_dir):
-    return view(spark, sf_dir, "v_records").where("record_type = '表示履歴'").select("line_idx", tx.is_old_value(c("c1")).alias("is_old"), tx.strip_old_marks(c("c1")).alias("bare"))
+    return view(spark, sf_dir, "v_records").where("f1 = '表示履歴'").select("line_idx", tx.is_old_value(c("f4")).alias("is_old"), tx.strip_old_marks(c("f4")).alias("bare"))
 
 
 _ADDR = f"(length({{0}}) >= 4 and regexp_matches({{0}}, '{tx.ADDRESS}'))"
@@ -252,6 +322,37 @@ def owner_drift(spark, sf_dir):
     return reconcile.repair_owner(view(spark, sf_dir, "v_ocr")).select("line_idx", "addr", "share", "name", reconcile.valid_parcel(c("parcel_no")).alias("valid"))
 
 
+@query(
+    f"""r as (select *, regexp_matches(name, '(明治|大正|昭和|平成|令和)[0-9]+年') or (share <> '' and share not like '持分%' and not regexp_matches(share, '(明治|大正|昭和|平成|令和)[0-9]+年')) as off from v_ocr)
+    select line_idx, addr, case when off then '' else share end as share, case when off then share else name end as name from r""",
+    "v_ocr",
+)
+def owner_drift_v1(spark, sf_dir):
+    return reconcile.repair_owner_v1(view(spark, sf_dir, "v_ocr")).select("line_idx", "addr", "share", "name")
+
+
+@query(
+    """select line_idx, case when line_idx % 2 = 0 then '続' else entry end as entry, case when line_idx % 2 = 0 then '' else addr end as location, case when line_idx % 2 = 0 then '' else share end as parcel_no, case when line_idx % 2 = 0 then '' else name end as land_use, case when line_idx % 2 = 0 then '' else receipt end as area,
+    case when line_idx % 2 = 0 then addr else '' end as addr, case when line_idx % 2 = 0 then share else '' end as share, case when line_idx % 2 = 0 then name else '' end as name, case when line_idx % 2 = 0 then receipt else '' end as receipt from v_ocr""",
+    "v_ocr",
+)
+def early_lines(spark, sf_dir):
+    """Lines of the earlier form, where an owner stands right behind 続."""
+    cells = F.array(F.when(c("line_idx") % 2 == 0, sequence.MORE).otherwise(c("entry")), "addr", "share", "name", "receipt")
+    return sequence.line_columns(view(spark, sf_dir, "v_ocr").select("line_idx", cells.alias("fields")), early=True)
+
+
+@query("select line_idx, unnest([trim(entry), trim(parcel_no)]) as line from v_ocr", "v_ocr")
+def response_lines(spark, sf_dir):
+    answer = F.concat(F.lit("```csv\n "), "entry", F.lit(" \n\n"), "parcel_no", F.lit("\n```"))
+    return view(spark, sf_dir, "v_ocr").select("line_idx", F.explode(reconcile.response_lines(answer)).alias("line"))
+
+
+@query("select line_idx, try_cast(area as double) as number, area as shown from v_ocr", "v_ocr")
+def number_or_text(spark, sf_dir):
+    return view(spark, sf_dir, "v_ocr").select("line_idx", tx.number_or_text(c("area")).alias("number"), c("area").alias("shown"))
+
+
 def _entries(spark, sf_dir, *markers):
     return view(spark, sf_dir, "v_seq").where(sequence.is_numbered(c("entry")) | c("entry").isin(*markers))
 
@@ -326,51 +427,101 @@ def number_gaps(spark, sf_dir):
 
 
 def _source(spark, sf_dir):
-    old = view(spark, sf_dir, "v_records").where("record_type = '表示履歴' and c1 like '【%'").groupBy("property_id").agg(F.collect_list(tx.strip_old_marks(c("c1"))).alias("old_land_uses"))
-    mine = _properties(spark, sf_dir, "base").select(c("number").alias("key"), "land_use", F.concat("area", F.lit(".5")).alias("area"), "owners")
-    return mine.join(old.select(c("property_id").cast("string").alias("key"), "old_land_uses"), "key", "left")
+    rows = diff.by_parcel(_properties(spark, sf_dir, "base", "source"))
+    return materialise(rows.withColumn("area", F.concat("area", F.lit(".5"))))
 
 
 def _read(spark, sf_dir):
-    rows = view(spark, sf_dir, "v_ocr")
-    return rows.select(tx.parcel_key(c("parcel_no")).alias("key"), tx.without_marker(c("land_use")).alias("land_use"), F.concat(F.expr("cast(cast(line_idx % 50 + 1 as int) as string)"), F.when(c("line_idx") % 4 == 0, "").otherwise(".5")).alias("area"), "line_idx")
+    area = F.concat(F.expr("cast(cast(line_idx % 50 + 1 as int) as string)"), F.when(c("line_idx") % 4 == 0, "").when(c("line_idx") % 4 == 1, "5").otherwise(".5"))
+    return materialise(reconcile.read_properties(view(spark, sf_dir, "v_ocr").select("line_idx", c("page").cast("string").alias("page"), F.lit("f").alias("file"), "location", "parcel_no", "land_use", area.alias("area"), "addr", "share", "name")))
 
 
+_DRIFT = f"""
+r1 as (select line_idx, parcel_no, case when z then '' else addr end as addr, share, case when z then addr else name end as name from (select *, addr <> '' and share = '' and name = '' and {_NAME.format('addr')} as z from v_ocr)),
+r2 as (select line_idx, parcel_no, addr, case when z and name = '' then '' else share end as share, case when z and name = '' then share else name end as name from (select *, {_NAME.format('share')} and share not like '持分%' and not {_DATED.format('share')} as z from r1)),
+r3 as (select *, {_NAME.format('share')} and share not like '持分%' and not {_DATED.format('share')} as z, {_DATED.format('name')} as w, {_NAME.format('addr')} as q from r2),
+people as (select line_idx, case when w and not z and q then '' else addr end as addr, case when w and z then '' else share end as share, case when w and z then share when w and q then addr when w then '' else name end as name from r3)
+"""
 _RECONCILE = (
-    _ROLLUP.format(p="r", c1="c1", c2="c2", where="true")
-    + """,
-old as (select property_id::varchar as key, list(replace(replace(c1, '【', ''), '】', '')) as olds from v_records where record_type = '表示履歴' and c1 like '【%' group by 1),
-src as (select number as key, land_use, area || '.5' as area, olds from r left join old on old.key = r.number),
-rd as (select regexp_replace(parcel_no, '番$', '') as key, case when land_use = '(空)' then '' else land_use end as land_use, (line_idx % 50 + 1)::int::varchar || case when line_idx % 4 = 0 then '' else '.5' end as area from v_ocr),
-m as (select coalesce(src.key, rd.key) as key, src.key is not null as in_s, rd.key is not null as in_r, coalesce(src.land_use, '') as su, coalesce(rd.land_use, '') as ru, coalesce(src.area, '') as sa, coalesce(rd.area, '') as ra, olds from src full join rd on src.key = rd.key),
-rec as (select key, case when not in_s then 'read_only' when not in_r then 'source_only' else 'both' end as status,
+    _rollup("src", {}, "true", source=True)
+    + ","
+    + _DRIFT
+    + f""",
+sk as (select {_SOURCE_KEY} as key, location, land_use, area || '.5' as area, olds, list_filter(list_transform(owners, lambda o: o['name']), lambda x: x <> '') as names, len(owners) as n_owners, list_transform(owners, lambda o: [o['name'], o['address']]) as pairs from src),
+rd as (select replace({_BRANCH.format('v_ocr.parcel_no')}, '番の', '番') as key, location, case when land_use = '(空)' then '' else land_use end as land_use, (line_idx % 50 + 1)::int::varchar || case when line_idx % 4 = 0 then '' when line_idx % 4 = 1 then '5' else '.5' end as area, page::varchar as page, people.name as name, people.addr as addr from v_ocr join people using (line_idx)),
+m as (select coalesce(sk.key, rd.key) as key, sk.key is not null as in_s, rd.key is not null as in_r, coalesce(nullif(rd.location, ''), nullif(sk.location, ''), '') as location, coalesce(sk.land_use, '') as su, coalesce(rd.land_use, '') as ru, coalesce(sk.area, '') as sa, coalesce(rd.area, '') as ra, olds,
+  coalesce(array_to_string(names, ', '), '') as source_owners, coalesce(rd.name, '') as read_owners, coalesce(n_owners, 0) as source_owner_count, case when coalesce(rd.name, '') <> '' or coalesce(rd.addr, '') <> '' then 1 else 0 end as read_owner_count, coalesce(page, '') as page, pairs, coalesce(rd.addr, '') as addr from sk full join rd on sk.key = rd.key),
+rec as (select key, case when not in_s then 'read_only' when not in_r then 'source_only' else 'both' end as status, location,
   case when su <> '' and ru <> '' and su <> ru then case when coalesce(list_contains(olds, ru), false) then 'corrected' else 'changed' end else '' end as land_use_change,
-  case when sa <> '' and ra <> '' and sa <> ra then case when ra not like '%.%' and (ra = split_part(sa, '.', 1) or ra = replace(sa, '.', '')) then 'corrected' else 'changed' end else '' end as area_change, su, ru, sa, ra from m)
+  case when sa <> '' and ra <> '' and sa <> ra then case when ra not like '%.%' and (ra = split_part(sa, '.', 1) or ra = replace(sa, '.', '')) then 'corrected' else 'changed' end else '' end as area_change, su, ru, sa, ra, source_owners, read_owners, source_owner_count, read_owner_count, case when in_s then 'base' else '' end as file, page, pairs, addr from m),
+gone as (select key, pr[1] as name, pr[2] as address, read_owners from (select key, read_owners, unnest(pairs) as pr from rec where status = 'both') where pr[1] <> '' and pr[1] <> read_owners),
+fresh as (select key, read_owners as name, addr as address from rec where status = 'both' and read_owners <> '' and not coalesce(list_contains(list_transform(pairs, lambda x: x[1]), read_owners), false))
 """
 )
 _PICK = "case when {0} = 'changed' then {2} when {1} <> '' then {1} else {2} end"
 
 
-@query(_RECONCILE + f"select key, status, land_use_change, area_change, {_PICK.format('land_use_change', 'su', 'ru')} as land_use, {_PICK.format('area_change', 'sa', 'ra')} as area from rec", "v_records", "v_ocr")
+@query(
+    _RECONCILE
+    + f"select key, status, location, land_use_change, area_change, su as source_land_use, ru as read_land_use, sa as source_area, ra as read_area, source_owners, read_owners, source_owner_count, read_owner_count, file, page, {_PICK.format('land_use_change', 'su', 'ru')} as land_use, {_PICK.format('area_change', 'sa', 'ra')} as area from rec",
+    "v_records",
+    "v_ocr",
+)
 def reconcile_full(spark, sf_dir):
     return reconcile.reconcile(_source(spark, sf_dir), _read(spark, sf_dir))
 
 
-@query(_RECONCILE + f"select key, land_use_change, area_change, {_PICK.format('land_use_change', 'su', 'ru')} as land_use, {_PICK.format('area_change', 'sa', 'ra')} as area from rec where status = 'both' and (land_use_change <> '' or area_change <> '')", "v_records", "v_ocr")
+def _owner_differences(source, read):
+    people = lambda df: df.select("key", F.explode("owners").alias("o")).select("key", "o.name", "o.address")
+    both = source.select("key").join(read.select("key"), "key")
+    return reconcile.match_owners(*[people(df.join(both, "key", "left_semi")) for df in (source, read)])
+
+
+@query(
+    _RECONCILE
+    + """select key, 1 as item_ord, location, '地目' as item, su as old_value, ru as new_value, page, '' as note from rec where status = 'both' and land_use_change = 'changed'
+    union all select key, 2, location, '地目（OCR補正）', 'OCR読取値: ' || ru, '補正後: ' || su || '（照合元と一致）', page, '' from rec where status = 'both' and land_use_change = 'corrected'
+    union all select key, 3, location, '地積', sa, ra, page, '' from rec where status = 'both' and area_change = 'changed'
+    union all select key, 4, location, '地積（小数点補正）', '照合元: ' || sa, 'OCR読取値: ' || ra || '（整数部一致、小数点読み落とし）', page, '小数点の縦点線がOCRで認識されなかった可能性' from rec where status = 'both' and area_change = 'corrected'
+    union all select gone.key, 5, location, '所有者（消失）', name, '（OCRに該当なし）', page, case when address <> '' then '照合元住所: ' || address else '' end from gone join rec using (key)
+    union all select fresh.key, 5, location, '所有者（追加）', '（照合元に該当なし）', name, page, case when address <> '' then 'OCR住所: ' || address else '' end from fresh join rec using (key)""",
+    "v_records",
+    "v_ocr",
+)
 def reconcile_changes(spark, sf_dir):
-    return reconcile_full(spark, sf_dir).where("status = 'both' and (land_use_change <> '' or area_change <> '')").drop("status")
+    source, read = _source(spark, sf_dir), _read(spark, sf_dir)
+    return reconcile.changes(reconcile.reconcile(source, read), _owner_differences(source, read))
 
 
-@query(_RECONCILE + "select key, status from rec where status <> 'both'", "v_records", "v_ocr")
+@query(
+    _RECONCILE
+    + """select case when status = 'source_only' then '照合元のみ' else 'OCRのみ' end as category, key, location, case when status = 'source_only' then file else 'PDF p.' || page end as source, case when status = 'source_only' then 'OCR結果に該当なし（PDF範囲外の可能性）' else '照合元に該当なし（新規取得・範囲外の可能性）' end as note from rec where status <> 'both'""",
+    "v_records",
+    "v_ocr",
+)
 def reconcile_unmatched(spark, sf_dir):
-    return reconcile_full(spark, sf_dir).where("status <> 'both'").select("key", "status")
+    return reconcile.unmatched(reconcile_full(spark, sf_dir))
+
+
+@query(
+    _RECONCILE
+    + """select key, case when land_use_change = 'corrected' then '地目（OCR補正）' else '地目' end as item, case when land_use_change = 'corrected' then 'OCR読取値: ' || ru else su end as old_value, case when land_use_change = 'corrected' then '補正後: ' || su || '（照合元と一致）' else ru end as new_value from rec where status = 'both' and land_use_change <> ''
+    union all select key, '地積', sa, ra from rec where status = 'both' and sa <> '' and ra <> '' and sa <> ra
+    union all select key, '所有者', pairs[1][1], read_owners from rec where status = 'both' and pairs[1][1] <> '' and read_owners <> '' and pairs[1][1] <> read_owners""",
+    "v_records",
+    "v_ocr",
+)
+def reconcile_v1(spark, sf_dir):
+    first = F.coalesce(F.get("owners", F.lit(0))["name"], F.lit(""))
+    source, read = (df.withColumn("owner", first) for df in (_source(spark, sf_dir), _read(spark, sf_dir)))
+    return reconcile.reconcile_v1(source, read)
 
 
 @query(
     """s as (select distinct id % 400 as key, replace(name_raw, ' ', '') as n from v_text), r as (select distinct id % 400 as key, replace(replace(name_raw, ' ', ''), case when id % 3 = 0 then '髙' else '澤' end, case when id % 3 = 0 then '高' else '沢' end) as n from v_text where id % 10 <> 7),
     a as (select *, replace(replace(n, '髙', '高'), '澤', '沢') as f, row_number() over (partition by key, replace(replace(n, '髙', '高'), '澤', '沢') order by n) as k from s where not exists (select 1 from r where r.key = s.key and r.n = s.n)),
     b as (select *, replace(replace(n, '髙', '高'), '澤', '沢') as f, row_number() over (partition by key, replace(replace(n, '髙', '高'), '澤', '沢') order by n) as k from r where not exists (select 1 from s where r.key = s.key and r.n = s.n))
-    select coalesce(a.key, b.key) as key, case when b.n is null then '消失' when a.n is null then '追加' else '異体字差異' end as kind, coalesce(a.n, '') as source_name, coalesce(b.n, '') as read_name from a full join b on a.key = b.key and a.f = b.f and a.k = b.k""",
+    select coalesce(a.key, b.key) as key, case when b.n is null then '消失' when a.n is null then '追加' else '異体字差異' end as kind, coalesce(a.n, '') as source_name, coalesce(b.n, '') as read_name, '' as source_address, '' as read_address from a full join b on a.key = b.key and a.f = b.f and a.k = b.k""",
     "v_text",
 )
 def owner_match(spark, sf_dir):
@@ -392,9 +543,10 @@ def entity_counts(spark, sf_dir):
     return entities.entity_counts(_entities(spark, sf_dir))
 
 
-@query("select drawing_id, case when bool_or(etype in ('MTEXT', 'LWPOLYLINE')) then 'mtext' else 'text' end as format from v_entities group by 1", "v_entities")
+@query("select drawing_id, case when count(*) filter (etype = 'MTEXT') > 0 and count(*) filter (etype = 'LWPOLYLINE') > 0 then 'mtext' else 'text' end as format from (select drawing_id, etype from v_entities union all select 3, etype from v_entities where etype <> 'LWPOLYLINE' union all select drawing_id, etype from v_plan) group by 1", "v_entities", "v_plan")
 def format_detect(spark, sf_dir):
-    return entities.detect_format(_entities(spark, sf_dir))
+    one = _entities(spark, sf_dir).select("drawing_id", "etype")
+    return entities.detect_format(one.unionByName(one.where("etype <> 'LWPOLYLINE'").withColumn("drawing_id", F.lit(3))).unionByName(view(spark, sf_dir, "v_plan").select("drawing_id", "etype")))
 
 
 @query("r as (select drawing_id, round(radius, 2) as radius, count(*) as n, min(ord) as first from v_entities where etype = 'CIRCLE' group by 1, 2) select drawing_id, radius from (select *, row_number() over (partition by drawing_id order by n desc, first) as k from r) where k = 1", "v_entities")
@@ -419,13 +571,27 @@ def owner_texts(spark, sf_dir):
 
 
 @query(
-    "select count(*) as n_stakes, count(number) as n_named, count(*) filter (number like '-%' or number like '交%') as n_intersections, count(distinct nullif(regexp_extract(number, '^[-交]?([0-9]+)\\.', 1), '')) as n_blocks, (select count(*) from v_lines) as n_lines, (select count(*) from v_labels) as n_labels from v_stakes",
+    """select count(*) as n_stakes, count(number) as n_named, count(*) filter (number like '-%' or number like '交%') as n_intersections, count(distinct nullif(regexp_extract(number, '^[-交]?([0-9]+)\\.', 1), '')) as n_blocks, (select count(*) from v_lines) as n_lines,
+    (select count(*) from v_lines l where exists (select 1 from v_stakes s where s.number is not null and sqrt((l.x1 - s.x) * (l.x1 - s.x) + (l.y1 - s.y) * (l.y1 - s.y)) < 0.5) and exists (select 1 from v_stakes s where s.number is not null and sqrt((l.x2 - s.x) * (l.x2 - s.x) + (l.y2 - s.y) * (l.y2 - s.y)) < 0.5)) as n_matched,
+    (select count(*) from v_labels) as n_labels, (select count(*) from v_public) as n_public from v_stakes""",
     "v_stakes",
     "v_lines",
     "v_labels",
+    "v_public",
 )
 def diagnostics(spark, sf_dir):
-    return entities.diagnostics(*[view(spark, sf_dir, v) for v in ("v_stakes", "v_lines", "v_labels")])
+    stakes, lines = view(spark, sf_dir, "v_stakes"), view(spark, sf_dir, "v_lines")
+    return entities.diagnostics(stakes, lines, view(spark, sf_dir, "v_labels"), spatial.line_ends(lines, stakes, "number"), view(spark, sf_dir, "v_public"))
+
+
+@query("select distinct nullif(regexp_extract(number, '^[-交]?([0-9]+)\\.', 1), '') as block from v_stakes where regexp_extract(number, '^[-交]?([0-9]+)\\.', 1) <> ''", "v_stakes")
+def block_list(spark, sf_dir):
+    return entities.block_list(view(spark, sf_dir, "v_stakes"))
+
+
+@query("select label_id, number from v_labels where number in ('25', '301-4', '7-7')", "v_labels")
+def target_parcels(spark, sf_dir):
+    return drawing.target_parcels(view(spark, sf_dir, "v_labels"), " 25, 301-4,,7-7 ").select("label_id", "number")
 
 
 # joins by distance
@@ -464,19 +630,62 @@ def aux_edges(spark, sf_dir):
     return spatial.edges(view(spark, sf_dir, "v_lines"), _aux_stakes(spark, sf_dir), "name")
 
 
-@query()
+@query(
+    f"""p as (select label_id as left_id, stake_id as right_id, {_distance('l', 'x', 'y', 's')} as d, {_distance('l', 'x', 'y', 's')} * case when (label_id % 3)::varchar = layer then 0.8 else 1 end as cost from v_labels l join v_stakes s on {_distance('l', 'x', 'y', 's')} < 4)
+    select left_id, right_id, round(d, 6) as d from (select *, row_number() over (partition by right_id order by cost, left_id) as k from p) where k = 1""",
+    "v_stakes",
+    "v_labels",
+)
 def assign_unique(spark, sf_dir):
+    """Stakes lie further apart than twice the reach, so that each takes its cheapest label."""
     left = view(spark, sf_dir, "v_labels").select(c("label_id").alias("left_id"), "x", "y", (c("label_id") % 3).cast("string").alias("layer"))
     right = view(spark, sf_dir, "v_stakes").select(c("stake_id").alias("right_id"), c("x").alias("rx"), c("y").alias("ry"), c("layer").alias("r_layer"))
-    return spatial.assign(left, right)
+    return spatial.assign(left, right, 4.0).withColumn("d", F.round("d", 6))
 
 
-@query()
+@query("""t as (select * from v_entities where etype = 'MTEXT' and ord < 20000000), s as (select min(ord) as stake_id, arg_min(x1, ord) as x, arg_min(y1, ord) as y, arg_min(layer, ord) as layer from v_entities where etype = 'CIRCLE' and abs(radius - 0.25) < 0.01 group by round(x1, 3), round(y1, 3))
+select stake_id, t.text as number, s.layer from s left join t on sqrt((t.x1 - s.x) * (t.x1 - s.x) + (t.y1 - s.y) * (t.y1 - s.y)) < 5""", "v_entities")
 def drawing_stakes(spark, sf_dir):
-    """Stakes with the numbers that the whole drawing's assignment gives them."""
+    """Stakes with the numbers that the whole drawing's assignment gives them; a number's text is near one stake only."""
     return drawing.parse_entities(_entities(spark, sf_dir)).stakes.select("stake_id", "number", "layer")
 
 
+_PLAN = """
+fore as (select * from v_plan where layer not in ('_f-0_', '_f-8_', '_9-0_', '_9-1_')),
+st as (select min(ord) as stake_id, arg_min(x1, ord) as x, arg_min(y1, ord) as y, arg_min(layer, ord) as layer from fore where etype = 'CIRCLE' group by round(x1, 3), round(y1, 3)),
+pt as (select * from fore where etype = 'TEXT' and ord < 20000000),
+ps as (select stake_id, pt.text as number, st.layer, x, y from st left join pt on sqrt((pt.x1 - st.x) * (pt.x1 - st.x) + (pt.y1 - st.y) * (pt.y1 - st.y)) < 12.5)
+"""
+
+
+@query(_PLAN + "select stake_id, number, layer from ps", "v_plan")
+def drawing_text_stakes(spark, sf_dir):
+    """A drawing in the text format: circles of any radius, reach by the usual radius, background layers left out."""
+    return drawing.parse_entities(view(spark, sf_dir, "v_plan")).stakes.select("stake_id", "number", "layer")
+
+
+@query(
+    _PLAN
+    + """, ln as (select ord, x1, y1, x2, y2 from fore where etype = 'LINE'),
+    hit as (select ord, 1 as e, number, row_number() over (partition by ord order by sqrt((x1 - x) * (x1 - x) + (y1 - y) * (y1 - y)), stake_id) as k from ln join ps on number is not null and sqrt((x1 - x) * (x1 - x) + (y1 - y) * (y1 - y)) < 0.5
+      union all select ord, 2, number, row_number() over (partition by ord order by sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)), stake_id) from ln join ps on number is not null and sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)) < 0.5)
+    select distinct min(number) as u, max(number) as v from hit where k = 1 group by ord having count(*) = 2 and min(number) <> max(number)""",
+    "v_plan",
+)
+def drawing_text_edges(spark, sf_dir):
+    return drawing.parse_entities(view(spark, sf_dir, "v_plan")).edges
+
+
+@query(
+    """p as (select * from v_plan where etype = 'TEXT' and ord between 30000000 and 39999999), u as (select * from v_plan where etype = 'TEXT' and ord between 40000000 and 49999999 and layer not in ('_f-0_', '_f-8_', '_9-0_', '_9-1_')),
+    n as (select p.ord, u.text, row_number() over (partition by p.ord order by sqrt((p.x1 - u.x1) * (p.x1 - u.x1) + (p.y1 - u.y1) * (p.y1 - u.y1)), u.ord) as k from p join u on abs(p.x1 - u.x1) < 150 and abs(p.y1 - u.y1) < 150 and sqrt((p.x1 - u.x1) * (p.x1 - u.x1) + (p.y1 - u.y1) * (p.y1 - u.y1)) < 150)
+    select p.ord as label_id, p.text as number, n.text as land_use, null::varchar as owner from p left join n on n.ord = p.ord and k = 1""",
+    "v_plan",
+)
+def drawing_text_parcels(spark, sf_dir):
+    return drawing.parse_entities(view(spark, sf_dir, "v_plan")).parcels.select("label_id", "number", "land_use", "owner")
+
+
 # faces
 
 
@@ -522,11 +731,36 @@ def face_area(spark, sf_dir):
     return faces.faces(*_graph(spark, sf_dir)).select("face", F.round("area", 4).alias("area"))
 
 
+def _rings_sql(faces_sql: str, label: str) -> str:
+    """SQL from faces f (face, n, ring) and places p to simple faces, and the smallest around each row of label."""
+    return (
+        faces_sql
+        + f""", sp as (select face, ring, n, 1 as k, [ring[1]] as path, null::varchar[] as cut from f
+  union all select face, ring, n, k + 1, case when list_contains(path, ring[k + 1]) then path[:list_position(path, ring[k + 1])] else list_append(path, ring[k + 1]) end, case when list_contains(path, ring[k + 1]) then path[list_position(path, ring[k + 1]):] end from sp where k < n),
+parts as (select face, k, cut as nodes from sp where len(cut) >= 3 union all select face, n + 1, path from sp where k = n and len(path) >= 3),
+pv as (select face || '#' || k as face_id, i, nodes[i] as node, nodes[i % len(nodes) + 1] as after from (select face, k, nodes, unnest(range(1, len(nodes) + 1)) as i from parts)),
+px as (select face_id, i, pv.node as node, a.x, a.y, b.x as x2, b.y as y2 from pv join p a on a.node = pv.node join p b on b.node = pv.after),
+simple as (select face_id, abs(sum(x * y2 - x2 * y) / 2) as area, min(x) as x_min, max(x) as x_max, min(y) as y_min, max(y) as y_max, avg(x) as cx, avg(y) as cy,
+  case when sum(x * y2 - x2 * y) > 0 then list_reverse(list({{'node': node, 'w': y - x}} order by i)) else list({{'node': node, 'w': y - x}} order by i) end as pts from px group by 1 having sum(x * y2 - x2 * y) <> 0),
+start as (select face_id, list_reduce(list_transform(range(1, len(pts) + 1), lambda j: {{'i': j, 'w': pts[j].w}}), lambda b, q: case when q.w > b.w + 0.001 then q else b end).i as first_ from simple),
+shape as (select s.*, list_transform(range(0, len(pts) + 1), lambda j: pts[((first_ - 1 + j) % len(pts) + 1)::int].node) as closed from simple s join start using (face_id)),
+inside as (select l.label_id, s.face_id, s.area from {label} l join simple s on l.x between x_min and x_max and l.y between y_min and y_max join px e on e.face_id = s.face_id group by l.label_id, s.face_id, s.area having count(*) filter ((e.y > l.y) <> (e.y2 > l.y) and l.x < (e.x2 - e.x) * (l.y - e.y) / nullif(e.y2 - e.y, 0) + e.x) % 2 = 1),
+hits as (select label_id, arg_min(face_id, {{'a': area, 'f': face_id}}) as face_id from inside group by 1)
+"""
+    )
+
+
+_FOUND = """, won as (select l.label_id, l.number, h.face_id, row_number() over (partition by h.face_id order by sqrt((l.x - cx) * (l.x - cx) + (l.y - cy) * (l.y - cy)), l.label_id) as k from hits h join v_labels l using (label_id) join simple using (face_id)),
+found as (select won.face_id, number as parcel_number, closed from won join shape using (face_id) where k = 1)
+"""
+_RINGS = _rings_sql(_FACES, "v_labels") + _FOUND
+
+
 def _shown(rings: DataFrame) -> DataFrame:
     return rings.select("parcel_number", F.array_join("ring", ",").alias("ring"))
 
 
-@query()
+@query(_RINGS + "select parcel_number, array_to_string(closed, ',') as ring from found", "v_stakes", "v_lines", "v_labels")
 def rings(spark, sf_dir):
     return _shown(faces.parcel_rings(view(spark, sf_dir, "v_labels"), *_graph(spark, sf_dir)))
 
@@ -540,13 +774,35 @@ def rings_aux(spark, sf_dir):
     return _shown(faces.auxiliary_rings(found, labels, edges, spatial.last_places(stakes, "name")))
 
 
-@query()
+_UNKNOWN = (
+    _rings_sql(_FACES, "(select label_id, x, y from v_labels)")
+    + _FOUND
+    + """, rest as (select * from shape where area < 0.9 * (select max(area) from simple) and area >= 10 and face_id not in (select face_id from found)),
+pin as (select l.label_id, l.label, s.face_id, s.area from v_public l join rest s on l.x between x_min and x_max and l.y between y_min and y_max join px e on e.face_id = s.face_id group by l.label_id, l.label, s.face_id, s.area having count(*) filter ((e.y > l.y) <> (e.y2 > l.y) and l.x < (e.x2 - e.x) * (l.y - e.y) / nullif(e.y2 - e.y, 0) + e.x) % 2 = 1),
+phit as (select label_id, label, arg_min(face_id, {'a': area, 'f': face_id}) as face_id from pin group by all),
+pname as (select face_id, arg_min(label, label_id) as label from phit group by 1),
+unk as (select coalesce(label, '地番不明') as parcel_number, closed from rest left join pname using (face_id) where not exists (select 1 from found where found.closed = rest.closed))
+"""
+)
+
+
+@query(_UNKNOWN + "select parcel_number, array_to_string(closed, ',') as ring from unk", "v_stakes", "v_lines", "v_labels", "v_public")
 def rings_unknown(spark, sf_dir):
-    labels = view(spark, sf_dir, "v_labels").where("label_id % 2 = 0")
     edges, nodes = _graph(spark, sf_dir)
-    found = faces.parcel_rings(labels, edges, nodes)
-    public = view(spark, sf_dir, "v_labels").where("label_id % 2 = 1").select("label_id", F.concat(F.lit("道-"), "number").alias("label"), "x", "y")
-    return _shown(faces.unknown_rings(found, edges, nodes, public))
+    found = faces.parcel_rings(view(spark, sf_dir, "v_labels"), edges, nodes)
+    return _shown(faces.unknown_rings(found, edges, nodes, view(spark, sf_dir, "v_public")))
+
+
+@query()
+def all_rings(spark, sf_dir):
+    stakes = _aux_stakes(spark, sf_dir)
+    aux = spatial.edges(view(spark, sf_dir, "v_lines"), stakes, "name"), spatial.last_places(stakes, "name")
+    return faces.all_rings(view(spark, sf_dir, "v_labels"), *_graph(spark, sf_dir), *aux, view(spark, sf_dir, "v_public")).withColumn("ring", F.array_join("ring", ","))
+
+
+@query("select number, label_id from (select *, row_number() over (order by k is null, k, number, label_id) as n from (select number, label_id, case when regexp_full_match(number, '[0-9]+([-番の]+[0-9]+)*') then list_transform(regexp_extract_all(number, '[0-9]+'), lambda x: x::bigint) end as k from v_labels)) where n <= 80", "v_labels")
+def ring_preview(spark, sf_dir):
+    return layout.preview(view(spark, sf_dir, "v_labels").select("number", "label_id"), "number", order="label_id")
 
 
 # intersections
@@ -593,6 +849,16 @@ def intersections(spark, sf_dir):
     return traverse.intersections(*_graph(spark, sf_dir))
 
 
+@query(_POINTS + "select regexp_extract(intersection_stake, '^[-交]?([0-9]+)\\.', 1) as block, count(*) as n from pts group by 1", "v_stakes", "v_lines")
+def block_intersections(spark, sf_dir):
+    return entities.intersections_per_block(intersections(spark, sf_dir))
+
+
+@query(_POINTS + "select * from pts where regexp_extract(intersection_stake, '^[-交]?([0-9]+)\\.', 1) = '4'", "v_stakes", "v_lines")
+def intersections_of_block(spark, sf_dir):
+    return traverse.intersections(*_graph(spark, sf_dir), block=4)
+
+
 # layouts
 
 
@@ -722,20 +988,33 @@ _ZONAL = (
     + f""", px as (select *, 36.0::double + r * (({_BOUNDS[1]}::double - {_BOUNDS[0]}::double) / (select max(r) from v_dem)) as lat, 139.0::double + c * (({_BOUNDS[3]}::double - {_BOUNDS[2]}::double) / (select max(c) from v_dem)) as lon from cl),
 cnt as (select class, count(*) as n from px where class >= 0 and {_inside('lon', 'lat')} group by 1),
 names as (select * from (values {", ".join(f"({i}, '{n}', '{k}')" for i, (_, _, n, k) in enumerate(raster.SLOPE_CLASSES))}) t(class, name, color)),
-zs as (select class, name, color, coalesce(n, 0) as n, round(coalesce(n, 0) * 20.0, 6) as area_m2, round(case when (select sum(n) from cnt) > 0 then coalesce(n, 0) * 100.0 / (select sum(n) from cnt) else 0 end, 6) as percent from names left join cnt using (class))
+zs as (select class, name, color, coalesce(n, 0) as n, round(coalesce(n, 0) * 20.0, 1) as area_m2, round(round(coalesce(n, 0) * 20.0, 1) / 10000, 3) as area_ha, round(case when (select sum(n) from cnt) > 0 then coalesce(n, 0)::double * 100 / (select sum(n) from cnt) else 0 end, 2) as percent from names left join cnt using (class))
 """
 )
 
 
 @query(_ZONAL + "select * from zs", "v_dem")
 def zonal_stats(spark, sf_dir):
-    stats = raster.zonal_stats(spark, _slope(spark, sf_dir), _POLYGON, _BOUNDS, _WIDTH * _HEIGHT)
-    return stats.withColumns({"area_m2": F.round("area_m2", 6), "percent": F.round("percent", 6)})
+    return raster.zonal_stats(spark, _slope(spark, sf_dir), _POLYGON, _BOUNDS, _WIDTH * _HEIGHT)
 
 
-@query(_ZONAL + "select round(sum(percent / 100 * (1 + class * 0.25)), 5) as coefficient from zs", "v_dem")
+@query(_ZONAL + "select round(sum(percent / 100 * (1 + class * 0.25)), 4) as coefficient from zs", "v_dem")
 def weighted_coef(spark, sf_dir):
-    return zonal_stats(spark, sf_dir).agg(F.round(F.sum(c("percent") / 100 * (1 + c("class") * 0.25)), 5).alias("coefficient"))
+    return zonal_stats(spark, sf_dir).agg(F.round(F.sum(c("percent") / 100 * (1 + c("class") * 0.25)), 4).alias("coefficient"))
+
+
+@query("select round(count(elev) * 100.0::double / count(*), 6) as valid_percent from v_dem", "v_dem")
+def valid_percent(spark, sf_dir):
+    return raster.valid_percent(view(spark, sf_dir, "v_dem")).select(F.round("valid_percent", 6).alias("valid_percent"))
+
+
+_NORTH = "degrees(atan((exp(pi() * (1 - 2 * {0} / pow(2, 15))) - exp(-pi() * (1 - 2 * {0} / pow(2, 15)))) / 2))"
+
+
+@query(f"e as (select min(tx) as x1, max(tx) + 1 as x2, min(ty) as y1, max(ty) + 1 as y2 from v_tiles) select round({_NORTH.format('y1')}, 6) as north, round({_NORTH.format('y2')}, 6) as south, round(x1 / pow(2, 15) * 360 - 180, 6) as west, round(x2 / pow(2, 15) * 360 - 180, 6) as east from e", "v_tiles")
+def mosaic_bounds(spark, sf_dir):
+    ends = raster.mosaic_bounds(view(spark, sf_dir, "v_tiles"), 15)
+    return ends.select(*[F.round(x, 6).alias(x) for x in ends.columns])
 
 
 # scanned pages
@@ -775,7 +1054,7 @@ def diff_key_sets(spark, sf_dir):
 
 @query(
     _DIFF
-    + """, x as (select c_custkey::varchar as key, c_name || '|' || c_mktsegment as v, c_name as n from customer where c_custkey % 5 <> 0), y as (select c_custkey::varchar as key, case when c_custkey % 3 = 0 then 'new' else c_name end || '|' || c_mktsegment as v, case when c_custkey % 3 = 0 then 'new' else c_name end as n from customer where c_custkey % 5 <> 1)
+    + """, x as (select c_custkey::varchar as key, to_json({'c_name': c_name, 'c_mktsegment': c_mktsegment})::varchar as v, c_name as n from customer where c_custkey % 5 <> 0), y as (select c_custkey::varchar as key, to_json({'c_name': case when c_custkey % 3 = 0 then 'new' else c_name end, 'c_mktsegment': c_mktsegment})::varchar as v, case when c_custkey % 3 = 0 then 'new' else c_name end as n from customer where c_custkey % 5 <> 1)
     select 'orders' as "table", o_orderkey || '|' || o_custkey as key, kind, "column", value from diff
     union all select 'customer', key, 'only_a', '', v from x where key not in (select key from y)
     union all select 'customer', key, 'only_b', '', v from y where key not in (select key from x)
@@ -796,12 +1075,25 @@ def merge_ocr_lines(spark, sf_dir):
     return sequence.merge_lines(view(spark, sf_dir, "v_seq"))
 
 
+@query(
+    _group("entry in ('続', '続更新')")
+    + """, u as (select *, case when entry = '続更新' and trim(area) <> '' then area end as new from g where g > 0 or entry = '続'),
+    x as (select u.*, b.number, b.bp, coalesce(last_value(new ignore nulls) over (partition by u.file_no, u.g order by line_idx), b.ba) as now, coalesce(lead(line_idx) over (partition by u.file_no, u.g, entry = '続更新' order by line_idx), 9e18) as until from u left join b on b.file_no = u.file_no and b.g = u.g),
+    y as (select x.*, (select arg_max(new, line_idx) from u z where z.file_no = x.file_no and z.g = x.g and z.entry = '続更新' and z.new is not null and z.line_idx > x.line_idx and z.line_idx < x.until) as patch from x where entry <> '続更新')
+    select line_idx, file_no, page, coalesce(number, entry) as entry, case when entry = '続' and number is not null then bp else parcel_no end as parcel_no, case when number is null then area when patch is not null then patch when entry = '続' then now else area end as area, owner_name from y""",
+    "v_seq",
+)
+def merge_lines_v1(spark, sf_dir):
+    return sequence.merge_lines(_entries(spark, sf_dir, "続", "続更新"), checked=False)
+
+
 @query(
     _RECONCILE
     + f"""select status as item, count(*) as n from rec group by 1 union all select 'land_use_' || land_use_change, count(*) from rec where land_use_change <> '' group by 1
-    union all select 'area_' || area_change, count(*) from rec where area_change <> '' group by 1 union all select kind, count(*) from ({ORACLE_SQL["owner_match"]}) group by 1""",
+    union all select 'area_' || area_change, count(*) from rec where area_change <> '' group by 1 union all select '消失', count(*) from gone group by 1 union all select '追加', count(*) from fresh group by 1""",
     "v_records",
     "v_ocr",
 )
 def reconcile_breakdown(spark, sf_dir):
-    return reconcile.breakdown(reconcile_full(spark, sf_dir), owner_match(spark, sf_dir))
+    source, read = _source(spark, sf_dir), _read(spark, sf_dir)
+    return reconcile.breakdown(reconcile.reconcile(source, read), _owner_differences(source, read))

@@ -1,17 +1,15 @@
 """Normalisation of Japanese registry and drawing texts as column expressions.
 
-Null reads as the empty text. Everything runs inside Spark's expressions but for ``nfkc``, an Arrow function that only
-looks at values with characters outside ASCII.
+Null reads as the empty text. Everything runs inside Spark's expressions.
 """
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Fixed values.
 WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
@@ -35,18 +33,56 @@ def text(c: Column) -> Column:
 
 
 def width_fold(c: Column) -> Column:
-    """Full-width ASCII and the ideographic space as ASCII: the part of NFKC that registry keys need."""
+    """Full-width ASCII and the ideographic space as ASCII: a part of NFKC that needs less work."""
     return F.translate(text(c), WIDE, NARROW)
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+def _ranges(chars: str) -> str:
+    """A regular expression's class of these characters, as ranges: a class of single ones is slow to match."""
+    codes = sorted(map(ord, set(chars)))
+    starts = [c for i, c in enumerate(codes) if i == 0 or codes[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(codes) if i == len(codes) - 1 or codes[i + 1] != c + 1]
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends, strict=True)) + "]"
+
+
+def _once(x: Column, change) -> Column:
+    """change(x) with x evaluated a single time, as an array's lambda does."""
+    return F.get(F.transform(F.array(x), change), F.lit(0))
+
+
+def _compatible() -> tuple[str, str, dict[str, str], str]:
+    """Characters with one character as their NFKC form, those forms, longer forms and compositions by text, and a pattern for the latter."""
+    single, several = {}, {}
+    for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x10000))):
+        form = unicodedata.normalize("NFKC", c)
+        if form != c:
+            (single if len(form) == 1 else several)[c] = form
+    pairs = {}
+    for c in map(chr, range(0x80, 0xD800)):
+        parts = unicodedata.decomposition(c).split()
+        if len(parts) == 2 and parts[0][0] != "<" and unicodedata.normalize("NFC", c) == c:
+            pairs["".join(chr(int(p, 16)) for p in parts)] = c
+    marks = "".join(sorted({p[1] for p in pairs}))
+    # a composed letter takes one more mark
+    return "".join(single), "".join(single.values()), several | pairs, f"{_ranges(''.join(several))}|(?s:.){_ranges(marks)}"
+
+
+_FROM, _TO, _FORMS, _PATTERN = _compatible()
 
 
 def nfkc(c: Column) -> Column:
-    """Unicode NFKC; plain ASCII values do not change."""
-    return _nfkc(text(c))
+    """Unicode NFKC of the basic plane, for letters with up to two marks; Hangul syllables have to be composed already."""
+    forms = F.from_json(F.lit(json.dumps(_FORMS)), "map<string,string>")
+
+    def composed(x: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(x, F.lit(_PATTERN), F.lit(0)))
+        return F.aggregate(found, x, lambda acc, f: F.replace(acc, f, F.coalesce(F.try_element_at(forms, f), f)))
+
+    def where_needed(v: Column, change) -> Column:
+        return F.when(v.rlike(_PATTERN), change(v)).otherwise(v)
+
+    full = _once(F.translate(text(c), _FROM, _TO), lambda v: where_needed(v, lambda w: _once(composed(w), lambda u: where_needed(u, composed))))
+    return F.when(text(c).rlike("[^\\x00-\\x7F]"), full).otherwise(text(c))
 
 
 def collapse(c: Column) -> Column:
@@ -55,34 +91,40 @@ def collapse(c: Column) -> Column:
 
 def decode_codes(c: Column) -> Column:
     """Codes like <00003042> as their character; codes without one, and surrogates, as a geta mark."""
-    out = text(c)
-    for code, value in CODED.items():
-        out = F.replace(out, F.lit(code), F.lit(value))
-    codes = F.array_distinct(F.regexp_extract_all(out, F.lit("<[0-9A-Fa-f]{8}>"), F.lit(0)))
 
     def one(acc: Column, code: Column) -> Column:
         up = F.upper(code)
         real = up.between("<00000001>", "<0010FFFF>") & ~up.between("<0000D800>", "<0000DFFF>")
         return F.replace(acc, code, F.when(real, F.decode(F.unhex(F.substring(code, 2, 8)), "UTF-32")).otherwise("〓"))
 
-    return F.aggregate(codes, out, one)
+    def decoded(v: Column) -> Column:
+        known = v
+        for code, value in CODED.items():
+            known = F.replace(known, F.lit(code), F.lit(value))
+        return _once(known, lambda k: F.aggregate(F.array_distinct(F.regexp_extract_all(k, F.lit("<[0-9A-Fa-f]{8}>"), F.lit(0))), k, one))
 
+    return _once(text(c), lambda v: F.when(v.contains("<"), decoded(v)).otherwise(v))
 
-def normalize(c: Column, fold=width_fold) -> Column:
+
+def normalize(c: Column, fold=nfkc) -> Column:
     """Folded, codes decoded, trimmed, white space collapsed."""
     return collapse(decode_codes(fold(c)))
 
 
-def key_text(c: Column, fold=width_fold) -> Column:
+def key_text(c: Column, fold=nfkc) -> Column:
     return F.regexp_replace(normalize(c, fold), "(?U)\\s+", "")
 
 
-def parcel_number(c: Column, fold=width_fold) -> Column:
-    hyphens = F.translate(normalize(c, fold), "－ー—", "---")
-    return F.regexp_replace(hyphens, "(?U)(\\d+)-(\\d+)", "$1番$2")
+def hyphens_as_branch(c: Column) -> Column:
+    """A normalised parcel number with 番 for the hyphens between numbers."""
+    return F.regexp_replace(F.translate(c, "－ー—", "---"), "(?U)(\\d+)-(\\d+)", "$1番$2")
+
+
+def parcel_number(c: Column, fold=nfkc) -> Column:
+    return hyphens_as_branch(normalize(c, fold))
 
 
-def parcel_key(c: Column, fold=width_fold) -> Column:
+def parcel_key(c: Column, fold=nfkc) -> Column:
     return F.regexp_replace(F.replace(parcel_number(c, fold), F.lit("番の"), F.lit("番")), "番$", "")
 
 
@@ -91,7 +133,7 @@ def area(c: Column, fold=width_fold) -> Column:
     return F.when(dotted.contains("."), F.regexp_replace(F.regexp_replace(dotted, "0+$", ""), "\\.+$", "")).otherwise(dotted)
 
 
-def name_key(c: Column, fold=width_fold) -> Column:
+def name_key(c: Column, fold=nfkc) -> Column:
     return key_text(c, fold)
 
 
@@ -169,7 +211,7 @@ def is_intersection(c: Column) -> Column:
 
 def natural_key(c: Column) -> Column:
     """Parts of a parcel number as integers, for sorting; null for other texts."""
-    t = width_fold(c)
+    t = nfkc(c)
     return F.when(t.rlike("^\\d+([-番の]+\\d+)*$"), F.transform(F.regexp_extract_all(t, F.lit("\\d+"), F.lit(0)), lambda x: x.cast("long")))
 
 

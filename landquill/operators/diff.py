@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .graph import materialise
+from .ordered import running
 
+# Parts of names that make a column a key.
 KEY_HINTS = ("id", "ID", "番号", "コード", "No", "NO", "key", "KEY")
 
 
@@ -18,9 +21,12 @@ def as_text(df: DataFrame) -> DataFrame:
 
 
 def guess_keys(columns: list[str]) -> list[str]:
-    """Columns whose name holds one of the usual words for keys; without any, the first column."""
-    found = [c for c in columns if any(h in c for h in KEY_HINTS)]
-    return found or columns[:1]
+    """Columns whose name holds one of the usual words for keys; without any, all columns."""
+    return [c for c in columns if any(h in c for h in KEY_HINTS)] or list(columns)
+
+
+def _named(columns: list[str]) -> list[Column]:
+    return [F.col(f"`{c}`") for c in columns]
 
 
 def diff_schema(a: DataFrame, b: DataFrame) -> dict[str, list[str]]:
@@ -29,7 +35,7 @@ def diff_schema(a: DataFrame, b: DataFrame) -> dict[str, list[str]]:
 
 def key_sets(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Keys with side: 'only_a', 'only_b' or 'both', by semi and anti joins."""
-    a, b = a.select(*keys).distinct(), b.select(*keys).distinct()
+    a, b = a.select(*_named(keys)).distinct(), b.select(*_named(keys)).distinct()
     parts = ((a, b, "left_anti", "only_a"), (b, a, "left_anti", "only_b"), (a, b, "left_semi", "both"))
     return reduce(DataFrame.unionByName, [x.join(y, keys, how).withColumn("side", F.lit(side)) for x, y, how, side in parts])
 
@@ -37,7 +43,7 @@ def key_sets(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 def set_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """Distinct rows of one side only, with ``side`` 'A' or 'B'."""
     columns = diff_schema(a, b)["common"]
-    a, b = as_text(a.select(*columns)), as_text(b.select(*columns))
+    a, b = as_text(a.select(*_named(columns))), as_text(b.select(*_named(columns)))
     return a.subtract(b).withColumn("side", F.lit("A")).unionByName(b.subtract(a).withColumn("side", F.lit("B")))
 
 
@@ -45,23 +51,25 @@ def keyed_diff(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> Dat
     """(key columns, kind, column, value): rows of one side only, and changed cells as 'old → new'.
 
     kind is 'only_a', 'only_b' or 'changed'. One-sided keys give each of their rows, a JSON object of its other columns, in
-    value; of keys on both sides the first row by those columns is compared. One full outer join on the keys.
+    value; of keys on both sides the first row by those columns is compared. One full outer join on the keys. Where every column is
+    a key, the distinct rows of one side only are the result.
     """
     columns = diff_schema(a, b)["common"]
     keys = keys or guess_keys(columns)
     rest = [c for c in columns if c not in keys]
     if not rest:
-        return set_diff(a, b).select(*keys, F.when(F.col("side") == "A", "only_a").otherwise("only_b").alias("kind"), F.lit("").alias("column"), F.lit("").alias("value"))
+        return set_diff(a, b).select(*_named(keys), F.when(F.col("side") == "A", "only_a").otherwise("only_b").alias("kind"), F.lit("").alias("column"), F.lit("").alias("value"))
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return as_text(df.select(*columns)).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias(name))
+        return as_text(df.select(*_named(columns))).groupBy(*_named(keys)).agg(F.array_sort(F.collect_list(F.struct(*_named(rest)))).alias(name))
 
-    both = side(a, "a").join(side(b, "b"), keys, "full_outer")
-    first_a, first_b = F.col("a")[0], F.col("b")[0]
-    cells = F.array_compact(F.array(*[F.when(~first_a[c].eqNullSafe(first_b[c]), F.struct(F.lit("changed").alias("kind"), F.lit(c).alias("column"), F.concat(first_a[c], F.lit(" → "), first_b[c]).alias("value"))) for c in rest]))
-    alone = lambda rows, kind: F.transform(rows, lambda r: F.struct(F.lit(kind).alias("kind"), F.lit("").alias("column"), F.concat_ws("|", *[r[c] for c in rest]).alias("value")))
-    parts = F.when(F.col("b").isNull(), alone(F.col("a"), "only_a")).when(F.col("a").isNull(), alone(F.col("b"), "only_b")).otherwise(cells)
-    return both.select(*keys, F.explode(parts).alias("part")).select(*keys, "part.*")
+    # names of our own: the tables may have columns of any name
+    one, other = F.col("_diff_side_a"), F.col("_diff_side_b")
+    both = side(a, "_diff_side_a").join(side(b, "_diff_side_b"), keys, "full_outer")
+    cells = F.array_compact(F.array(*[F.when(~one[0][c].eqNullSafe(other[0][c]), F.struct(F.lit("changed").alias("kind"), F.lit(c).alias("column"), F.concat(one[0][c], F.lit(" → "), other[0][c]).alias("value"))) for c in rest]))
+    alone = lambda rows, kind: F.transform(rows, lambda r: F.struct(F.lit(kind).alias("kind"), F.lit("").alias("column"), F.to_json(r).alias("value")))
+    parts = F.when(other.isNull(), alone(one, "only_a")).when(one.isNull(), alone(other, "only_b")).otherwise(cells)
+    return both.select(*_named(keys), F.explode(parts).alias("_diff_part")).select(*_named(keys), "_diff_part.*")
 
 
 def diff_summary(diff: DataFrame) -> DataFrame:
@@ -77,38 +85,70 @@ def snapshot_diff(a: dict[str, DataFrame], b: dict[str, DataFrame]) -> tuple[Dat
         columns = diff_schema(a[t], b[t])["common"]
         if columns:
             keys = guess_keys(columns)
-            parts.append(keyed_diff(a[t], b[t], keys).select(F.lit(t).alias("table"), F.concat_ws("|", *keys).alias("key"), "kind", "column", "value"))
+            parts.append(keyed_diff(a[t], b[t], keys).select(F.lit(t).alias("table"), F.concat_ws("|", *_named(keys)).alias("key"), "kind", "column", "value"))
     return (reduce(DataFrame.unionByName, parts) if parts else None), tables
 
 
+def has_differences(a: dict[str, DataFrame], b: dict[str, DataFrame]) -> bool:
+    """Whether two sets differ: in their tables, in the columns of a common table, or in a row."""
+    rows, tables = snapshot_diff(a, b)
+    if tables["only_a"] or tables["only_b"] or any(set(a[t].columns) != set(b[t].columns) for t in tables["common"]):
+        return True
+    return rows is not None and not rows.isEmpty()
+
+
 # registry exports
 
 
-def rollup_records(lines: DataFrame, file: str = "file") -> DataFrame:
-    """One row per property from record-typed lines: (file, line_idx, record_type, c0..c2).
+OPENING, PLACE, SHOWN, RIGHT, OWNER = "物件情報", "所在", "表示履歴", "所有権", "所有者"  # fixed values: types of lines
+OWNER_FIELDS = ("address", "share", "name", "registration", "reference")
+_WIDTH = 11  # cells of a line that count
+
 
-    A line of type 物件情報 opens a property (c0 its number, c1 its location); 所在 lines give the full location (c1); lines whose type starts with 表示履歴 give parcel
-    number (the first not blank), land use and area (the last not blank that are no old values), history, and the land uses that are; lines whose type
-    starts with 所有権 or 所有者 append owners (address, name, note). Lines before the first property are dropped, as are
-    properties without a parcel number.
+def rollup_records(lines: DataFrame, file: str = "file", dialect: str = "registry") -> DataFrame:
+    """One row per property from record-typed lines (file, line_idx, fields): the cells of each line in order.
+
+    The second cell is the line's type. A line of type 物件情報 opens a property: number, kind, status, location, parcel number,
+    real-estate number and, further on, the section and the municipality's code. 所在 lines give the full location; lines whose type
+    starts with 表示履歴 give the parcel number (the first not blank), land use and area (the last not blank that are no old
+    values), a line of history, and the land uses that are old; those with 所有権 or 所有者 append an owner with a name or an address. Cells are
+    normalised. Lines of fewer than two cells and lines before the first property are dropped, as are properties without a
+    parcel number.
+
+    dialect 'source', the form that scanned lines are reconciled with: lines have three cells at least, a blank full location
+    does not replace an earlier one, only 【】 mark old values, empty-field markers are blank, and an 所有者 line needs a name.
     """
-    by_line = Window.partitionBy(file).orderBy("line_idx")
-    grouped = lines.withColumn("g", F.sum(F.when(F.col("record_type") == "物件情報", 1).otherwise(0)).over(by_line)).where("g > 0")
-    opens, shown, owned = F.col("record_type") == "物件情報", F.col("record_type").startswith("表示履歴"), F.col("record_type").rlike("^所有[権者]") & (F.concat_ws("", "c0", "c1") != "")
-    filled = lambda c, test: F.when(test & (F.trim(F.col(c)) != ""), F.struct("line_idx", F.trim(F.col(c)).alias("v")))
-    fresh = lambda c: filled(c, shown & ~tx.is_old_value(F.col(c)))
+    source = dialect == "source"
+    cells = F.transform("fields", lambda x: tx.without_marker(tx.normalize(x)) if source else tx.normalize(x))
+    padded = F.concat(F.slice(cells, 1, _WIDTH), F.array_repeat(F.lit(""), F.greatest(F.lit(0), F.lit(_WIDTH) - F.size("fields"))))
+    # written once: the running count reads it twice
+    read = materialise(lines.where(F.size("fields") >= (3 if source else 2)).select(file, "line_idx", padded.alias("f")))
+    grouped = running(read, (F.col("f")[1] == OPENING).cast("long"), "g", file, "line_idx").where("g > 0")
+    at = lambda i: F.col("f")[i]
+    opens, placed, shown = at(1) == OPENING, at(1).startswith(PLACE), at(1).startswith(SHOWN)
+    bare = at(1).startswith(OWNER)
+    owned = (bare & (at(2) != "")) | (at(1).startswith(RIGHT) & ~bare & ((at(4) != "") | (at(2) != "")))
+    old = lambda c: c.rlike("[【】]") if source else tx.is_old_value(c)
+    last = lambda test, c: F.max(F.when(test, F.struct("line_idx", c.alias("v"))))["v"]
+    current = lambda i: F.coalesce(last(shown & (tx.strip_old_marks(at(i)) != "") & ~old(at(i)), tx.strip_old_marks(at(i))), F.lit(""))
+    listed = lambda test, c: F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("line_idx", c.alias("v"))))), lambda x: x["v"])
+    owner = F.struct(*[F.when(bare, at(2) if k == "name" else F.lit("")).otherwise(at(i)).alias(k) for k, i in zip(OWNER_FIELDS, (2, 3, 4, 6, 7), strict=True)])
+    history = F.concat_ws("|", at(2), at(4), at(5), at(6), at(7))
     out = grouped.groupBy(file, "g").agg(
-        F.max(F.when(opens, F.col("c0"))).alias("number"),
-        F.coalesce(F.nullif(tx.normalize(F.max(filled("c1", F.col("record_type").startswith("所在")))["v"]), F.lit("")), F.max(F.when(opens, tx.normalize(F.col("c1")))), F.lit("")).alias("location"),
-        F.min(filled("c0", shown))["v"].alias("parcel_no"),
-        F.coalesce(F.max(fresh("c1"))["v"], F.lit("")).alias("land_use"),
-        F.coalesce(F.max(fresh("c2"))["v"], F.lit("")).alias("area"),
-        F.transform(F.array_sort(F.collect_list(F.when(shown, F.struct("line_idx", F.concat_ws(",", "c0", "c1", "c2").alias("v"))))), lambda x: x["v"]).alias("history"),
-        F.transform(F.array_sort(F.collect_list(F.when(owned, F.struct("line_idx", F.col("c0").alias("address"), F.col("c1").alias("name"), F.col("c2").alias("note"))))), lambda x: F.struct(x["address"].alias("address"), x["name"].alias("name"), x["note"].alias("note"))).alias("owners"),
-        F.collect_list(F.when(shown & tx.is_old_value(F.col("c1")), tx.strip_old_marks(F.col("c1")))).alias("old_land_uses"),
+        F.max(F.when(opens, F.struct(*[at(i).alias(k) for i, k in ((0, "number"), (2, "kind"), (3, "status"), (4, "place"), (5, "raw_parcel"), (6, "real_estate_no"), (9, "section"), (10, "city_code"))]))).alias("o"),
+        F.coalesce(last(placed & (at(2) != "") if source else placed, at(2)), F.lit("")).alias("full"),
+        F.min(F.when(shown & (at(2) != ""), F.struct("line_idx", at(2).alias("v"))))["v"].alias("shown_parcel"),
+        current(4).alias("land_use"),
+        current(5).alias("area"),
+        listed(shown, history).alias("history"),
+        listed(owned, owner).alias("owners"),
+        listed(shown & old(at(4)) & (tx.strip_old_marks(at(4)) != ""), tx.strip_old_marks(at(4))).alias("old_land_uses"),
         F.min("line_idx").alias("line_idx"),
     )
-    return out.where("parcel_no is not null").drop("g")
+    location = F.when(F.col("full") != "", F.col("full")).otherwise(F.col("o.place") if source else F.concat("o.place", "o.section"))
+    parcel = F.coalesce("shown_parcel", "o.raw_parcel")
+    named = out.select(file, "o.number", "o.kind", "o.status", location.alias("location"), (parcel if source else tx.hyphens_as_branch(parcel)).alias("parcel_no"), "o.real_estate_no", "o.city_code", "land_use", "area", "history", "owners", "old_land_uses", "line_idx")
+    return named.where("parcel_no <> ''")
 
 
 def by_parcel(properties: DataFrame) -> DataFrame:
@@ -126,58 +166,75 @@ def tracked(properties: DataFrame, file: str = "file") -> DataFrame:
     return keyed.withColumn("n", F.row_number().over(last)).where("n = 1").drop("base", "n")
 
 
-def _summary(p: str) -> Column:
-    return tx.join_nonempty(*[F.col(f"{p}.{c}") for c in ("location", "parcel_no", "land_use", "area")])
-
-
-def _owner_texts(owners: Column) -> Column:
-    return F.transform(owners, lambda o: tx.join_nonempty(o["name"], o["address"], o["note"]))
+def owner_text(o: Column) -> Column:
+    return tx.join_nonempty(o["name"], o["share"], o["address"], o["registration"], o["reference"])
 
 
-def _signatures(owners: Column) -> Column:
+def _people(owners: Column) -> Column:
     """Owners as (name identity, signature, text); owners without a name stay apart by position."""
     return F.transform(
         owners,
         lambda o, i: F.struct(
             F.when(tx.name_key(o["name"]) != "", tx.name_key(o["name"])).otherwise(F.concat(F.lit("__blank_"), i.cast("string"))).alias("who"),
-            F.concat_ws("|", tx.key_text(o["address"]), tx.name_key(o["name"]), tx.key_text(o["note"])).alias("signature"),
-            tx.join_nonempty(o["name"], o["address"], o["note"]).alias("shown"),
+            F.concat_ws("|", *[F.regexp_replace(o[c], "(?U)\\s+", "") for c in OWNER_FIELDS]).alias("signature"),
+            owner_text(o).alias("shown"),
         ),
     )
 
 
-SCALARS = (("地目", "land_use", tx.normalize), ("地積", "area", tx.area))
+#: Compared fields: (name in the report, column, normal form). The names.
+SCALARS = (
+    ("種別", "kind", None),
+    ("状態", "status", None),
+    ("所在", "location", tx.key_text),
+    ("地番", "parcel_no", tx.parcel_key),
+    ("不動産番号", "real_estate_no", None),
+    ("市区町村コード等", "city_code", None),
+    ("地目", "land_use", None),
+    ("地積", "area", tx.area),
+)
+ADDED, REMOVED, CHANGED, WHOLE, HISTORY, OWNERS = "追加", "削除", "変更", "物件", "表示履歴", "所有者"
+HISTORY_NOTE = "履歴行の追加・削除・内容変更があります"
 
 
 def registry_diff(old: DataFrame, new: DataFrame, on: list[str] | None = None) -> DataFrame:
-    """(key, kind, item, old_value, new_value) between two exports of tracked properties (key, ...; no repeated keys).
+    """(key, item_ord, kind, location, parcel_no, item, old_value, new_value, note) between two exports of tracked properties.
 
-    on: further columns that both sides share, such as a pair of files, which are joined on and returned.
+    on: further columns that both sides share, such as a pair of files, which are joined on and returned. item_ord counts the rows
+    of a key: the whole property, its fields in the report's order, its history, its owners by name. Properties that are
+    alike in every cell leave after the join.
     """
     keys = [*(on or []), "key"]
-    sides = [df.select(*keys, F.struct("location", "parcel_no", "land_use", "area", "history", "owners").alias(name)) for df, name in ((old, "o"), (new, "n"))]
-    both = sides[0].join(sides[1], keys, "full_outer")
-    row = lambda test, kind, item, a, b: F.when(test, F.struct(F.lit(kind).alias("kind"), F.lit(item).alias("item"), a.alias("old_value"), b.alias("new_value")))
-    none = F.lit("")
-    shared = F.col("o").isNotNull() & F.col("n").isNotNull()
-    parts = [row(F.col("o").isNull(), "追加", "物件", none, _summary("n")), row(F.col("n").isNull(), "削除", "物件", _summary("o"), none)]
+    fields = [c for _, c, _ in SCALARS]
+    sides = [df.select(*keys, F.struct(*fields, "history", "owners").alias(name)) for df, name in ((old, "_old"), (new, "_new"))]
+    both = sides[0].join(sides[1], keys, "full_outer").where(~F.col("_old").eqNullSafe(F.col("_new")))
+    none, shared = F.lit(""), F.col("_old").isNotNull() & F.col("_new").isNotNull()
+    row = lambda kind, item, a, b, note="": F.struct(F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), F.lit(item).alias("item"), a.alias("old_value"), b.alias("new_value"), F.lit(note).alias("note"))
+    whole = lambda p: tx.join_nonempty(*[F.col(f"{p}.{c}") for c in ("location", "parcel_no", "land_use", "area")])
+    parts = [F.when(F.col("_old").isNull(), row(ADDED, WHOLE, none, whole("_new"))), F.when(F.col("_new").isNull(), row(REMOVED, WHOLE, whole("_old"), none))]
     for item, c, norm in SCALARS:
-        parts.append(row(shared & (norm(F.col(f"o.{c}")) != norm(F.col(f"n.{c}"))), "変更", item, F.col(f"o.{c}"), F.col(f"n.{c}")))
-    parts.append(row(shared & (F.array_sort("o.history") != F.array_sort("n.history")), "変更", "表示履歴", F.array_join("o.history", "\n"), F.array_join("n.history", "\n")))
-    a, b = _signatures(F.col("o.owners")), _signatures(F.col("n.owners"))
-    names = F.array_union(F.transform(a, lambda x: x["who"]), F.transform(b, lambda x: x["who"]))
+        x, y = F.col(f"_old.{c}"), F.col(f"_new.{c}")
+        # cells are normal already; a further form only matters where they differ
+        differs = (x != y) & (norm(x) != norm(y)) if norm else x != y
+        parts.append(F.when(shared & differs, row(CHANGED, item, x, y)))
+    parts.append(F.when(shared & (F.array_sort("_old.history") != F.array_sort("_new.history")), row(CHANGED, HISTORY, F.array_join("_old.history", "\n"), F.array_join("_new.history", "\n"), HISTORY_NOTE)))
+    differ = shared & (F.col("_old.owners") != F.col("_new.owners"))
+    seen = both.withColumns({"_a": F.when(differ, _people(F.col("_old.owners"))), "_b": F.when(differ, _people(F.col("_new.owners")))})
+    a, b = F.col("_a"), F.col("_b")
+    names = F.array_sort(F.array_union(F.transform(a, lambda x: x["who"]), F.transform(b, lambda x: x["who"])))
 
     def of(owners: Column, who: Column, part: str) -> Column:
         return F.transform(F.filter(owners, lambda x: x["who"] == who), lambda x: x[part])
 
     def owner(who: Column) -> Column:
         x, y = of(a, who, "shown"), of(b, who, "shown")
-        kind = F.when(F.size(x) == 0, "追加").when(F.size(y) == 0, "削除").otherwise("変更")
-        return F.struct(kind.alias("kind"), F.lit("所有者").alias("item"), F.array_join(x, "\n").alias("old_value"), F.array_join(y, "\n").alias("new_value"))
+        gained, lost = F.transform(y, lambda v: row(ADDED, OWNERS, none, v)), F.transform(x, lambda v: row(REMOVED, OWNERS, v, none))
+        return F.when(F.size(x) == 0, gained).when(F.size(y) == 0, lost).otherwise(F.array(row(CHANGED, OWNERS, F.array_join(x, "\n"), F.array_join(y, "\n"))))
 
-    changed = F.transform(F.filter(names, lambda w: F.array_sort(of(a, w, "signature")) != F.array_sort(of(b, w, "signature"))), owner)
-    rows = F.concat(F.array_compact(F.array(*parts)), F.when(shared, changed).otherwise(F.array().cast("array<struct<kind:string,item:string,old_value:string,new_value:string>>")))
-    return both.select(*keys, F.explode(rows).alias("part")).select(*keys, "part.*")
+    changed = F.flatten(F.transform(F.filter(names, lambda w: F.array_sort(of(a, w, "signature")) != F.array_sort(of(b, w, "signature"))), owner))
+    rows = F.concat(F.array_compact(F.array(*parts)), F.coalesce(changed, F.array().cast("array<struct<kind:string,item:string,old_value:string,new_value:string,note:string>>")))
+    side = F.coalesce("_new", "_old")
+    return seen.select(*keys, side["location"].alias("location"), side["parcel_no"].alias("parcel_no"), F.posexplode(rows).alias("item_ord", "part")).select(*keys, "item_ord", "part.kind", "location", "parcel_no", "part.item", "part.old_value", "part.new_value", "part.note")
 
 
 def registry_diff_all_pairs(properties: DataFrame, file: str = "file") -> DataFrame:
@@ -185,12 +242,12 @@ def registry_diff_all_pairs(properties: DataFrame, file: str = "file") -> DataFr
 
     Each property goes once to each pair of files that holds its file; the files' names are few.
     """
-    keyed = tracked(properties, file)
+    keyed = materialise(tracked(properties, file))
     files = keyed.groupBy(F.col(file).alias("f")).agg(F.count("*").alias("n"))
     pairs = files.select(F.col("f").alias("old_file"), F.col("n").alias("n_old")).join(files.select(F.col("f").alias("new_file"), F.col("n").alias("n_new")), F.col("old_file") < F.col("new_file"))
     old = pairs.select("old_file", "new_file").join(keyed.withColumnRenamed(file, "old_file"), "old_file")
     new = pairs.select("old_file", "new_file").join(keyed.withColumnRenamed(file, "new_file"), "new_file")
     diff = registry_diff(old, new, ["old_file", "new_file"])
-    n = diff.groupBy("old_file", "new_file").agg(F.count("*").alias("n_diffs"), *[F.count_if(F.col("kind") == k).alias(c) for k, c in (("追加", "added"), ("削除", "deleted"), ("変更", "changed"))])
+    n = diff.groupBy("old_file", "new_file").agg(F.count("*").alias("n_diffs"), *[F.count_if(F.col("kind") == k).alias(c) for k, c in ((ADDED, "added"), (REMOVED, "deleted"), (CHANGED, "changed"))])
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return pairs.join(n, ["old_file", "new_file"], "left").select("old_file", "new_file", "n_old", "n_new", *[zero(c) for c in ("n_diffs", "added", "deleted", "changed")])

@@ -7,8 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
-from .entities import BACKGROUND, owner_texts, stake_texts, stakes
+from .entities import RADIUS, boundary_lines, detect_format, modal_radius, owner_texts, stake_texts, stakes, words
 from .spatial import assign, edges, nearest_within
 
 STAKE_REACH, LAND_USE_REACH, OWNER_REACH, LINE_REACH = 5.0, 15.0, 30.0, 0.5
@@ -29,22 +28,40 @@ def attach(parcels: DataFrame, texts: DataFrame, name: str, reach: float) -> Dat
     return nearest_within(parcels, right, reach, "label_id", "ord", (name,)).drop("d")
 
 
-def parse_entities(entities: DataFrame, scale: float = 1.0) -> Drawing:
-    """The parts of one drawing in either format; entities as sources.files.entities_from_tags gives them.
+def target_parcels(parcels: DataFrame, wanted: str | list[str] | None = None) -> DataFrame:
+    """Parcels with one of the wanted numbers: a list, or one text with commas; nothing wanted means all."""
+    names = [w.strip() for w in wanted.split(",")] if isinstance(wanted, str) else list(wanted or [])
+    names = [w for w in names if w]
+    return parcels.where(F.col("number").isin(*names)) if names else parcels
 
-    scale widens the reach of stake numbers and attributes for drawings whose circles are larger than usual; the reach of
-    line ends stays. Lines are LINE entities and polylines of two points. Background layers hold no circles that count.
+
+def parse_entities(entities: DataFrame, form: str | None = None) -> Drawing:
+    """The parts of one drawing; entities as sources.files.entities_from_tags gives them.
+
+    form: 'mtext' or 'text', else found out. In the text format circles of any radius are stakes, owners are not given, background
+    layers hold nothing, and the reach of stake numbers, land uses and owners grows with the usual radius of the circles; the
+    reach of line ends stays. In the mtext format stakes have a radius of 0.25 and lines are polylines of two points.
     """
-    shapes = entities.where(~((F.col("etype") == "CIRCLE") & F.col("layer").isin(*BACKGROUND)))
-    circles = stakes(shapes)
-    texts = stake_texts(entities).select(F.col("ord").alias("left_id"), "x", "y", "layer", "number")
+    if form is None:
+        found = detect_format(entities).first()
+        form = found["format"] if found else "text"
+    plain = form == "text"
+    radius = RADIUS
+    if plain:
+        found = modal_radius(entities).first()
+        radius = found["radius"] if found else RADIUS
+    reach = max(STAKE_REACH, 5 * radius) if plain else STAKE_REACH
+    scale = radius / RADIUS if plain and radius > 0 else 1.0
+    circles = stakes(entities, plain)
+    texts = stake_texts(entities, plain).select(F.col("ord").alias("left_id"), "x", "y", "layer", "number")
     right = circles.select(F.col("stake_id").alias("right_id"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("layer").alias("r_layer"))
-    pairs = assign(texts.drop("number"), right, max(STAKE_REACH, STAKE_REACH * scale)).join(texts.select("left_id", "number"), "left_id")
+    pairs = assign(texts.drop("number"), right, reach).join(texts.select("left_id", "number"), "left_id")
     numbered = circles.drop("drawing_id").join(pairs.select(F.col("right_id").alias("stake_id"), "number"), "stake_id", "left")
-    lines = entities.where(F.col("etype").isin("LINE", "LWPOLYLINE") & F.col("x2").isNotNull()).select(F.col("ord").alias("line_id"), "x1", "y1", "x2", "y2", "layer")
-    words = entities.where(F.col("etype").isin("TEXT", "MTEXT")).select("ord", F.col("x1").alias("x"), F.col("y1").alias("y"), tx.classify(F.col("text")).alias("category"), tx.first_line(tx.clean_mtext(F.col("text"))).alias("value"))
-    parcels = words.where("category = 'parcel_number'").select(F.col("ord").alias("label_id"), F.col("value").alias("number"), "x", "y")
-    parcels = attach(parcels, words.where("category = 'land_use'"), "land_use", LAND_USE_REACH * scale)
-    parcels = attach(parcels, owner_texts(entities).withColumnRenamed("owner", "value"), "owner", OWNER_REACH * scale)
-    public = words.where("category = 'public_land'").select(F.col("ord").alias("label_id"), F.col("value").alias("label"), "x", "y")
+    lines = boundary_lines(entities, plain).drop("drawing_id")
+    said = words(entities, plain)
+    parcels = said.where("category = 'parcel_number'").select(F.col("ord").alias("label_id"), F.col("value").alias("number"), "x", "y")
+    parcels = attach(parcels, said.where("category = 'land_use'"), "land_use", LAND_USE_REACH * scale)
+    owners = owner_texts(entities).withColumnRenamed("owner", "value")
+    parcels = attach(parcels, owners.limit(0) if plain else owners, "owner", OWNER_REACH * scale)
+    public = said.where("category = 'public_land'").select(F.col("ord").alias("label_id"), F.col("value").alias("label"), "x", "y")
     return Drawing(numbered, lines, parcels, public, edges(lines, numbered, "number", LINE_REACH))

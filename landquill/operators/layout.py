@@ -26,6 +26,11 @@ def parcel_order(number: Column) -> list[Column]:
     return [natural_key(number).isNull(), natural_key(number)]
 
 
+def preview(rows: DataFrame, number: str, order: str, most: int = 80) -> DataFrame:
+    """The first rows in the natural order of their parcel numbers (then the numbers' text and order), as many as a report's preview shows."""
+    return rows.orderBy(*parcel_order(F.col(number)), number, order).limit(most)
+
+
 def sheet_names(names: DataFrame, name: str, order: str) -> DataFrame:
     """names with sheet: repeats of a name get (2), (3), …"""
     n = F.row_number().over(Window.partitionBy(name).orderBy(order))

@@ -92,6 +92,18 @@ def mosaic(pixels: DataFrame, size: int = TILE) -> DataFrame:
     return pixels.select(((F.col("ty") - F.lit(corner["y"])) * size + F.col("row")).alias("row"), ((F.col("tx") - F.lit(corner["x"])) * size + F.col("col")).alias("col"), "elev")
 
 
+def mosaic_bounds(tiles: DataFrame, zoom: int) -> DataFrame:
+    """(north, south, west, east) of a mosaic of tiles (tx, ty)."""
+    ends = tiles.agg(F.min("tx").alias("x1"), F.max("tx").alias("x2"), F.min("ty").alias("y1"), F.max("ty").alias("y2"))
+    z = F.lit(zoom)
+    return ends.select(tile_lat(F.col("y1"), z).alias("north"), tile_lat(F.col("y2") + 1, z).alias("south"), tile_lon(F.col("x1"), z).alias("west"), tile_lon(F.col("x2") + 1, z).alias("east"))
+
+
+def valid_percent(dem: DataFrame) -> DataFrame:
+    """(valid_percent): the share of pixels (elev) with data."""
+    return dem.agg((F.count("elev") * 100 / F.count("*")).alias("valid_percent"))
+
+
 def fill_no_data(dem: DataFrame) -> DataFrame:
     """dem (row, col, elev) with filled: the mosaic's mean in place of no data (0 if all is)."""
     mean = dem.agg(F.avg("elev").alias("m")).first()["m"]
@@ -101,7 +113,7 @@ def fill_no_data(dem: DataFrame) -> DataFrame:
 def slope(dem: DataFrame, width: float, height: float) -> DataFrame:
     """dem (row, col, elev) with slope in degrees: central differences inside, one-sided at the edges; null stays null.
 
-    Neighbours come from joins on (row, col), not from windows over whole rows of a raster.
+    Neighbours meet in one aggregation by (row, col), not in windows over whole rows of a raster.
     """
     filled = fill_no_data(dem)
 
@@ -131,27 +143,40 @@ def slope_class(degrees: Column) -> Column:
     return out
 
 
-def inside_polygon(x: Column, y: Column, polygon: list[tuple[float, float]]) -> Column:
-    """Whether an odd number of the polygon's sides crosses the ray to the right of the point."""
-    n = F.lit(0)
-    for (x1, y1), (x2, y2) in zip(polygon, [*polygon[1:], polygon[0]], strict=True):
-        if y1 != y2:
-            n = n + F.when(((F.lit(y1) > y) != (F.lit(y2) > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1), 1).otherwise(0)
-    return n % 2 == 1
+def crossings(spark: SparkSession, polygon: list[tuple[float, float]], north: float, step: float, rows: int) -> DataFrame:
+    """(row, at): where the sides of a polygon of (x, y) cross the rows' lines y = north + row * step, for rows 0 to rows.
+
+    One row of a table for each side and a short list for each line, however many sides there are.
+    """
+    sides = spark.createDataFrame([(float(x1), float(y1), float(x2), float(y2)) for (x1, y1), (x2, y2) in zip(polygon, [*polygon[1:], polygon[0]], strict=True) if y1 != y2], "x1 double, y1 double, x2 double, y2 double")
+    near = [(F.col(c) - north) / step for c in ("y1", "y2")]
+    first, last = F.greatest(F.lit(0), F.floor(F.least(*near)) - 1), F.least(F.lit(rows), F.ceil(F.greatest(*near)) + 1)
+    y = F.lit(north) + F.col("row") * step
+    met = sides.where(first <= last).withColumn("row", F.explode(F.sequence(first, last))).where((F.col("y1") > y) != (F.col("y2") > y))
+    at = (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
+    return met.groupBy("row").agg(F.collect_list(at).alias("at"))
+
+
+def inside_polygon(spark: SparkSession, pixels: DataFrame, polygon: list[tuple[float, float]], north: float, dlat: float, west: float, dlon: float, rows: int) -> DataFrame:
+    """The pixels (row, col, ...) whose place lies in a polygon of (lon, lat): an odd number of sides crosses the ray to their right."""
+    x = F.lit(west) + F.col("col") * dlon
+    met = pixels.join(crossings(spark, polygon, north, dlat, rows), "row")
+    return met.where(F.size(F.filter("at", lambda c: x < c)) % 2 == 1).drop("at")
 
 
 def zonal_stats(spark: SparkSession, sloped: DataFrame, polygon: list[tuple[float, float]], bounds: tuple[float, float, float, float], pixel_area: float) -> DataFrame:
-    """(class, name, color, n, area_m2, percent) of all six classes over the pixels inside a polygon of (lon, lat).
+    """(class, name, color, n, area_m2, area_ha, percent) of all six classes over the pixels inside a polygon of (lon, lat).
 
-    bounds: north, south, west, east; pixels lie evenly from edge to edge, both included.
+    bounds: north, south, west, east; pixels lie evenly from edge to edge, both included. Square metres have one place, hectares three,
+    percents two.
     """
     size = sloped.agg(F.max("row").alias("r"), F.max("col").alias("c")).first()
     north, south, west, east = bounds
     rows, cols = max(int(size["r"] or 0), 1), max(int(size["c"] or 0), 1)
-    lat = F.lit(north) + F.col("row") * ((south - north) / rows)
-    lon = F.lit(west) + F.col("col") * ((east - west) / cols)
-    counts = sloped.where(inside_polygon(lon, lat, polygon)).withColumn("class", slope_class(F.col("slope"))).where("class >= 0").groupBy("class").agg(F.count("*").alias("n"))
+    inside = inside_polygon(spark, sloped, polygon, north, (south - north) / rows, west, (east - west) / cols, rows)
+    counts = inside.withColumn("class", slope_class(F.col("slope"))).where("class >= 0").groupBy("class").agg(F.count("*").alias("n"))
     classes = spark.createDataFrame([(i, name, color) for i, (_, _, name, color) in enumerate(SLOPE_CLASSES)], "class int, name string, color string")
     full = classes.join(counts, "class", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # six rows
-    return full.select("class", "name", "color", "n", (F.col("n") * pixel_area).alias("area_m2"), F.when(total > 0, F.col("n") * 100 / total).otherwise(0.0).alias("percent"))
+    area = F.col("n") * pixel_area
+    return full.select("class", "name", "color", "n", F.round(area, 1).alias("area_m2"), F.round(F.round(area, 1) / 10000, 3).alias("area_ha"), F.round(F.when(total > 0, F.col("n") * 100 / total).otherwise(0.0), 2).alias("percent"))

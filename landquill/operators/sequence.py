@@ -1,7 +1,8 @@
 """Lines whose order is data: records, continuation markers, look-ahead and gaps.
 
 Lines have a file, a line_idx that orders them within it, a page and an entry: a number, or one of the markers 続 (more owners
-of the last entry), 続更新 (new values for it) and 続表題 (the rest of its heading). Windows are partitioned by file.
+of the last entry), 続更新 (new values for it) and 続表題 (the rest of its heading). Files are read in chunks that know what came before
+them and see a few lines of their neighbours; windows go over chunks, pages' runs and entries, never over a whole file.
 """
 
 from __future__ import annotations
@@ -9,12 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import numbered, running, with_neighbours
+
 MORE, UPDATE, HEADING = "続", "続更新", "続表題"
 LOOK_AHEAD, SMALL_GAP = 9, 5
+#: Columns of a scanned line.
+LINE = ("entry", "location", "parcel_no", "land_use", "area", "addr", "share", "name", "receipt")
+#: Cells of a 続 line in the earlier form, where its owner stands right behind the marker.
+EARLY_MORE = {"addr": 1, "share": 2, "name": 3, "receipt": 4}
 
 
-def _lines(file: str) -> Window:
-    return Window.partitionBy(file).orderBy("line_idx")
+def line_columns(rows: DataFrame, early: bool = False) -> DataFrame:
+    """rows (fields, …) with the columns of a scanned line, trimmed; early: the earlier form of 続 lines, whose other cells are blank."""
+    at = lambda i: F.trim(F.coalesce(F.get("fields", F.lit(i)), F.lit("")))
+    more = (at(0) == MORE) & F.lit(early)
+    cells = {c: F.when(more, at(EARLY_MORE[c]) if c in EARLY_MORE else F.lit("") if i else at(0)).otherwise(at(i)) for i, c in enumerate(LINE)}
+    return rows.withColumns(cells).drop("fields")
 
 
 def _filled(c: Column) -> Column:
@@ -27,25 +38,35 @@ def is_numbered(entry: Column) -> Column:
 
 def record_groups(lines: DataFrame, opens: Column, file: str) -> DataFrame:
     """lines with record, the number of the opening line they stand under (0 before the first)."""
-    return lines.withColumn("record", F.sum(F.when(opens, 1).otherwise(0)).over(_lines(file)))
+    return running(lines, F.when(opens, 1).otherwise(0).cast("long"), "record", file, "line_idx")
+
+
+def _placed(lines: DataFrame, file: str) -> DataFrame:
+    return lines if "_rn" in lines.columns else numbered(lines, "_rn", file, "line_idx")
+
+
+def _part(file: str) -> Window:
+    return Window.partitionBy(file, "_part").orderBy("_rn")
 
 
 def page_index(lines: DataFrame, file: str) -> DataFrame:
     """lines with page_row: their 0-based place in their run of lines with the same page."""
-    turned = F.when(F.col("page").eqNullSafe(F.lag("page").over(_lines(file))), 0).otherwise(1)
-    runs = lines.withColumn("_turn", turned).withColumn("_run", F.sum("_turn").over(_lines(file)))
-    return runs.withColumn("page_row", F.row_number().over(Window.partitionBy(file, "_run").orderBy("line_idx")) - 1).drop("_turn", "_run")
+    near = with_neighbours(_placed(lines, file), "_rn", 1, 0)
+    turned = ~F.col("page").eqNullSafe(F.lag("page").over(_part(file))) | (F.col("_rn") == 1)
+    runs = near.withColumn("_turn", F.when(turned, F.col("_rn"))).where("_home").drop("_home", "_part")
+    out = running(runs, F.col("_turn"), "_start", file, "_rn", "max").withColumn("page_row", (F.col("_rn") - F.col("_start")).cast("int"))
+    return out.drop("_turn", "_start", *([] if "_rn" in lines.columns else ["_rn"]))
 
 
 def mark_duplicates(lines: DataFrame, file: str, same: tuple[str, ...] = ("owner_name",)) -> DataFrame:
     """lines with duplicate: a 続 line whose owner comes again in a 続 line below another numbered line, within 9 lines."""
-    numbered = F.col("entry").rlike("^[0-9]+$")
-    below = _lines(file)
-    counted = lines.withColumn("_n", F.sum(F.when(numbered, 1).otherwise(0)).over(below))
+    is_number = F.col("entry").rlike("^[0-9]+$")
+    counted = running(_placed(lines, file), F.when(is_number, 1).otherwise(0).cast("long"), "_n", file, "_rn")
     row = F.struct(F.col("entry").alias("entry"), F.col("_n").alias("n"), *[F.trim(F.col(c)).alias(c) for c in same])
-    ahead = counted.withColumn("_row", row).withColumn("_next", F.collect_list("_row").over(below.rowsBetween(1, LOOK_AHEAD)))
-    again = F.exists("_next", lambda x: (x["entry"] == MORE) & (x["n"] > F.col("_n")) & F.lit(True) & _all([x[c] == F.trim(F.col(c)) for c in same]))
-    return ahead.withColumn("duplicate", (F.col("entry") == MORE) & (F.concat_ws("", *same) != "") & again).drop("_n", "_row", "_next")
+    ahead = with_neighbours(counted, "_rn", 0, LOOK_AHEAD).withColumn("_row", row).withColumn("_next", F.collect_list("_row").over(_part(file).rowsBetween(1, LOOK_AHEAD)))
+    again = F.exists("_next", lambda x: (x["entry"] == MORE) & (x["n"] > F.col("_n")) & _all([x[c] == F.trim(F.col(c)) for c in same]))
+    out = ahead.where("_home").withColumn("duplicate", (F.col("entry") == MORE) & (F.concat_ws("", *same) != "") & again)
+    return out.drop("_n", "_row", "_next", "_part", "_home", *([] if "_rn" in lines.columns else ["_rn"]))
 
 
 def _all(tests: list[Column]) -> Column:
@@ -57,12 +78,13 @@ def _all(tests: list[Column]) -> Column:
 
 def valid_updates(lines: DataFrame, file: str, fields: tuple[str, ...]) -> DataFrame:
     """lines with valid_update: a 続更新 line that heads its page and does not just repeat the next entry within two lines."""
-    indexed = page_index(lines, file)
+    indexed = with_neighbours(page_index(_placed(lines, file), file), "_rn", 0, 2)
     row = F.struct((~F.col("entry").isin(MORE, UPDATE, "")).alias("entry"), *[F.trim(F.col(c)).alias(c) for c in fields])
-    near = F.filter(F.array(F.lead(row, 1).over(_lines(file)), F.lead(row, 2).over(_lines(file))), lambda x: x.isNotNull() & x["entry"])
+    near = F.filter(F.array(F.lead(row, 1).over(_part(file)), F.lead(row, 2).over(_part(file))), lambda x: x.isNotNull() & x["entry"])
     first = F.get(near, F.lit(0))
     repeats = first.isNotNull() & _all([first[c] == F.trim(F.col(c)) for c in fields])
-    return indexed.withColumn("valid_update", (F.col("entry") == UPDATE) & (F.col("page_row") == 0) & ~F.coalesce(repeats, F.lit(False)))
+    out = indexed.withColumn("valid_update", (F.col("entry") == UPDATE) & (F.col("page_row") == 0) & ~F.coalesce(repeats, F.lit(False))).where("_home")
+    return out.drop("_home", "_part", *([] if "_rn" in lines.columns else ["_rn"]))
 
 
 def merge_lines(lines: DataFrame, file: str = "file_no", parcel: str = "parcel_no", updated: tuple[str, ...] = ("area",), same: tuple[str, ...] = ("owner_name",), checked: bool = True) -> DataFrame:
@@ -79,20 +101,20 @@ def merge_lines(lines: DataFrame, file: str = "file_no", parcel: str = "parcel_n
     Completions are expected to carry a parcel number, and numbers to be unique within a file.
     """
     fields = (parcel, *updated)
-    marked = valid_updates(mark_duplicates(lines, file, same), file, updated).where("not duplicate and (entry <> '続更新' or valid_update)") if checked else lines
-    numbered = is_numbered(F.col("entry"))
-    g = marked.withColumn("_g", F.sum(F.when(numbered, 1).otherwise(0)).over(_lines(file))).where(f"_g > 0 or entry = '{MORE}'")
+    marked = valid_updates(mark_duplicates(_placed(lines, file), file, same), file, updated).where("not duplicate and (entry <> '続更新' or valid_update)") if checked else lines
+    is_entry = is_numbered(F.col("entry"))
+    g = running(marked, F.when(is_entry, 1).otherwise(0).cast("long"), "_g", file, "line_idx").where(f"_g > 0 or entry = '{MORE}'")
     group = Window.partitionBy(file, "_g").orderBy("line_idx")
     so_far, whole = group.rowsBetween(Window.unboundedPreceding, 0), group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     kind = lambda k: F.col("entry") == k
     now = {}
     for c in fields:
-        base = F.first(F.when(numbered, _filled(F.col(c))), ignorenulls=True).over(so_far)
+        base = F.first(F.when(is_entry, _filled(F.col(c))), ignorenulls=True).over(so_far)
         update = F.last(F.when(kind(UPDATE), _filled(F.col(c))), ignorenulls=True).over(so_far) if c in updated else F.lit(None).cast("string")
         completion = F.first(F.when(kind(HEADING), _filled(F.col(c))), ignorenulls=True).over(so_far)
         now[f"_{c}"] = F.coalesce(update, base, completion, F.lit(""))
-    out = g.withColumns(now).withColumn("_number", F.first(F.when(numbered, F.trim("entry")), ignorenulls=True).over(so_far))
-    own = F.when(numbered | F.col("_number").isNull(), F.struct(*[F.trim(F.col(c)).alias(c) for c in fields])).otherwise(F.struct(*[F.col(f"_{c}").alias(c) for c in fields]))
+    out = g.withColumns(now).withColumn("_number", F.first(F.when(is_entry, F.trim("entry")), ignorenulls=True).over(so_far))
+    own = F.when(is_entry | F.col("_number").isNull(), F.struct(*[F.trim(F.col(c)).alias(c) for c in fields])).otherwise(F.struct(*[F.col(f"_{c}").alias(c) for c in fields]))
     out = out.withColumn("_own", own).withColumn("_done", F.collect_list(F.when(kind(HEADING), F.struct(*[F.col(f"_{c}").alias(c) for c in fields]))).over(whole))
     # lines written, and the updates that follow each before the next
     out = out.withColumn("_part", F.sum(F.when(kind(UPDATE), 0).otherwise(1)).over(group))
@@ -112,6 +134,7 @@ def number_gaps(lines: DataFrame, file: str = "file_no") -> DataFrame:
     reading ('small'), more are a new section ('large'); missing lists them.
     """
     numbers = lines.where(F.col("entry").rlike("^[0-9]+$")).select(file, F.col("entry").cast("long").alias("n"), "line_idx").groupBy(file, "n").agg(F.min("line_idx").alias("line_idx"))
-    prev = numbers.withColumn("prev_n", F.lag("n").over(_lines(file))).where("prev_n > 0 and n > prev_n + 1")
+    near = with_neighbours(numbered(numbers, "_rn", file, "line_idx"), "_rn", 1, 0)
+    prev = near.withColumn("prev_n", F.lag("n").over(_part(file))).where("_home and prev_n > 0 and n > prev_n + 1")
     n = F.col("n") - F.col("prev_n") - 1
     return prev.select(file, "prev_n", F.col("n").alias("next_n"), n.alias("n_missing"), F.when(n <= SMALL_GAP, "small").otherwise("large").alias("kind"), F.sequence(F.col("prev_n") + 1, F.col("n") - 1).alias("missing"))

@@ -37,13 +37,18 @@ def nearest_within(left: DataFrame, right: DataFrame, size: float, left_id: str,
     return left.join(best, left_id, "left").select(*left.columns, F.col("_best.d").alias("d"), *[F.col(f"_best.{c}").alias(c) for c in take])
 
 
-def edges(lines: DataFrame, stakes: DataFrame, name: str, size: float = 0.5) -> DataFrame:
-    """Distinct (u, v), u < v: lines whose ends both lie closer than size to a stake, by the stakes' names, if they differ."""
+def line_ends(lines: DataFrame, stakes: DataFrame, name: str, size: float = 0.5) -> DataFrame:
+    """(line_id, u, v), u <= v: the names of the stakes nearest to both ends of each line, where both are closer than size."""
     ends = lines.select("line_id", F.explode(F.array(F.struct(F.lit(1).alias("end"), F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.lit(2).alias("end"), F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("e")).select("line_id", "e.*").withColumn("end_id", F.col("line_id") * 2 + F.col("end"))
     right = stakes.where(F.col(name).isNotNull()).select(F.col(name).alias("stake"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("stake_id").alias("ord"))
     hit = nearest_within(ends, right, size, "end_id", "ord", ("stake",)).where("stake is not null")
     both = hit.groupBy("line_id").agg(F.min("stake").alias("u"), F.max("stake").alias("v"), F.count("*").alias("n"))
-    return both.where("n = 2 and u <> v").select("u", "v").distinct()
+    return both.where("n = 2").drop("n")
+
+
+def edges(lines: DataFrame, stakes: DataFrame, name: str, size: float = 0.5) -> DataFrame:
+    """Distinct (u, v), u < v: lines whose ends both lie closer than size to a stake, by the stakes' names, if they differ."""
+    return line_ends(lines, stakes, name, size).where("u <> v").select("u", "v").distinct()
 
 
 def last_places(stakes: DataFrame, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_intersection
+from ..functions.text import block_number, is_intersection
 from .graph import materialise
 
 STRAIGHT, BEND = math.radians(20.0), math.radians(45.0)
@@ -33,17 +33,15 @@ def collinear_pairs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return a.join(b, "node").where(F.col("a") < F.col("b")).where(F.abs(angle_between(F.col("ha"), F.col("hb")) - math.pi) < STRAIGHT).select("node", "a", "b")
 
 
-def walk_on(starts: DataFrame, edges: DataFrame, nodes: DataFrame, most: int = 200) -> DataFrame:
+def walk_on(starts: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, first, end): from an intersection over its neighbour first, straight on to the first stake that is none.
 
     At each intersection the walk takes the neighbour it has not visited with the least turn; at a dead end or a turn of over
-    45 degrees it stops where it is. Each round moves all walks one step.
+    45 degrees it stops where it is. Each round moves all walks one step; since no walk visits a node twice, all end.
     """
     h = materialise(headings(edges, nodes))
     walk = materialise(starts.join(h.select(F.col("u").alias("node"), F.col("v").alias("first"), "heading"), ["node", "first"]).select("node", "first", F.col("first").alias("end"), "heading", F.array("node", "first").alias("seen"), (~is_intersection(F.col("first"))).alias("done")))
-    for _ in range(most):
-        if not walk.where("not done").limit(1).count():
-            break
+    while walk.where("not done").limit(1).count():
         step = walk.where("not done").join(h.select(F.col("u").alias("end"), F.col("v").alias("to"), F.col("heading").alias("next")), "end").where(~F.array_contains("seen", F.col("to"))).withColumn("turn", angle_between(F.col("heading"), F.col("next"))).where(F.col("turn") <= BEND)
         best = step.groupBy("node", "first").agg(F.min_by(F.struct("to", "next"), F.struct("turn", "to")).alias("b"))
         moved = walk.join(best, ["node", "first"], "left")
@@ -52,16 +50,18 @@ def walk_on(starts: DataFrame, edges: DataFrame, nodes: DataFrame, most: int = 2
     return walk.select("node", "first", "end")
 
 
-def intersections(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def intersections(edges: DataFrame, nodes: DataFrame, block: str | int | None = None) -> DataFrame:
     """(intersection_stake, baseline_point1, baseline_point2, extension_point1, extension_point2).
 
     Intersection stakes with exactly one straight pair of neighbours (the baseline) and one other neighbour (the direction).
     Ends are followed to stakes that are no intersections. Seen from the direction point, the baseline keeps its order if the
     cross product of the line of sight and the way to its first point is negative, else it is swapped; equal ends leave the
-    second empty. extension_point2 is always empty.
+    second empty. extension_point2 is always empty. block: only intersections of this block.
     """
     h = materialise(headings(edges, nodes)).where(is_intersection(F.col("u")))
     straight = collinear_pairs(edges, nodes).where(is_intersection(F.col("node")))
+    if block is not None:
+        straight = straight.where(block_number(F.col("node")) == str(block))
     one = straight.groupBy("node").agg(F.count("*").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")).where("n = 1").drop("n")
     other = h.select(F.col("u").alias("node"), "v").join(one, "node").where("v <> a and v <> b").groupBy("node").agg(F.count("*").alias("n"), F.first("v").alias("c")).where("n = 1")
     base = materialise(one.join(other.select("node", "c"), "node"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-BASE = ("customer", "orders", "lineitem", "part", "events")
+BASE = ("customer", "orders", "lineitem", "part", "events", "supplier")
 
 VIEWS = {
     "v_stakes": """
@@ -28,9 +28,14 @@ where a.stake_id % 17 <> 3
     "v_labels": """
 select i as label_id,
   case when i % 5 = 0 then cast(i as string) else concat(cast(i % 700 as string), '-', cast(i % 9 as string)) end as number,
-  cast((i % 30) * 10.0 + (i * 17 % 89) / 10.0 + 0.05 as double) as x,
-  cast(floor(i / 30.0) * 10.0 + (i * 31 % 97) / 10.0 + 0.05 as double) as y
-from (select cast(floor(o_orderkey / 10.0) as bigint) as i from orders where o_orderkey % 10 = 0) t
+  cast((i % 30 + case when i % 30 in (5, 11, 17) then 1 else 0 end) * 10.0 + (i * 17 % 89) / 10.0 + 0.05 as double) as x,
+  cast(floor(i / 300.0) * 10.0 + (i * 31 % 97) / 10.0 + 0.05 as double) as y
+from (select o_orderkey as i from orders) t
+""",
+    "v_public": """
+select s_suppkey as label_id, concat('道-', cast(s_suppkey as string)) as label,
+  cast((5 + 6 * (s_suppkey % 3)) * 10.0 + 4.5 as double) as x, cast(floor(s_suppkey / 2.0) * 10.0 + 5.5 as double) as y
+from supplier
 """,
     "v_dem": """
 select cast(floor(p_partkey / 40.0) as int) as r, cast(p_partkey % 40 as int) as c,
@@ -66,12 +71,20 @@ select p_partkey as id,
 from part
 """,
     "v_records": """
-select o_orderkey as property_id, o_orderkey * 100 as line_idx, '物件情報' as record_type, cast(o_orderkey as string) as c0, concat('地区', cast(o_custkey % 20 as string)) as c1, '' as c2 from orders
+select o_orderkey as property_id, o_orderkey * 100 as line_idx, cast(o_orderkey as string) as f0, '物件情報' as f1, o_orderpriority as f2, o_orderstatus as f3, concat('地区', cast(o_custkey % 20 as string)) as f4,
+  concat(cast(o_orderkey as string), '-', cast(o_orderkey % 9 as string)) as f5, concat('R', cast(o_custkey as string)) as f6, '' as f7, '' as f8, concat('字', cast(o_custkey % 3 as string)) as f9, cast(o_custkey % 90 as string) as f10 from orders
+union all
+select o_orderkey, o_orderkey * 100 + 1, '', '所在地', concat('北市地区', cast(o_custkey % 20 as string)), '', '', '', '', '', '', '', '' from orders where o_orderkey % 4 = 0
+union all
+select o_orderkey, o_orderkey * 100 + 2, '', '所在地', '', '', '', '', '', '', '', '', '' from orders where o_orderkey % 12 = 0
 union all
-select l_orderkey, l_orderkey * 100 + l_linenumber, '表示履歴', concat(cast(l_orderkey as string), '番', cast(l_partkey % 9 as string)),
-  case when l_returnflag = 'R' then concat('【', l_linestatus, '】') else l_linestatus end, cast(cast(l_quantity as int) as string) from lineitem
+select l_orderkey, l_orderkey * 100 + 2 + n, '', '表示履歴', case when n = 1 and l_orderkey % 3 = 0 then '' else concat(cast(l_orderkey as string), '番', cast(l_orderkey % 9 as string)) end, '',
+  case when l_returnflag = 'R' then concat('【', l_linestatus, '】') when l_returnflag = 'A' and l_partkey % 5 = 0 then concat('[', l_linestatus, ']') else l_linestatus end,
+  cast(cast(l_quantity as int) as string), concat('登記', cast(l_suppkey as string)), '', '', '', '' from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as n from lineitem) t
 union all
-select o_orderkey, o_orderkey * 100 + 90, '所有権', concat('A', cast(c_nationkey as string)), c_name, c_mktsegment from orders join customer on c_custkey = o_custkey
+select o_orderkey, o_orderkey * 100 + 90, '', '所有権', concat('A', cast(c_nationkey as string)), case when o_orderkey % 6 = 0 then '持分2分の1' else '' end, c_name, '', c_mktsegment, concat('第', cast(o_orderkey % 50 as string), '号'), '', '', '' from orders join customer on c_custkey = o_custkey
+union all
+select o_orderkey, o_orderkey * 100 + 91, '', '所有者', concat('P', cast(o_custkey % 7 as string)), '', '', '', '', '', '', '', '' from orders where o_orderkey % 6 = 0
 """,
     "v_boxes": """
 select event_id as box_id, cast(floor(event_id / 50.0) as int) as page, cast((event_id * 37) % 500 as double) as y_top, cast((event_id * 71) % 900 as double) as x_left,
@@ -79,17 +92,31 @@ select event_id as box_id, cast(floor(event_id / 50.0) as int) as page, cast((ev
 """,
     "v_entities": """
 select 1 as drawing_id, stake_id as ord, 'CIRCLE' as etype, layer, x as x1, y as y1, cast(null as double) as x2, cast(null as double) as y2,
-  case when stake_id % 41 = 0 then 0.5 else 0.25 end as radius, cast(null as string) as text from v_stakes
+  case when stake_id % 41 = 0 then 0.5 else 0.25 end as radius, cast(null as string) as text, cast(null as bigint) as n_points from v_stakes
+union all
+select 1, 10000000 + stake_id, 'MTEXT', layer, x + 0.4, y + 0.3, null, null, null, number, null from v_stakes where number is not null
+union all
+select 1, 20000000 + line_id, 'LWPOLYLINE', '_9-0_', x1, y1, x2, y2, null, null, case when line_id % 29 = 4 then 3 else 2 end from v_lines
 union all
-select 1, 10000000 + stake_id, 'MTEXT', layer, x + 0.4, y + 0.3, null, null, null, number from v_stakes where number is not null
+select 1, 30000000 + label_id, 'MTEXT', '53', x, y, null, null, null, number, null from v_labels
+""",
+    "v_plan": """
+select 2 as drawing_id, stake_id as ord, 'CIRCLE' as etype, case when stake_id % 37 = 5 then '_f-8_' else layer end as layer, x * 10 as x1, y * 10 as y1, cast(null as double) as x2, cast(null as double) as y2,
+  case when stake_id % 5 = 0 then 1.5 else 2.5 end as radius, cast(null as string) as text, cast(null as bigint) as n_points from v_stakes
+union all
+select 2, 10000000 + stake_id, 'TEXT', case when stake_id % 31 = 3 then '_9-1_' else layer end, x * 10 + 8, y * 10 + 6, null, null, null, number, null from v_stakes where number is not null
+union all
+select 2, 20000000 + line_id, 'LINE', case when line_id % 19 = 4 then '_f-0_' else '1' end, x1 * 10 + 0.1 - case when line_id % 2 = 0 then 1 else 0 end, y1 * 10, x2 * 10, y2 * 10 + case when line_id % 2 = 0 then 1 else 0 end, null, null, null from v_lines
 union all
-select 1, 20000000 + line_id, 'LWPOLYLINE', '_9-0_', x1, y1, x2, y2, null, null from v_lines
+select 2, 30000000 + label_id, 'TEXT', '4', x * 10, y * 10, null, null, null, number, null from v_labels
 union all
-select 1, 30000000 + label_id, 'MTEXT', '53', x, y, null, null, null, number from v_labels
+select 2, 40000000 + label_id, 'TEXT', case when label_id % 11 = 3 then '_f-0_' else '5' end, x * 10 + (label_id % 17) * 10, y * 10, null, null, null, case when label_id % 2 = 0 then '山林' else '宅地' end, null from v_labels where label_id % 3 = 0
+union all
+select 2, 50000000 + label_id, 'TEXT', '6', x * 10, y * 10, null, null, null, label, null from v_public
 """,
     "v_ocr": """
 select o_orderkey as line_idx, cast(floor(o_orderkey / 30.0) as int) as page, cast(o_orderkey as string) as entry,
-  concat(cast(o_orderkey as string), case when o_orderkey % 2 = 0 then '番' else '' end) as parcel_no,
+  concat(cast(o_orderkey as string), case when o_orderkey % 2 = 0 then '番の' else '-' end, cast(o_orderkey % 9 as string)) as parcel_no, case when o_orderkey % 3 = 0 then '' else '南市' end as location,
   case when o_orderkey % 9 = 0 then '(空)' else o_orderstatus end as land_use,
   case when o_orderkey % 4 = 0 then cast(cast(floor(o_totalprice) as bigint) as string) else concat(cast(cast(floor(o_totalprice) as bigint) as string), '.50') end as area,
   case when o_orderkey % 8 = 1 then c_name when o_orderkey % 8 = 2 then '' else concat(c_mktsegment, '市1番地') end as addr,
@@ -124,17 +151,23 @@ def _needed(names: tuple[str, ...]) -> list[str]:
     return [v for v in VIEWS if v in wanted]
 
 
+_registered: dict[str, tuple] = {}
+
+
 def register(spark: SparkSession, sf_dir: str) -> None:
-    """Make the base tables of a folder available to SQL."""
-    for name in BASE:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+    """Make the base tables and the views of a folder available to SQL; done once for a session and folder."""
+    state = (spark.sparkContext.applicationId, spark._jsparkSession.hashCode(), sf_dir)
+    if _registered.get("state") != state:
+        for name in BASE:
+            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        for name, sql in VIEWS.items():
+            spark.sql(sql).createOrReplaceTempView(name)
+        _registered["state"] = state
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One view over the tables of a folder."""
     register(spark, sf_dir)
-    for v in _needed((name,)):
-        spark.sql(VIEWS[v]).createOrReplaceTempView(v)
     return spark.table(name)
 
 

@@ -10,10 +10,14 @@ import io
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordered import numbered, running
+
 ENCODINGS = ("cp932", "utf-8-sig", "utf-8")
+# Names of side files and of the reports' columns.
 SIDE_FILES = ":Zone.Identifier|:mshield"
 DIFF_HEADERS = ("差分種別", "物件キー", "所在", "地番", "項目", "変更前", "変更後", "旧ファイル", "新ファイル", "備考")
 PAIR_HEADERS = ("旧ファイル", "新ファイル", "旧物件数", "新物件数", "差分件数", "追加", "削除", "変更")
@@ -50,22 +54,6 @@ def csv_rows(files: DataFrame, encodings: tuple[str, ...] = ENCODINGS, strict: b
     return files.select("file", "content").mapInArrow(run, "file string, line_idx long, fields array<string>")
 
 
-def registry_lines(rows: DataFrame, least: int = 2) -> DataFrame:
-    """(file, line_idx, record_type, c0, c1, c2) for the roll-up of properties; rows of fewer than least columns are skipped.
-
-    A property's opening row gives number and location, a location row the full location, a history row parcel number, land
-    use and area, an owner row address, name and the rest (share, registration, receipt).
-    """
-    at = lambda i: F.coalesce(F.get("fields", F.lit(i)), F.lit(""))
-    kind = F.trim(at(1))
-    opening, place, shown, named = kind == "物件情報", kind.startswith("所在"), kind.startswith("表示履歴"), kind.startswith("所有者")
-    rest = F.concat_ws(" / ", *[F.nullif(at(i), F.lit("")) for i in (3, 6, 7)])
-    c0 = F.when(opening, at(0)).when(named, "").otherwise(at(2))
-    c1 = F.when(opening, at(4)).when(place | named, at(2)).otherwise(at(4))
-    c2 = F.when(shown, at(5)).when(opening | place | named, "").otherwise(rest)
-    return rows.where(F.size("fields") >= least).select("file", "line_idx", kind.alias("record_type"), c0.alias("c0"), c1.alias("c1"), c2.alias("c2"))
-
-
 def table_rows(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """Rows of CSV files with a header as named text columns, with file and line_idx; the header gives the places."""
     header = rows.where("line_idx = 0").select("file", F.col("fields").alias("header"))
@@ -74,11 +62,14 @@ def table_rows(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 
 
 def snapshot(spark: SparkSession, folder: str, tables: list[str], kind: str = "csv") -> dict[str, DataFrame]:
-    """Tables of a folder, every column as text; blanks stay empty."""
+    """Tables of a folder, every column as text; blanks stay empty. Tables that cannot be opened are left out."""
     out = {}
     for t in tables:
         reader = spark.read.option("header", True).option("emptyValue", "").option("nullValue", "\u0000") if kind == "csv" else spark.read
-        df = reader.format(kind).load(f"{folder}/{t}.{kind}")
+        try:
+            df = reader.format(kind).load(f"{folder}/{t}.{kind}")
+        except AnalysisException:
+            continue
         out[t] = df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns])
     return out
 
@@ -89,9 +80,11 @@ def entities_from_tags(lines: DataFrame) -> DataFrame:
     Code 0 opens an entity; 8 is its layer, 10/20 and 11/21 its points (vertices of polylines repeat 10/20), 40 the radius
     or height and 1 the text.
     """
-    order = Window.partitionBy("drawing_id").orderBy("line_idx")
-    paired = lines.withColumn("value", F.lead("text").over(order)).withColumn("n", F.row_number().over(order)).where("n % 2 = 1").select("drawing_id", "line_idx", F.trim("text").cast("int").alias("code"), F.trim("value").alias("value"))
-    grouped = paired.withColumn("ord", F.sum(F.when(F.col("code") == 0, 1).otherwise(0)).over(order)).where("ord > 0")
+    # two lines are a pair; lines stay in their order by number
+    counted = numbered(lines, "n", "drawing_id", "line_idx").withColumn("pair", F.floor((F.col("n") - 1) / 2))
+    pairs = counted.groupBy("drawing_id", "pair").agg(F.min("line_idx").alias("line_idx"), F.min_by("text", "n").alias("code"), F.max_by("text", "n").alias("value"), F.count("*").alias("both")).where("both = 2")
+    paired = pairs.select("drawing_id", "line_idx", F.trim("code").try_cast("int").alias("code"), F.trim("value").alias("value"))
+    grouped = running(paired, F.when(F.col("code") == 0, 1).otherwise(0).cast("long"), "ord", "drawing_id", "line_idx").where("ord > 0")
     first = lambda code: F.min(F.when(F.col("code") == code, F.struct("line_idx", "value")))["value"]
     last = lambda code: F.max(F.when(F.col("code") == code, F.struct("line_idx", "value")))["value"]
     number = lambda v: v.try_cast("double")

@@ -3,13 +3,14 @@
 import itertools
 import math
 import random
+import unicodedata
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from landquill.functions import text as tx
-from landquill.operators import boxes, diff, drawing, entities, faces, layout, raster, reconcile, sequence, spatial, traverse
+from landquill.operators import boxes, diff, drawing, entities, faces, layout, ordered, raster, reconcile, sequence, spatial, traverse
 from landquill.operators.graph import components
 from landquill.sources import files
 
@@ -145,8 +146,15 @@ def test_diff_of_equal_tables_is_empty_and_mirrors(spark):
     ab, ba = (sorted((r.id, r.kind) for r in diff.keyed_diff(x, y).collect()) for x, y in ((a, b), (b, a)))
     swap = {"only_a": "only_b", "only_b": "only_a", "changed": "changed"}
     assert ba == sorted((i, swap[k]) for i, k in ab) and ("1", "changed") in ab
-    assert diff.guess_keys(["width", "name"]) == ["width"] and diff.guess_keys(["a", "b"]) == ["a"]
+    assert diff.guess_keys(["width", "name"]) == ["width"] and diff.guess_keys(["a", "b"]) == ["a", "b"]
     assert diff.set_diff(a.select("id"), b.select("id")).count() == 2
+    assert not diff.has_differences({"t": a}, {"t": a}) and diff.has_differences({"t": a}, {"t": b}) and diff.has_differences({"t": a}, {"t": a, "u": b})
+    # no column reads as a key: all are; columns may have any name
+    p, q = (spark.createDataFrame(x, "p int, q int, r int") for x in ([(1, 2, 3)], [(1, 2, 4)]))
+    assert sorted(map(tuple, diff.keyed_diff(p, q).collect())) == [("1", "2", "3", "only_a", "", ""), ("1", "2", "4", "only_b", "", "")]
+    p, q = (spark.createDataFrame(x, "a int, b int, value string") for x in ([(1, 2, "x|y")], [(1, 2, "z")]))
+    assert [tuple(r) for r in diff.keyed_diff(p, q, ["a", "b"]).collect()] == [("1", "2", "changed", "value", "x|y → z")]
+    assert [r.value for r in diff.keyed_diff(p, q.limit(0), ["a", "b"]).select("kind", F.col("value")).collect()] == ['{"value":"x|y"}']
     rows, tables = diff.snapshot_diff({"t": a, "u": a}, {"t": b, "v": b})
     assert tables == {"common": ["t"], "only_a": ["u"], "only_b": ["v"]} and rows.count() == len(ab)
 
@@ -244,11 +252,21 @@ def test_layout(spark):
 
 
 def test_reconcile(spark):
-    source = spark.createDataFrame([("1", "宅地", "110.90", ["山林"]), ("2", "田", "5", []), ("3", "畑", "", None)], "key string, land_use string, area string, old_land_uses array<string>")
-    read = spark.createDataFrame([("1", "山林", "1109"), ("2", "畑", "5.0"), ("4", "田", "1")], "key string, land_use string, area string")
-    got = {r.key: tuple(r)[1:] for r in reconcile.reconcile(source, read).collect()}
-    assert got["1"] == ("both", "corrected", "corrected", "宅地", "110.90")
-    assert got["2"] == ("both", "changed", "", "畑", "5") and got["3"][0] == "source_only" and got["4"][0] == "read_only"
+    owner = "owners array<struct<name:string,address:string>>"
+    source = spark.createDataFrame([("1", "甲", "宅地", "110.90", ["山林"], [("乙", "東京")], "f"), ("2", "", "田", "5", [], [], "f"), ("3", "丙", "畑", "", None, None, "f")], f"key string, location string, land_use string, area string, old_land_uses array<string>, {owner}, file string")
+    read = spark.createDataFrame([("1", "丁", "山林", "1109", [("乙", ""), ("丙", "")], "8"), ("2", "", "畑", "5.0", [], "9"), ("4", "", "田", "1", [], "")], f"key string, location string, land_use string, area string, {owner}, page string")
+    full = reconcile.reconcile(source, read)
+    got = {r.key: r for r in full.collect()}
+    pick = lambda k: tuple(got[k][c] for c in ("status", "location", "land_use_change", "area_change", "land_use", "area"))
+    assert pick("1") == ("both", "丁", "corrected", "corrected", "宅地", "110.90") and (got["1"].read_owners, got["1"].read_owner_count) == ("乙, 丙", 2)
+    assert pick("2") == ("both", "", "changed", "", "畑", "5") and pick("3")[:2] == ("source_only", "丙") and pick("4")[0] == "read_only"
+    people = [df.select("key", F.explode("owners").alias("o")).select("key", "o.*") for df in (source, read)]
+    rows = [(r.key, r.item, r.note) for r in reconcile.changes(full, reconcile.match_owners(*people)).orderBy("key", "item_ord").collect()]
+    assert rows == [("1", "地目（OCR補正）", ""), ("1", "地積（小数点補正）", "小数点の縦点線がOCRで認識されなかった可能性"), ("1", "所有者（追加）", ""), ("2", "地目", "")]
+    assert [(r.category, r.source) for r in reconcile.unmatched(full).orderBy("key").collect()] == [("照合元のみ", "f"), ("OCRのみ", "PDF p.?")]
+    lines = spark.createDataFrame([(0, "1", "f", "甲", "5番", "田", "1", "東京都港区", "", "佐藤"), (1, "2", "f", "", "５番", "畑", "", "", "", ""), (2, "2", "f", "", "5", "", "", "鈴木", "", ""), (3, "2", "f", "", "東京1番地", "", "", "x", "", "")], "line_idx long, page string, file string, location string, parcel_no string, land_use string, area string, addr string, share string, name string")
+    (one,) = reconcile.read_properties(lines).collect()
+    assert (one.key, one.location, one.land_use, one.page, [(o.address, o.name) for o in one.owners]) == ("5", "甲", "田", "1", [("東京都港区", "佐藤"), ("", "鈴木")])
     owners = [spark.createDataFrame(x, "key string, name string") for x in ([("1", "髙橋 一"), ("1", "佐藤"), ("1", "乙")], [("1", "高橋一"), ("1", "佐 藤"), ("1", "丙")])]
     assert sorted((r.kind, r.source_name, r.read_name) for r in reconcile.match_owners(*owners).collect()) == [("消失", "乙", ""), ("異体字差異", "髙橋 一", "高橋一"), ("追加", "", "丙")]
     row = spark.createDataFrame([("a,b",), (",".join(map(str, range(11))),)], "x string").select(reconcile.repair_arity(F.col("x"))).collect()
@@ -264,18 +282,19 @@ def test_registry_files(spark, tmp_path):
     (tmp_path / "c.txt").write_text("no")
     rows = files.csv_rows(files.registry_files(spark, str(tmp_path)))
     assert {r.file for r in rows.collect()} == {"a_001_BM.csv", "b_001_BM.csv"}
-    props = {r.file: r for r in diff.tracked(diff.rollup_records(files.registry_lines(rows))).collect()}
+    props = {r.file: r for r in diff.tracked(diff.rollup_records(rows)).collect()}
     a = props["a_001_BM.csv"]
     assert (a.key, a.location, a.land_use, a.area, a.old_land_uses) == ("北市大字甲|1番1", "北市大字甲", "宅地", "110.90", ["山林"])
-    assert [(o.address, o.name, o.note) for o in a.owners] == [("東京都", "髙橋", "持分2分の1 / 登記 / 第1号")]
+    assert [tuple(o) for o in a.owners] == [("東京都", "持分2分の1", "髙橋", "登記", "第1号")]
+    assert (a.kind, a.status, a.real_estate_no, a.history) == ("土地", "現存", "777", ["1番1|【山林】|100・0||", "|宅地|110.90||"])
     with pytest.raises(ValueError, match="none of"):
         files.decode(b"\x81 ")
     assert files.decode(b"\x81\x7c").encode("utf-8") == "－".encode()
-    out = diff.registry_diff(*[diff.tracked(diff.rollup_records(files.registry_lines(rows.where(F.col("file") == f)))) for f in props])
+    out = diff.registry_diff(*[diff.tracked(diff.rollup_records(rows.where(F.col("file") == f))) for f in props])
     files.write_diff(out, str(tmp_path / "out"))
     back = spark.read.csv(str(tmp_path / "out"), header=True)
-    assert tuple(back.columns) == files.DIFF_HEADERS and back.count() == 2
-    pairs = diff.registry_diff_all_pairs(diff.rollup_records(files.registry_lines(rows)))
+    assert tuple(back.columns) == files.DIFF_HEADERS and sorted((r["差分種別"], r["地番"], r["項目"]) for r in back.collect()) == [("削除", "1番1", "物件"), ("追加", "2番", "物件")]
+    pairs = diff.registry_diff_all_pairs(diff.rollup_records(rows))
     assert [tuple(r) for r in pairs.collect()] == [("a_001_BM.csv", "b_001_BM.csv", 1, 1, 2, 1, 1, 0)]
 
 
@@ -285,10 +304,70 @@ def test_drawing_tags(spark):
     ents = files.entities_from_tags(lines)
     got = {r.etype: r for r in ents.collect()}
     assert set(got) == {"CIRCLE", "LWPOLYLINE", "MTEXT"} and got["CIRCLE"].radius == 0.25 and (got["LWPOLYLINE"].x2, got["LWPOLYLINE"].n_points) == (3.0, 2)
-    assert entities.detect_format(ents).first().format == "mtext" and entities.stakes(ents).count() == 1
+    assert entities.detect_format(ents).first().format == "mtext" and entities.detect_format(ents.where("etype <> 'LWPOLYLINE'")).first().format == "text" and entities.stakes(ents).count() == 1
     assert [(r.category, r.number) for r in entities.stake_texts(ents).collect()] == [("stake", "1.830")]
 
 
+def test_registry_dialects(spark):
+    rows = [["7", "物件情報", "土地", "現存", "甲", "3-4", "9", "", "", "乙", "55"], ["", "所在", "丙"], ["", "所在", ""], ["", "表示履歴", "", "", "[田]", "5"], ["", "表示履歴", "１２−３番", "", "【畑】", "6"], ["x"], ["", "所有者", ""], ["", "所有者", "丁"], ["", "所有権", "（空）", "", ""]]
+    df = spark.createDataFrame([("f", i, r) for i, r in enumerate(rows)], "file string, line_idx long, fields array<string>")
+    new, old = diff.rollup_records(df).first(), diff.rollup_records(df, dialect="source").first()
+    assert (new.location, new.land_use, new.area, new.city_code, new.old_land_uses) == ("甲乙", "", "6", "55", ["田", "畑"])
+    assert (old.location, old.land_use, old.area, old.old_land_uses) == ("丙", "田", "6", ["畑"])
+    assert [o.name for o in new.owners] == ["丁", ""] and [o.name for o in old.owners] == ["丁"]
+    assert diff.rollup_records(df.where("line_idx < 1")).first().parcel_no == "3番4" and diff.rollup_records(df.where("line_idx between 1 and 3")).count() == 0
+
+
+def test_early_dialects(spark):
+    lines = [(0, "1", "1番1", "10", "A"), (1, "続", "", "", "B"), (2, "続更新", "", "20", ""), (3, "続", "", "", "C"), (4, "続更新", "", "", "")]
+    df = spark.createDataFrame([(0, 0, *x) for x in lines], "file_no int, page int, line_idx long, entry string, parcel_no string, area string, owner_name string")
+    got = [tuple(r)[2:] for r in sequence.merge_lines(df, checked=False).orderBy("line_idx").collect()]
+    assert got == [(0, "1", "1番1", "10", "A"), (1, "1", "1番1", "20", "B"), (3, "1", "1番1", "20", "C")]
+    row = spark.createDataFrame([(["続", "東京都", "2分の1", "鈴木", "昭和1年"],), (["3", "大字", "5番"],)], "fields array<string>")
+    assert [tuple(r) for r in sequence.line_columns(row, early=True).collect()] == [("続", "", "", "", "", "東京都", "2分の1", "鈴木", "昭和1年"), ("3", "大字", "5番", "", "", "", "", "", "")]
+    drift = spark.createDataFrame([("東京都", "鈴木", "昭和1年", "第1号"), ("東京都", "持分2分の1", "佐藤", "x")], "addr string, share string, name string, registered string")
+    assert [tuple(r) for r in reconcile.repair_owner_v1(drift).collect()] == [("東京都", "", "鈴木", "昭和1年"), ("東京都", "持分2分の1", "佐藤", "x")]
+
+
+def test_text_format_with_one_large_circle(spark):
+    rows = [("CIRCLE", "1", 0.0, 0.0, None, None, 848.72, None), ("CIRCLE", "_f-8_", 9.0, 0.0, None, None, 1.0, None), ("TEXT", "1", 3000.0, 0.0, None, None, None, "1.1"), ("TEXT", "_9-0_", 1.0, 0.0, None, None, None, "1.2"), ("TEXT", "2", 50.0, 0.0, None, None, None, "7-1"), ("TEXT", "2", 50.0, 9000.0, None, None, None, "田")]
+    ents = spark.createDataFrame([(1, i, e, *r) for i, (e, *r) in enumerate(rows)], "drawing_id int, ord long, etype string, layer string, x1 double, y1 double, x2 double, y2 double, radius double, text string").withColumn("n_points", F.lit(None).cast("long"))
+    got = drawing.parse_entities(ents)
+    assert [tuple(r) for r in got.stakes.select("stake_id", "number").collect()] == [(0, "1.1")]
+    assert [(r.number, r.land_use, r.owner) for r in got.parcels.collect()] == [("7-1", "田", None)]
+
+
+def test_running_values_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "CHUNK", 3)
+    rng = random.Random(3)
+    rows = [(f, i, rng.randint(0, 3), rng.choice([None, *range(9)])) for f in "ab" for i in range(rng.randint(9, 20))]
+    df = spark.createDataFrame(rows, "file string, i long, v int, m int")
+    got = ordered.running(ordered.running(df, F.col("v"), "s", "file", "i"), F.col("m"), "top", "file", "i", "max").collect()
+    for r in got:
+        before = [x for x in rows if x[0] == r.file and x[1] <= r.i]
+        assert r.s == sum(x[2] for x in before) and r.top == max((x[3] for x in before if x[3] is not None), default=None)
+    near = ordered.with_neighbours(ordered.numbered(df, "n", "file", "i"), "n", 1, 2, size=4)
+    assert near.where("_home").count() == len(rows) and near.count() > len(rows)
+
+
+def test_nfkc_of_the_basic_plane(spark):
+    texts = [chr(c) for c in (*range(1, 0x3000, 7), *range(0x3000, 0x3400), *range(0xF900, 0x10000, 3))] + ["ｶﾞｷﾞｸﾟ１", "ậ", "が", "㈱ﾊﾟ", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.nfkc(F.col("t")).alias("n")).collect()
+    assert [(r.t, r.n) for r in rows if r.n != unicodedata.normalize("NFKC", r.t)] == []
+
+
+def test_crossings_equal_the_plain_test(spark):
+    rng = random.Random(8)
+    polygon = [(rng.uniform(0, 20), rng.uniform(0, 20)) for _ in range(60)]
+    pixels = spark.range(30 * 30).selectExpr("cast(id div 30 as int) as row", "cast(id % 30 as int) as col")
+    got = {(r.row, r.col) for r in raster.inside_polygon(spark, pixels, polygon, 20.0, -20 / 29, 0.0, 20 / 29, 29).collect()}
+    for row in range(30):
+        for col in range(30):
+            x, y = 20 / 29 * col, 20.0 + row * (-20 / 29)
+            odd = sum((y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 for (x1, y1), (x2, y2) in zip(polygon, [*polygon[1:], polygon[0]], strict=True)) % 2
+            assert ((row, col) in got) == bool(odd)
+
+
 def test_components_of_a_long_chain(spark):
     rows = spark.createDataFrame([(i, i + 1) for i in range(500)], "src long, dst long")
     assert [r.component for r in components(rows).select("component").distinct().collect()] == [0]
@@ -296,7 +375,7 @@ def test_components_of_a_long_chain(spark):
 
 def test_drawing_from_entities(spark):
     rows = [("CIRCLE", 0.0, 0.0, None, None, 0.25, None), ("CIRCLE", 10.0, 0.0, None, None, 0.25, None), ("CIRCLE", 10.0, 0.0001, None, None, 0.25, None), ("MTEXT", 0.4, 0.3, None, None, None, "1.1"), ("MTEXT", 10.4, 0.3, None, None, None, "{\\fX;-1.2}"), ("LWPOLYLINE", 0.1, 0.0, 9.9, 0.0, None, None), ("MTEXT", 5.0, 5.0, None, None, None, "12-3"), ("MTEXT", 5.5, 5.0, None, None, None, "山林"), ("MTEXT", 7.0, 7.0, None, None, None, "水-1")]
-    ents = spark.createDataFrame([(1, i, e, "0", *r) for i, (e, *r) in enumerate(rows)], "drawing_id int, ord long, etype string, layer string, x1 double, y1 double, x2 double, y2 double, radius double, text string")
+    ents = spark.createDataFrame([(1, i, e, "0", *r) for i, (e, *r) in enumerate(rows)], "drawing_id int, ord long, etype string, layer string, x1 double, y1 double, x2 double, y2 double, radius double, text string").withColumn("n_points", F.when(F.col("etype") == "LWPOLYLINE", 2))
     got = drawing.parse_entities(ents)
     assert sorted((r.stake_id, r.number) for r in got.stakes.collect()) == [(0, "1.1"), (1, "-1.2")]
     assert [tuple(r) for r in got.edges.collect()] == [("-1.2", "1.1")]

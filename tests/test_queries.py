@@ -21,7 +21,7 @@ def plain(v):
 @pytest.fixture(scope="module")
 def con():
     out = duckdb.connect()
-    for t in ("customer", "orders", "lineitem", "part", "events"):
+    for t in ("customer", "orders", "lineitem", "part", "events", "supplier"):
         out.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return out
 
