@@ -28,8 +28,8 @@ where a.stake_id % 17 <> 3
     "v_labels": """
 select i as label_id,
   case when i % 5 = 0 then cast(i as string) else concat(cast(i % 700 as string), '-', cast(i % 9 as string)) end as number,
-  cast((i % 30 + case when i % 30 in (5, 11, 17) then 1 else 0 end) * 10.0 + (i * 17 % 89) / 10.0 + 0.05 as double) as x,
-  cast(floor(i / 300.0) * 10.0 + (i * 31 % 97) / 10.0 + 0.05 as double) as y
+  cast((i % 30 + case when i % 30 in (5, 11, 17) then 1 else 0 end) * 10 as double) + cast(i * 7919 % 9973 as double) / 1000.0 as x,
+  cast(floor(i / 300.0) * 10 as double) + cast(i * 6007 % 9967 as double) / 1000.0 as y
 from (select o_orderkey as i from orders) t
 """,
     "v_public": """
