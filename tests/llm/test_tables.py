@@ -193,10 +193,62 @@ def test_pipeline_stages_against_brute_force(spark):
     coded = stage["sentence_pieces"](spark, mixed, SF).collect()
     assert len(coded) == mixed.count() and all(r.round_trip for r in coded)
     empty = docs.limit(0)
-    for name, f in corpus_pipeline.STAGES[:4]:
+    for name, f in corpus_pipeline.STAGES:
         assert f(spark, empty, SF).collect() == [], name
 
 
+def test_the_whole_pipeline_equals_a_plain_version(spark):
+    """run() over all of the smallest tables, stage by stage in plain Python (mixing by its SQL, pieces by the library)."""
+    import hashlib
+
+    import pandas as pd
+    import sentencepiece
+
+    from landquill.llm import quality, sentence_pieces
+    from landquill.llm import textblocks as tb
+
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    good = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect()}
+    grams = {}
+    for i, r in docs.items():
+        data = np.frombuffer((r.text or "").encode(), np.uint8)
+        word, at = tb.words(data, np.array([0, len(data)]))
+        grams[i] = (np.concatenate((word, tb.shingles(word, at, 2)[0])) >> np.uint64(64 - quality.BITS)).astype(np.int64)
+    count = lambda ids: np.bincount(np.concatenate([grams[i] for i in ids]), minlength=quality.BUCKETS)
+    raw, want = count(docs), count(good & docs.keys())
+    ratio = np.log((want + 1) / (want.sum() + quality.BUCKETS)) - np.log((raw + 1) / (raw.sum() + quality.BUCKETS))
+    weight = {i: float(ratio[g].sum()) for i, g in grams.items() if len(g)}
+    noise = lambda i: -np.log(-np.log((int(hashlib.md5(f"quality-0-{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52))
+    edge = np.quantile([weight[i] for i in good if i in weight], quality.LOSS)
+    k = sum(w >= edge - 1e-9 for w in weight.values())
+    kept = sorted(weight, key=lambda i: (-(weight[i] + noise(i)), i))[:k]
+
+    rows = [(i, docs[i].text) for i in kept]
+    least, holders, place = corpus_pipeline.line_dedup.EXACT_CHARS, {}, {}
+    for i, t in sorted(rows):
+        for n, line in enumerate(t.split("\n")):
+            if len(line) < 24 and len(line.strip(" \t\r")) >= least:
+                holders.setdefault(line, set()).add(i)
+                place.setdefault(line, (i, n))
+    texts = {}
+    long = brute_lines(rows, 2, 24, gone=(gone := set()))
+    for i, t in rows:
+        lines = t.split("\n")
+        stays = [x for n, x in enumerate(lines) if (i, n) not in gone and not (len(holders.get(x, ())) >= corpus_pipeline.SHORT_LINE_DOCS and place[x] != (i, n))]
+        if len(stays) == len(lines) or any(x.strip() for x in stays):
+            texts[i] = "\n".join(stays)
+    assert long.keys() == dict(rows).keys()
+    texts = {i: texts[i] for i, (_, c) in brute_components(list(texts.items()), 5, 80).items() if c == i}
+    con = duckdb.connect()
+    documents = pd.DataFrame([(i, t, docs[i].source, docs[i].lang) for i, t in texts.items()], columns=["doc_id", "text", "source", "lang"]).astype({"doc_id": "int64"})
+    con.register("documents", documents)
+    mixed = {r[0] for r in con.execute(f"select doc_id, kept from ({queries.ORACLE_SQL['op1_source_mixing']})").fetchall() if r[1]}
+    library = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.MODEL_PATH)
+    out = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id for r in out} == mixed and len(out) == len(mixed) > 50
+    assert all(r.ids == library.encode(texts[r.doc_id]) and r.round_trip for r in out)
+
+
 def test_line_dedup_stage_keeps_documents_with_short_lines_left(spark):
     shared = ["A header that many documents have.", "A footer that many documents have."]
     rows = [(1, "\n".join(shared)), (2, "\n".join([shared[0], "roses are red", "violets", shared[1]])), (3, "\n".join([shared[0], " ", "", shared[1]])), (4, None), (5, ""), (6, "short")]

@@ -133,7 +133,7 @@ def test_ngram_join_edges(edges, spark):
     assert ngram_join.ngram_components(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def brute_lines(rows, edits, least):
+def brute_lines(rows, edits, least, gone=None):
     def distance(a, b):
         last = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
@@ -151,6 +151,8 @@ def brute_lines(rows, edits, least):
     lines = list(first)
     near = lambda a, b: abs(len(a) - len(b)) <= edits and sum((Counter(a) - Counter(b)).values()) <= edits and distance(a, b) <= edits
     late = {max((a, b), key=first.get) for x, a in enumerate(lines) for b in lines[:x] if near(a, b)}
+    if gone is not None:
+        gone |= {(i, n) for i, t in rows if i is not None and t is not None for n, x in enumerate(t.split("\n")) if len(x) >= least and (x in late or first[x] != (i, n))}
     return {i: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if len(x) < least or (x not in late and first[x] == (i, n))) for i, t in rows if i is not None}
 
 
