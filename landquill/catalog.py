@@ -694,14 +694,18 @@ def _graph(spark, sf_dir):
     return spatial.edges(view(spark, sf_dir, "v_lines"), stakes, "number"), spatial.last_places(stakes, "number")
 
 
-_HALF = (
-    _EDGES
-    + """, p as (select number as node, arg_max(x, stake_id) as x, arg_max(y, stake_id) as y from v_stakes where number is not null group by 1),
+def _half_sql(edges_sql: str, name: str) -> str:
+    return (
+        edges_sql
+        + f""", p as (select {name} as node, arg_max(x, stake_id) as x, arg_max(y, stake_id) as y from v_stakes where {name} is not null group by 1),
 h as (select e.u, e.v, atan2(q.y - p.y, q.x - p.x) as a from (select u, v from e union select v, u from e) e join p on p.node = e.u join p q on q.node = e.v),
 hn as (select v as u, u as v, coalesce(lead(v) over (partition by u order by a, v), first_value(v) over (partition by u order by a, v)) as after from h),
 he as (select u || '>' || v as id, u, v, v || '>' || after as next from hn)
 """
-)
+    )
+
+
+_HALF = _half_sql(_EDGES, "number")
 
 
 @query(_HALF + "select id, u, v, next from he", "v_stakes", "v_lines")
@@ -709,13 +713,17 @@ def half_edges(spark, sf_dir):
     return faces.half_edges(*_graph(spark, sf_dir))
 
 
-_FACES = (
-    _HALF
-    + """, w as (select id as face, id, next, u, 0 as place from he union all select w.face, he.id, he.next, he.u, w.place + 1 from w join he on he.id = w.next where he.id > w.face),
+def _faces_sql(half: str) -> str:
+    return (
+        half
+        + """, w as (select id as face, id, next, u, 0 as place from he union all select w.face, he.id, he.next, he.u, w.place + 1 from w join he on he.id = w.next where he.id > w.face),
 good as (select face, max(place) + 1 as n from w group by 1 having bool_or(next = face)),
 f as (select face, n, list(u order by place) as ring, sum(x * y2 - x2 * y) / 2 as area from (select w.face, good.n, w.place, w.u, p.x, p.y, q.x as x2, q.y as y2 from w join good using (face) join p on p.node = w.u join he on he.id = w.id join p q on q.node = he.v) group by face, n having n >= 3)
 """
-)
+    )
+
+
+_FACES = _faces_sql(_HALF)
 
 
 @query(_FACES + "select face, n, array_to_string(ring, ',') as ring from f", "v_stakes", "v_lines")
@@ -765,7 +773,17 @@ def rings(spark, sf_dir):
     return _shown(faces.parcel_rings(view(spark, sf_dir, "v_labels"), *_graph(spark, sf_dir)))
 
 
-@query()
+_AUX_FACES = _rings_sql(_faces_sql(_half_sql(_edges_sql(_AUX_NAME, "true"), _AUX_NAME)), "v_labels")
+_AUXILIARY = f""", ah as (with recursive {_AUX_FACES} select label_id, face_id from hits),
+ash as (with recursive {_AUX_FACES} select face_id, list_filter(pts, lambda x: not starts_with(x.node, '__')) as pts from simple),
+alone as (select face_id, any_value(number) as number from ah join v_labels using (label_id) group by 1 having count(distinct number) = 1),
+ast as (select number, pts, list_reduce(list_transform(range(1, len(pts) + 1), lambda j: {{'i': j, 'w': pts[j].w}}), lambda b, q: case when q.w > b.w + 0.001 then q else b end).i as first_ from alone join ash using (face_id) where number not in (select parcel_number from found) and len(pts) >= 3 and len(list_distinct(list_transform(pts, lambda x: x.node))) = len(pts)),
+aring as (select distinct number as parcel_number, list_transform(range(0, len(pts) + 1), lambda j: pts[((first_ - 1 + j) % len(pts) + 1)::int].node) as closed from ast),
+aux as (select * from aring where not exists (select 1 from found where found.closed = aring.closed))
+"""
+
+
+@query(_RINGS + _AUXILIARY + "select parcel_number, array_to_string(closed, ',') as ring from aux", "v_stakes", "v_lines", "v_labels")
 def rings_aux(spark, sf_dir):
     labels = view(spark, sf_dir, "v_labels")
     found = faces.parcel_rings(labels, *_graph(spark, sf_dir))
@@ -793,7 +811,15 @@ def rings_unknown(spark, sf_dir):
     return _shown(faces.unknown_rings(found, edges, nodes, view(spark, sf_dir, "v_public")))
 
 
-@query()
+@query(
+    _UNKNOWN
+    + _AUXILIARY
+    + "select 'matched' as kind, parcel_number, array_to_string(closed, ',') as ring from found union all select 'auxiliary', parcel_number, array_to_string(closed, ',') from aux union all select 'unknown', parcel_number, array_to_string(closed, ',') from unk where not exists (select 1 from aux where aux.closed = unk.closed)",
+    "v_stakes",
+    "v_lines",
+    "v_labels",
+    "v_public",
+)
 def all_rings(spark, sf_dir):
     stakes = _aux_stakes(spark, sf_dir)
     aux = spatial.edges(view(spark, sf_dir, "v_lines"), stakes, "name"), spatial.last_places(stakes, "name")
