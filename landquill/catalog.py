@@ -1096,7 +1096,29 @@ def snapshot_diff(spark, sf_dir):
     return diff.snapshot_diff({"orders": a, "customer": older}, {"orders": b, "customer": newer})[0]
 
 
-@query()
+# the lines of each file one after the other: the last entry's number, parcel and area, and the rows written so far
+_MERGE = """
+n as (select *, row_number() over (partition by file_no order by line_idx) as k, sum(case when regexp_full_match(entry, '[0-9]+') then 1 else 0 end) over (partition by file_no order by line_idx) as g,
+  coalesce(lag(page) over (partition by file_no order by line_idx) <> page, true) as heads, lead(entry, 1) over w as e1, lead(area, 1) over w as a1, lead(entry, 2) over w as e2, lead(area, 2) over w as a2 from v_seq window w as (partition by file_no order by line_idx)),
+twice as (select distinct x.line_idx from n x join n y on y.file_no = x.file_no and y.k between x.k + 1 and x.k + 9 and y.entry = '続' and y.g > x.g and y.owner_name = x.owner_name where x.entry = '続'),
+l as (select n.*, n.line_idx in (select line_idx from twice) as dup, heads and not coalesce(case when e1 not in ('続', '続更新', '') then a1 when e2 not in ('続', '続更新', '') then a2 end = area, false) as valid from n),
+st as (select file_no, 0::bigint as k, null::varchar as num, ''::varchar as parcel, ''::varchar as ar, []::struct(i bigint, page int, entry varchar, parcel varchar, area varchar, owner varchar)[] as rows_ from (select distinct file_no from v_seq)
+  union all
+  select file_no, k, num2, parcel2, ar2, case
+    when entry = '続更新' then case when valid and num is not null and area <> '' then list_transform(rows_, lambda x, i: case when i = list_position(list_reverse(list_transform(rows_, lambda y: y.parcel = parcel2)), true) * -1 + len(rows_) + 1 then {'i': x.i, 'page': x.page, 'entry': x.entry, 'parcel': x.parcel, 'area': area, 'owner': x.owner} else x end) else rows_ end
+    when entry = '続表題' then case when num is null then rows_ else list_append(list_transform(rows_, lambda x, i: case when i = coalesce(list_position(list_reverse(list_transform(rows_, lambda y: y.entry = num and y.parcel = '')), true), -9) * -1 + len(rows_) + 1 then {'i': x.i, 'page': x.page, 'entry': x.entry, 'parcel': parcel2, 'area': ar2, 'owner': x.owner} else x end), {'i': line_idx, 'page': page, 'entry': num, 'parcel': parcel2, 'area': ar2, 'owner': owner_name}) end
+    when entry = '続' then case when dup then rows_ when num is null then list_append(rows_, {'i': line_idx, 'page': page, 'entry': entry, 'parcel': parcel_no, 'area': area, 'owner': owner_name}) else list_append(rows_, {'i': line_idx, 'page': page, 'entry': num, 'parcel': parcel, 'area': ar, 'owner': owner_name}) end
+    else list_append(rows_, {'i': line_idx, 'page': page, 'entry': entry, 'parcel': parcel_no, 'area': area, 'owner': owner_name}) end
+  from (select st.file_no, l.k, l.line_idx, l.page, l.entry, l.parcel_no, l.area, l.owner_name, l.dup, l.valid, st.num, st.parcel, st.ar, st.rows_,
+    case when l.entry in ('続', '続更新', '続表題') then st.num else l.entry end as num2,
+    case when l.entry in ('続', '続更新') then st.parcel when l.entry = '続表題' then case when st.num is not null and st.parcel = '' then l.parcel_no else st.parcel end else l.parcel_no end as parcel2,
+    case when l.entry = '続' then st.ar when l.entry = '続更新' then case when l.valid and st.num is not null and l.area <> '' then l.area else st.ar end when l.entry = '続表題' then case when st.num is not null and st.ar = '' then l.area else st.ar end else l.area end as ar2
+    from st join l on l.file_no = st.file_no and l.k = st.k + 1))
+select r.i as line_idx, file_no, r.page as page, r.entry as entry, r.parcel as parcel_no, r.area as area, r.owner as owner_name from (select file_no, unnest(rows_) as r from st where (file_no, k) in (select file_no, max(k) from l group by 1))
+"""
+
+
+@query(_MERGE, "v_seq")
 def merge_ocr_lines(spark, sf_dir):
     return sequence.merge_lines(view(spark, sf_dir, "v_seq"))
 

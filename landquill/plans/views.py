@@ -52,7 +52,7 @@ select o_orderkey, o_custkey,
 from orders where o_orderkey % 10 <> 1
 """,
     "v_seq": """
-select event_id as line_idx, cast(floor(event_id / 2000.0) as int) as file_no, cast(floor(event_id / 20.0) as int) as page,
+select event_id as line_idx, cast(floor(event_id / 500.0) as int) as file_no, cast(floor(event_id / 20.0) as int) as page,
   case event_type when 'signup' then '続' when 'error' then '続更新' when 'view' then '続表題' else cast(event_id as string) end as entry,
   case when event_type = 'purchase' and event_id % 4 = 0 then '' when event_type in ('click','purchase','view') then concat(cast(user_id as string), '番', cast(event_id % 50 as string)) else '' end as parcel_no,
   case when event_type = 'signup' then '' else cast(cast(floor(value) as int) as string) end as area,
