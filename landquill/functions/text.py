@@ -50,8 +50,8 @@ def _once(x: Column, change) -> Column:
     return F.get(F.transform(F.array(x), change), F.lit(0))
 
 
-def _compatible() -> tuple[str, str, dict[str, str], str]:
-    """Characters with one character as their NFKC form, those forms, longer forms and compositions by text, and a pattern for the latter."""
+def _compatible() -> tuple[str, str, dict[str, str], str, str]:
+    """Characters with one character as their NFKC form, those forms, longer forms and compositions by text, a pattern for the latter, and one for all."""
     single, several = {}, {}
     for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x10000))):
         form = unicodedata.normalize("NFKC", c)
@@ -64,10 +64,10 @@ def _compatible() -> tuple[str, str, dict[str, str], str]:
             pairs["".join(chr(int(p, 16)) for p in parts)] = c
     marks = "".join(sorted({p[1] for p in pairs}))
     # a composed letter takes one more mark
-    return "".join(single), "".join(single.values()), several | pairs, f"{_ranges(''.join(several))}|(?s:.){_ranges(marks)}"
+    return "".join(single), "".join(single.values()), several | pairs, f"{_ranges(''.join(several))}|(?s:.){_ranges(marks)}", _ranges("".join((*single, *several, *marks)))
 
 
-_FROM, _TO, _FORMS, _PATTERN = _compatible()
+_FROM, _TO, _FORMS, _PATTERN, _ANY = _compatible()
 
 
 def nfkc(c: Column) -> Column:
@@ -82,11 +82,11 @@ def nfkc(c: Column) -> Column:
         return F.when(v.rlike(_PATTERN), change(v)).otherwise(v)
 
     full = _once(F.translate(text(c), _FROM, _TO), lambda v: where_needed(v, lambda w: _once(composed(w), lambda u: where_needed(u, composed))))
-    return F.when(text(c).rlike("[^\\x00-\\x7F]"), full).otherwise(text(c))
+    return F.when(text(c).rlike(_ANY), full).otherwise(text(c))
 
 
 def collapse(c: Column) -> Column:
-    return F.regexp_replace(F.trim(F.regexp_replace(c, "(?U)\\s+", " ")), " +", " ")
+    return _once(c, lambda v: F.when(v.rlike("(?U)\\s"), F.trim(F.regexp_replace(v, "(?U)\\s+", " "))).otherwise(v))
 
 
 def decode_codes(c: Column) -> Column:
