@@ -31,6 +31,7 @@ BITS, WIDTH = 16, 16
 BUCKETS = 1 << BITS
 DOCS_PER_LANGUAGE, SAMPLE, LEAST, WINDOWS, WINDOW = 400, 12_000, 8, 8, 128
 EPOCHS, BATCH, RATE, LOSS = 4, 64, 8.0, 0.005
+FEW_LANGUAGES = 10_000
 _ORDERS = (3, 4)
 
 
@@ -123,7 +124,9 @@ def train(labelled: DataFrame) -> Model | None:
         return None
     wanted = min(DOCS_PER_LANGUAGE, max(LEAST, SAMPLE // len(languages)))
     u = F.conv(F.substring(F.md5(F.concat(F.lit("lang-"), F.col("doc_id").cast("string"))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
-    drawn = labelled.join(counts, "lang").where(u < F.lit(float(wanted)) / F.col("n"))
+    # one row a language: sent to all tasks while it is small, so that texts do not move
+    held = F.broadcast(counts) if len(languages) <= FEW_LANGUAGES else counts
+    drawn = labelled.join(held, "lang").where(u < F.lit(float(wanted)) / F.col("n"))
     rows = drawn.select("doc_id", "text", "lang").mapInArrow(_windows, "doc_id long, lang string, bag binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("bag", "ascending")])
     if not rows.num_rows:
         return None
