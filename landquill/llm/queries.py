@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality
+from . import centroids, mixing, quality
 from .language_id import identify
 from .license_scan import scan_licenses
 from .line_dedup import EXACT_CHARS, dedup_lines
@@ -60,6 +60,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, labelled_urls(pages, table(spark, sf_dir, "labels")))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, places = centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    total = places.agg(F.expr("try_cast(sum(cast(inertia as decimal(38, 0))) as bigint)").alias("inertia"))
+    digest = F.sha2(F.concat_ws(",", F.col("centroid").cast("array<string>")).cast("binary"), 256)
+    named = places.crossJoin(total.withColumnRenamed("inertia", "all_inertia")).select("cluster", F.col("inertia").alias("cluster_inertia"), F.col("all_inertia").alias("inertia"), digest.alias("centroid_sha256"))
+    return members.join(F.broadcast(named), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")  # 40 rows
+
+
 def url_listed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op10_url_filter that SQL can express: host, path, and the listed rule with its verdict."""
     parts = table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -74,5 +82,5 @@ u as (select page_id, case when contains(url, '://') then translate(regexp_extra
 f as (select page_id, host, path, arg_max(h || p, length(h || p)) as rule, arg_max(v, length(h || p)) as listed_verdict from u join l on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by all)
 select u.page_id, u.host, u.path, f.rule, f.listed_verdict from u left join f on f.page_id = u.page_id and f.host = u.host and f.path = u.path"""
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_language_id, op3_approximate_neighbours, op4_embedding_near_dedup, op5_quality_classifier, op6_sentence_pieces, op7_line_dedup, op8_ngram_jaccard_join, op9_license_scan, op10_url_filter, url_listed_rules)}
-ORACLE_SQL = {"op1_source_mixing": mixing.oracle_sql(), "url_listed_rules": _LISTED_SQL}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_language_id, op3_approximate_neighbours, op4_embedding_near_dedup, op5_quality_classifier, op6_sentence_pieces, op7_line_dedup, op8_ngram_jaccard_join, op9_license_scan, op10_url_filter, op11_centroid_clusters, url_listed_rules)}
+ORACLE_SQL = {"op1_source_mixing": mixing.oracle_sql(), "op11_centroid_clusters": centroids.oracle_sql(), "url_listed_rules": _LISTED_SQL}
