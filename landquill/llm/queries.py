@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, mixing, prefix_trie, quality
+from . import centroids, mixing, packing, prefix_trie, quality
 from .language_id import identify
 from .license_scan import scan_licenses
 from .line_dedup import EXACT_CHARS, dedup_lines
 from .ngram_join import ngram_components
 from .sentence_pieces import encode_pieces
-from .shared import table
+from .shared import materialise, table
 from .url_rules import LISTED, host_of, judge_urls, labelled_urls, listed_rule, path_of
 from .vectors import linked_vectors, nearest
 
@@ -72,6 +72,14 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_document_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.document_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    digests = materialise(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids").withColumn("no", F.monotonically_increasing_id()))
+    return digests.join(packing.pack(digests), "no").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def url_listed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op10_url_filter that SQL can express: host, path, and the listed rule with its verdict."""
     parts = table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -86,5 +94,5 @@ u as (select page_id, case when contains(url, '://') then translate(regexp_extra
 f as (select page_id, host, path, arg_max(h || p, length(h || p)) as rule, arg_max(v, length(h || p)) as listed_verdict from u join l on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by all)
 select u.page_id, u.host, u.path, f.rule, f.listed_verdict from u left join f on f.page_id = u.page_id and f.host = u.host and f.path = u.path"""
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_language_id, op3_approximate_neighbours, op4_embedding_near_dedup, op5_quality_classifier, op6_sentence_pieces, op7_line_dedup, op8_ngram_jaccard_join, op9_license_scan, op10_url_filter, op11_centroid_clusters, op12_conversation_trie, url_listed_rules)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_language_id, op3_approximate_neighbours, op4_embedding_near_dedup, op5_quality_classifier, op6_sentence_pieces, op7_line_dedup, op8_ngram_jaccard_join, op9_license_scan, op10_url_filter, op11_centroid_clusters, op12_conversation_trie, op13_document_packing, url_listed_rules)}
 ORACLE_SQL = {"op1_source_mixing": mixing.oracle_sql(), "op11_centroid_clusters": centroids.oracle_sql(), "op12_conversation_trie": prefix_trie.oracle_sql(), "url_listed_rules": _LISTED_SQL}
