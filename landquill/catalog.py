@@ -647,7 +647,7 @@ def assign_unique(spark, sf_dir):
 select stake_id, t.text as number, s.layer from s left join t on sqrt((t.x1 - s.x) * (t.x1 - s.x) + (t.y1 - s.y) * (t.y1 - s.y)) < 5""", "v_entities")
 def drawing_stakes(spark, sf_dir):
     """Stakes with the numbers that the whole drawing's assignment gives them; a number's text is near one stake only."""
-    return drawing.parse_entities(_entities(spark, sf_dir)).stakes.select("stake_id", "number", "layer")
+    return drawing.parse_entities(materialise(_entities(spark, sf_dir))).stakes.select("stake_id", "number", "layer")
 
 
 _PLAN = """
@@ -673,7 +673,7 @@ def drawing_text_stakes(spark, sf_dir):
     "v_plan",
 )
 def drawing_text_edges(spark, sf_dir):
-    return drawing.parse_entities(view(spark, sf_dir, "v_plan")).edges
+    return drawing.parse_entities(view(spark, sf_dir, "v_plan")).edges.select("u", "v")
 
 
 @query(
@@ -764,66 +764,78 @@ found as (select won.face_id, number as parcel_number, closed from won join shap
 _RINGS = _rings_sql(_FACES, "v_labels") + _FOUND
 
 
+def _simple(spark, sf_dir) -> DataFrame:
+    return materialise(faces.simple_faces(*_graph(spark, sf_dir)))
+
+
+def _aux_simple(spark, sf_dir) -> DataFrame:
+    stakes = _aux_stakes(spark, sf_dir)
+    return materialise(faces.simple_faces(spatial.edges(view(spark, sf_dir, "v_lines"), stakes, "name"), spatial.last_places(stakes, "name")))
+
+
 def _shown(rings: DataFrame) -> DataFrame:
     return rings.select("parcel_number", F.array_join("ring", ",").alias("ring"))
 
 
 @query(_RINGS + "select parcel_number, array_to_string(closed, ',') as ring from found", "v_stakes", "v_lines", "v_labels")
 def rings(spark, sf_dir):
-    return _shown(faces.parcel_rings(view(spark, sf_dir, "v_labels"), *_graph(spark, sf_dir)))
+    return _shown(faces.parcel_rings(view(spark, sf_dir, "v_labels"), _simple(spark, sf_dir)))
+
+
+#: What a face belongs to where drawings meet in one table; a face's nodes are named 'drawing|number' there.
+_SHEET = "split_part({}, '|', 1)"
+
+
+def _auxiliary_sql(aux_faces: str, unnamed: str) -> str:
+    """SQL from found (parcel_number, closed) to aux: faces over all stakes, one after the other in the order of their first open label."""
+    return f""", ah as (with recursive {aux_faces} select label_id, face_id from hits),
+ash as (with recursive {aux_faces} select face_id, closed[:len(closed) - 1] as nodes from shape),
+oh as (select ah.face_id, l.number, l.label_id from ah join v_labels l using (label_id) where l.number not in (select parcel_number from found)),
+alone as (select face_id, min(number) as number, min(label_id) as first_ from oh group by 1 having count(distinct number) = 1),
+an as (select number, first_, list_filter(nodes, lambda x: {unnamed}) as named from alone join ash using (face_id)),
+ac as (select number, first_, list_filter(named, lambda x, i: i = 1 or named[i - 1] <> x) as names from an),
+cand as (select row_number() over (order by first_) as rn, number, names || [names[1]] as closed from ac where len(names) >= 3 and len(list_distinct(names)) = len(names) and not exists (select 1 from found where found.closed = names || [names[1]])),
+gone as (select 0::bigint as rn, false as ok, []::varchar[] as nums, []::varchar[] as seqs union all
+  select c.rn, not (list_contains(nums, c.number) or list_contains(seqs, array_to_string(c.closed, ','))), case when not (list_contains(nums, c.number) or list_contains(seqs, array_to_string(c.closed, ','))) then list_append(nums, c.number) else nums end,
+    case when not (list_contains(nums, c.number) or list_contains(seqs, array_to_string(c.closed, ','))) then list_append(seqs, array_to_string(c.closed, ',')) else seqs end from gone join cand c on c.rn = gone.rn + 1),
+aux as (select number as parcel_number, closed from cand join gone using (rn) where ok)
+"""
 
 
-_AUX_FACES = _rings_sql(_faces_sql(_half_sql(_edges_sql(_AUX_NAME, "true"), _AUX_NAME)), "v_labels")
-_AUXILIARY = f""", ah as (with recursive {_AUX_FACES} select label_id, face_id from hits),
-ash as (with recursive {_AUX_FACES} select face_id, list_filter(pts, lambda x: not starts_with(x.node, '__')) as pts from simple),
-alone as (select face_id, any_value(number) as number from ah join v_labels using (label_id) group by 1 having count(distinct number) = 1),
-ast as (select number, pts, list_reduce(list_transform(range(1, len(pts) + 1), lambda j: {{'i': j, 'w': pts[j].w}}), lambda b, q: case when q.w > b.w + 0.001 then q else b end).i as first_ from alone join ash using (face_id) where number not in (select parcel_number from found) and len(pts) >= 3 and len(list_distinct(list_transform(pts, lambda x: x.node))) = len(pts)),
-aring as (select distinct number as parcel_number, list_transform(range(0, len(pts) + 1), lambda j: pts[((first_ - 1 + j) % len(pts) + 1)::int].node) as closed from ast),
-aux as (select * from aring where not exists (select 1 from found where found.closed = aring.closed))
+def _unknown_sql(sheet: str) -> str:
+    """SQL from shape, found and aux to unk: one row for each ring of an unmatched face, named by the first public label in it."""
+    return f""", most as (select {sheet.format('face_id')} as sheet, max(area) as largest from simple group by 1),
+rest as (select s.* from (select *, row_number() over (partition by closed order by area, face_id) as once from shape join most on most.sheet = {sheet.format('face_id')} where area < 0.9 * largest and area >= 10) s
+  where once = 1 and not exists (select 1 from found where found.closed = s.closed) and not exists (select 1 from aux where aux.closed = s.closed)),
+pin as (select l.label_id, l.label, s.face_id from v_public l join rest s on l.x between x_min and x_max and l.y between y_min and y_max join px e on e.face_id = s.face_id group by all having count(*) filter ((e.y > l.y) <> (e.y2 > l.y) and l.x < (e.x2 - e.x) * (l.y - e.y) / nullif(e.y2 - e.y, 0) + e.x) % 2 = 1),
+pname as (select face_id, arg_min(label, label_id) as label from pin group by 1),
+unk as (select coalesce(label, '地番不明') as parcel_number, closed from rest left join pname using (face_id))
 """
 
 
+_AUX_FACES = _rings_sql(_faces_sql(_half_sql(_edges_sql(_AUX_NAME, "true"), _AUX_NAME)), "v_labels")
+_AUXILIARY = _auxiliary_sql(_AUX_FACES, "not starts_with(x, '__')")
+
+
 @query(_RINGS + _AUXILIARY + "select parcel_number, array_to_string(closed, ',') as ring from aux", "v_stakes", "v_lines", "v_labels")
 def rings_aux(spark, sf_dir):
     labels = view(spark, sf_dir, "v_labels")
-    found = faces.parcel_rings(labels, *_graph(spark, sf_dir))
-    stakes = _aux_stakes(spark, sf_dir)
-    edges = spatial.edges(view(spark, sf_dir, "v_lines"), stakes, "name")
-    return _shown(faces.auxiliary_rings(found, labels, edges, spatial.last_places(stakes, "name")))
-
-
-_UNKNOWN = (
-    _rings_sql(_FACES, "(select label_id, x, y from v_labels)")
-    + _FOUND
-    + """, rest as (select * from shape where area < 0.9 * (select max(area) from simple) and area >= 10 and face_id not in (select face_id from found)),
-pin as (select l.label_id, l.label, s.face_id, s.area from v_public l join rest s on l.x between x_min and x_max and l.y between y_min and y_max join px e on e.face_id = s.face_id group by l.label_id, l.label, s.face_id, s.area having count(*) filter ((e.y > l.y) <> (e.y2 > l.y) and l.x < (e.x2 - e.x) * (l.y - e.y) / nullif(e.y2 - e.y, 0) + e.x) % 2 = 1),
-phit as (select label_id, label, arg_min(face_id, {'a': area, 'f': face_id}) as face_id from pin group by all),
-pname as (select face_id, arg_min(label, label_id) as label from phit group by 1),
-unk as (select coalesce(label, '地番不明') as parcel_number, closed from rest left join pname using (face_id) where not exists (select 1 from found where found.closed = rest.closed))
-"""
-)
+    found = materialise(faces.parcel_rings(labels, _simple(spark, sf_dir)))
+    return _shown(faces.auxiliary_rings(found, labels, _aux_simple(spark, sf_dir)))
 
 
-@query(_UNKNOWN + "select parcel_number, array_to_string(closed, ',') as ring from unk", "v_stakes", "v_lines", "v_labels", "v_public")
+@query(_RINGS + ", aux as (select * from found where false)" + _unknown_sql("''") + "select parcel_number, array_to_string(closed, ',') as ring from unk", "v_stakes", "v_lines", "v_labels", "v_public")
 def rings_unknown(spark, sf_dir):
-    edges, nodes = _graph(spark, sf_dir)
-    found = faces.parcel_rings(view(spark, sf_dir, "v_labels"), edges, nodes)
-    return _shown(faces.unknown_rings(found, edges, nodes, view(spark, sf_dir, "v_public")))
+    simple = _simple(spark, sf_dir)
+    return _shown(faces.unknown_rings(faces.parcel_rings(view(spark, sf_dir, "v_labels"), simple), simple, view(spark, sf_dir, "v_public")))
 
 
-@query(
-    _UNKNOWN
-    + _AUXILIARY
-    + "select 'matched' as kind, parcel_number, array_to_string(closed, ',') as ring from found union all select 'auxiliary', parcel_number, array_to_string(closed, ',') from aux union all select 'unknown', parcel_number, array_to_string(closed, ',') from unk where not exists (select 1 from aux where aux.closed = unk.closed)",
-    "v_stakes",
-    "v_lines",
-    "v_labels",
-    "v_public",
-)
+_KINDS = "select 'matched' as kind, parcel_number, {0} as ring from found union all select 'auxiliary', parcel_number, {0} from aux union all select 'unknown', parcel_number, {0} from unk"
+
+
+@query(_RINGS + _AUXILIARY + _unknown_sql("''") + _KINDS.format("array_to_string(closed, ',')"), "v_stakes", "v_lines", "v_labels", "v_public")
 def all_rings(spark, sf_dir):
-    stakes = _aux_stakes(spark, sf_dir)
-    aux = spatial.edges(view(spark, sf_dir, "v_lines"), stakes, "name"), spatial.last_places(stakes, "name")
-    return faces.all_rings(view(spark, sf_dir, "v_labels"), *_graph(spark, sf_dir), *aux, view(spark, sf_dir, "v_public")).withColumn("ring", F.array_join("ring", ","))
+    return faces.all_rings(view(spark, sf_dir, "v_labels"), _simple(spark, sf_dir), _aux_simple(spark, sf_dir), view(spark, sf_dir, "v_public")).withColumn("ring", F.array_join("ring", ","))
 
 
 @query("select number, label_id from (select *, row_number() over (order by k is null, k, number, label_id) as n from (select number, label_id, case when regexp_full_match(number, '[0-9]+([-番の]+[0-9]+)*') then list_transform(regexp_extract_all(number, '[0-9]+'), lambda x: x::bigint) end as k from v_labels)) where n <= 80", "v_labels")
@@ -885,6 +897,54 @@ def intersections_of_block(spark, sf_dir):
     return traverse.intersections(*_graph(spark, sf_dir), block=4)
 
 
+# many drawings in one table: the twins set them side by side, and put the drawing in front of each name
+
+_SHEETS = """z_stakes as (select drawing_id, drawing_id * 10000000::bigint + stake_id as stake_id, drawing_id || '|' || number as number, coalesce(drawing_id || '|' || number, drawing_id || '|__' || stake_id) as any_name, x + 1000000.0 * (drawing_id - 100) as x, y, layer from v_sheet_stakes),
+z_lines as (select drawing_id * 10000000::bigint + line_id as line_id, x1 + 1000000.0 * (drawing_id - 100) as x1, y1, x2 + 1000000.0 * (drawing_id - 100) as x2, y2 from v_sheet_lines),
+z_labels as (select label_id + drawing_id * 1000000000000 as label_id, drawing_id || '|' || number as number, x + 1000000.0 * (drawing_id - 100) as x, y from v_sheet_labels),
+z_public as (select label_id + drawing_id * 1000000000000 as label_id, label, x + 1000000.0 * (drawing_id - 100) as x, y from v_sheet_public),
+"""
+_SHEET_VIEWS = ("v_sheet_stakes", "v_sheet_lines", "v_sheet_labels", "v_sheet_public")
+
+
+def _sheets_sql(body: str) -> str:
+    for name in ("stakes", "lines", "labels", "public"):
+        body = body.replace(f"v_{name}", f"z_{name}")
+    return _SHEETS + body
+
+
+def _sheets(spark, sf_dir) -> drawing.Drawing:
+    return drawing.parse_entities(materialise(view(spark, sf_dir, "v_sheets")))
+
+
+@query("select drawing_id, stake_id::bigint as stake_id, number from v_sheet_stakes", "v_sheet_stakes")
+def sheet_stakes(spark, sf_dir):
+    """The stakes of many drawings, of both formats, at the same places and with the same ids and names."""
+    return _sheets(spark, sf_dir).stakes.select("drawing_id", "stake_id", "number")
+
+
+@query(_sheets_sql(_EDGES + " select split_part(u, '|', 1)::int as drawing_id, split_part(u, '|', 2) as u, split_part(v, '|', 2) as v from e"), *_SHEET_VIEWS)
+def sheet_edges(spark, sf_dir):
+    return _sheets(spark, sf_dir).edges.select("drawing_id", "u", "v")
+
+
+_SHEET_RINGS = _RINGS + _auxiliary_sql(_rings_sql(_faces_sql(_half_sql(_edges_sql("any_name", "true"), "any_name")), "v_labels"), "not contains(x, '|__')") + _unknown_sql(_SHEET)
+
+
+@query(
+    _sheets_sql(_SHEET_RINGS + ", kinds as (" + _KINDS.format("closed") + ") select split_part(ring[1], '|', 1)::int as drawing_id, kind, case when contains(parcel_number, '|') then split_part(parcel_number, '|', 2) else parcel_number end as parcel_number, array_to_string(list_transform(ring, lambda x: split_part(x, '|', 2)), ',') as ring from kinds"),
+    *_SHEET_VIEWS,
+)
+def sheet_rings(spark, sf_dir):
+    """Matched, auxiliary and unknown rings of many drawings: lone loops, nested faces, numbers that come twice, faces with open and ringed parcels."""
+    return drawing.drawing_rings(_sheets(spark, sf_dir)).withColumn("ring", F.array_join("ring", ","))
+
+
+@query(_sheets_sql(_POINTS.replace("like '-%'", "like '%|-%'").replace("like '交%'", "like '%|交%'") + "select split_part(intersection_stake, '|', 1)::int as drawing_id, " + ", ".join(f"split_part({n}, '|', 2) as {n}" for n in ("intersection_stake", "baseline_point1", "baseline_point2", "extension_point1", "extension_point2")) + " from pts"), *_SHEET_VIEWS)
+def sheet_intersections(spark, sf_dir):
+    return drawing.drawing_intersections(_sheets(spark, sf_dir))
+
+
 # layouts
 
 

@@ -11,49 +11,58 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import components
+from .auction import auction
+from .graph import components, materialise
+
+#: Rows of a group of near points that one task solves; what leaving a row out costs, in reaches.
+LOCAL_ROWS, ALONE = 500, 100
 
 
 def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2))
 
 
-def _cell(c: Column, size: float) -> Column:
-    return F.floor(c / F.lit(size))
-
-
-def near_pairs(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
-    """Columns of left (x, y, ...) and right (rx, ry, ...) with d < size; names of the two sides must differ."""
-    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    spread = right.withColumn("_dx", around).withColumn("_dy", around).withColumn("_cx", _cell(F.col("rx"), size) + F.col("_dx")).withColumn("_cy", _cell(F.col("ry"), size) + F.col("_dy")).drop("_dx", "_dy")
-    dealt = left.withColumn("_cx", _cell(F.col("x"), size)).withColumn("_cy", _cell(F.col("y"), size))
-    pairs = dealt.join(spread, ["_cx", "_cy"]).withColumn("d", distance(F.col("x"), F.col("y"), F.col("rx"), F.col("ry")))
-    return pairs.where(F.col("d") < size).drop("_cx", "_cy")
+def _cell(c: Column, size: float | Column) -> Column:
+    return F.floor(c / (size if isinstance(size, Column) else F.lit(size)))
 
 
-def nearest_within(left: DataFrame, right: DataFrame, size: float, left_id: str, right_order: str, take: tuple[str, ...]) -> DataFrame:
-    """left with d and the columns take of its nearest right row closer than size (null if none); ties to the lower right_order."""
-    best = near_pairs(left.select(left_id, "x", "y"), right, size).groupBy(left_id).agg(F.min_by(F.struct("d", *take), F.struct("d", right_order)).alias("_best"))
-    return left.join(best, left_id, "left").select(*left.columns, F.col("_best.d").alias("d"), *[F.col(f"_best.{c}").alias(c) for c in take])
+def near_pairs(left: DataFrame, right: DataFrame, size: float | str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Columns of left (x, y, ...) and right (rx, ry, ...) with d < size; names of the two sides must differ, but for by: rows only meet where these are equal.
 
-
-def line_ends(lines: DataFrame, stakes: DataFrame, name: str, size: float = 0.5) -> DataFrame:
-    """(line_id, u, v), u <= v: the names of the stakes nearest to both ends of each line, where both are closer than size."""
-    ends = lines.select("line_id", F.explode(F.array(F.struct(F.lit(1).alias("end"), F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.lit(2).alias("end"), F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("e")).select("line_id", "e.*").withColumn("end_id", F.col("line_id") * 2 + F.col("end"))
-    right = stakes.where(F.col(name).isNotNull()).select(F.col(name).alias("stake"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("stake_id").alias("ord"))
-    hit = nearest_within(ends, right, size, "end_id", "ord", ("stake",)).where("stake is not null")
-    both = hit.groupBy("line_id").agg(F.min("stake").alias("u"), F.max("stake").alias("v"), F.count("*").alias("n"))
+    size: a number, or the name of a column that both sides hold, with one value for each by.
+    """
+    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    reach = F.col(size) if isinstance(size, str) else size
+    spread = right.withColumn("_dx", around).withColumn("_dy", around).withColumn("_cx", _cell(F.col("rx"), reach) + F.col("_dx")).withColumn("_cy", _cell(F.col("ry"), reach) + F.col("_dy")).drop("_dx", "_dy", *([size] if isinstance(size, str) else []))
+    dealt = left.withColumn("_cx", _cell(F.col("x"), reach)).withColumn("_cy", _cell(F.col("y"), reach))
+    pairs = dealt.join(spread, [*by, "_cx", "_cy"]).withColumn("d", distance(F.col("x"), F.col("y"), F.col("rx"), F.col("ry")))
+    return pairs.where(F.col("d") < reach).drop("_cx", "_cy")
+
+
+def nearest_within(left: DataFrame, right: DataFrame, size: float | str, left_id: str, right_order: str, take: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """left with d and the columns take of its nearest right row closer than size (null if none); ties to the lower right_order. left_id is unique within by."""
+    reach = [size] if isinstance(size, str) else []
+    best = near_pairs(left.select(*by, left_id, "x", "y", *reach), right, size, by).groupBy(*by, left_id).agg(F.min_by(F.struct("d", *take), F.struct("d", right_order)).alias("_best"))
+    return left.join(best, [*by, left_id], "left").select(*[F.col(c) for c in left.columns], F.col("_best.d").alias("d"), *[F.col(f"_best.{c}").alias(c) for c in take])
+
+
+def line_ends(lines: DataFrame, stakes: DataFrame, name: str, size: float = 0.5, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, line_id, u, v), u <= v: the names of the stakes nearest to both ends of each line, where both are closer than size."""
+    ends = lines.select(*by, "line_id", F.explode(F.array(F.struct(F.lit(1).alias("end"), F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.lit(2).alias("end"), F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("e")).select(*by, "line_id", "e.*").withColumn("end_id", F.col("line_id") * 2 + F.col("end"))
+    right = stakes.where(F.col(name).isNotNull()).select(*by, F.col(name).alias("stake"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("stake_id").alias("ord"))
+    hit = nearest_within(ends, right, size, "end_id", "ord", ("stake",), by).where("stake is not null")
+    both = hit.groupBy(*by, "line_id").agg(F.min("stake").alias("u"), F.max("stake").alias("v"), F.count("*").alias("n"))
     return both.where("n = 2").drop("n")
 
 
-def edges(lines: DataFrame, stakes: DataFrame, name: str, size: float = 0.5) -> DataFrame:
-    """Distinct (u, v), u < v: lines whose ends both lie closer than size to a stake, by the stakes' names, if they differ."""
-    return line_ends(lines, stakes, name, size).where("u <> v").select("u", "v").distinct()
+def edges(lines: DataFrame, stakes: DataFrame, name: str, size: float = 0.5, by: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct (by, u, v), u < v: lines whose ends both lie closer than size to a stake, by the stakes' names, if they differ."""
+    return line_ends(lines, stakes, name, size, by).where("u <> v").select(*by, "u", "v").distinct()
 
 
-def last_places(stakes: DataFrame, name: str) -> DataFrame:
-    """(node, x, y) of each name: the place of its last stake."""
-    return stakes.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("node")).agg(F.max_by(F.struct("x", "y"), "stake_id").alias("p")).select("node", "p.x", "p.y")
+def last_places(stakes: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, node, x, y) of each name: the place of its last stake."""
+    return stakes.where(F.col(name).isNotNull()).groupBy(*by, F.col(name).alias("node")).agg(F.max_by(F.struct("x", "y"), "stake_id").alias("p")).select(*by, "node", "p.x", "p.y")
 
 
 def assignment(cost: np.ndarray) -> np.ndarray:
@@ -83,39 +92,70 @@ def assignment(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def assign(left: DataFrame, right: DataFrame, size: float = 5.0) -> DataFrame:
-    """(left_id, right_id, d): one-to-one pairs closer than size with the least total cost.
+def assign(left: DataFrame, right: DataFrame, size: float | str = 5.0, by: tuple[str, ...] = (), local: int = LOCAL_ROWS) -> DataFrame:
+    """(by, left_id, right_id, d): one-to-one pairs closer than size with the least total cost.
 
     left: left_id, x, y, layer; right: right_id, rx, ry, r_layer. Cost is the distance, times 0.8 on the same layer; as many
-    pairs as possible are made, since leaving one out costs far more. Pairs only compete within a group of rows that near
-    pairs connect, so each group is solved by itself.
+    pairs as possible are made, since leaving one out costs far more. size may be the name of a column of both sides (see near_pairs).
+
+    Rows only compete within a group that near pairs connect. Where one row is near to several that are near to nothing else, the cheapest
+    takes it. Other groups of up to local rows are solved in one task each; larger ones by auctions over the plane.
     """
-    pairs = near_pairs(left, right, size).withColumn("cost", F.when(F.col("layer") == F.col("r_layer"), F.col("d") * 0.8).otherwise(F.col("d"))).select("left_id", "right_id", "d", "cost")
-    a, b = F.col("left_id") * 2, F.col("right_id") * 2 + 1
-    group = components(pairs.select(a.alias("src"), b.alias("dst")))
-    dealt = pairs.withColumn("id", a).join(group, "id").drop("id")
+    reach = F.col(size) if isinstance(size, str) else F.lit(float(size))
+    near = near_pairs(left, right, size, by).withColumns({"cost": F.when(F.col("layer") == F.col("r_layer"), F.col("d") * 0.8).otherwise(F.col("d")), "reach": reach.cast("double")})
+    pairs = near.select(*by, "left_id", "right_id", "d", "cost", "x", "y", "rx", "ry", "reach")
+    one, other = Window.partitionBy(*by, "left_id"), Window.partitionBy(*by, "right_id")
+    pairs = pairs.withColumn("_l", F.count("*").over(one)).withColumn("_r", F.count("*").over(other)).withColumn("_around_right", F.max("_l").over(other) == 1).withColumn("_around_left", F.max("_r").over(one) == 1)
+    pairs = materialise(pairs.drop("_l", "_r"))
+    out = [*by, "left_id", "right_id", "d"]
+    take = lambda df, key, rest: df.groupBy(*by, key).agg(F.min_by(F.struct(rest, "d"), F.struct("cost", rest)).alias("b")).select(*by, key, f"b.{rest}", "b.d").select(*out)
+    done = take(pairs.where("_around_right"), "right_id", "left_id").unionByName(take(pairs.where("_around_left and not _around_right"), "left_id", "right_id"))
+    rest = pairs.where("not _around_right and not _around_left").drop("_around_right", "_around_left")
+    if not rest.limit(1).count():
+        return done
+    # ids by hash: should two be equal, their groups are solved together
+    node = lambda side: F.xxhash64(F.lit(side), *by, f"{side}_id")
+    group = components(rest.select(node("left").alias("src"), node("right").alias("dst")))
+    large = group.groupBy("component").agg(F.count("*").alias("rows"))
+    dealt = materialise(rest.withColumn("id", node("left")).join(group, "id").join(large, "component").drop("id"))
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
-        rows, cols = np.unique(part.left_id), np.unique(part.right_id)
-        n = max(len(rows), len(cols))
-        cost = np.full((n, n), 100 * size)
-        at = np.searchsorted(rows, part.left_id), np.searchsorted(cols, part.right_id)
-        cost[at] = part.cost
-        chosen = assignment(cost)
-        return part[chosen[at[0]] == at[1]][["left_id", "right_id", "d"]]
-
-    return dealt.groupBy("component").applyInPandas(solve, "left_id long, right_id long, d double")
-
-
-def smallest_face(points: DataFrame, sides: DataFrame, faces: DataFrame, cell: float) -> DataFrame:
-    """(point_id, face_id): the smallest face that contains each point.
+        sheet = pd.factorize(part[list(by)].apply(tuple, axis=1))[0] if by else np.zeros(len(part), int)
+        kept = []
+        for k in np.unique(sheet):
+            mine = part[sheet == k]
+            rows, cols = np.unique(mine.left_id), np.unique(mine.right_id)
+            n = max(len(rows), len(cols))
+            cost = np.full((n, n), ALONE * float(mine.reach.iloc[0]))
+            at = np.searchsorted(rows, mine.left_id), np.searchsorted(cols, mine.right_id)
+            cost[at] = mine.cost
+            chosen = assignment(cost)
+            kept.append(mine[chosen[at[0]] == at[1]])
+        return pd.concat(kept)[out]
+
+    small = dealt.where(F.col("rows") <= local)
+    done = done.unionByName(small.groupBy("component").applyInPandas(solve, small.select(*out).schema))
+    big = dealt.where(F.col("rows") > local)
+    for r in big.select("reach").distinct().collect():  # one auction for each reach that occurs in large groups
+        done = done.unionByName(auction(big.where(F.col("reach") == r["reach"]).drop("component", "rows"), r["reach"], ALONE * r["reach"], by).select(*out))
+    return done
+
+
+def faces_around(points: DataFrame, sides: DataFrame, faces: DataFrame, cell: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, point_id, face_id, area): every face that contains each point.
 
     points: point_id, x, y. sides: face_id, x1, y1, x2, y2 of the faces' edges. faces: face_id, area (absolute), x_min, x_max,
-    y_min, y_max. Candidates meet by grid cell of the faces' boxes; a point is inside if an odd number of sides crosses the
-    ray to its right.
+    y_min, y_max. Points and faces meet by grid cell of the faces' boxes, then a face's sides by the row of cells; a point is inside
+    if an odd number of sides crosses the ray to its right.
     """
-    cells = faces.select("face_id", "area", F.explode(F.sequence(_cell(F.col("x_min"), cell), _cell(F.col("x_max"), cell))).alias("_cx"), "y_min", "y_max").withColumn("_cy", F.explode(F.sequence(_cell(F.col("y_min"), cell), _cell(F.col("y_max"), cell)))).drop("y_min", "y_max")
-    near = points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py")).withColumn("_cx", _cell(F.col("px"), cell)).withColumn("_cy", _cell(F.col("py"), cell)).join(cells, ["_cx", "_cy"])
+    rows = lambda low, high: F.explode(F.sequence(_cell(low, cell), _cell(high, cell)))
+    cells = faces.select(*by, "face_id", "area", rows(F.col("x_min"), F.col("x_max")).alias("_cx"), "y_min", "y_max").withColumn("_cy", rows(F.col("y_min"), F.col("y_max"))).drop("y_min", "y_max")
+    near = points.select(*by, "point_id", F.col("x").alias("px"), F.col("y").alias("py")).withColumn("_cx", _cell(F.col("px"), cell)).withColumn("_cy", _cell(F.col("py"), cell)).join(cells, [*by, "_cx", "_cy"])
+    cut = sides.where("y1 <> y2").withColumn("_cy", rows(F.least("y1", "y2"), F.greatest("y1", "y2")))
     crossing = ((F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))) & (F.col("px") < (F.col("x2") - F.col("x1")) * (F.col("py") - F.col("y1")) / F.when(F.col("y1") != F.col("y2"), F.col("y2") - F.col("y1")) + F.col("x1"))
-    inside = near.join(sides, "face_id").groupBy("point_id", "face_id", "area").agg(F.count_if(crossing).alias("n")).where("n % 2 = 1")
-    return inside.groupBy("point_id").agg(F.min_by("face_id", F.struct("area", "face_id")).alias("face_id"))
+    return near.join(cut, [*by, "face_id", "_cy"]).groupBy(*by, "point_id", "face_id", "area").agg(F.count_if(crossing).alias("n")).where("n % 2 = 1").drop("n")
+
+
+def smallest_face(points: DataFrame, sides: DataFrame, faces: DataFrame, cell: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, point_id, face_id): the smallest face that contains each point; of equal areas the lower face_id. See faces_around."""
+    return faces_around(points, sides, faces, cell, by).groupBy(*by, "point_id").agg(F.min_by("face_id", F.struct("area", "face_id")).alias("face_id"))

@@ -113,6 +113,49 @@ union all
 select 2, 40000000 + label_id, 'TEXT', case when label_id % 11 = 3 then '_f-0_' else '5' end, x * 10 + (label_id % 17) * 10, y * 10, null, null, null, case when label_id % 2 = 0 then '山林' else '宅地' end, null from v_labels where label_id % 3 = 0
 union all
 select 2, 50000000 + label_id, 'TEXT', '6', x * 10, y * 10, null, null, null, label, null from v_public
+""",
+    "v_sheet_stakes": """
+select 100 + d as drawing_id, k as stake_id, case when k % 23 = 7 then null else concat(case when k % 11 in (0, 8) then '-' else '' end, cast(k % 9 + 1 as string), '.', lpad(cast(k as string), 6, '0')) end as number,
+  x * case when d % 2 = 1 then 10 else 1 end as x, (y - d * 30) * case when d % 2 = 1 then 10 else 1 end as y, layer
+from (select stake_id % 90 as k, cast(floor(stake_id / 90.0) as int) as d, x, y, layer from v_stakes) a
+union all
+select 100 + d, 1000 + m * 8 + k, case when m % 6 in (2, 3, 4) and (k < 4 or k = 7) then null else concat('7.', cast(900000 + m * 8 + k as string)) end,
+  (1000.0 + 100 * m + case when k < 4 then case when k in (1, 2) then 40 else 0 end when k in (5, 6) then 30 else 10 end) * case when d % 2 = 1 then 10 else 1 end,
+  (cast(case when k < 4 then case when k in (2, 3) then 40 else 0 end when k in (6, 7) then 30 else 10 end as double)) * case when d % 2 = 1 then 10 else 1 end, '1'
+from (select cast(floor(s_suppkey / 2.0) as int) as m, cast(s_suppkey % 2 as int) as d from supplier) s cross join (select 0 as k union all select 1 union all select 2 union all select 3 union all select 4 union all select 5 union all select 6 union all select 7) q
+""",
+    "v_sheet_lines": """
+select a.drawing_id, a.stake_id * 2 as line_id, a.x + 0.1 as x1, a.y as y1, b.x as x2, b.y - 0.1 as y2 from v_sheet_stakes a join v_sheet_stakes b on b.drawing_id = a.drawing_id and b.stake_id = a.stake_id + 1
+where a.stake_id < 1000 and a.stake_id % 30 < 29 and a.stake_id % 13 <> 5
+union all
+select a.drawing_id, a.stake_id * 2 + 1, a.x, a.y, b.x, b.y from v_sheet_stakes a join v_sheet_stakes b on b.drawing_id = a.drawing_id and b.stake_id = a.stake_id + 30
+where b.stake_id < 1000 and a.stake_id % 17 <> 3
+union all
+select a.drawing_id, a.stake_id * 2, a.x, a.y + 0.2, b.x, b.y from v_sheet_stakes a join v_sheet_stakes b on b.drawing_id = a.drawing_id
+  and b.stake_id = a.stake_id + case when a.stake_id % 4 = 3 then -3 else 1 end where a.stake_id >= 1000
+""",
+    "v_sheet_labels": """
+select 100 + d as drawing_id, label_id, number, x * case when d % 2 = 1 then 10 else 1 end as x, (y - d * 30) * case when d % 2 = 1 then 10 else 1 end as y
+from (select label_id, number, x, y, cast(floor(y / 30.0) as int) as d from v_labels where label_id % 3 <> 1) a
+union all
+select 100 + d, 100000000 + m * 10 + j, case when m % 6 = 0 then concat('8-', cast(m as string)) when j = 1 or m % 6 = 5 then '5-0' when m % 6 = 3 then '7-8' else '7-7' end,
+  (1000.0 + 100 * m + 20 + j) * case when d % 2 = 1 then 10 else 1 end, (20.0 + j) * case when d % 2 = 1 then 10 else 1 end
+from (select cast(floor(s_suppkey / 2.0) as int) as m, cast(s_suppkey % 2 as int) as d from supplier) s cross join (select 0 as j union all select 1) q where m % 6 <> 1 and (j = 0 or m % 6 = 3)
+""",
+    "v_sheet_public": """
+select 100 + d as drawing_id, 200000000 + m as label_id, concat('道-', cast(m + 1 as string)) as label, (1000.0 + 100 * m + 20) * case when d % 2 = 1 then 10 else 1 end as x, 20.0 * case when d % 2 = 1 then 10 else 1 end as y
+from (select cast(floor(s_suppkey / 2.0) as int) as m, cast(s_suppkey % 2 as int) as d from supplier) s where m % 6 = 1
+""",
+    "v_sheets": """
+select drawing_id, cast(stake_id as bigint) as ord, 'CIRCLE' as etype, layer, x as x1, y as y1, cast(null as double) as x2, cast(null as double) as y2, case when drawing_id % 2 = 1 then 2.5 else 0.25 end as radius, cast(null as string) as text, cast(null as bigint) as n_points from v_sheet_stakes
+union all
+select drawing_id, 1000000 + stake_id, case when drawing_id % 2 = 1 then 'TEXT' else 'MTEXT' end, layer, x + 0.4 * case when drawing_id % 2 = 1 then 10 else 1 end, y + 0.3, null, null, null, number, null from v_sheet_stakes where number is not null
+union all
+select drawing_id, 2000000 + line_id, case when drawing_id % 2 = 1 then 'LINE' else 'LWPOLYLINE' end, '2', x1, y1, x2, y2, null, null, 2 from v_sheet_lines
+union all
+select drawing_id, 1000000000 + label_id, case when drawing_id % 2 = 1 then 'TEXT' else 'MTEXT' end, '4', x, y, null, null, null, number, null from v_sheet_labels
+union all
+select drawing_id, 1000000000 + label_id, case when drawing_id % 2 = 1 then 'TEXT' else 'MTEXT' end, '6', x, y, null, null, null, label, null from v_sheet_public
 """,
     "v_ocr": """
 select o_orderkey as line_idx, cast(floor(o_orderkey / 30.0) as int) as page, cast(o_orderkey as string) as entry,

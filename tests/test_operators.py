@@ -194,12 +194,12 @@ def test_faces_of_a_grid(spark):
     assert sum(r.n for r in rows) == 2 * len(edges)
     assert len(nodes) - len(edges) + len(rows) == 2
     labels = spark.createDataFrame([(1, "1-1", 0.5, 0.5), (2, "1-2", 0.6, 0.6), (3, "9", 2.5, 1.5)], "label_id long, number string, x double, y double")
-    rings = {r.parcel_number: r.ring for r in faces.parcel_rings(labels, e, n).collect()}
+    rings = {r.parcel_number: r.ring for r in faces.parcel_rings(labels, faces.simple_faces(e, n)).collect()}
     assert set(rings) == {"1-1", "9"} and rings["1-1"] == ["0.1", "1.1", "1.0", "0.0", "0.1"]
     square = spark.createDataFrame([([("a", 0.0, 0.0), ("b", 0.0, 1.0), ("c", 1.0, 1.0), ("d", 1.0, 0.0)],)], "p array<struct<node:string,x:double,y:double>>")
     assert square.select(faces.northwest_ring(F.col("p"))).first()[0][0] == "b"
     walk = spark.createDataFrame([(["a", "b", "c", "d", "b", "e"],)], "w array<string>")
-    assert sorted(map(sorted, walk.select(faces.split_at_repeats("w")).first()[0])) == [["a", "b", "e"], ["b", "c", "d"]]
+    assert sorted(map(sorted, walk.select(faces.split_at_repeats("w")).first()[0])) == [[0, 1, 5], [1, 2, 3]]
 
 
 def test_intersections(spark):
@@ -378,6 +378,6 @@ def test_drawing_from_entities(spark):
     ents = spark.createDataFrame([(1, i, e, "0", *r) for i, (e, *r) in enumerate(rows)], "drawing_id int, ord long, etype string, layer string, x1 double, y1 double, x2 double, y2 double, radius double, text string").withColumn("n_points", F.when(F.col("etype") == "LWPOLYLINE", 2))
     got = drawing.parse_entities(ents)
     assert sorted((r.stake_id, r.number) for r in got.stakes.collect()) == [(0, "1.1"), (1, "-1.2")]
-    assert [tuple(r) for r in got.edges.collect()] == [("-1.2", "1.1")]
+    assert [tuple(r) for r in got.edges.collect()] == [(1, "-1.2", "1.1")]
     assert [(r.number, r.land_use, r.owner) for r in got.parcels.collect()] == [("12-3", "山林", None)]
     assert [r.label for r in got.public_labels.collect()] == ["水-1"]
