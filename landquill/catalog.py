@@ -373,7 +373,7 @@ def _group(where: str) -> str:
     "v_seq",
 )
 def carry_forward(spark, sf_dir):
-    return sequence.merge_lines(_entries(spark, sf_dir, "続"))
+    return sequence.merge_lines(_entries(spark, sf_dir, "続"), across=False)
 
 
 @query("select line_idx, row_number() over (partition by file_no, page order by line_idx) - 1 as page_row from v_seq", "v_seq")
@@ -401,7 +401,7 @@ def dup_suppress(spark, sf_dir):
     "v_seq",
 )
 def header_fill(spark, sf_dir):
-    return sequence.merge_lines(_entries(spark, sf_dir, "続表題"))
+    return sequence.merge_lines(_entries(spark, sf_dir, "続表題"), across=False)
 
 
 @query(
@@ -413,7 +413,7 @@ def header_fill(spark, sf_dir):
     "v_seq",
 )
 def backpatch(spark, sf_dir):
-    return sequence.merge_lines(_entries(spark, sf_dir, "続更新"))
+    return sequence.merge_lines(_entries(spark, sf_dir, "続更新"), across=False)
 
 
 @query(
@@ -1180,7 +1180,41 @@ select r.i as line_idx, file_no, r.page as page, r.entry as entry, r.parcel as p
 
 @query(_MERGE, "v_seq")
 def merge_ocr_lines(spark, sf_dir):
-    return sequence.merge_lines(view(spark, sf_dir, "v_seq"))
+    return sequence.merge_lines(view(spark, sf_dir, "v_seq"), across=False)
+
+
+# all lines of all files, one after the other: the last entry, the blank lines written so far, and what each step changes in an earlier line
+_SCANS = """
+n as (select *, row_number() over (order by file_no, line_idx) as k, sum(case when regexp_full_match(entry, '[0-9]+') then 1 else 0 end) over (order by file_no, line_idx) as g,
+  coalesce(lag(page) over w <> page, true) as heads, lead(entry, 1) over w as e1, lead(area, 1) over w as a1, lead(entry, 2) over w as e2, lead(area, 2) over w as a2 from v_scans window w as (order by file_no, line_idx)),
+twice as (select distinct x.k from n x join n y on y.k between x.k + 1 and x.k + 9 and y.entry = '続' and y.g > x.g and y.owner_name = x.owner_name where x.entry = '続'),
+l as (select n.*, n.k in (select k from twice) as dup, heads and not coalesce(case when e1 not in ('続', '続更新', '') then a1 when e2 not in ('続', '続更新', '') then a2 end = area, false) as valid from n),
+st as (select 0::bigint as k, null::varchar as num, ''::varchar as parcel, ''::varchar as ar, []::struct(k bigint, num varchar)[] as blanks, 0::bigint as prev, false as out, 0::bigint as target, ''::varchar as t_parcel, ''::varchar as t_area, ''::varchar as o_num, ''::varchar as o_parcel, ''::varchar as o_area
+  union all
+  select k, num2, parcel2, ar2,
+    case when out2 and o_num2 <> '続' and o_parcel2 = '' then list_append(left_, {'k': k, 'num': o_num2}) else left_ end,
+    case when out2 then k else prev end, out2,
+    case when entry = '続表題' then coalesce(hit, 0) when entry = '続更新' and valid and num is not null and area <> '' then prev else 0 end,
+    case when entry = '続表題' then parcel2 end, case when entry = '続表題' then ar2 else area end, o_num2, o_parcel2, o_area2
+  from (select *, case when entry = '続表題' and parcel2 <> '' and hit is not null then list_filter(blanks, lambda x: x.k <> hit) else blanks end as left_,
+      case when entry = '続更新' then false when entry = '続表題' then num is not null when entry = '続' then not dup else true end as out2,
+      case when entry in ('続', '続表題') and num is not null then num else entry end as o_num2,
+      case when entry in ('続', '続表題') and num is not null then parcel2 else parcel_no end as o_parcel2, case when entry in ('続', '続表題') and num is not null then ar2 else area end as o_area2
+    from (select l.*, st.num, st.prev, st.blanks,
+      case when num is null then null else list_max(list_transform(list_filter(st.blanks, lambda x: x.num = st.num), lambda x: x.k)) end as hit,
+      case when l.entry in ('続', '続更新', '続表題') then st.num else l.entry end as num2,
+      case when l.entry in ('続', '続更新') then st.parcel when l.entry = '続表題' then case when st.num is not null and st.parcel = '' then l.parcel_no else st.parcel end else l.parcel_no end as parcel2,
+      case when l.entry = '続' then st.ar when l.entry = '続更新' then case when l.valid and st.num is not null and l.area <> '' then l.area else st.ar end when l.entry = '続表題' then case when st.num is not null and st.ar = '' then l.area else st.ar end else l.area end as ar2
+      from st join l on l.k = st.k + 1) a) b),
+patch as (select target, arg_max(t_parcel, k) filter (t_parcel is not null) as p, arg_max(t_area, k) as a from st where target > 0 group by 1)
+select l.line_idx, l.file_no, l.page, o_num as entry, coalesce(p, o_parcel) as parcel_no, coalesce(a, o_area) as area, l.owner_name from st join l using (k) left join patch on patch.target = st.k where out
+"""
+
+
+@query(_SCANS, "v_scans")
+def merge_scans(spark, sf_dir):
+    """Files read as one sequence, with blank completions, numbers that come again and entries that go on in the next file."""
+    return sequence.merge_lines(view(spark, sf_dir, "v_scans"))
 
 
 @query(
@@ -1192,7 +1226,7 @@ def merge_ocr_lines(spark, sf_dir):
     "v_seq",
 )
 def merge_lines_v1(spark, sf_dir):
-    return sequence.merge_lines(_entries(spark, sf_dir, "続", "続更新"), checked=False)
+    return sequence.merge_lines(_entries(spark, sf_dir, "続", "続更新"), checked=False, across=False)
 
 
 @query(

@@ -12,20 +12,42 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 16  # of order numbers
 
 
-def running(rows: DataFrame, value: Column, name: str, file: str, order: str, kind: str = "sum") -> DataFrame:
-    """rows with name: the sum (or kind 'max': the largest) of value over the rows of the file up to here; order numbers are unique in a file.
+def running_all(rows: DataFrame, values: dict[str, tuple[Column, str]], file: str | tuple[str, ...], order: str) -> DataFrame:
+    """rows with a column for each of values, name: (value, kind), over the rows of the file up to here: the kind 'sum', 'max' or 'min' of value.
 
-    Nulls count as nothing.
+    Nulls count as nothing. max and min take structs too: with an order number in front they are the last or first value so far. file: one
+    column or several; order numbers are unique in a file.
     """
-    merge = {"sum": F.sum, "max": F.max}[kind]
-    cut = rows.withColumns({"_value": value, "_chunk": F.floor(F.col(order) / CHUNK)})
-    inside = Window.partitionBy(file, "_chunk").orderBy(order)
-    before = Window.partitionBy(file).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = cut.groupBy(file, "_chunk").agg(merge("_value").alias("_whole")).select(F.col(file).alias("_file"), F.col("_chunk").alias("_at"), merge("_whole").over(before).alias("_carry"))
-    joined = cut.withColumn("_here", merge("_value").over(inside)).join(carry, F.col(file).eqNullSafe(F.col("_file")) & (F.col("_chunk") == F.col("_at")))
-    total = F.coalesce(F.col("_here") + F.col("_carry"), "_here", "_carry") if kind == "sum" else F.greatest("_here", "_carry")
-    total = F.coalesce(total, F.lit(0)) if kind == "sum" else total
-    return joined.withColumn(name, total).drop("_value", "_chunk", "_file", "_at", "_carry", "_here", "_whole")
+    keys = (file,) if isinstance(file, str) else file
+    merges = {"sum": F.sum, "max": F.max, "min": F.min}
+    cut = rows.withColumns({f"_v_{n}": v for n, (v, _) in values.items()} | {"_chunk": F.floor(F.col(order) / CHUNK)})
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(order)
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    whole = cut.groupBy(*keys, "_chunk").agg(*[merges[k](f"_v_{n}").alias(f"_w_{n}") for n, (_, k) in values.items()])
+    carry = whole.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_chunk").alias("_chunk_at"), *[merges[k](f"_w_{n}").over(before).alias(f"_c_{n}") for n, (_, k) in values.items()])
+    met = F.col("_chunk") == F.col("_chunk_at")
+    for i, k in enumerate(keys):
+        met = met & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    joined = cut.withColumns({f"_h_{n}": merges[k](f"_v_{n}").over(inside) for n, (_, k) in values.items()}).join(carry, met)
+
+    def total(n: str, kind: str) -> Column:
+        here, past = F.col(f"_h_{n}"), F.col(f"_c_{n}")
+        return {"sum": lambda: F.coalesce(here + past, here, past, F.lit(0)), "max": lambda: F.greatest(here, past), "min": lambda: F.least(here, past)}[kind]()
+
+    return joined.withColumns({n: total(n, k) for n, (_, k) in values.items()}).drop("_chunk", "_chunk_at", *[f"_k{i}" for i in range(len(keys))], *[f"{p}_{n}" for n in values for p in ("_v", "_h", "_c")])
+
+
+def running(rows: DataFrame, value: Column, name: str, file: str | tuple[str, ...], order: str, kind: str = "sum") -> DataFrame:
+    """rows with name: the sum (or kind: the 'max' or 'min') of value over the rows of the file up to here; see running_all."""
+    return running_all(rows, {name: (value, kind)}, file, order)
+
+
+def in_one_order(rows: DataFrame, name: str, file: str, order: str) -> DataFrame:
+    """rows with name: 1, 2, 3, … over all files, in the order of file. Only the table of files, with their counts, is put in order in one task."""
+    each = rows.groupBy(file).agg(F.count("*").alias("_n"))
+    start = each.select(F.col(file).alias("_file"), F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(F.col(file)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    inside = numbered(rows, name, file, order)
+    return inside.join(start, F.col(file).eqNullSafe(F.col("_file"))).withColumn(name, F.col(name) + F.col("_start")).drop("_file", "_start")
 
 
 def numbered(rows: DataFrame, name: str, file: str, order: str) -> DataFrame:

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import numbered, running, with_neighbours
+from .graph import materialise
+from .ordered import in_one_order, numbered, running, running_all, with_neighbours
 
 MORE, UPDATE, HEADING = "続", "続更新", "続表題"
 LOOK_AHEAD, SMALL_GAP = 9, 5
@@ -87,44 +88,56 @@ def valid_updates(lines: DataFrame, file: str, fields: tuple[str, ...]) -> DataF
     return out.drop("_home", "_part", *([] if "_rn" in lines.columns else ["_rn"]))
 
 
-def merge_lines(lines: DataFrame, file: str = "file_no", parcel: str = "parcel_no", updated: tuple[str, ...] = ("area",), same: tuple[str, ...] = ("owner_name",), checked: bool = True) -> DataFrame:
-    """The lines after merging: (all columns), with entry, parcel and updated fields filled from their entry.
+def merge_lines(lines: DataFrame, file: str = "file_no", parcel: str = "parcel_no", updated: tuple[str, ...] = ("area",), same: tuple[str, ...] = ("owner_name",), checked: bool = True, across: bool = True) -> DataFrame:
+    """The lines after merging: (all columns), with entry, parcel and updated fields filled from their entry, as if read one after the other.
 
-    A group is a numbered line and the marker lines below it. A field at some line is the last update's value, else the
-    numbered line's, else the first value of a completion (続表題) so far. 続 and 続表題 lines take the group's fields; the k-th
-    completion also fills the k-th latest line of its group that has no parcel number; an update also replaces the
-    fields of the line written just before it. Update lines go, as do completions and updates without an entry; 続 lines
-    without an entry stay as they are. Groups do not pass the end of a file.
+    The last entry holds while marker lines follow, over the ends of files too, which are read in their order (across=False reads each file by
+    itself). Its parcel number and fields are those of its numbered line; a completion (続表題) fills blank ones, an update (続更新)
+    replaces the updated ones, where it is not blank. 続 and 続表題 lines are written with the entry's number and values. Beyond that
 
-    checked=False is the earlier form: no line is taken as a duplicate, and every update counts.
+    * an update also replaces the fields of the line written just before it;
+    * a completion also gives the entry's values to the latest line written so far that has the entry's number and a blank parcel number, be it of
+      this entry or of an earlier one with the same number. While the entry's own parcel number is blank, that line stays blank and can be met again.
 
-    Completions are expected to carry a parcel number, and numbers to be unique within a file.
+    Update lines go, as do completions and updates before any entry; 続 lines before any entry stay as they are. checked=False is the earlier form: no
+    line is taken as a duplicate, and every update counts.
+
+    No line waits for another: the entry in force is a running maximum, and which blank line a completion meets is a matter of brackets. A
+    blank line opens one, under its number, and a completion with a parcel number closes the latest that is open; running sums and minima
+    give every line its depth, and the lines of one number and depth meet each other in order.
     """
     fields = (parcel, *updated)
-    marked = valid_updates(mark_duplicates(_placed(lines, file), file, same), file, updated).where("not duplicate and (entry <> '続更新' or valid_update)") if checked else lines
-    is_entry = is_numbered(F.col("entry"))
-    g = running(marked, F.when(is_entry, 1).otherwise(0).cast("long"), "_g", file, "line_idx").where(f"_g > 0 or entry = '{MORE}'")
-    group = Window.partitionBy(file, "_g").orderBy("line_idx")
-    so_far, whole = group.rowsBetween(Window.unboundedPreceding, 0), group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    kind = lambda k: F.col("entry") == k
-    now = {}
+    if across:
+        placed, scope = in_one_order(lines, "_rn", file, "line_idx").withColumn("_scope", F.lit(0)), "_scope"
+    else:
+        placed, scope = numbered(lines, "_rn", file, "line_idx").withColumn("_scope", F.col(file)), "_scope"
+    marked = valid_updates(mark_duplicates(placed, scope, same), scope, updated).where("not duplicate and (entry <> '続更新' or valid_update)") if checked else placed
+    is_entry, kind = is_numbered(F.col("entry")), lambda k: F.col("entry") == k
+    g = running(marked, F.when(is_entry, 1).otherwise(0).cast("long"), "_g", scope, "_rn").where(f"_g > 0 or entry = '{MORE}'")
+    # the entry in force: of the current group the first value of its line and completions, and the last of its updates
+    values = {"_entry": (F.when(is_entry, F.struct("_g", F.trim("entry").alias("v"))), "max"), "_e": (F.when(kind(UPDATE), 0).otherwise(1).cast("long"), "sum")}
     for c in fields:
-        base = F.first(F.when(is_entry, _filled(F.col(c))), ignorenulls=True).over(so_far)
-        update = F.last(F.when(kind(UPDATE), _filled(F.col(c))), ignorenulls=True).over(so_far) if c in updated else F.lit(None).cast("string")
-        completion = F.first(F.when(kind(HEADING), _filled(F.col(c))), ignorenulls=True).over(so_far)
-        now[f"_{c}"] = F.coalesce(update, base, completion, F.lit(""))
-    out = g.withColumns(now).withColumn("_number", F.first(F.when(is_entry, F.trim("entry")), ignorenulls=True).over(so_far))
-    own = F.when(is_entry | F.col("_number").isNull(), F.struct(*[F.trim(F.col(c)).alias(c) for c in fields])).otherwise(F.struct(*[F.col(f"_{c}").alias(c) for c in fields]))
-    out = out.withColumn("_own", own).withColumn("_done", F.collect_list(F.when(kind(HEADING), F.struct(*[F.col(f"_{c}").alias(c) for c in fields]))).over(whole))
-    # lines written, and the updates that follow each before the next
-    out = out.withColumn("_part", F.sum(F.when(kind(UPDATE), 0).otherwise(1)).over(group))
-    part = Window.partitionBy(file, "_g", "_part").orderBy("line_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = out.withColumns({f"_u_{c}": F.last(F.when(kind(UPDATE), _filled(F.col(c))), ignorenulls=True).over(part) for c in updated})
-    blank = (F.col("_own")[parcel] == "") & ~kind(UPDATE) & F.col("_number").isNotNull()
-    rank = F.row_number().over(Window.partitionBy(file, "_g", "_blank").orderBy(F.desc("line_idx")))
-    out = out.withColumn("_blank", blank).withColumn("_fill", F.when(F.col("_blank"), F.get("_done", rank - 1)))
-    final = {c: F.coalesce(F.col("_fill")[c], F.when(F.col("_number").isNotNull(), F.col(f"_u_{c}")) if c in updated else F.lit(None).cast("string"), F.col("_own")[c]) for c in fields}
-    return out.where(~kind(UPDATE)).withColumns({**final, "entry": F.coalesce("_number", "entry")}).select(*lines.columns)
+        values[f"_first_{c}"] = F.when((is_entry | kind(HEADING)) & _filled(F.col(c)).isNotNull(), F.struct("_g", (-F.col("_rn")).alias("at"), F.trim(c).alias("v"))), "max"
+        if c in updated:
+            values[f"_last_{c}"] = F.when(kind(UPDATE) & _filled(F.col(c)).isNotNull(), F.struct("_g", F.col("_rn").alias("at"), F.trim(c).alias("v"))), "max"
+    held = running_all(g, values, scope, "_rn")
+    mine = lambda name: F.when(F.col(f"{name}._g") == F.col("_g"), F.col(f"{name}.v"))
+    now = {f"_{c}": F.coalesce(*([mine(f"_last_{c}")] if c in updated else []), mine(f"_first_{c}"), F.lit("")) for c in fields}
+    state = held.withColumns({**now, "_number": F.col("_entry.v")}).drop(*values.keys() - {"_e"})
+    plain = is_entry | F.col("_number").isNull()
+    state = materialise(state.withColumn("_own", F.struct(*[F.when(plain, F.trim(c)).otherwise(F.col(f"_{c}")).alias(c) for c in fields])))
+    # brackets: what a completion meets
+    completion = state.where(kind(HEADING)).select(scope, "_number", (F.col("_rn") * 2).alias("_at"), F.when(F.col(f"_{parcel}") != "", -1).otherwise(0).cast("long").alias("_step"), F.struct(*[F.col(f"_{c}").alias(c) for c in fields]).alias("_give"))
+    blank = state.where(~kind(UPDATE) & (F.col("_own")[parcel] == "") & F.col("_number").isNotNull()).select(scope, "_number", (F.col("_rn") * 2 + 1).alias("_at"), F.lit(1).cast("long").alias("_step"))
+    events = completion.unionByName(blank, allowMissingColumns=True)
+    depth = running(events, F.col("_step"), "_sum", (scope, "_number"), "_at").withColumn("_sum", F.col("_sum") - F.col("_step"))
+    depth = running(depth, F.col("_sum"), "_low", (scope, "_number"), "_at", "min").withColumn("_level", F.col("_sum") - F.col("_low") + F.when(F.col("_step") == 1, 1).otherwise(0)).where("_level > 0")
+    met = running(depth, F.when(F.col("_step") == 1, F.col("_at")), "_of", (scope, "_number", "_level"), "_at", "max").where("_give is not null and _of is not null")
+    given = met.groupBy(scope, ((F.col("_of") - 1) / 2).cast("long").alias("_rn")).agg(F.max_by("_give", "_at").alias("_give"))
+    replaced = state.where(kind(UPDATE)).groupBy(scope, "_e").agg(*[F.max_by(_filled(F.col(c)), F.when(_filled(F.col(c)).isNotNull(), F.col("_rn"))).alias(f"_u_{c}") for c in updated])
+    out = state.where(~kind(UPDATE)).join(given, [scope, "_rn"], "left").join(replaced, [scope, "_e"], "left")
+    final = {c: F.coalesce(F.col("_give")[c], F.when(F.col("_number").isNotNull(), F.col(f"_u_{c}")) if c in updated else F.lit(None).cast("string"), F.col("_own")[c]) for c in fields}
+    return out.withColumns({**final, "entry": F.coalesce("_number", "entry")}).select(*lines.columns)
 
 
 def number_gaps(lines: DataFrame, file: str = "file_no") -> DataFrame:

@@ -58,6 +58,14 @@ select event_id as line_idx, cast(floor(event_id / 500.0) as int) as file_no, ca
   case when event_type = 'signup' then '' else cast(cast(floor(value) as int) as string) end as area,
   concat('N', cast(user_id % 40 as string)) as owner_name
 from events
+""",
+    "v_scans": """
+select event_id as line_idx, cast(floor(event_id / 90.0) as int) as file_no, cast(floor(event_id / 7.0) as int) as page,
+  case when event_id % 5 = 0 then '続表題' when event_type = 'signup' then '続' when event_type = 'error' then '続更新' else cast(user_id % 60 as string) end as entry,
+  case when user_id % 3 = 0 or event_id % 4 = 0 then '' else concat(cast(user_id % 50 as string), '番', cast(event_id % 6 as string)) end as parcel_no,
+  case when event_id % 3 = 0 then '' else cast(event_id % 90 as string) end as area,
+  concat('N', cast(user_id % 40 as string)) as owner_name
+from events
 """,
     "v_numseq": """
 select distinct l_orderkey as n, cast(floor(l_orderkey / 5000.0) as int) as file_no from lineitem

@@ -128,7 +128,7 @@ def test_merge_equals_a_sequential_reading(spark):
         want[file] = model_merge(lines)
     df = spark.createDataFrame(rows, "file_no int, line_idx long, page int, entry string, parcel_no string, area string, owner_name string")
     got = {f: [] for f in want}
-    for r in sequence.merge_lines(df).orderBy("file_no", "line_idx").collect():
+    for r in sequence.merge_lines(df, across=False).orderBy("file_no", "line_idx").collect():
         got[r.file_no].append((r.line_idx, r.page, r.entry, r.parcel_no, r.area, r.owner_name))
     assert got == want
 
@@ -381,3 +381,26 @@ def test_drawing_from_entities(spark):
     assert [tuple(r) for r in got.edges.collect()] == [(1, "-1.2", "1.1")]
     assert [(r.number, r.land_use, r.owner) for r in got.parcels.collect()] == [("12-3", "山林", None)]
     assert [r.label for r in got.public_labels.collect()] == ["水-1"]
+
+
+def test_merge_of_files_read_as_one(spark, monkeypatch):
+    """Blank completions, numbers that come again and files that go on in the next one, over chunks of a few lines."""
+    monkeypatch.setattr(ordered, "CHUNK", 7)
+    rng = random.Random(12)
+    for across in (True, False):
+        rows, files = [], []
+        for file in range(40):
+            lines = []
+            for i in range(rng.randint(1, 16)):
+                entry = rng.choice(["n", "続", "続更新", "続表題", "続表題"])
+                parcel = rng.choice(["", "", "1番", "2番"]) if entry in ("続表題", "n") else ""
+                lines.append((i, i // 4, str(rng.randint(1, 3)) if entry == "n" else entry, parcel, rng.choice(["", "10", "20"]) if entry != "続" else "", rng.choice("ABC")))
+            files.append(lines)
+            rows += [(file, *x) for x in lines]
+        if across:
+            want = model_merge([(file * 100 + x[0], *x[1:]) for file, lines in enumerate(files) for x in lines])
+        else:
+            want = [(file * 100 + r[0], *r[1:]) for file, lines in enumerate(files) for r in model_merge(lines)]
+        df = spark.createDataFrame(rows, "file_no int, line_idx long, page int, entry string, parcel_no string, area string, owner_name string")
+        got = [(r.file_no * 100 + r.line_idx, r.page, r.entry, r.parcel_no, r.area, r.owner_name) for r in sequence.merge_lines(df, across=across).orderBy("file_no", "line_idx").collect()]
+        assert got == want
