@@ -297,6 +297,39 @@ def test_rules_equal_plain_counting(spark):
     assert all(verdicts[i] == ("block" if any(s <= sets[i][0] for s in want) else "allow") for i in range(60)) and 900 in verdicts
 
 
+def test_long_labelled_urls_and_templates(spark):
+    """Tokens that only one URL, or one template, has do not multiply; with the registered defaults, equal to plain counting."""
+    rng = random.Random(4)
+    rows = [(f"http://h{'abc'[i % 3]}.org/{rng.choice('xy')}/{i}", rng.random() < 0.12) for i in range(40)] + [("http://q.org/" + "/".join(f"part{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)), True)]
+    labelled = spark.createDataFrame(rows, "url string, blocked boolean")
+    rules = url_rules.minimal_rules(labelled).collect()
+    assert sorted(len(c) for r in rules for c in r.alike)[-1] >= 200
+    sets = [(frozenset(t), b) for t, b in labelled.select(url_rules.url_tokens(url_rules.F.col("url")), "blocked").collect()]
+    every = {t for s, _ in sets for t in s}
+    base, z = sum(b for _, b in sets) / len(sets), 1.645
+    end = lambda p, n: (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+
+    def rate(part):
+        held = [b for s, b in sets if part <= s]
+        return (sum(held) / len(held), len(held)) if held else (0, 0)
+
+    want = set()
+    single = {t: rate(frozenset([t])) for t in every}
+    for t, (p, n) in single.items():
+        if p >= 1.25 * base and p and end(p, n) > base:
+            want.add(frozenset([t]))
+    got = {frozenset(t) for t, _, _ in url_rules.mine_rules(labelled)}
+    assert {g for g in got if len(g) == 1} == want
+    for g in got - want:
+        p, n = rate(g)
+        assert p >= 1.25 * base and end(p, n) > base and all(rate(g - {t})[0] < p for t in g)
+    asked = spark.createDataFrame([(1, "http://new.org/partcc/z"), (2, "http://new.org/z")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in url_rules.judge_urls(asked, labelled).collect()} == {1: "block", 2: "allow"} == {r.page_id: r.verdict for r in url_rules.judge_urls(asked, labelled, max_rules=0).collect()}
+    deep = "/".join(f"t{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    template = spark.range(20_000).select(F.when(F.col("id") % 100 == 0, F.concat(F.lit(f"http://deep.net/{deep}/"), F.col("id").cast("string"))).otherwise(F.concat(F.lit("http://n.org/"), F.col("id").cast("string"))).alias("url"), (F.col("id") % 100 == 0).alias("blocked"))
+    assert [len(r.alike[0]) for r in url_rules.minimal_rules(template).collect()] == [62]
+
+
 def test_listed_rules_equal_their_sql(spark):
     got = sorted(map(tuple, queries.url_listed_rules(spark, SF).collect()))
     con = duckdb.connect()
