@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import boxes, diff, drawing, entities, faces, layout, raster, reconcile, sequence, spatial, traverse
+from .operators import blocks, boxes, diff, drawing, entities, faces, layout, raster, reconcile, sequence, spatial, traverse
 from .operators.graph import materialise
 from .plans.views import view, with_views
 
@@ -1084,6 +1084,32 @@ def zonal_stats(spark, sf_dir):
     return raster.zonal_stats(spark, _slope(spark, sf_dir), _POLYGON, _BOUNDS, _WIDTH * _HEIGHT)
 
 
+@query(_SLOPE + 'select r as "row", c as "col", round(s, 6) as slope from sl', "v_dem")
+def slope_by_blocks(spark, sf_dir):
+    """Slope over blocks of 16 x 16 pixels, of which only borders are shuffled."""
+    pixels = view(spark, sf_dir, "v_dem").select(c("r").alias("row"), c("c").alias("col"), "elev")
+    return blocks.slope_blocks(materialise(blocks.pixel_blocks(pixels, 16)), _WIDTH, _HEIGHT, 16).select("row", "col", F.round("slope", 6).alias("slope"))
+
+
+@query(
+    _SLOPE
+    + f""", px as (select *, 36.0::double + r * (({_BOUNDS[1]}::double - {_BOUNDS[0]}::double) / (select max(r) from v_dem)) as lat, 139.0::double + c * (({_BOUNDS[3]}::double - {_BOUNDS[2]}::double) / (select max(c) from v_dem)) as lon from cl),
+vz as (select zone_id, place, lon::double as lon, lat::double as lat from v_zones),
+sd as (select a.zone_id, a.lon as x1, a.lat as y1, b.lon as x2, b.lat as y2 from vz a join vz b on b.zone_id = a.zone_id and b.place = (a.place + 1) % (3 + a.zone_id % 5)),
+hit as (select zone_id, r, c, class from px join sd on (y1 > lat) <> (y2 > lat) and lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 where class >= 0 group by all having count(*) % 2 = 1),
+cnt as (select zone_id, class, count(*) as n from hit group by all),
+names as (select * from (values {", ".join(f"({i}, '{n}', '{k}')" for i, (_, _, n, k) in enumerate(raster.SLOPE_CLASSES))}) t(class, name, color)),
+al as (select zone_id, names.*, coalesce(n, 0) as n, sum(coalesce(n, 0)) over (partition by zone_id) as total from (select distinct zone_id from vz) z cross join names left join cnt using (zone_id, class))
+select zone_id, class, name, color, n, round(n * 20.0, 1) as area_m2, round(round(n * 20.0, 1) / 10000, 3) as area_ha, round(case when total > 0 then n::double * 100 / total else 0 end, 2) as percent from al""",
+    "v_dem",
+    "v_zones",
+)
+def zonal_stats_of_many(spark, sf_dir):
+    """Slope classes inside of many overlapping polygons, some of which cross themselves."""
+    zones = view(spark, sf_dir, "v_zones").select("zone_id", "place", c("lon").cast("double").alias("lon"), c("lat").cast("double").alias("lat"))
+    return blocks.zonal_stats_of_many(_slope(spark, sf_dir), zones, _BOUNDS, _WIDTH * _HEIGHT)
+
+
 @query(_ZONAL + "select round(sum(percent / 100 * (1 + class * 0.25)), 4) as coefficient from zs", "v_dem")
 def weighted_coef(spark, sf_dir):
     return zonal_stats(spark, sf_dir).agg(F.round(F.sum(c("percent") / 100 * (1 + c("class") * 0.25)), 4).alias("coefficient"))

@@ -41,6 +41,10 @@ from supplier
 select cast(floor(p_partkey / 40.0) as int) as r, cast(p_partkey % 40 as int) as c,
   case when p_partkey % 97 = 0 then null else p_size + p_retailprice / 100 end as elev
 from part
+""",
+    "v_zones": """
+select k as zone_id, j as place, cast(139000 + (k * 17) % 100 + (k * 7 + j * 13 + j * j * 5) % 41 - 20 as double) / 1000.0 as lon, cast(35900 + (k * 29) % 100 + (k * 11 + j * 19 + j * j * 3) % 37 - 18 as double) / 1000.0 as lat
+from (select c_custkey as k from customer) c cross join (select 0 as j union all select 1 union all select 2 union all select 3 union all select 4 union all select 5 union all select 6) q where j < 3 + k % 5
 """,
     "v_snap_a": """
 select o_orderkey, o_custkey, o_orderstatus, o_totalprice from orders where o_orderkey % 10 <> 0
