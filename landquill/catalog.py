@@ -205,6 +205,22 @@ def registry_diff_pairs(spark, sf_dir):
     return diff.registry_diff_all_pairs(_properties(spark, sf_dir, "old").unionByName(_properties(spark, sf_dir, "new")))
 
 
+@query(
+    _rollup("r", {}, "true")
+    + """p as (select 'f' || k as file, k, number::bigint as n, case when number::bigint % 5 = k % 4 then 'X' || k % 3 else land_use end as u from r cross join range(10) t(k) where number::bigint % 11 <> k),
+    c as (select file, count(*) as n from p group by 1),
+    m as (select a.file as old_file, b.file as new_file, count(*) as shared, count(*) filter (a.u <> b.u) as changed from p a join p b on a.n = b.n and a.file < b.file group by all)
+    select old_file, new_file, a.n as n_old, b.n as n_new, a.n + b.n - 2 * shared + changed as n_diffs, b.n - shared as added, a.n - shared as deleted, changed from m join c a on a.file = old_file join c b on b.file = new_file""".replace("p as", ", p as", 1),
+    "v_records",
+)
+def registry_diff_ten_files(spark, sf_dir):
+    """All pairs of ten exports, of which each lacks some properties and has other land uses."""
+    n = c("number").cast("long")
+    files = _properties(spark, sf_dir, "base").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9)))).where(n % 11 != c("k"))
+    use = F.when(n % 5 == c("k") % 4, F.concat(F.lit("X"), (c("k") % 3).cast("string"))).otherwise(c("land_use"))
+    return diff.registry_diff_all_pairs(files.withColumn("file", F.concat(F.lit("f"), c("k").cast("string"))).withColumn("land_use", use))
+
+
 # texts
 
 _WIDE = f"'{tx.WIDE.replace(chr(39), chr(39) * 2)}', '{tx.NARROW.replace(chr(39), chr(39) * 2)}'"
@@ -472,7 +488,7 @@ def reconcile_full(spark, sf_dir):
 
 
 def _owner_differences(source, read):
-    people = lambda df: df.select("key", F.explode("owners").alias("o")).select("key", "o.name", "o.address")
+    people = lambda df: df.select("key", F.posexplode("owners").alias("ord", "o")).select("key", "ord", "o.name", "o.address")
     both = source.select("key").join(read.select("key"), "key")
     return reconcile.match_owners(*[people(df.join(both, "key", "left_semi")) for df in (source, read)])
 
@@ -493,6 +509,19 @@ def reconcile_changes(spark, sf_dir):
     return reconcile.changes(reconcile.reconcile(source, read), _owner_differences(source, read))
 
 
+@query(
+    _RECONCILE
+    + """select rec.key, location, su as land_use_old, case when land_use_change = 'corrected' then su else ru end as land_use_new, land_use_change = 'changed' as land_use_changed, land_use_change = 'corrected' as land_use_misread,
+    sa as area_old, case when area_change = 'corrected' then ra || '→補正:' || sa else ra end as area_new, area_change = 'changed' as area_changed, source_owners as owner_old, read_owners as owner_new,
+    exists (select 1 from gone where gone.key = rec.key) or exists (select 1 from fresh where fresh.key = rec.key) as owner_changed, page, file, source_owner_count as owner_count_old, read_owner_count as owner_count_new from rec where status = 'both'""",
+    "v_records",
+    "v_ocr",
+)
+def full_comparison(spark, sf_dir):
+    source, read = _source(spark, sf_dir), _read(spark, sf_dir)
+    return reconcile.full_comparison(reconcile.reconcile(source, read), _owner_differences(source, read))
+
+
 @query(
     _RECONCILE
     + """select case when status = 'source_only' then '照合元のみ' else 'OCRのみ' end as category, key, location, case when status = 'source_only' then file else 'PDF p.' || page end as source, case when status = 'source_only' then 'OCR結果に該当なし（PDF範囲外の可能性）' else '照合元に該当なし（新規取得・範囲外の可能性）' end as note from rec where status <> 'both'""",

@@ -78,11 +78,18 @@ def diff_summary(diff: DataFrame) -> DataFrame:
 
 
 def snapshot_diff(a: dict[str, DataFrame], b: dict[str, DataFrame]) -> tuple[DataFrame | None, dict[str, list[str]]]:
-    """Diff rows (table, key as text, kind, column, value) of all common tables of two sets, and the lists of tables."""
+    """Diff rows (table, key as text, kind, column, value) of all common tables of two sets, and the lists of tables.
+
+    A column that only one side's table has is a row too, of kind 'column_only_a' or 'column_only_b' without key and value.
+    """
     tables = {"common": [t for t in a if t in b], "only_a": [t for t in a if t not in b], "only_b": [t for t in b if t not in a]}
     parts = []
     for t in tables["common"]:
-        columns = diff_schema(a[t], b[t])["common"]
+        schema = diff_schema(a[t], b[t])
+        columns = schema["common"]
+        alone = [(t, "", f"column_{side}", c, "") for side in ("only_a", "only_b") for c in sorted(schema[side])]
+        if alone:
+            parts.append(a[t].sparkSession.createDataFrame(alone, "table string, key string, kind string, column string, value string"))
         if columns:
             keys = guess_keys(columns)
             parts.append(keyed_diff(a[t], b[t], keys).select(F.lit(t).alias("table"), F.concat_ws("|", *_named(keys)).alias("key"), "kind", "column", "value"))
@@ -159,11 +166,16 @@ def by_parcel(properties: DataFrame) -> DataFrame:
 
 def tracked(properties: DataFrame, file: str = "file") -> DataFrame:
     """properties with key: location | parcel number; a repeated key gets '|#number', and of repeated keys the last one stays."""
+    return _tracked(properties, file).drop("base")
+
+
+def _tracked(properties: DataFrame, file: str) -> DataFrame:
+    """tracked with base, the key without a number, by which the rows are dealt: one shuffle serves what is grouped by base and more."""
     base = F.concat_ws("|", tx.key_text(F.col("location")), tx.parcel_key(F.col("parcel_no")))
     order = Window.partitionBy(file, "base").orderBy("line_idx")
-    keyed = properties.withColumn("base", base).withColumn("key", F.when(F.row_number().over(order) == 1, F.col("base")).otherwise(F.concat("base", F.lit("|#"), F.col("number"))))
-    last = Window.partitionBy(file, "key").orderBy(F.desc("line_idx"))
-    return keyed.withColumn("n", F.row_number().over(last)).where("n = 1").drop("base", "n")
+    keyed = properties.withColumn("base", base).repartition("base").withColumn("key", F.when(F.row_number().over(order) == 1, F.col("base")).otherwise(F.concat("base", F.lit("|#"), F.col("number"))))
+    last = Window.partitionBy(file, "base", "key").orderBy(F.desc("line_idx"))
+    return keyed.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
 
 
 def owner_text(o: Column) -> Column:
@@ -194,22 +206,36 @@ SCALARS = (
     ("地積", "area", tx.area),
 )
 ADDED, REMOVED, CHANGED, WHOLE, HISTORY, OWNERS = "追加", "削除", "変更", "物件", "表示履歴", "所有者"
+# Fixed value: the note.
 HISTORY_NOTE = "履歴行の追加・削除・内容変更があります"
 
 
-def registry_diff(old: DataFrame, new: DataFrame, on: list[str] | None = None) -> DataFrame:
+def _content(*more: str) -> Column:
+    return F.struct(*[c for _, c, _ in SCALARS], "history", "owners", *more)
+
+
+def registry_diff(old: DataFrame, new: DataFrame, on: list[str] | None = None, files: bool = False) -> DataFrame:
     """(key, item_ord, kind, location, parcel_no, item, old_value, new_value, note) between two exports of tracked properties.
 
     on: further columns that both sides share, such as a pair of files, which are joined on and returned. item_ord counts the rows
-    of a key: the whole property, its fields in the report's order, its history, its owners by name. Properties that are
-    alike in every cell leave after the join.
+    of a key: the whole property, its fields in the report's order, its history, its owners by name. location and parcel_no are the new
+    side's, but the old one's where a property or an owner is removed. files: with old_file and new_file, the exports' column file, empty
+    where a side has no such property. Properties that are alike in every cell leave after the join.
     """
     keys = [*(on or []), "key"]
-    fields = [c for _, c, _ in SCALARS]
-    sides = [df.select(*keys, F.struct(*fields, "history", "owners").alias(name)) for df, name in ((old, "_old"), (new, "_new"))]
+    more = ["file"] if files else []
+    sides = [df.select(*keys, _content().alias(name), *[F.col(c).alias(f"{name}_{c}") for c in more]) for df, name in ((old, "_old"), (new, "_new"))]
     both = sides[0].join(sides[1], keys, "full_outer").where(~F.col("_old").eqNullSafe(F.col("_new")))
+    if not files:
+        return _differences(both, keys)
+    named = both.withColumns({f"{s}_file": F.coalesce(f"_{s}_file", F.lit("")) for s in ("old", "new")})
+    return _differences(named, [*keys, "old_file", "new_file"])
+
+
+def _differences(both: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, item_ord, kind, …) of rows (keys, _old, _new), where the sides differ."""
     none, shared = F.lit(""), F.col("_old").isNotNull() & F.col("_new").isNotNull()
-    row = lambda kind, item, a, b, note="": F.struct(F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), F.lit(item).alias("item"), a.alias("old_value"), b.alias("new_value"), F.lit(note).alias("note"))
+    row = lambda kind, item, a, b, note="": F.struct(F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), F.lit(item).alias("item"), a.alias("old_value"), b.alias("new_value"), F.lit(note).alias("note"), F.lit(kind == REMOVED if isinstance(kind, str) else False).alias("gone"))
     whole = lambda p: tx.join_nonempty(*[F.col(f"{p}.{c}") for c in ("location", "parcel_no", "land_use", "area")])
     parts = [F.when(F.col("_old").isNull(), row(ADDED, WHOLE, none, whole("_new"))), F.when(F.col("_new").isNull(), row(REMOVED, WHOLE, whole("_old"), none))]
     for item, c, norm in SCALARS:
@@ -232,22 +258,38 @@ def registry_diff(old: DataFrame, new: DataFrame, on: list[str] | None = None) -
         return F.when(F.size(x) == 0, gained).when(F.size(y) == 0, lost).otherwise(F.array(row(CHANGED, OWNERS, F.array_join(x, "\n"), F.array_join(y, "\n"))))
 
     changed = F.flatten(F.transform(F.filter(names, lambda w: F.array_sort(of(a, w, "signature")) != F.array_sort(of(b, w, "signature"))), owner))
-    rows = F.concat(F.array_compact(F.array(*parts)), F.coalesce(changed, F.array().cast("array<struct<kind:string,item:string,old_value:string,new_value:string,note:string>>")))
+    rows = F.concat(F.array_compact(F.array(*parts)), F.coalesce(changed, F.array().cast("array<struct<kind:string,item:string,old_value:string,new_value:string,note:string,gone:boolean>>")))
     side = F.coalesce("_new", "_old")
-    return seen.select(*keys, side["location"].alias("location"), side["parcel_no"].alias("parcel_no"), F.posexplode(rows).alias("item_ord", "part")).select(*keys, "item_ord", "part.kind", "location", "parcel_no", "part.item", "part.old_value", "part.new_value", "part.note")
+    shown = {c: F.when(F.col("part.gone"), F.col(f"_old.{c}")).otherwise(side[c]).alias(c) for c in ("location", "parcel_no")}
+    out = seen.select(*keys, "_old", "_new", F.posexplode(rows).alias("item_ord", "part"))
+    return out.select(*keys, "item_ord", "part.kind", shown["location"], shown["parcel_no"], "part.item", "part.old_value", "part.new_value", "part.note")
 
 
 def registry_diff_all_pairs(properties: DataFrame, file: str = "file") -> DataFrame:
     """(old_file, new_file, n_old, n_new, n_diffs, added, deleted, changed) of every pair of files in order of name.
 
-    Each property goes once to each pair of files that holds its file; the files' names are few.
+    Properties are dealt once, by key. The files that hold the same content of a key are a version of it; only different versions of one key
+    are compared, once for all pairs of files that have them, with additions and removals swapped where the order of files is the other. Which
+    files have a key at all is counted by set of files. Tables of pairs grow with the number of files, not with that of properties.
     """
-    keyed = materialise(tracked(properties, file))
-    files = keyed.groupBy(F.col(file).alias("f")).agg(F.count("*").alias("n"))
-    pairs = files.select(F.col("f").alias("old_file"), F.col("n").alias("n_old")).join(files.select(F.col("f").alias("new_file"), F.col("n").alias("n_new")), F.col("old_file") < F.col("new_file"))
-    old = pairs.select("old_file", "new_file").join(keyed.withColumnRenamed(file, "old_file"), "old_file")
-    new = pairs.select("old_file", "new_file").join(keyed.withColumnRenamed(file, "new_file"), "new_file")
-    diff = registry_diff(old, new, ["old_file", "new_file"])
-    n = diff.groupBy("old_file", "new_file").agg(F.count("*").alias("n_diffs"), *[F.count_if(F.col("kind") == k).alias(c) for k, c in ((ADDED, "added"), (REMOVED, "deleted"), (CHANGED, "changed"))])
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return pairs.join(n, ["old_file", "new_file"], "left").select("old_file", "new_file", "n_old", "n_new", *[zero(c) for c in ("n_diffs", "added", "deleted", "changed")])
+    keyed = _tracked(properties, file).withColumn("_c", _content())
+    versions = keyed.groupBy("base", "key", "_c").agg(F.array_sort(F.collect_set(file)).alias("held"))
+    groups = materialise(versions.groupBy("base", "key").agg(F.array_sort(F.flatten(F.collect_list("held"))).alias("all"), F.array_sort(F.collect_list(F.struct("held", "_c"))).alias("v")).select("all", "v"))
+    kinds = ("n_diffs", "added", "deleted", "changed")
+    # of each set of files: how many keys have it
+    sets = groups.groupBy("all").agg(F.count("*").alias("n"))
+    each = sets.select("n", F.explode("all").alias("f")).groupBy("f").agg(F.sum("n").alias("n"))
+    pairs = each.select(F.col("f").alias("old_file"), F.col("n").alias("n_old")).join(each.select(F.col("f").alias("new_file"), F.col("n").alias("n_new")), F.col("old_file") < F.col("new_file"))
+    together = sets.select("n", "all", F.explode("all").alias("old_file")).select("n", "old_file", F.explode("all").alias("new_file")).where("old_file < new_file").groupBy("old_file", "new_file").agg(F.sum("n").alias("shared"))
+    # versions of one key, two and two
+    several = groups.where("size(v) > 1").select(F.posexplode("v").alias("at", "x"), "v").select("x", F.explode(F.slice("v", F.col("at") + 2, F.size("v"))).alias("y"))
+    two = several.select(F.monotonically_increasing_id().alias("pair"), F.col("x.held").alias("one"), F.col("y.held").alias("other"), F.col("x._c").alias("_old"), F.col("y._c").alias("_new"))
+    found = _differences(two, ["pair", "one", "other"]).groupBy("one", "other").agg(F.count("*").alias("n_diffs"), *[F.count_if(F.col("kind") == k).alias(c) for k, c in ((ADDED, "added"), (REMOVED, "deleted"), (CHANGED, "changed"))])
+    placed = found.withColumn("a", F.explode("one")).withColumn("b", F.explode("other"))
+    swap = F.col("a") > F.col("b")
+    turned = placed.select(F.least("a", "b").alias("old_file"), F.greatest("a", "b").alias("new_file"), "n_diffs", F.when(swap, F.col("deleted")).otherwise(F.col("added")).alias("added"), F.when(swap, F.col("added")).otherwise(F.col("deleted")).alias("deleted"), "changed")
+    changes = turned.groupBy("old_file", "new_file").agg(*[F.sum(c).alias(c) for c in kinds])
+    names = ["old_file", "new_file"]
+    out = pairs.join(together, names, "left").join(changes, names, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("shared", *kinds)})
+    gained, lost = F.col("n_new") - F.col("shared"), F.col("n_old") - F.col("shared")
+    return out.select(*names, "n_old", "n_new", (F.col("n_diffs") + gained + lost).alias("n_diffs"), (F.col("added") + gained).alias("added"), (F.col("deleted") + lost).alias("deleted"), "changed")

@@ -85,11 +85,12 @@ OWNER_GONE, OWNER_NEW, OWNER_FORM = "消失", "追加", "異体字差異"
 def match_owners(source: DataFrame, read: DataFrame) -> DataFrame:
     """(key, kind, source_name, read_name, source_address, read_address) of owners (key, name and, if known, address) that do not match.
 
-    Equal normalised names match. What is left pairs off, in sorted order, where only character forms differ (異体字差異);
+    Equal normalised names match; of several on one side the last counts (by column ord, where there is one). What is left pairs off, in sorted order, where only character forms differ (異体字差異);
     the rest are 消失 (source only) and 追加 (read only).
     """
     address = lambda df: F.col("address") if "address" in df.columns else F.lit("")
-    sides = [df.select("key", tx.name_key(F.col("name")).alias("n"), F.struct(F.col("name").alias("name"), address(df).alias("address")).alias(shown)).where("n <> ''").groupBy("key", "n").agg(F.min(shown).alias(shown)) for df, shown in ((source, "s"), (read, "r"))]
+    place = lambda df: (F.col("ord") if "ord" in df.columns else F.lit(0)).alias("o")
+    sides = [df.select("key", place(df), tx.name_key(F.col("name")).alias("n"), F.struct(F.col("name").alias("name"), address(df).alias("address")).alias(shown)).where("n <> ''").groupBy("key", "n").agg(F.max_by(shown, F.struct("o", shown)).alias(shown)) for df, shown in ((source, "s"), (read, "r"))]
     left = [a.join(b.select("key", "n"), ["key", "n"], "left_anti").withColumn("f", tx.old_form_fold(F.col("n"))).withColumn("k", F.row_number().over(Window.partitionBy("key", "f").orderBy("n"))).drop("n") for a, b in (sides, sides[::-1])]
     both = left[0].join(left[1], ["key", "f", "k"], "full_outer")
     kind = F.when(F.col("r").isNull(), OWNER_GONE).when(F.col("s").isNull(), OWNER_NEW).otherwise(OWNER_FORM)
@@ -108,20 +109,51 @@ def reconcile(source: DataFrame, read: DataFrame) -> DataFrame:
     s = source.select("key", F.struct("location", "land_use", "area", "old_land_uses", "owners", "file").alias("s"))
     r = read.select("key", F.struct("location", "land_use", "area", "owners", "page").alias("r"))
     both = s.join(r, "key", "full_outer")
-    su, ru, sa, ra = (tx.text(F.col(c)) for c in ("s.land_use", "r.land_use", "s.area", "r.area"))
-    use_differs = (su != "") & (ru != "") & (tx.normalize(su) != tx.normalize(ru))
-    old = F.coalesce(F.array_contains(F.transform("s.old_land_uses", lambda x: tx.normalize(x)), tx.normalize(ru)), F.lit(False))
-    area_differs = (sa != "") & (ra != "") & (tx.area(sa) != tx.area(ra))
-    lost = tx.area(sa).contains(".") & (tx.cross_checked_area(sa, ra) == tx.area(sa))
-    use = F.when(~use_differs, "").when(old, "corrected").otherwise("changed")
-    area = F.when(~area_differs, "").when(lost, "corrected").otherwise("changed")
     status = F.when(F.col("s").isNull(), "read_only").when(F.col("r").isNull(), "source_only").otherwise("both")
-    pick = lambda change, a, b: F.when(change == "changed", b).when(a != "", a).otherwise(b)
     names = lambda owners: F.array_join(F.filter(F.transform(owners, lambda o: o["name"]), lambda n: n != ""), ", ")
     location = F.coalesce(F.nullif("r.location", F.lit("")), F.nullif("s.location", F.lit("")), F.lit(""))
-    out = both.select("key", status.alias("status"), location.alias("location"), use.alias("land_use_change"), area.alias("area_change"), su.alias("source_land_use"), ru.alias("read_land_use"), sa.alias("source_area"), ra.alias("read_area"), *[tx.text(names(F.col(f"{x}.owners"))).alias(f"{n}_owners") for x, n in (("s", "source"), ("r", "read"))], *[F.coalesce(F.size(f"{x}.owners"), F.lit(0)).alias(f"{n}_owner_count") for x, n in (("s", "source"), ("r", "read"))], tx.text(F.col("s.file")).alias("file"), tx.text(F.col("r.page")).alias("page"))
-    use, area = F.col("land_use_change"), F.col("area_change")
-    return out.withColumns({"land_use": pick(use, F.col("source_land_use"), F.col("read_land_use")), "area": pick(area, F.col("source_area"), F.col("read_area"))})
+    values = {n: tx.text(F.col(c)).alias(n) for n, c in (("source_land_use", "s.land_use"), ("read_land_use", "r.land_use"), ("source_area", "s.area"), ("read_area", "r.area"))}
+    plain = both.select("key", status.alias("status"), location.alias("location"), *values.values(), *[tx.text(names(F.col(f"{x}.owners"))).alias(f"{n}_owners") for x, n in (("s", "source"), ("r", "read"))], *[F.coalesce(F.size(f"{x}.owners"), F.lit(0)).alias(f"{n}_owner_count") for x, n in (("s", "source"), ("r", "read"))], tx.text(F.col("s.file")).alias("file"), tx.text(F.col("r.page")).alias("page"), F.col("s.old_land_uses").alias("_old"))
+    su, ru, sa, ra = (F.col(c) for c in values)
+    # the normal forms are written out once, and only where the cells as they are differ
+    unlike = lambda a, b: (a != "") & (b != "") & (a != b)
+    formed = plain.withColumns({"_su": F.when(unlike(su, ru), tx.normalize(su)), "_ru": F.when(unlike(su, ru), tx.normalize(ru)), "_sa": F.when(unlike(sa, ra), tx.area(sa)), "_ra": F.when(unlike(sa, ra), tx.area(ra))})
+    misread = F.coalesce(F.exists("_old", lambda x: tx.normalize(x) == F.col("_ru")), F.lit(False))
+    lost = F.col("_sa").contains(".") & (tx.cross_checked_area(sa, ra) == F.col("_sa"))
+    use = F.when(F.col("_su") != F.col("_ru"), F.when(misread, "corrected").otherwise("changed")).otherwise("")
+    area = F.when(F.col("_sa") != F.col("_ra"), F.when(lost, "corrected").otherwise("changed")).otherwise("")
+    out = formed.withColumns({"land_use_change": use, "area_change": area})
+    pick = lambda change, a, b: F.when(F.col(change) == "changed", b).when(a != "", a).otherwise(b)
+    order = ["key", "status", "location", "land_use_change", "area_change", *values, "source_owners", "read_owners", "source_owner_count", "read_owner_count", "file", "page"]
+    return out.select(*order, pick("land_use_change", su, ru).alias("land_use"), pick("area_change", sa, ra).alias("area"))
+
+
+def full_comparison(reconciled: DataFrame, owners: DataFrame) -> DataFrame:
+    """One row for each parcel on both sides: what the two say, what changed, and which read values were put right.
+
+    land_use_new is the source's value where the read one is misread; area_new shows a corrected area behind the read one. owner_changed: whether
+    match_owners (owners) has a row for the parcel.
+    """
+    both = reconciled.where("status = 'both'").join(owners.select("key").distinct().withColumn("_owner", F.lit(True)), "key", "left")
+    fixed = F.when(F.col("area_change") == "corrected", F.concat("read_area", F.lit("→補正:"), "source_area")).otherwise(F.col("read_area"))
+    return both.select(
+        "key",
+        "location",
+        F.col("source_land_use").alias("land_use_old"),
+        F.when(F.col("land_use_change") == "corrected", F.col("source_land_use")).otherwise(F.col("read_land_use")).alias("land_use_new"),
+        (F.col("land_use_change") == "changed").alias("land_use_changed"),
+        (F.col("land_use_change") == "corrected").alias("land_use_misread"),
+        F.col("source_area").alias("area_old"),
+        fixed.alias("area_new"),
+        (F.col("area_change") == "changed").alias("area_changed"),
+        F.col("source_owners").alias("owner_old"),
+        F.col("read_owners").alias("owner_new"),
+        F.coalesce("_owner", F.lit(False)).alias("owner_changed"),
+        "page",
+        "file",
+        F.col("source_owner_count").alias("owner_count_old"),
+        F.col("read_owner_count").alias("owner_count_new"),
+    )
 
 
 #: Names and wording of the report's rows.

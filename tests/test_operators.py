@@ -404,3 +404,39 @@ def test_merge_of_files_read_as_one(spark, monkeypatch):
         df = spark.createDataFrame(rows, "file_no int, line_idx long, page int, entry string, parcel_no string, area string, owner_name string")
         got = [(r.file_no * 100 + r.line_idx, r.page, r.entry, r.parcel_no, r.area, r.owner_name) for r in sequence.merge_lines(df, across=across).orderBy("file_no", "line_idx").collect()]
         assert got == want
+
+
+def test_registry_rows_of_removed_owners_and_files(spark):
+    owner = lambda n: {"address": "A", "share": "", "name": n, "registration": "", "reference": ""}
+    schema = "file string, number string, kind string, status string, location string, parcel_no string, real_estate_no string, city_code string, land_use string, area string, history array<string>, owners array<struct<address:string,share:string,name:string,registration:string,reference:string>>, line_idx long"
+    row = lambda file, place, names, parcel="1番1": (file, "1", "k", "s", place, parcel, "", "", "田", "1", ["h"], [owner(n) for n in names], 0)
+    old = diff.tracked(spark.createDataFrame([row("a", "北 市", ["甲", "乙"]), row("a", "南", ["x"], "2番")], schema))
+    new = diff.tracked(spark.createDataFrame([row("b", "北市", ["乙", "丙"])], schema))
+    got = [(r.kind, r.item, r.location, r.old_file, r.new_file) for r in diff.registry_diff(old, new, files=True).orderBy("key", "item_ord").collect()]
+    assert sorted(got) == sorted([("追加", "所有者", "北市", "a", "b"), ("削除", "所有者", "北 市", "a", "b"), ("削除", "物件", "南", "a", "")])
+    three = spark.createDataFrame([row("a", "北", ["甲"]), row("b", "北", ["甲", "乙"]), row("c", "北", ["甲"]), row("c", "南", [], "2番")], schema)
+    pairs = {(r.old_file, r.new_file): (r.n_old, r.n_new, r.n_diffs, r.added, r.deleted, r.changed) for r in diff.registry_diff_all_pairs(three).collect()}
+    assert pairs == {("a", "b"): (1, 1, 1, 1, 0, 0), ("a", "c"): (1, 2, 1, 1, 0, 0), ("b", "c"): (1, 2, 2, 1, 1, 0)}
+
+
+def test_rows_of_long_pages():
+    rng = random.Random(2)
+    for _ in range(200):
+        tops = sorted(rng.choice([rng.uniform(0, 60), rng.randint(0, 6) * 7.5]) for _ in range(rng.randint(0, 12)))
+        want, first, row = [], None, -1
+        for y in tops:
+            if first is None or y - first > 15.0:
+                first, row = y, row + 1
+            want.append(row)
+        assert boxes.row_numbers(np.array(tops), 15.0).tolist() == want
+    assert boxes.row_numbers(np.array([np.nan, np.nan, 1.0, 5.0]), 15.0).tolist() == [0, 1, 2, 2]
+    assert boxes.row_numbers(np.arange(200_000) * 16.0, 15.0)[-1] == 199_999
+
+
+def test_last_of_repeated_owners_and_one_sided_columns(spark):
+    source = spark.createDataFrame([("k", 0, "甲", "B"), ("k", 1, "甲", "A"), ("k", 2, "乙", "C")], "key string, ord int, name string, address string")
+    read = spark.createDataFrame([("k", 0, "乙", "")], "key string, ord int, name string, address string")
+    assert [(r.kind, r.source_name, r.source_address) for r in reconcile.match_owners(source, read).collect()] == [("消失", "甲", "A")]
+    a, b = spark.createDataFrame([(1, "x", 2)], "id int, v string, w int"), spark.createDataFrame([(1, "x", 2)], "id int, v string, z int")
+    rows, _ = diff.snapshot_diff({"t": a}, {"t": b})
+    assert sorted(tuple(r) for r in rows.collect()) == [("t", "", "column_only_a", "w", ""), ("t", "", "column_only_b", "z", "")]
