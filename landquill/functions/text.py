@@ -70,6 +70,11 @@ def _compatible() -> tuple[str, str, dict[str, str], str, str]:
 _FROM, _TO, _FORMS, _PATTERN, _ANY = _compatible()
 
 
+#: Characters that NFKC leaves alone, whatever stands beside them: ASCII, kana without marks, the common ideographs. Looked at first, since a class of
+#: few ranges is fast to match.
+_SAFE = "\\x{1}-\\x{7e}\\x{3001}-\\x{3003}\\x{3041}-\\x{3096}\\x{30a1}-\\x{30fa}\\x{30fc}\\x{4e00}-\\x{9fff}"
+
+
 def nfkc(c: Column) -> Column:
     """Unicode NFKC of the basic plane, for letters with up to two marks; Hangul syllables have to be composed already."""
     forms = F.from_json(F.lit(json.dumps(_FORMS)), "map<string,string>")
@@ -82,7 +87,7 @@ def nfkc(c: Column) -> Column:
         return F.when(v.rlike(_PATTERN), change(v)).otherwise(v)
 
     full = _once(F.translate(text(c), _FROM, _TO), lambda v: where_needed(v, lambda w: _once(composed(w), lambda u: where_needed(u, composed))))
-    return F.when(text(c).rlike(_ANY), full).otherwise(text(c))
+    return F.when(text(c).rlike(f"[^{_SAFE}]") & text(c).rlike(_ANY), full).otherwise(text(c))
 
 
 def collapse(c: Column) -> Column:
@@ -111,6 +116,14 @@ def normalize(c: Column, fold=nfkc) -> Column:
     return collapse(decode_codes(fold(c)))
 
 
+def normalize_all(cells: Column) -> Column:
+    """normalize of every cell of an array. One look at all of them together passes most lines by; the rest go cell by cell."""
+    # cells side by side; a null shows as two blanks, as do ends and runs of blanks that normalize would change
+    together = F.array_join(cells, "\u0001", "  ")
+    odd = f"[^{_SAFE}]|<|(?U)[\\s&&[^ ]]|  |(?:^|\u0001) | (?:\u0001|$)"
+    return F.when(together.rlike(odd), F.transform(cells, lambda x: normalize(x))).otherwise(cells)
+
+
 def key_text(c: Column, fold=nfkc) -> Column:
     return F.regexp_replace(normalize(c, fold), "(?U)\\s+", "")
 
@@ -153,6 +166,11 @@ def without_marker(c: Column) -> Column:
     return F.when(t.isin(*EMPTY_MARKERS), "").otherwise(t)
 
 
+def without_markers(cells: Column) -> Column:
+    """without_marker of every cell of an array of normalised cells."""
+    return F.when(F.arrays_overlap(cells, F.array(*[F.lit(m) for m in EMPTY_MARKERS])), F.transform(cells, without_marker)).otherwise(cells)
+
+
 def looks_like_address(c: Column) -> Column:
     return (F.length(text(c)) >= 4) & text(c).rlike(ADDRESS)
 

@@ -126,10 +126,11 @@ def rollup_records(lines: DataFrame, file: str = "file", dialect: str = "registr
     does not replace an earlier one, only 【】 mark old values, empty-field markers are blank, and an 所有者 line needs a name.
     """
     source = dialect == "source"
-    cells = F.transform("fields", lambda x: tx.without_marker(tx.normalize(x)) if source else tx.normalize(x))
-    padded = F.concat(F.slice(cells, 1, _WIDTH), F.array_repeat(F.lit(""), F.greatest(F.lit(0), F.lit(_WIDTH) - F.size("fields"))))
+    # only the first cells of a line mean something
+    few = lines.where(F.size("fields") >= (3 if source else 2)).select(file, "line_idx", F.slice("fields", 1, _WIDTH).alias("f"))
+    plain = few.withColumn("f", tx.normalize_all(F.col("f"))).withColumn("f", F.when(F.size("f") < _WIDTH, F.concat("f", F.array_repeat(F.lit(""), F.lit(_WIDTH) - F.size("f")))).otherwise(F.col("f")))
     # written once: the running count reads it twice
-    read = materialise(lines.where(F.size("fields") >= (3 if source else 2)).select(file, "line_idx", padded.alias("f")))
+    read = materialise(plain.withColumn("f", tx.without_markers(F.col("f"))) if source else plain)
     grouped = running(read, (F.col("f")[1] == OPENING).cast("long"), "g", file, "line_idx").where("g > 0")
     at = lambda i: F.col("f")[i]
     opens, placed, shown = at(1) == OPENING, at(1).startswith(PLACE), at(1).startswith(SHOWN)
