@@ -19,8 +19,12 @@ from . import textblocks as tb
 from .ngram_join import _runs
 from .shared import components, materialise
 
-# nearest neighbours: hash functions a table, cell width (for vectors of length 1 at most), tables, buckets probed a table
-HASHES, CELL, TABLES, PROBES = 3, 1.2, 4, 20
+# nearest neighbours: cell width (for vectors of length 1 at most), and the indexes to choose from: hash functions a table, tables, buckets probed a table
+CELL = 1.2
+INDEXES = tuple((m, t, p) for m in (3, 4, 5, 6, 8, 10, 12) for t, p in ((4, 20), (4, 60), (8, 60), (8, 200)) if p < 3**m)
+# an index is chosen by the exact neighbours of so many queries, and the part of so many vectors that it makes them meet
+TUNING_QUERIES, TUNING_VECTORS, RECALL = 40, 1000, 0.95
+_LARGE_INDEX = 20.0  # what a copy of a query to one more bucket costs, in vectors met
 # near-duplicates: cross-polytope hashes a table, tables
 POLYTOPES, ROTATIONS, LINK_TABLES = 3, 3, 8
 BLOCK_ROWS = 4096  # rows of a bucket that meet in one task; larger buckets are cut
@@ -53,11 +57,25 @@ def _keys(parts: np.ndarray, table: int, d: int) -> np.ndarray:
 
 
 class StableHash:
-    """p-stable hashing of vectors scaled into the unit ball; an extra coordinate turns inner product into distance."""
+    """p-stable hashing of vectors scaled into the unit ball; an extra coordinate turns inner product into distance.
 
-    def __init__(self, scale: float):
-        self.scale = scale
-        self.moves = np.array(list(itertools.product((-1, 0, 1), repeat=HASHES)))
+    index: hash functions a table, tables, buckets probed a table. With more functions buckets are smaller, and more of them for the same vectors.
+    """
+
+    def __init__(self, scale: float, index: tuple[int, int, int]):
+        self.scale, (self.hashes, self.tables, self.probed) = scale, index
+        # all moves by one cell for few functions; for many, those in up to three of them
+        few = self.hashes <= 5
+        self.moves = np.array([m for m in itertools.product((-1, 0, 1), repeat=self.hashes)]) if few else self._sparse_moves()
+
+    def _sparse_moves(self) -> np.ndarray:
+        out = [np.zeros(self.hashes, np.int64)]
+        for n in (1, 2, 3):
+            for where in itertools.combinations(range(self.hashes), n):
+                for by in itertools.product((-1, 1), repeat=n):
+                    out.append(np.zeros(self.hashes, np.int64))
+                    out[-1][list(where)] = by
+        return np.array(out)
 
     def _places(self, x: np.ndarray, t: int, query: bool) -> np.ndarray:
         d = x.shape[1]
@@ -65,29 +83,54 @@ class StableHash:
         norm = np.sqrt((x * x).sum(1))
         y = x / norm[:, None] if query else x / self.scale
         lift = np.zeros(len(x)) if query else np.sqrt(np.maximum(0, 1 - (norm / self.scale) ** 2))
-        return (np.column_stack((y, lift)) @ rng.normal(size=(d + 1, HASHES)) + rng.uniform(0, CELL, HASHES)) / CELL
+        return (np.column_stack((y, lift)) @ rng.normal(size=(d + 1, self.hashes)) + rng.uniform(0, CELL, self.hashes)) / CELL
 
     def bucket(self, x: np.ndarray, t: int) -> np.ndarray:
         return _keys(np.floor(self._places(x, t, False)).astype(np.int64), t, x.shape[1])
 
     def probes(self, x: np.ndarray, t: int) -> np.ndarray:
-        """Keys of the PROBES perturbed buckets that most likely hold a near vector, best first."""
+        """Keys of the perturbed buckets that most likely hold a near vector, best first."""
         place = self._places(x, t, True)
         cell = np.floor(place).astype(np.int64)
         gap = place - cell
-        cost = sum(np.where(self.moves[:, j] < 0, gap[:, j, None] ** 2, np.where(self.moves[:, j] > 0, (1 - gap[:, j, None]) ** 2, 0.0)) for j in range(HASHES))
-        best = np.argsort(cost, 1, kind="stable")[:, :PROBES]
+        cost = (gap**2) @ (self.moves < 0).T + ((1 - gap) ** 2) @ (self.moves > 0).T
+        best = np.argsort(cost, 1, kind="stable")[:, : self.probed]
         return _keys(cell[:, None, :] + self.moves[best], t, x.shape[1])
 
+    def meet(self, queries: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Whether each query meets each row of x in some table."""
+        out = np.zeros((len(queries), len(x)), bool)
+        for t in range(self.tables):
+            home, probes = self.bucket(x, t), self.probes(queries, t)
+            for k in range(len(queries)):
+                out[k] |= np.isin(home, probes[k])
+        return out
+
+
+def choose_index(scale: float, n: int, queries: np.ndarray, near: np.ndarray, near_of: np.ndarray, others: np.ndarray) -> tuple[int, int, int]:
+    """The index of least work, of those that meet RECALL of the near rows (row i belongs to query near_of[i]); the one that meets most if none does.
 
-def _bucketed(scale: float, query: bool):
+    Work for a query: the vectors it meets, by its part of others, and its copies.
+    """
+    best, most = None, None
+    for index in INDEXES:
+        hashing = StableHash(scale, index)
+        recall = float(hashing.meet(queries, near)[near_of, np.arange(len(near))].mean())
+        work = float(hashing.meet(queries, others).mean()) * n + _LARGE_INDEX * index[1] * index[2]
+        most = max(most or (recall, -work, index), (recall, -work, index))
+        if recall >= RECALL and (best is None or work < best[0]):
+            best = work, index
+    return best[1] if best else most[2]
+
+
+def _bucketed(scale: float, query: bool, index: tuple[int, int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashing = StableHash(scale)
+        hashing = StableHash(scale, index)
         for batch in batches:
             if not batch.num_rows:
                 continue
             for rows, x in _matrices(batch.column("embedding")):
-                for t in range(TABLES):
+                for t in range(hashing.tables):
                     keys = hashing.probes(x, t) if query else hashing.bucket(x, t)[:, None]
                     part = batch.take(pa.array(np.repeat(rows, keys.shape[1])))
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tb.signed(keys.ravel()))], [*part.schema.names, "bucket"])
@@ -160,12 +203,36 @@ def _search(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return found.groupBy("query", "id").agg(F.max("score").alias("score"))
 
 
-def nearest(table: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
+def tuned_index(classes: DataFrame, asked: DataFrame, scale: float, k: int) -> tuple[int, int, int]:
+    """An index (see choose_index) for the vectors of classes (id, embedding), tuned on TUNING_QUERIES of asked (query, asked) and their exact k nearest.
+
+    Queries and vectors are drawn by hash, of the most common length of vectors. What reaches the driver is bounded by the constants.
+    """
+    d = classes.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    if d is None:
+        return INDEXES[0]
+    mine = classes.where(F.size("embedding") == d["d"]).select("id", "embedding")
+    drawn = materialise(asked.where(F.size("asked") == d["d"]).select("query", F.col("asked").alias("embedding")).orderBy(F.xxhash64("query"), "query").limit(TUNING_QUERIES))
+    one = F.lit(0).cast("long").alias("bucket")
+    ranked = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    pairs = _search(mine.select("*", one), drawn.select("*", one), k + 1).withColumn("n", F.row_number().over(ranked)).where((F.col("n") <= k + 1) & (F.col("query") != F.col("id")))
+    found = pairs.join(mine, "id").select("query", "embedding").collect()
+    queries = drawn.orderBy("query").collect()
+    others = mine.orderBy(F.xxhash64("id"), "id").limit(TUNING_VECTORS).collect()
+    if not found:
+        return INDEXES[0]
+    place = {r["query"]: i for i, r in enumerate(queries)}
+    matrix = lambda rows: np.array([r["embedding"] for r in rows], float)
+    return choose_index(scale, d["n"], matrix(queries), matrix(found), np.array([place[r["query"]] for r in found]), matrix(others))
+
+
+def nearest(table: DataFrame, k: int = 20, every: int = 20, index: tuple[int, int, int] | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found by inner product for each vector whose id is divisible by every.
 
     Ties go to the smaller vec_id. A query for which the probed buckets hold fewer than k others is searched again against
     all vectors, in blocks, so that it gets k where there are k. Rows that share a vec_id are one vector each; a query's own
-    id is never its result.
+    id is never its result. index: hash functions a table, tables, probes a table; else it is tuned on a bounded sample (see tuned_index) to the
+    recall that RECALL names, so that a query meets a smaller part of the vectors where near ones are nearer than the rest.
     """
     rows = usable(table)
     each = Window.partitionBy("embedding").orderBy("vec_id")
@@ -176,8 +243,9 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     scale = classes.agg(F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
     if scale is None:
         scale = 1.0
-    items = classes.select("id", "embedding").mapInArrow(_bucketed(scale, False), "id long, embedding array<double>, bucket long")
-    probes = asked.select("query", F.col("asked").alias("embedding")).mapInArrow(_bucketed(scale, True), "query long, embedding array<double>, bucket long")
+    index = index or tuned_index(classes, asked, scale, k)
+    items = classes.select("id", "embedding").mapInArrow(_bucketed(scale, False, index), "id long, embedding array<double>, bucket long")
+    probes = asked.select("query", F.col("asked").alias("embedding")).mapInArrow(_bucketed(scale, True, index), "query long, embedding array<double>, bucket long")
     ranked = Window.partitionBy("query").orderBy(F.desc("score"), "id")
 
     def top(found: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from landquill.llm import centroids, packing, prefix_trie, queries
+from landquill.llm import centroids, packing, prefix_trie, queries, vectors
 from landquill.llm import textblocks as tb
 from landquill.llm.word_ids import Coder
 
@@ -206,3 +206,21 @@ def test_registered_queries(spark):
     assert n <= least + 1
     data = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert sorted(str(tuple(r)) for r in queries.op12_conversation_trie(spark, sf).collect()) == plain_trie(data)
+
+
+def test_a_query_meets_a_falling_part_of_clustered_vectors():
+    """The index is chosen anew for each size: recall stays, and the part of the vectors that a query meets falls as they grow."""
+    rng = np.random.default_rng(0)
+    parts = []
+    for clusters in (20, 400, 4000):
+        centre = rng.normal(size=(clusters, 32))
+        centre /= np.linalg.norm(centre, axis=1, keepdims=True)
+        x = (centre[:, None] + rng.normal(size=(clusters, 15, 32)) * 0.03).reshape(-1, 32)
+        q = x[:: max(1, len(x) // 40)][:40]
+        near, of = np.argsort(-(q @ x.T), 1)[:, 1:11].ravel(), np.repeat(np.arange(len(q)), 10)
+        scale = float(np.sqrt((x * x).sum(1)).max())
+        index = vectors.choose_index(scale, len(x), q, x[near], of, x[rng.choice(len(x), min(1000, len(x)), False)])
+        hashing = vectors.StableHash(scale, index)
+        assert hashing.meet(q, x[near])[of, np.arange(len(of))].mean() >= 0.9
+        parts.append(hashing.meet(q, x[rng.choice(len(x), min(4000, len(x)), False)]).mean())
+    assert parts[2] < 0.8 * parts[0] and parts[2] < 0.2
