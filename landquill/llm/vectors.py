@@ -19,9 +19,8 @@ from . import textblocks as tb
 from .ngram_join import _runs
 from .shared import components, materialise
 
-# nearest neighbours: cell width (for vectors of length 1 at most), and the indexes to choose from: hash functions a table, tables, buckets probed a table
-CELL = 1.2
-INDEXES = tuple((m, t, p) for m in (3, 4, 5, 6, 8, 10, 12) for t, p in ((4, 20), (4, 60), (8, 60), (8, 200)) if p < 3**m)
+# nearest neighbours, the indexes to choose from: hash functions a table, tables, buckets probed a table, cell width (for vectors of length 1 at most)
+INDEXES = tuple((m, t, p, w) for m in (3, 4, 5, 6, 8, 10, 12) for t, p in ((4, 20), (4, 60), (8, 60), (8, 200)) for w in (1.2, 0.7) if p < 3**m and not (w < 1 and p > 60))
 # an index is chosen by the exact neighbours of so many queries, and the part of so many vectors that it makes them meet
 TUNING_QUERIES, TUNING_VECTORS, RECALL = 40, 1000, 0.95
 _LARGE_INDEX = 20.0  # what a copy of a query to one more bucket costs, in vectors met
@@ -59,11 +58,11 @@ def _keys(parts: np.ndarray, table: int, d: int) -> np.ndarray:
 class StableHash:
     """p-stable hashing of vectors scaled into the unit ball; an extra coordinate turns inner product into distance.
 
-    index: hash functions a table, tables, buckets probed a table. With more functions buckets are smaller, and more of them for the same vectors.
+    index: hash functions a table, tables, buckets probed a table, cell width. With more functions buckets are smaller, and more of them for the same vectors.
     """
 
-    def __init__(self, scale: float, index: tuple[int, int, int]):
-        self.scale, (self.hashes, self.tables, self.probed) = scale, index
+    def __init__(self, scale: float, index: tuple[int, int, int, float]):
+        self.scale, (self.hashes, self.tables, self.probed, self.cell) = scale, index
         # all moves by one cell for few functions; for many, those in up to three of them
         few = self.hashes <= 5
         self.moves = np.array([m for m in itertools.product((-1, 0, 1), repeat=self.hashes)]) if few else self._sparse_moves()
@@ -83,7 +82,7 @@ class StableHash:
         norm = np.sqrt((x * x).sum(1))
         y = x / norm[:, None] if query else x / self.scale
         lift = np.zeros(len(x)) if query else np.sqrt(np.maximum(0, 1 - (norm / self.scale) ** 2))
-        return (np.column_stack((y, lift)) @ rng.normal(size=(d + 1, self.hashes)) + rng.uniform(0, CELL, self.hashes)) / CELL
+        return (np.column_stack((y, lift)) @ rng.normal(size=(d + 1, self.hashes)) + rng.uniform(0, self.cell, self.hashes)) / self.cell
 
     def bucket(self, x: np.ndarray, t: int) -> np.ndarray:
         return _keys(np.floor(self._places(x, t, False)).astype(np.int64), t, x.shape[1])
@@ -107,7 +106,7 @@ class StableHash:
         return out
 
 
-def choose_index(scale: float, n: int, queries: np.ndarray, near: np.ndarray, near_of: np.ndarray, others: np.ndarray) -> tuple[int, int, int]:
+def choose_index(scale: float, n: int, queries: np.ndarray, near: np.ndarray, near_of: np.ndarray, others: np.ndarray) -> tuple[int, int, int, float]:
     """The index of least work, of those that meet RECALL of the near rows (row i belongs to query near_of[i]); the one that meets most if none does.
 
     Work for a query: the vectors it meets, by its part of others, and its copies.
@@ -123,7 +122,7 @@ def choose_index(scale: float, n: int, queries: np.ndarray, near: np.ndarray, ne
     return best[1] if best else most[2]
 
 
-def _bucketed(scale: float, query: bool, index: tuple[int, int, int]):
+def _bucketed(scale: float, query: bool, index: tuple[int, int, int, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashing = StableHash(scale, index)
         for batch in batches:
@@ -203,7 +202,7 @@ def _search(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return found.groupBy("query", "id").agg(F.max("score").alias("score"))
 
 
-def tuned_index(classes: DataFrame, asked: DataFrame, scale: float, k: int) -> tuple[int, int, int]:
+def tuned_index(classes: DataFrame, asked: DataFrame, scale: float, k: int) -> tuple[int, int, int, float]:
     """An index (see choose_index) for the vectors of classes (id, embedding), tuned on TUNING_QUERIES of asked (query, asked) and their exact k nearest.
 
     Queries and vectors are drawn by hash, of the most common length of vectors. What reaches the driver is bounded by the constants.
@@ -226,12 +225,12 @@ def tuned_index(classes: DataFrame, asked: DataFrame, scale: float, k: int) -> t
     return choose_index(scale, d["n"], matrix(queries), matrix(found), np.array([place[r["query"]] for r in found]), matrix(others))
 
 
-def nearest(table: DataFrame, k: int = 20, every: int = 20, index: tuple[int, int, int] | None = None) -> DataFrame:
+def nearest(table: DataFrame, k: int = 20, every: int = 20, index: tuple[int, int, int, float] | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found by inner product for each vector whose id is divisible by every.
 
     Ties go to the smaller vec_id. A query for which the probed buckets hold fewer than k others is searched again against
     all vectors, in blocks, so that it gets k where there are k. Rows that share a vec_id are one vector each; a query's own
-    id is never its result. index: hash functions a table, tables, probes a table; else it is tuned on a bounded sample (see tuned_index) to the
+    id is never its result. index: one like INDEXES; else it is tuned on a bounded sample (see tuned_index) to the
     recall that RECALL names, so that a query meets a smaller part of the vectors where near ones are nearer than the rest.
     """
     rows = usable(table)

@@ -212,7 +212,7 @@ def test_a_query_meets_a_falling_part_of_clustered_vectors():
     """The index is chosen anew for each size: recall stays, and the part of the vectors that a query meets falls as they grow."""
     rng = np.random.default_rng(0)
     parts = []
-    for clusters in (20, 400, 4000):
+    for clusters in (20, 400, 16_000):
         centre = rng.normal(size=(clusters, 32))
         centre /= np.linalg.norm(centre, axis=1, keepdims=True)
         x = (centre[:, None] + rng.normal(size=(clusters, 15, 32)) * 0.03).reshape(-1, 32)
@@ -223,4 +223,4 @@ def test_a_query_meets_a_falling_part_of_clustered_vectors():
         hashing = vectors.StableHash(scale, index)
         assert hashing.meet(q, x[near])[of, np.arange(len(of))].mean() >= 0.9
         parts.append(hashing.meet(q, x[rng.choice(len(x), min(4000, len(x)), False)]).mean())
-    assert parts[2] < 0.8 * parts[0] and parts[2] < 0.2
+    assert parts[2] < 0.6 * parts[0]
