@@ -19,11 +19,11 @@ from . import textblocks as tb
 from .ngram_join import _runs
 from .shared import components, materialise
 
-# nearest neighbours, the indexes to choose from: hash functions a table, tables, buckets probed a table, cell width (for vectors of length 1 at most)
-INDEXES = tuple((m, t, p, w) for m in (3, 4, 5, 6, 8, 10, 12) for t, p in ((4, 20), (4, 60), (8, 60), (8, 200)) for w in (1.2, 0.7) if p < 3**m and not (w < 1 and p > 60))
+# nearest neighbours, the indexes to choose from: hash functions a table, tables, buckets probed a table, cell width (for vectors of length 1 at most). All
+# send a query to as many buckets, so that the choice does not change how copies grow with the queries
+INDEXES = tuple((m, 4, 20, w) for m in (3, 4, 5, 6, 7, 8, 10, 12) for w in (2.4, 1.7, 1.2, 0.8))
 # an index is chosen by the exact neighbours of so many queries, and the part of so many vectors that it makes them meet
 TUNING_QUERIES, TUNING_VECTORS, RECALL = 40, 1000, 0.95
-_LARGE_INDEX = 20.0  # what a copy of a query to one more bucket costs, in vectors met
 # near-duplicates: cross-polytope hashes a table, tables
 POLYTOPES, ROTATIONS, LINK_TABLES = 3, 3, 8
 BLOCK_ROWS = 4096  # rows of a bucket that meet in one task; larger buckets are cut
@@ -63,13 +63,13 @@ class StableHash:
 
     def __init__(self, scale: float, index: tuple[int, int, int, float]):
         self.scale, (self.hashes, self.tables, self.probed, self.cell) = scale, index
-        # all moves by one cell for few functions; for many, those in up to three of them
+        # all moves by one cell for few functions; for many, those in up to three of them, or two
         few = self.hashes <= 5
         self.moves = np.array([m for m in itertools.product((-1, 0, 1), repeat=self.hashes)]) if few else self._sparse_moves()
 
     def _sparse_moves(self) -> np.ndarray:
         out = [np.zeros(self.hashes, np.int64)]
-        for n in (1, 2, 3):
+        for n in (1, 2, 3) if self.hashes <= 12 else (1, 2):
             for where in itertools.combinations(range(self.hashes), n):
                 for by in itertools.product((-1, 1), repeat=n):
                     out.append(np.zeros(self.hashes, np.int64))
@@ -106,16 +106,16 @@ class StableHash:
         return out
 
 
-def choose_index(scale: float, n: int, queries: np.ndarray, near: np.ndarray, near_of: np.ndarray, others: np.ndarray) -> tuple[int, int, int, float]:
+def choose_index(scale: float, queries: np.ndarray, near: np.ndarray, near_of: np.ndarray, others: np.ndarray) -> tuple[int, int, int, float]:
     """The index of least work, of those that meet RECALL of the near rows (row i belongs to query near_of[i]); the one that meets most if none does.
 
-    Work for a query: the vectors it meets, by its part of others, and its copies.
+    Work is the part of others that a query meets.
     """
     best, most = None, None
     for index in INDEXES:
         hashing = StableHash(scale, index)
         recall = float(hashing.meet(queries, near)[near_of, np.arange(len(near))].mean())
-        work = float(hashing.meet(queries, others).mean()) * n + _LARGE_INDEX * index[1] * index[2]
+        work = float(hashing.meet(queries, others).mean())
         most = max(most or (recall, -work, index), (recall, -work, index))
         if recall >= RECALL and (best is None or work < best[0]):
             best = work, index
@@ -222,7 +222,7 @@ def tuned_index(classes: DataFrame, asked: DataFrame, scale: float, k: int) -> t
         return INDEXES[0]
     place = {r["query"]: i for i, r in enumerate(queries)}
     matrix = lambda rows: np.array([r["embedding"] for r in rows], float)
-    return choose_index(scale, d["n"], matrix(queries), matrix(found), np.array([place[r["query"]] for r in found]), matrix(others))
+    return choose_index(scale, matrix(queries), matrix(found), np.array([place[r["query"]] for r in found]), matrix(others))
 
 
 def nearest(table: DataFrame, k: int = 20, every: int = 20, index: tuple[int, int, int, float] | None = None) -> DataFrame:
