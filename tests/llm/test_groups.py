@@ -149,6 +149,17 @@ def packed_well(rows, capacity):
     return len(held), -(-sum(n for _, _, n in rows) // capacity)
 
 
+def test_ids_of_random_mixtures_equal_the_library():
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("aB1é' -.<|>,(́ñ´;≠\nsT'日  ~}{|") for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    texts += ["".join(rng.choice(["<|endoftext|>", "<|", "|>", "a", "é", "'s", " ", ".", "<|startoftext|>", "1"]) for _ in range(rng.randint(0, 9))) for _ in range(2000)]
+    coder, got = Coder(TOKENIZER), []
+    for _, _, data, where in tb.blocks(pa.array(texts, pa.large_string())):
+        ids, at = coder.encode(data, where)
+        got += [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert got == [e.ids for e in Tokenizer.from_file(TOKENIZER).encode_batch(texts, add_special_tokens=False)]
+
+
 def test_packing_of_documents(spark):
     long_text = " ".join(["one two three"] * 3000)
     rows = [(i % 40, t) for i, t in enumerate(TEXTS * 4)] + [(1, None), (None, "x"), (5, long_text), (5, long_text), (6, " ".join(["word"] * 2047)), (7, " ".join(["word"] * 2048))]
@@ -212,15 +223,15 @@ def test_a_query_meets_a_falling_part_of_clustered_vectors():
     """The index is chosen anew for each size: recall stays, and the part of the vectors that a query meets falls as they grow."""
     rng = np.random.default_rng(0)
     parts = []
-    for clusters in (20, 400, 16_000):
+    for clusters in (20, 400, 4000):
         centre = rng.normal(size=(clusters, 32))
         centre /= np.linalg.norm(centre, axis=1, keepdims=True)
         x = (centre[:, None] + rng.normal(size=(clusters, 15, 32)) * 0.03).reshape(-1, 32)
         q = x[:: max(1, len(x) // 40)][:40]
         near, of = np.argsort(-(q @ x.T), 1)[:, 1:11].ravel(), np.repeat(np.arange(len(q)), 10)
         scale = float(np.sqrt((x * x).sum(1)).max())
-        index = vectors.choose_index(scale, len(x), q, x[near], of, x[rng.choice(len(x), min(1000, len(x)), False)])
+        index = vectors.choose_index(scale, q, x[near], of, x[rng.choice(len(x), min(1000, len(x)), False)])
         hashing = vectors.StableHash(scale, index)
         assert hashing.meet(q, x[near])[of, np.arange(len(of))].mean() >= 0.9
         parts.append(hashing.meet(q, x[rng.choice(len(x), min(4000, len(x)), False)]).mean())
-    assert parts[2] < 0.6 * parts[0]
+    assert max(parts[1:]) < parts[0] and max(parts) < 0.15
