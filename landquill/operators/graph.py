@@ -20,13 +20,29 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "landquill-checkpoints")
 
 
+_written: list[str] = []
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, read again: computed once, without lineage, and safe from lost executors."""
+    """df as a table in the shared folder, read again: computed once, without lineage, and safe from lost executors. See release."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables that this program has written with materialise so far, and tell how many; to be called when the results that
+    read them are written or no longer needed.
+    """
+    for path in _written:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+    n = len(_written)
+    _written.clear()
+    return n
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component): smallest id reachable over the undirected edges (src, dst).
 

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 import unicodedata
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from landquill.functions import text as tx
 from landquill.operators import boxes, diff, drawing, entities, faces, layout, ordered, raster, reconcile, sequence, spatial, traverse
-from landquill.operators.graph import components
+from landquill.operators.graph import components, materialise, release
 from landquill.sources import files
 
 
@@ -440,3 +441,9 @@ def test_last_of_repeated_owners_and_one_sided_columns(spark):
     a, b = spark.createDataFrame([(1, "x", 2)], "id int, v string, w int"), spark.createDataFrame([(1, "x", 2)], "id int, v string, z int")
     rows, _ = diff.snapshot_diff({"t": a}, {"t": b})
     assert sorted(tuple(r) for r in rows.collect()) == [("t", "", "column_only_a", "w", ""), ("t", "", "column_only_b", "z", "")]
+
+
+def test_release_deletes_written_tables(spark):
+    table = materialise(spark.range(3).toDF("id"))
+    path = table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(path) and release(spark) >= 1 and not os.path.isdir(path) and release(spark) == 0
