@@ -25,6 +25,9 @@ _CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
 _CLASS[48:58] = _DIGIT
 _WHOLE = np.zeros(256, bool)
 _WHOLE[[39, 60, *range(9), *range(14, 32), *range(127, 256)]] = True
+_CUTS = np.zeros(256, bool)
+_CUTS[:128] = True
+_CUTS[[39, 60, 124]] = False
 _VALUE = np.random.default_rng(20240609).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -42,8 +45,10 @@ def parts(data: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     begin[where[:-1][where[:-1] < len(data)]] = True
     before = _shift(kind, _SPACE)
     before[begin] = _SPACE
-    opens = inside & (before == _SPACE)
-    closes = inside & ~_shift(inside[::-1], False)[::-1]
+    # a stretch is cut where a part surely ends: between a plain letter or digit and a sign, but for what can start a contraction or a special token
+    wordy, sign = (kind == _LETTER) | (kind == _DIGIT), (kind == _SIGN) & _CUTS[data]
+    opens = inside & ((before == _SPACE) | (kind == _SIGN) & (data < 124) & ((before == _LETTER) | (before == _DIGIT)) | wordy & _shift(sign, False) & (before == _SIGN))
+    closes = inside & ~_shift((inside & ~opens)[::-1], False)[::-1]
     last = where[1:-1] - 1
     last = last[(last >= 0) & (last < len(data))]
     closes[last] |= inside[last]
@@ -51,8 +56,8 @@ def parts(data: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     odd = np.concatenate(([0], np.cumsum(_WHOLE[data], dtype=np.int64)))
     kept = odd[e] > odd[s]
     step = np.zeros(len(data) + 1, np.int8)
-    np.add.at(step, s[kept], 1)
-    np.add.at(step, e[kept], -1)
+    step[s[kept]] += 1
+    step[e[kept]] -= 1
     as_is = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
     start = inside & (opens | ~as_is & ((kind == _DIGIT) | (kind != before)))
     starts = np.flatnonzero(start)
