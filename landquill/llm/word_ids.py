@@ -8,6 +8,7 @@ apostrophe or '<' (which can start a special token) go to the library as they ar
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -16,8 +17,8 @@ import pyarrow as pa
 
 from . import textblocks as tb
 
-#: Distinct parts that a task remembers.
-REMEMBERED = 1 << 21
+#: Distinct parts that a task remembers; bytes of text in one pass, whose working arrays take about 100 times as much.
+REMEMBERED, PASS_BYTES = 1 << 20, 1 << 19
 _SPACE, _LETTER, _DIGIT, _SIGN = range(4)
 _CLASS = np.full(256, _SIGN, np.uint8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = _SPACE
@@ -67,13 +68,19 @@ def parts(data: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, as_is[starts], np.searchsorted(starts, where)
 
 
+@functools.lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    """Read once by a worker, for all its tasks."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class Coder:
     """Ids of texts with a memory of the parts that a task has met."""
 
     def __init__(self, tokenizer_path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.tokenizer = _tokenizer(tokenizer_path)
         special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and t.content.startswith("<") and not (t.lstrip or t.rstrip or t.single_word)]
         self.mark = special[-1] if special else None
         self._forget()
@@ -153,7 +160,7 @@ def coded_pieces(tokenizer_path: str, most: int, closing_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(tokenizer_path)
         for batch in batches:
-            for row, end, data, where in tb.blocks(batch.column("text")):
+            for row, end, data, where in tb.blocks(batch.column("text"), PASS_BYTES):
                 ids, at = coder.encode(data, where)
                 n = end - row
                 size = np.diff(at) + 1
