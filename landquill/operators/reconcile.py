@@ -169,6 +169,11 @@ _ITEMS = {
 _DOT_NOTE = "小数点の縦点線がOCRで認識されなかった可能性"
 _FORM_NOTE = "異体字差異の可能性あり — 要目視確認"
 _NOT_READ, _NOT_IN_SOURCE = "（OCRに該当なし）", "（照合元に該当なし）"
+_SOURCE_ONLY = ("照合元のみ", "OCR結果に該当なし（PDF範囲外の可能性）")
+_READ_ONLY = ("OCRのみ", "照合元に該当なし（新規取得・範囲外の可能性）")
+_MISREAD_USE = ("OCR読取値: ", "補正後: ", "（照合元と一致）")
+_MISREAD_AREA = ("照合元: ", "OCR読取値: ", "（整数部一致、小数点読み落とし）")
+_ADDRESS = ("照合元住所: ", "OCR住所: ")
 
 
 def changes(reconciled: DataFrame, owners: DataFrame) -> DataFrame:
@@ -180,9 +185,9 @@ def changes(reconciled: DataFrame, owners: DataFrame) -> DataFrame:
     fixed = F.array_compact(
         F.array(
             F.when(F.col("land_use_change") == "changed", row(1, _ITEMS["land_use", "changed"], su, ru, "")),
-            F.when(F.col("land_use_change") == "corrected", row(2, _ITEMS["land_use", "corrected"], say("OCR読取値: ", ru), say("補正後: ", su, "（照合元と一致）"), "")),
+            F.when(F.col("land_use_change") == "corrected", row(2, _ITEMS["land_use", "corrected"], say(_MISREAD_USE[0], ru), say(_MISREAD_USE[1], su, _MISREAD_USE[2]), "")),
             F.when(F.col("area_change") == "changed", row(3, _ITEMS["area", "changed"], sa, ra, "")),
-            F.when(F.col("area_change") == "corrected", row(4, _ITEMS["area", "corrected"], say("照合元: ", sa), say("OCR読取値: ", ra, "（整数部一致、小数点読み落とし）"), _DOT_NOTE)),
+            F.when(F.col("area_change") == "corrected", row(4, _ITEMS["area", "corrected"], say(_MISREAD_AREA[0], sa), say(_MISREAD_AREA[1], ra, _MISREAD_AREA[2]), _DOT_NOTE)),
         )
     )
     values = both.select("key", "location", "page", F.explode(fixed).alias("c")).select("key", "c.item_ord", "location", "c.item", "c.old_value", "c.new_value", "page", "c.note")
@@ -191,7 +196,7 @@ def changes(reconciled: DataFrame, owners: DataFrame) -> DataFrame:
     old = F.when(kind == OWNER_NEW, _NOT_IN_SOURCE).otherwise(F.col("source_name"))
     new = F.when(kind == OWNER_GONE, _NOT_READ).otherwise(F.col("read_name"))
     noted = lambda text, c: F.when(c != "", F.concat(F.lit(text), c)).otherwise("")
-    note = F.when(kind == OWNER_FORM, _FORM_NOTE).when(kind == OWNER_GONE, noted("照合元住所: ", F.col("source_address"))).otherwise(noted("OCR住所: ", F.col("read_address")))
+    note = F.when(kind == OWNER_FORM, _FORM_NOTE).when(kind == OWNER_GONE, noted(_ADDRESS[0], F.col("source_address"))).otherwise(noted(_ADDRESS[1], F.col("read_address")))
     people = owners.join(both.select("key", "location", "page"), "key").select("key", F.lit(5).alias("item_ord"), "location", item.alias("item"), old.alias("old_value"), new.alias("new_value"), "page", note.alias("note"))
     return values.unionByName(people)
 
@@ -200,7 +205,7 @@ def unmatched(reconciled: DataFrame) -> DataFrame:
     """(category, key, location, source, note) of parcels on one side only."""
     alone = F.col("status") == "source_only"
     source = F.when(alone, F.col("file")).otherwise(F.concat(F.lit("PDF p."), F.when(F.col("page") == "", "?").otherwise(F.col("page"))))
-    category, note = F.when(alone, "照合元のみ").otherwise("OCRのみ"), F.when(alone, "OCR結果に該当なし（PDF範囲外の可能性）").otherwise("照合元に該当なし（新規取得・範囲外の可能性）")
+    category, note = (F.when(alone, a).otherwise(b) for a, b in zip(_SOURCE_ONLY, _READ_ONLY, strict=True))
     return reconciled.where("status <> 'both'").select(category.alias("category"), "key", "location", source.alias("source"), note.alias("note"))
 
 
@@ -215,7 +220,7 @@ def reconcile_v1(source: DataFrame, read: DataFrame) -> DataFrame:
     row = lambda item, a, b: F.struct(F.lit(item).alias("item"), a.alias("old_value"), b.alias("new_value"))
     item = lambda name, c: row(name, F.col(f"s.{c}"), F.col(f"r.{c}"))
     misread = F.coalesce(F.array_contains(F.transform("s.old_land_uses", lambda x: tx.normalize(x)), tx.normalize(F.col("r.land_use"))), F.lit(False))
-    corrected = row(_ITEMS["land_use", "corrected"], F.concat(F.lit("OCR読取値: "), "r.land_use"), F.concat(F.lit("補正後: "), "s.land_use", F.lit("（照合元と一致）")))
+    corrected = row(_ITEMS["land_use", "corrected"], F.concat(F.lit(_MISREAD_USE[0]), "r.land_use"), F.concat(F.lit(_MISREAD_USE[1]), "s.land_use", F.lit(_MISREAD_USE[2])))
     parts = [F.when(differs("land_use"), F.when(misread, corrected).otherwise(item("地目", "land_use"))), F.when(differs("area"), item("地積", "area")), F.when(differs("owner"), item("所有者", "owner"))]
     return both.select("key", F.explode(F.array_compact(F.array(*parts))).alias("x")).select("key", "x.*")
 
