@@ -58,7 +58,7 @@ def parse_entities(entities: DataFrame, form: str | None = None) -> Drawing:
     reach of line ends stays. In the mtext format stakes have a radius of 0.25 and lines are polylines of two points. Drawings may lie at the
     same coordinates and use the same ids and names. Rows without a drawing_id are left out.
     """
-    kinds = materialise(drawing_kinds(entities, form))  # a row for each drawing
+    kinds = F.broadcast(materialise(drawing_kinds(entities, form)))  # a row for each drawing
     tagged = entities.join(kinds.select("drawing_id", "format"), "drawing_id")
     forms = {plain: tagged.where(F.col("format") == ("text" if plain else "mtext")) for plain in (False, True)}
     both = lambda f: f(forms[False], False).unionByName(f(forms[True], True))
