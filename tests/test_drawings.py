@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -67,6 +68,35 @@ def test_auxiliary_rings_start_at_the_face_not_at_its_named_nodes(spark):
     assert [r.ring for r in faces.auxiliary_rings(none, parcels, simple).collect()] == [["1.2", "1.3", "1.4", "1.2"]]
 
 
+def comb(n, teeth):
+    """A long loop of nodes, of which every other one below has a triangle outside that touches it in one point."""
+    places = [(f"n{k:06d}", float(k), 0.0) for k in range(n)] + [(f"m{k:06d}", float(k), 10.0) for k in range(n)]
+    edges = [(f"n{k:06d}", f"n{k + 1:06d}") for k in range(n - 1)] + [(f"m{k:06d}", f"m{k + 1:06d}") for k in range(n - 1)] + [("n000000", "m000000"), (f"n{n - 1:06d}", f"m{n - 1:06d}")]
+    for k in range(1, 2 * teeth, 2):
+        places += [(f"a{k:06d}", k - 0.3, -1.0), (f"b{k:06d}", k + 0.3, -1.0)]
+        edges += [(f"n{k:06d}", f"a{k:06d}"), (f"a{k:06d}", f"b{k:06d}"), (f"b{k:06d}", f"n{k:06d}")]
+    return places, edges
+
+
+def test_long_faces_take_time_in_proportion(spark):
+    places, edges = comb(12000, 3000)
+    simple = faces.materialise(faces.simple_faces(spark.createDataFrame(edges, EDGE), spark.createDataFrame(places, NODE)))
+    parcels = spark.createDataFrame([(1, "5", 50.5, 5.0), (2, "6", 1.0, -0.9)], LABEL)
+    none = spark.createDataFrame([], "parcel_number string, ring array<string>")
+    began = time.time()
+    rings = {r.parcel_number: r.ring for r in faces.auxiliary_rings(none, parcels, simple).collect()}
+    assert time.time() - began < 60
+    assert len(rings["5"]) == 24001 and set(rings["6"]) == {"n000001", "a000001", "b000001"}
+    # the loop and each triangle from inside, and from outside
+    assert simple.count() == 2 * 3001
+
+
+def test_small_files_are_not_broadcast_by_their_size(spark):
+    table = faces.materialise(spark.range(1000).selectExpr("id", "repeat('x', 20) as name"))
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1" and spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") != "-1"
+    assert "BroadcastHashJoin" not in table.join(table.withColumnRenamed("name", "other"), "id")._jdf.queryExecution().sparkPlan().toString()
+
+
 def drawn(drawing_id, scale, shift, text):
     """Entities of a strip of three squares with numbers, parcels and a public label; the same names in every drawing."""
     kind, line = ("TEXT", "LINE") if text else ("MTEXT", "LWPOLYLINE")
