@@ -21,14 +21,17 @@ def modal_block(ring: Column) -> Column:
     return F.array_max(scored)["block"]
 
 
-def parcel_order(number: Column) -> list[Column]:
-    """Sort keys of the natural order of parcel numbers; other texts come last, as they were."""
-    return [natural_key(number).isNull(), natural_key(number)]
+def in_parcel_order(rows: DataFrame, number: Column, *then: str | Column) -> DataFrame:
+    """rows with _key (see natural_key) in the natural order of parcel numbers; other texts come last. Ties go by then.
+
+    The key is a column before it is sorted by: a sort makes expressions anew for each comparison.
+    """
+    return rows.withColumn("_key", natural_key(number)).orderBy(F.col("_key").isNull(), "_key", *then)
 
 
 def preview(rows: DataFrame, number: str, order: str, most: int = 80) -> DataFrame:
     """The first rows in the natural order of their parcel numbers (then the numbers' text and order), as many as a report's preview shows."""
-    return rows.orderBy(*parcel_order(F.col(number)), number, order).limit(most)
+    return in_parcel_order(rows, F.col(number), number, order).limit(most).drop("_key")
 
 
 def sheet_names(names: DataFrame, name: str, order: str) -> DataFrame:

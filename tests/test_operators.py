@@ -447,3 +447,11 @@ def test_release_deletes_written_tables(spark):
     table = materialise(spark.range(3).toDF("id"))
     path = table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
     assert os.path.isdir(path) and release(spark) >= 1 and not os.path.isdir(path) and release(spark) == 0
+
+
+def test_natural_order_sorts_by_columns_not_by_expressions(spark):
+    rows = spark.createDataFrame([(1, "10-2"), (2, "9"), (3, "山"), (4, "10番の1")], "id long, number string")
+    out = layout.in_parcel_order(rows, F.col("number"), "id")
+    assert [r.id for r in out.collect()] == [2, 4, 1, 3]
+    sort = next(line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Sort [" in line)
+    assert "rlike" not in sort.lower() and "regexp" not in sort.lower()
