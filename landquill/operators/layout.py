@@ -16,7 +16,15 @@ POINT_CELLS = (("extension_point1", -5, 11), ("extension_point2", -2, 11), ("bas
 
 def modal_block(ring: Column) -> Column:
     """The most frequent block number of a ring's stakes; on ties the first met. A closing stake counts twice."""
-    blocks = F.array_compact(F.transform(ring, block_number))
+    return _modal(_blocks(ring))
+
+
+def _blocks(ring: Column) -> Column:
+    return F.array_compact(F.transform(ring, block_number))
+
+
+def _modal(blocks: Column) -> Column:
+    """The most frequent of blocks, a column: the lambda would make an expression anew for each block."""
     scored = F.transform(F.array_distinct(blocks), lambda b: F.struct(F.size(F.filter(blocks, lambda x: x == b)).alias("n"), (-F.array_position(blocks, b)).alias("first"), b.alias("block")))
     return F.array_max(scored)["block"]
 
@@ -44,7 +52,7 @@ def ring_layout(rings: DataFrame) -> DataFrame:
     """(ring_id, page, sheet, row, col, value): 100 stakes to a page in four columns of 25; the block at (3, 0), the parcel at
     (3, 6). rings: ring_id, parcel_number, ring. Every page repeats the two.
     """
-    pages = rings.withColumn("block", modal_block(F.col("ring"))).withColumn("page", F.explode(F.sequence(F.lit(0), ((F.size("ring") + RING_PAGE - 1) / RING_PAGE).cast("int") - 1))).withColumn("wanted", F.concat("parcel_number", F.when(F.col("page") > 0, F.concat(F.lit("_"), (F.col("page") + 1).cast("string"))).otherwise("")))
+    pages = rings.withColumn("_blocks", _blocks(F.col("ring"))).withColumn("block", _modal(F.col("_blocks"))).drop("_blocks").withColumn("page", F.explode(F.sequence(F.lit(0), ((F.size("ring") + RING_PAGE - 1) / RING_PAGE).cast("int") - 1))).withColumn("wanted", F.concat("parcel_number", F.when(F.col("page") > 0, F.concat(F.lit("_"), (F.col("page") + 1).cast("string"))).otherwise("")))
     named = sheet_names(pages.withColumn("_ord", F.struct("ring_id", "page")), "wanted", "_ord")
     cell = lambda r, c, v: F.struct(r.cast("int").alias("row"), c.cast("int").alias("col"), v.alias("value"))
     part = F.slice("ring", F.col("page") * RING_PAGE + 1, RING_PAGE)

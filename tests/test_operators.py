@@ -455,3 +455,11 @@ def test_natural_order_sorts_by_columns_not_by_expressions(spark):
     assert [r.id for r in out.collect()] == [2, 4, 1, 3]
     sort = next(line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Sort [" in line)
     assert "rlike" not in sort.lower() and "regexp" not in sort.lower()
+
+
+def test_blocks_of_a_ring_are_read_once(spark):
+    rings = spark.createDataFrame([(1, "P", ["1.1", "2.1", "2.2", "x"])], "ring_id long, parcel_number string, ring array<string>")
+    out = layout.ring_layout(rings)
+    assert {r.value for r in out.collect() if (r.row, r.col) == (3, 0)} == {"2"}
+    lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("array_position" in line and "regexp" in line for line in lines)
