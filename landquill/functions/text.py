@@ -70,9 +70,11 @@ def _compatible() -> tuple[str, str, dict[str, str], str, str]:
 _FROM, _TO, _FORMS, _PATTERN, _ANY = _compatible()
 
 
-#: Characters that NFKC leaves alone, whatever stands beside them: ASCII, kana without marks, the common ideographs. Looked at first, since a class of
+#: Characters that NFKC leaves alone, whatever stands beside them: ASCII, brackets, kana without marks, the common ideographs. Looked at first, since a class of
 #: few ranges is fast to match.
-_SAFE = "\\x{1}-\\x{7e}\\x{3001}-\\x{3003}\\x{3041}-\\x{3096}\\x{30a1}-\\x{30fa}\\x{30fc}\\x{4e00}-\\x{9fff}"
+_SAFE = "\\x{1}-\\x{7e}\\x{3001}-\\x{3029}\\x{3041}-\\x{3096}\\x{30a1}-\\x{30fa}\\x{30fc}\\x{4e00}-\\x{9fff}"
+#: Those that normalize leaves alone too: without white space but the blank, and without the start of a code.
+_PLAIN = "\\x{1}-\\x{8}\\x{e}-\\x{3b}\\x{3d}-\\x{7e}" + _SAFE.removeprefix("\\x{1}-\\x{7e}")
 
 
 def nfkc(c: Column) -> Column:
@@ -113,19 +115,24 @@ def decode_codes(c: Column) -> Column:
 
 def normalize(c: Column, fold=nfkc) -> Column:
     """Folded, codes decoded, trimmed, white space collapsed."""
-    return collapse(decode_codes(fold(c)))
+    # most texts are as they should be, which is cheap to see
+    v = text(c)
+    plain = v.rlike(f"^[{_PLAIN}]*+\\z") & ~v.contains("  ") & ~v.startswith(" ") & ~v.endswith(" ")
+    return F.when(plain, v).otherwise(collapse(decode_codes(fold(c))))
 
 
 def normalize_all(cells: Column) -> Column:
     """normalize of every cell of an array. One look at all of them together passes most lines by; the rest go cell by cell."""
-    # cells side by side; a null shows as two blanks, as do ends and runs of blanks that normalize would change
-    together = F.array_join(cells, "\u0001", "  ")
-    odd = f"[^{_SAFE}]|<|(?U)[\\s&&[^ ]]|  |(?:^|\u0001) | (?:\u0001|$)"
-    return F.when(together.rlike(odd), F.transform(cells, lambda x: normalize(x))).otherwise(cells)
+    # cells between separators; a null shows as two blanks, as do ends and runs of blanks that normalize would change
+    together = F.concat(F.lit("\u0001"), F.array_join(cells, "\u0001", "  "), F.lit("\u0001"))
+    blanks = together.contains("  ") | together.contains("\u0001 ") | together.contains(" \u0001")
+    # one class of few ranges; plain searches for the rest, since alternatives would be tried at every character
+    return F.when(blanks | ~together.rlike(f"^[{_PLAIN}]*+\\z"), F.transform(cells, lambda x: normalize(x))).otherwise(cells)
 
 
 def key_text(c: Column, fold=nfkc) -> Column:
-    return F.regexp_replace(normalize(c, fold), "(?U)\\s+", "")
+    v = normalize(c, fold)
+    return F.replace(v, F.lit(" "), F.lit(""))
 
 
 def hyphens_as_branch(c: Column) -> Column:

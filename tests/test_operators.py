@@ -463,3 +463,31 @@ def test_blocks_of_a_ring_are_read_once(spark):
     assert {r.value for r in out.collect() if (r.row, r.col) == (3, 0)} == {"2"}
     lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert not any("array_position" in line and "regexp" in line for line in lines)
+
+
+def test_properties_over_chunks_are_whole_and_lines_dealt_once(spark):
+    chunk = ordered.CHUNK
+    line = lambda at, kind, *cells: ("f", at, ["", kind, *cells])
+    lines = [line(1, "表示履歴", "9番", "", "池"), ("f", 5, ["1", "物件情報", "", "", "北", "1番"]), line(6, "所有者", "甲"), ("f", chunk - 1, ["2", "物件情報", "", "", "北", "2番"]), line(chunk + 1, "所有者", "乙"), line(2 * chunk + 3, "表示履歴", "", "", "【田】"), line(2 * chunk + 4, "表示履歴", "", "", "畑"), line(5 * chunk, "所有者", "丙"), ("f", 5 * chunk + 1, ["3", "物件情報", "", "", "北", "3番"])]
+    out = diff.rollup_records(spark.createDataFrame(lines, "file string, line_idx long, fields array<string>"))
+    got = {r.number: (r.parcel_no, r.land_use, list(r.old_land_uses), [o["name"] for o in r.owners], r.line_idx) for r in out.collect()}
+    assert got == {"1": ("1番", "", [], ["甲"], 5), "2": ("2番", "畑", ["田"], ["乙", "丙"], chunk - 1), "3": ("3番", "", [], [], 5 * chunk + 1)}
+    # whole properties come as they were written, without another shuffle of what they hold
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") - plan.count("_whole") <= 2 and "_whole" in plan
+
+
+def test_tracked_sorts_once(spark):
+    schema = "file string, line_idx long, number string, location string, parcel_no string"
+    rows = [("f", 1, "7", "北", "1番"), ("f", 2, "8", "北", "1番"), ("f", 3, "7", "北", "1番"), ("f", 4, "8", "北", "1番"), ("f", 5, None, "北", "1番"), ("g", 1, "8", "北", "1番")]
+    out = diff.tracked(spark.createDataFrame(rows, schema))
+    assert sorted((r.file, r.line_idx, r.key) for r in out.collect() if r.key) == [("f", 1, "北|1"), ("f", 3, "北|1|#7"), ("f", 4, "北|1|#8"), ("g", 1, "北|1")]
+    assert [r.line_idx for r in out.collect() if r.key is None] == [5]
+    assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Sort [") == 1
+
+
+@pytest.mark.parametrize("value", ["【田】", " a", "a ", "a  b", "a\n", "a\u0085", "<00003042>", "a\tb", "１", "a ", "", None, "が", "北 市", "　"])
+def test_plain_texts_are_passed_by_and_others_are_not(spark, value):
+    full = lambda c: tx.collapse(tx.decode_codes(tx.nfkc(c)))
+    want = one(spark, value, full)
+    assert one(spark, value, tx.normalize) == want and one(spark, value, lambda c: tx.normalize_all(F.array(F.lit("所在"), c, F.lit("x")))) == ["所在", want, "x"]
