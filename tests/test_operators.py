@@ -486,6 +486,11 @@ def test_tracked_sorts_once(spark):
     assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Sort [") == 1
 
 
+def test_shuffles_start_with_many_parts(spark):
+    materialise(spark.range(1))
+    assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= 1024 and spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
+
+
 @pytest.mark.parametrize("value", ["【田】", " a", "a ", "a  b", "a\n", "a\u0085", "<00003042>", "a\tb", "１", "a ", "", None, "が", "北 市", "　"])
 def test_plain_texts_are_passed_by_and_others_are_not(spark, value):
     full = lambda c: tx.collapse(tx.decode_codes(tx.nfkc(c)))
