@@ -111,7 +111,10 @@ def merge_lines(lines: DataFrame, file: str = "file_no", parcel: str = "parcel_n
         placed, scope = in_one_order(lines, "_rn", file, "line_idx").withColumn("_scope", F.lit(0)), "_scope"
     else:
         placed, scope = numbered(lines, "_rn", file, "line_idx").withColumn("_scope", F.col(file)), "_scope"
-    marked = valid_updates(mark_duplicates(placed, scope, same), scope, updated).where("not duplicate and (entry <> '続更新' or valid_update)") if checked else placed
+    # a running value reads its rows twice, and one on top of another four times: written between, rows are worked out once
+    marked = materialise(placed)
+    if checked:
+        marked = materialise(valid_updates(materialise(mark_duplicates(marked, scope, same)), scope, updated).where("not duplicate and (entry <> '続更新' or valid_update)"))
     is_entry, kind = is_numbered(F.col("entry")), lambda k: F.col("entry") == k
     g = running(marked, F.when(is_entry, 1).otherwise(0).cast("long"), "_g", scope, "_rn").where(f"_g > 0 or entry = '{MORE}'")
     # the entry in force: of the current group the first value of its line and completions, and the last of its updates
@@ -131,7 +134,7 @@ def merge_lines(lines: DataFrame, file: str = "file_no", parcel: str = "parcel_n
     blank = state.where(~kind(UPDATE) & (F.col("_own")[parcel] == "") & F.col("_number").isNotNull()).select(scope, "_number", (F.col("_rn") * 2 + 1).alias("_at"), F.lit(1).cast("long").alias("_step"))
     events = completion.unionByName(blank, allowMissingColumns=True)
     depth = running(events, F.col("_step"), "_sum", (scope, "_number"), "_at").withColumn("_sum", F.col("_sum") - F.col("_step"))
-    depth = running(depth, F.col("_sum"), "_low", (scope, "_number"), "_at", "min").withColumn("_level", F.col("_sum") - F.col("_low") + F.when(F.col("_step") == 1, 1).otherwise(0)).where("_level > 0")
+    depth = running(materialise(depth), F.col("_sum"), "_low", (scope, "_number"), "_at", "min").withColumn("_level", F.col("_sum") - F.col("_low") + F.when(F.col("_step") == 1, 1).otherwise(0)).where("_level > 0")
     met = running(depth, F.when(F.col("_step") == 1, F.col("_at")), "_of", (scope, "_number", "_level"), "_at", "max").where("_give is not null and _of is not null")
     given = met.groupBy(scope, ((F.col("_of") - 1) / 2).cast("long").alias("_rn")).agg(F.max_by("_give", "_at").alias("_give"))
     replaced = state.where(kind(UPDATE)).groupBy(scope, "_e").agg(*[F.max_by(_filled(F.col(c)), F.when(_filled(F.col(c)).isNotNull(), F.col("_rn"))).alias(f"_u_{c}") for c in updated])

@@ -508,3 +508,15 @@ def test_rollup_groups_written_values(spark, monkeypatch):
         assert (got.land_use, got.area, got.old_land_uses, [o.name for o in got.owners], len(got.history)) == ("畑", "20", ["田"], ["乙", "丁"], 2)
     grouped = [line for p in plans for line in p.splitlines() if "Aggregate [_chunk" in line]
     assert len(grouped) == 2 and not any("RLIKE" in g or "CASE WHEN" in g or "StartsWith" in g for g in grouped)
+
+
+def test_merge_lines_works_out_each_row_once(spark, monkeypatch):
+    """No written table, nor the result, stands on more than a few running values: each one more would double the work below."""
+    plans, write = [], sequence.materialise
+    monkeypatch.setattr(sequence, "materialise", lambda df: plans.append(df) or write(df))
+    lines = [("f", i, 1, e, p, a, "甲") for i, (e, p, a) in enumerate([("1", "", "5"), ("続表題", "3番", ""), ("続", "", ""), ("2", "4番", "6"), ("続更新", "", "7")])]
+    out = sequence.merge_lines(spark.createDataFrame(lines, "file_no string, line_idx long, page int, entry string, parcel_no string, area string, owner_name string"))
+    assert [(r.entry, r.parcel_no, r.area) for r in out.orderBy("line_idx").collect()] == [("1", "3番", "5"), ("1", "3番", "5"), ("1", "3番", "5"), ("2", "4番", "6")]
+    joins = [df._jdf.queryExecution().optimizedPlan().toString().count("Join ") for df in [*plans, out]]
+    assert max(joins) <= 6, joins
+
