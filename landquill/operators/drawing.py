@@ -31,7 +31,7 @@ class Drawing:
 def attach(parcels: DataFrame, texts: DataFrame, name: str, reach: float | str, by: tuple[str, ...] = ()) -> DataFrame:
     """parcels (by, label_id, x, y, ...) with name: the text of the nearest row of texts (by, ord, x, y, value) closer than reach."""
     right = texts.select(*by, F.col("value").alias(name), F.col("x").alias("rx"), F.col("y").alias("ry"), "ord", *([reach] if isinstance(reach, str) else []))
-    return nearest_within(parcels, right, reach, "label_id", "ord", (name,), by).drop("d")
+    return nearest_within(parcels, right, reach, "label_id", "ord", (name,), by, crowded=True).drop("d")
 
 
 def target_parcels(parcels: DataFrame, wanted: str | list[str] | None = None) -> DataFrame:

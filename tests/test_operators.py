@@ -520,3 +520,13 @@ def test_merge_lines_works_out_each_row_once(spark, monkeypatch):
     joins = [df._jdf.queryExecution().optimizedPlan().toString().count("Join ") for df in [*plans, out]]
     assert max(joins) <= 6, joins
 
+
+def test_attached_texts_are_found_by_least_distance(spark):
+    """Of many near texts the nearest, ties to the lower ord; only pairs at the least distance are put in order."""
+    parcels = spark.createDataFrame([(1, 0.0, 0.0), (2, 50.0, 0.0), (3, 900.0, 0.0)], "label_id long, x double, y double")
+    texts = spark.createDataFrame([(k, 0.0, 3.0 + k % 5, f"t{k}") for k in range(40)] + [(99, 50.0, 1.0, "u")], "ord long, x double, y double, value string")
+    out = drawing.attach(parcels, texts, "land_use", 60.0)
+    assert {r.label_id: r.land_use for r in out.collect()} == {1: "t0", 2: "u", 3: None}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(d" in plan and "_least" in plan
+
