@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .graph import parts_for
 
 COLUMNS = 9
 
@@ -108,7 +109,8 @@ def reconcile(source: DataFrame, read: DataFrame) -> DataFrame:
     """
     s = source.select("key", F.struct("location", "land_use", "area", "old_land_uses", "owners", "file").alias("s"))
     r = read.select("key", F.struct("location", "land_use", "area", "owners", "page").alias("r"))
-    both = s.join(r, "key", "full_outer")
+    parts = parts_for(source, read)
+    both = s.repartition(parts, "key").join(r.repartition(parts, "key"), "key", "full_outer")
     status = F.when(F.col("s").isNull(), "read_only").when(F.col("r").isNull(), "source_only").otherwise("both")
     names = lambda owners: F.array_join(F.filter(F.transform(owners, lambda o: o["name"]), lambda n: n != ""), ", ")
     location = F.coalesce(F.nullif("r.location", F.lit("")), F.nullif("s.location", F.lit("")), F.lit(""))
@@ -134,7 +136,8 @@ def full_comparison(reconciled: DataFrame, owners: DataFrame) -> DataFrame:
     land_use_new is the source's value where the read one is misread; area_new shows a corrected area behind the read one. owner_changed: whether
     match_owners (owners) has a row for the parcel.
     """
-    both = reconciled.where("status = 'both'").join(owners.select("key").distinct().withColumn("_owner", F.lit(True)), "key", "left")
+    parts = parts_for(owners, reconciled)
+    both = reconciled.where("status = 'both'").repartition(parts, "key").join(owners.select("key").repartition(parts, "key").distinct().withColumn("_owner", F.lit(True)), "key", "left")
     fixed = F.when(F.col("area_change") == "corrected", F.concat("read_area", F.lit("→補正:"), "source_area")).otherwise(F.col("read_area"))
     return both.select(
         "key",
@@ -197,7 +200,8 @@ def changes(reconciled: DataFrame, owners: DataFrame) -> DataFrame:
     new = F.when(kind == OWNER_GONE, _NOT_READ).otherwise(F.col("read_name"))
     noted = lambda text, c: F.when(c != "", F.concat(F.lit(text), c)).otherwise("")
     note = F.when(kind == OWNER_FORM, _FORM_NOTE).when(kind == OWNER_GONE, noted(_ADDRESS[0], F.col("source_address"))).otherwise(noted(_ADDRESS[1], F.col("read_address")))
-    people = owners.join(both.select("key", "location", "page"), "key").select("key", F.lit(5).alias("item_ord"), "location", item.alias("item"), old.alias("old_value"), new.alias("new_value"), "page", note.alias("note"))
+    parts = parts_for(owners, reconciled)
+    people = owners.repartition(parts, "key").join(both.select("key", "location", "page").repartition(parts, "key"), "key").select("key", F.lit(5).alias("item_ord"), "location", item.alias("item"), old.alias("old_value"), new.alias("new_value"), "page", note.alias("note"))
     return values.unionByName(people)
 
 
@@ -215,7 +219,8 @@ def reconcile_v1(source: DataFrame, read: DataFrame) -> DataFrame:
 
     source: key, land_use, area, owner, old_land_uses. read: key, land_use, area, owner.
     """
-    both = source.select("key", F.struct("land_use", "area", "owner", "old_land_uses").alias("s")).join(read.select("key", F.struct("land_use", "area", "owner").alias("r")), "key")
+    parts = parts_for(source, read)
+    both = source.select("key", F.struct("land_use", "area", "owner", "old_land_uses").alias("s")).repartition(parts, "key").join(read.select("key", F.struct("land_use", "area", "owner").alias("r")).repartition(parts, "key"), "key")
     differs = lambda c: (F.col(f"s.{c}") != "") & (F.col(f"r.{c}") != "") & (tx.normalize(F.col(f"s.{c}")) != tx.normalize(F.col(f"r.{c}")))
     row = lambda item, a, b: F.struct(F.lit(item).alias("item"), a.alias("old_value"), b.alias("new_value"))
     item = lambda name, c: row(name, F.col(f"s.{c}"), F.col(f"r.{c}"))

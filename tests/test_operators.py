@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landquill.functions import text as tx
-from landquill.operators import boxes, diff, drawing, entities, faces, layout, ordered, raster, reconcile, sequence, spatial, traverse
+from landquill.operators import boxes, diff, drawing, entities, faces, graph, layout, ordered, raster, reconcile, sequence, spatial, traverse
 from landquill.operators.graph import components, many_parts, materialise, release
 from landquill.sources import files
 
@@ -530,3 +530,22 @@ def test_attached_texts_are_found_by_least_distance(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "min(d" in plan and "_least" in plan
 
+
+
+def test_parts_of_the_registry_joins_grow_with_the_files(spark, monkeypatch, tmp_path):
+    """A part's memory stays the same with larger inputs, whatever number of parts the session has; the session's own setting stays."""
+    names = ("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    for n in names:
+        spark.conf.unset(n)
+    before = [spark.conf.get(n, None) for n in names]
+    lines = [("x", 2 * k + j, f) for k in range(40) for j, f in enumerate((["1", "物件情報", "土地", "", "甲", f"{k}番4"], ["", "所有者", f"乙{k}"]))]
+    spark.createDataFrame(lines, "file string, line_idx long, fields array<string>").write.parquet(f"{tmp_path}/lines")
+    read = lambda: diff.rollup_records(spark.read.parquet(f"{tmp_path}/lines"))
+    monkeypatch.setattr(graph, "FILE_PART", 512)
+    old, new = diff.tracked(read()), diff.tracked(read().withColumn("area", F.lit("7")))
+    out, parts = diff.registry_diff(old, new), graph.parts_for(old, new)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 40 and parts > 4 and plan.count(f", {parts}), REPARTITION_BY_NUM") == 2
+    both = reconcile.reconcile(diff.by_parcel(read()), diff.by_parcel(read()).withColumn("page", F.lit("1")))
+    assert both.where("status = 'both'").count() == 40 and "REPARTITION_BY_NUM" in both._jdf.queryExecution().executedPlan().toString()
+    assert [spark.conf.get(n, None) for n in names] == before
