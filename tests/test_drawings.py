@@ -186,3 +186,27 @@ def test_winding_walks_do_not_visit_a_node_twice(spark):
     edges = spark.createDataFrame([(places[k][0], places[(k + 1) % n][0]) for k in range(n)], EDGE)
     start = spark.createDataFrame([("-1.00", "-1.01")], "node string, first string")
     assert [r.end for r in traverse.walk_on(start, edges, nodes).collect()] == ["-1.15"]
+
+
+def test_doublings_leave_short_cycles_behind(spark, monkeypatch):
+    """Cycles of every length get the same names and places as a plain walk gives; late doublings only have the long ones' rows."""
+    rng, step, start = random.Random(5), {}, 0
+    names = list(range(3000))
+    rng.shuffle(names)
+    for n in (*range(1, 40), 300, *[4] * 200, 700):
+        ids = names[start : start + n]
+        start += n
+        step |= dict(zip(ids, [*ids[1:], ids[0]], strict=True))
+    want = {}
+    for i in step:
+        if i not in want:
+            walk = [i]
+            while step[walk[-1]] != i:
+                walk.append(step[walk[-1]])
+            at = walk.index(min(walk))
+            want |= {x: (min(walk), k) for k, x in enumerate([*walk[at:], *walk[:at]])}
+    counts, write = [], faces.materialise
+    monkeypatch.setattr(faces, "materialise", lambda df: (counts.append(write(df)), counts[-1])[1])
+    got = faces.cycles(spark.createDataFrame(list(step.items()), "id long, next long"))
+    assert {r.id: (r.face, r.place) for r in got.collect()} == want and got.count() == len(step)
+    assert counts[-1].count() <= 1000 < len(step)
