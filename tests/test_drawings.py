@@ -91,6 +91,51 @@ def test_long_faces_take_time_in_proportion(spark):
     assert simple.count() == 2 * 3001
 
 
+def shuffled_rows(spark):
+    """Rows that the session's stages have written to shuffles so far."""
+    store, none = spark._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = store.stageList(None, False, False, none, None)
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(k) for k in range(stages.size()))}
+
+
+def test_labels_are_shuffled_once_to_their_faces(spark):
+    """Not once for each face whose box touches a label's cell."""
+    n, labels = 12, 3000
+    nodes = [(f"{r:02d}.{c:02d}", 10.0 * c, 10.0 * r) for r in range(n) for c in range(n)]
+    edges = [(f"{r:02d}.{c:02d}", f"{r:02d}.{c + 1:02d}") for r in range(n) for c in range(n - 1)] + [(f"{r:02d}.{c:02d}", f"{r + 1:02d}.{c:02d}") for r in range(n - 1) for c in range(n)]
+    simple = faces.materialise(faces.simple_faces(spark.createDataFrame(edges, EDGE), spark.createDataFrame(nodes, NODE)))
+    rng = random.Random(3)
+    parcels = faces.materialise(spark.createDataFrame([(k, str(k), rng.uniform(0, 110), rng.uniform(0, 110)) for k in range(labels)], LABEL))
+    before = shuffled_rows(spark)
+    assert faces.parcel_rings(parcels, simple).count() == (n - 1) ** 2
+    assert sum(rows for stage, rows in shuffled_rows(spark).items() if stage not in before) < 2 * labels
+
+
+def test_faces_of_any_length_hold_the_points_that_a_plain_count_finds(spark, monkeypatch):
+    """Faces of few sides, of many, and of many in one row of cells, in two drawings at the same place."""
+    rng, shapes, points = random.Random(4), [], []
+    for sheet in (1, 2):
+        for k, (n, size) in enumerate(((3, 5.0), (4, 60.0), (12, 9.0), (150, 200.0), (300, 25.0), (2000, 60.0))):
+            x, y = rng.uniform(-40, 40), rng.uniform(-40, 40)
+            ring = [(x + size * rng.uniform(0.4, 1.0) * math.cos(t), y + size * rng.uniform(0.4, 1.0) * math.sin(t)) for t in sorted(rng.uniform(0, 2 * math.pi) for _ in range(n))]
+            shapes.append((sheet, f"f{k}", [(f"n{j}", *p) for j, p in enumerate(ring)], 100.0 * (k % 5)))
+        points += [(sheet, k, rng.uniform(-120, 120), rng.uniform(-120, 120), f"p{k}") for k in range(400)]
+    simple = spark.createDataFrame(shapes, "sheet int, face_id string, points array<struct<node: string, x: double, y: double>>, area double")
+    dots = spark.createDataFrame(points, "sheet int, point_id long, x double, y double, name string")
+
+    def holds(ring, px, py):
+        sides = zip(ring, [*ring[1:], ring[0]], strict=True)
+        return sum((a[2] > py) != (b[2] > py) and px < (b[1] - a[1]) * (py - a[2]) / (b[2] - a[2]) + a[1] for a, b in sides) % 2 == 1
+
+    want = {(s, k, name, face, area) for s, k, x, y, name in points for sheet, face, ring, area in shapes if s == sheet and holds(ring, x, y)}
+    least = {(s, k, name, min((a, f) for s2, k2, _, f, a in want if (s2, k2) == (s, k))[1]) for s, k, name, _, _ in want}
+    for few in (spatial.FEW_SIDES, 1 << 20):
+        monkeypatch.setattr(spatial, "FEW_SIDES", few)
+        got = spatial.faces_around(dots, simple, 20.0, ("sheet",), ("name",)).collect()
+        assert len(got) == len(want) and {(r.sheet, r.point_id, r.name, r.face_id, r.area) for r in got} == want
+        assert {(r.sheet, r.point_id, r.name, r.face_id) for r in spatial.smallest_face(dots, simple, 20.0, ("sheet",), ("name",)).collect()} == least
+
+
 def test_small_files_are_not_broadcast_by_their_size(spark):
     table = faces.materialise(spark.range(1000).selectExpr("id", "repeat('x', 20) as name"))
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1" and spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") != "-1"
