@@ -98,11 +98,55 @@ def shuffled_rows(spark):
     return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(k) for k in range(stages.size()))}
 
 
+def grid(n):
+    """Places and edges of n times n nodes."""
+    nodes = [(f"{r:02d}.{c:02d}", 10.0 * c, 10.0 * r) for r in range(n) for c in range(n)]
+    return nodes, [(f"{r:02d}.{c:02d}", f"{r:02d}.{c + 1:02d}") for r in range(n) for c in range(n - 1)] + [(f"{r:02d}.{c:02d}", f"{r + 1:02d}.{c:02d}") for r in range(n - 1) for c in range(n)]
+
+
+def test_half_edges_find_the_next_ones_without_joins_by_name(spark):
+    nodes, edges = grid(30)
+    given = faces.materialise(spark.createDataFrame(edges, EDGE)), faces.materialise(spark.createDataFrame(nodes, NODE))
+    before = shuffled_rows(spark)
+    simple = faces.materialise(faces.simple_faces(*given))
+    rows = sum(rows for stage, rows in shuffled_rows(spark).items() if stage not in before)
+    assert simple.count() == 29**2 + 1
+    assert rows < 15 * 2 * len(edges)
+
+
+def test_stakes_are_copied_to_few_cells(spark):
+    rng = random.Random(6)
+    stakes = [(k, str(k), rng.uniform(-300, 300), rng.uniform(-300, 300)) for k in range(3000)]
+    lines = [(k, x - 0.2, y, stakes[k - 1][2], stakes[k - 1][3] + 0.3) for k, _, x, y in stakes]
+    given = faces.materialise(spark.createDataFrame(lines, "line_id long, x1 double, y1 double, x2 double, y2 double")), faces.materialise(spark.createDataFrame(stakes, "stake_id long, number string, x double, y double"))
+    before = shuffled_rows(spark)
+    got = {(r.line_id, r.u, r.v) for r in spatial.line_ends(*given, "number").collect()}
+    rows = sum(rows for stage, rows in shuffled_rows(spark).items() if stage not in before)
+
+    def nearest(x, y):
+        return min((math.sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy)), k, name) for k, name, sx, sy in stakes)
+
+    ends = {k: (nearest(x1, y1), nearest(x2, y2)) for k, x1, y1, x2, y2 in lines}
+    assert got == {(k, *sorted((a[2], b[2]))) for k, (a, b) in ends.items() if a[0] < 0.5 and b[0] < 0.5} and len(got) == 3000
+    # the ends come four times: to the stakes, with what is near, and to their lines
+    assert rows < 4 * 2 * len(lines) + 4 * len(stakes)
+
+
+def test_near_pairs_are_the_same_in_cells_of_any_width(spark):
+    rng = random.Random(7)
+    left = [(k, rng.uniform(-20, 20), rng.uniform(-20, 20)) for k in range(300)]
+    right = [(k, rng.uniform(-20, 20), rng.uniform(-20, 20)) for k in range(300)] + [(900, left[0][1] + 2.0, left[0][2]), (901, left[0][1] + 1.5, left[0][2])]
+    want = {(a, b) for a, x, y in left for b, rx, ry in right if math.sqrt((x - rx) * (x - rx) + (y - ry) * (y - ry)) < 2.0}
+    given = spark.createDataFrame(left, "a long, x double, y double"), spark.createDataFrame(right, "b long, rx double, ry double")
+    for wide in (1, 2, 4):
+        pairs = spatial.near_pairs(*given, 2.0, wide=wide).collect()
+        assert len(pairs) == len(want) and {(r.a, r.b) for r in pairs} == want
+
+
 def test_labels_are_shuffled_once_to_their_faces(spark):
     """Not once for each face whose box touches a label's cell."""
     n, labels = 12, 3000
-    nodes = [(f"{r:02d}.{c:02d}", 10.0 * c, 10.0 * r) for r in range(n) for c in range(n)]
-    edges = [(f"{r:02d}.{c:02d}", f"{r:02d}.{c + 1:02d}") for r in range(n) for c in range(n - 1)] + [(f"{r:02d}.{c:02d}", f"{r + 1:02d}.{c:02d}") for r in range(n - 1) for c in range(n)]
+    nodes, edges = grid(n)
     simple = faces.materialise(faces.simple_faces(spark.createDataFrame(edges, EDGE), spark.createDataFrame(nodes, NODE)))
     rng = random.Random(3)
     parcels = faces.materialise(spark.createDataFrame([(k, str(k), rng.uniform(0, 110), rng.uniform(0, 110)) for k in range(labels)], LABEL))
